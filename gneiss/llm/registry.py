@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from gneiss.llm import simhash
+from gneiss.llm import chat, language, leaks, lengths, licenses, lines, pieces, quality, simhash, syncmers
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        q.__name__: q
+        for q in (
+            simhash.op1_simhash,
+            syncmers.op2_syncmers,
+            quality.op3_quality,
+            language.op4_language_id,
+            chat.op5_chat_format,
+            leaks.op6_decontaminate,
+            lines.op7_line_dedup,
+            licenses.op8_license_scan,
+            lengths.op9_token_counts,
+            pieces.op10_sentencepiece,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat.op5_sql(), "op7_line_dedup": lines.OP7_SQL}
