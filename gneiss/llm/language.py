@@ -13,13 +13,19 @@ from gneiss.llm.common import map_texts, remainder
 
 #: What the dictionaries are fitted on: so many documents of each language at most, chosen by a hash of
 #: their id, and so many bytes of their text. Everything else covers all documents.
-SAMPLE_DOCS, DICTIONARY_BYTES = 400, 96 << 10
+SAMPLE_DOCS, DICTIONARY_BYTES = 200, 48 << 10
 #: Texts are compressed in blocks of so many bytes, so that a long text keeps being compared with the
 #: dictionaries and not with its own beginning.
-BLOCK = 2048
+BLOCK, LEVEL = 4096, 6
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str) -> bytes:
+    """Lower-case words with single spaces: marks, digits and shouting say nothing about the language."""
+    return f" {_BETWEEN.sub(' ', text.lower())} ".encode("utf-8", "replace")
 
 
 def sample_ids(docs: DataFrame, learn, id_col: str, lang_col: str, per_language: int) -> DataFrame:
@@ -61,7 +67,7 @@ def fit(
     for lang in sorted(known, key=lambda r: (-r.n, r.lang)):
         parts, size = [], 0
         for r in sorted((r for r in texts if r.lang == lang.lang), key=lambda r: (r.id, r.text)):
-            part = (r.text + "\n").encode()
+            part = normal(r.text)
             if size + len(part) > dictionary_bytes:
                 break
             parts.append(part)
@@ -91,8 +97,7 @@ class Models:
         """(language, score, margin): margin is how much larger the second smallest encoding is."""
         if text is None or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
-        raw = text.lower().encode()
-        sizes = self.sizes(raw)
+        sizes = self.sizes(normal(text))
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         # code lengths are log likelihoods; a quarter of a bit for each byte saved keeps scores below 1
         weights = [math.exp(-0.25 * (s - sizes[best])) for s in sizes]
@@ -101,7 +106,7 @@ class Models:
 
 
 def identify(
-    docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 3
+    docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = LEVEL
 ) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) for every row, from whole texts.
 
