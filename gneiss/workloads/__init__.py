@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("finance", "scans", "joining", "windows", "sessions", "texts", "pricing", "streams")
 
 
 def load() -> None:
