@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -63,11 +64,13 @@ def fit(
         .join(F.broadcast(chosen), ["id", "lang"], "left_semi")
         .collect()
     )
+    # lines that several documents share (notices, boilerplate) belong to no language
+    shared = Counter(line for r in texts for line in set(r.text.split("\n")))
     out = []
     for lang in sorted(known, key=lambda r: (-r.n, r.lang)):
         parts, size = [], 0
         for r in sorted((r for r in texts if r.lang == lang.lang), key=lambda r: (r.id, r.text)):
-            part = normal(r.text)
+            part = normal(" ".join(line for line in r.text.split("\n") if shared[line] == 1))
             if size + len(part) > dictionary_bytes:
                 break
             parts.append(part)

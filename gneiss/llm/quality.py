@@ -17,6 +17,8 @@ from gneiss.llm.common import bounded_batches, map_texts, remainder
 
 #: Words share so many vectors, by hash: the table of vectors is bounded whatever the vocabulary.
 BUCKETS, WIDTH, NONZERO, WINDOW = 1 << 14, 64, 4, 2
+#: The vectors of repeated words.
+AGAIN, AGAIN_NEAR = BUCKETS - 1, BUCKETS - 2
 #: The network is fitted on at most so many labelled documents, chosen by a hash of their id.
 SAMPLE_DOCS = 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
@@ -32,12 +34,17 @@ def bucket(token: str) -> int:
         if len(_SEEN) > 400_000:
             _SEEN.clear()
         shape = "U" if len(token) > 1 and token.isupper() else ""
-        at = _SEEN[token] = zlib.crc32((shape + token[:24]).encode("utf-8", "replace")) % BUCKETS
+        at = _SEEN[token] = zlib.crc32((shape + token[:24]).encode("utf-8", "replace")) % (BUCKETS - 2)
     return at
 
 
 def tokens(text: str) -> np.ndarray:
-    return np.fromiter(map(bucket, _TOKEN.findall(text)), dtype=np.int64)
+    """A text as words; a word that repeats the last one, or the one before it, is a word of its own kind."""
+    ids = np.fromiter(map(bucket, _TOKEN.findall(text)), dtype=np.int64)
+    out = ids.copy()
+    out[2:][ids[2:] == ids[:-2]] = AGAIN_NEAR
+    out[1:][ids[1:] == ids[:-1]] = AGAIN
+    return out
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
