@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import bounded_batches, map_rows
 
 NGRAM = 3
+#: A gram is rare in so few documents, or in one in so many.
+FEW_DOCS, RARE = 8, 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which a passage counts as a leak.
 THRESHOLD = 0.5
 #: Items whose texts one pass holds in each task; more items are taken in blocks of this size.
 BLOCK_BYTES = 32 << 20
 
+#: Counts all documents, among the counts of grams.
+DOCUMENTS = (0, 0)
+
 _WORD = re.compile(r"\w+")
 _P = (np.int64(1_000_003), np.int64(998_244_353))
 
@@ -57,21 +62,22 @@ class Items:
         sizes = sorted({size for size, _ in places})
         self.codes = {s: np.sort(np.array([c for size, c in places if size == s], dtype=np.int64)) for s in sizes}
 
-    def seeds(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Keep, of each item, the grams that no more documents hold than its median one.
+    def seeds(self, frequency: dict[tuple[int, int], int], n_docs: int) -> None:
+        """Keep, of each item, its rare grams: held by few documents, or by no more than its median gram.
 
-        That is at least half of them, however common the item is in the documents, so a passage that has
-        leaked very often is still found; of its grams only the commonest phrases go.
+        So at least half of an item's grams stay, however common the item is in the documents, and a passage
+        that has leaked very often is still found; of its grams only the commonest phrases go.
         """
+        few = max(FEW_DOCS, n_docs // RARE)
         grams = defaultdict(list)
         for gram, found in self.places.items():
             for n, at in found:
                 grams[n].append((frequency.get(gram, 0), gram, at))
         kept: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, own in grams.items():
-            middle = sorted(f for f, _, _ in own)[len(own) // 2]
+            rare = max(few, sorted(f for f, _, _ in own)[len(own) // 2])
             for f, gram, at in own:
-                if f <= middle:
+                if f <= rare:
                     kept[gram].append((n, at))
         self.keep(dict(kept))
 
@@ -170,6 +176,7 @@ def gram_frequency(docs: DataFrame, text_col: str, items: Items) -> dict[tuple[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = spread.value, defaultdict(int)
         for batch in batches:
+            counts[DOCUMENTS] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 for gram in {(size, code) for size, code, _ in own.hits(own.read(text))}:
                     counts[gram] += 1
@@ -183,7 +190,8 @@ def gram_frequency(docs: DataFrame, text_col: str, items: Items) -> dict[tuple[i
 
 def seeded_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
     for items in load_items(benchmark, item_col, item_text, block_bytes):
-        items.seeds(gram_frequency(docs, text_col, items))
+        frequency = gram_frequency(docs, text_col, items)
+        items.seeds(frequency, frequency.get(DOCUMENTS, 0))
         yield items
 
 

@@ -87,7 +87,7 @@ def decide(hashes: DataFrame, min_docs: int) -> DataFrame:
 
 def _pack(positions: pd.Series) -> pd.Series:
     def one(gone: np.ndarray) -> bytes:
-        bits = np.ones(int(max(gone)) + 1, dtype=np.uint8)
+        bits = np.ones((int(max(gone)) // 8 + 1) * 8, dtype=np.uint8)  # whole bytes: lines beyond stay
         bits[np.asarray(gone, dtype=np.int64)] = 0
         return zlib.compress(np.packbits(bits).tobytes(), 6)
 
