@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("finance", "scans", "joining", "windows", "sessions", "texts", "pricing", "streams")
+MODULES = ("finance", "scans", "joining", "windows", "sessions", "texts", "pricing", "streams", "composite")
 
 
 def load() -> None:
