@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_texts
+from gneiss.llm.common import map_texts, store
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's tokenizer cuts text before merging; fixed with the vocabulary.
@@ -99,5 +99,10 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    """What every context limit keeps of all documents."""
-    return context_table(length_histogram(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    """What every context limit keeps of all documents.
+
+    The histogram is read twice, for the spans and for their lengths, so it is written once and the texts are
+    encoded once.
+    """
+    counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return context_table(store(length_histogram(counts), "lengths"))
