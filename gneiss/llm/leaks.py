@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -9,26 +10,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import bounded_batches, map_rows
 
-NGRAM = 3
-#: A gram is rare in so few documents, or in one in so many.
-FEW_DOCS, RARE = 8, 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which a passage counts as a leak.
 THRESHOLD = 0.5
 #: Items whose texts one pass holds in each task; more items are taken in blocks of this size.
 BLOCK_BYTES = 32 << 20
 
-#: Counts all documents, among the counts of grams.
-DOCUMENTS = (0, 0)
-
 _WORD = re.compile(r"\w+")
-_P = (np.int64(1_000_003), np.int64(998_244_353))
 
 
 def words(text: str) -> list[str]:
@@ -37,78 +30,100 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Items:
-    """The test items of one block, as word ids, and the grams that seed a search for them."""
+    """The test items of one block, as word ids, and the words that seed a search for them.
+
+    An alignment that reaches the threshold matches at least that share of an item's words, but it need not
+    hold two of them in a row: longer grams would miss it. So of an item with n words, of which ``need`` must
+    match, the n - need + 1 rarest are its seeds; a passage without any of them lacks too many. Rarity (the
+    number of items that hold a word) only decides which words these are.
+    """
 
     ids: list[int]
     texts: list[str]
+    threshold: float
     vocabulary: dict[str, int] = field(default_factory=dict)
     words: list[np.ndarray] = field(default_factory=list)
-    codes: dict[int, np.ndarray] = field(default_factory=dict)
-    places: dict[tuple[int, int], list[tuple[int, int]]] = field(default_factory=dict)
+    #: Of each item, its distinct words and how often it has them.
+    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Words of an item that must match, and words of a text that an alignment can span.
+    need: list[int] = field(default_factory=list)
+    span: list[int] = field(default_factory=list)
+    seeds: dict[int, list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, text in enumerate(self.texts):
+        for text in self.texts:
             own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], dtype=np.int64)
             self.words.append(own)
-            size = min(NGRAM, len(own))
-            if size:
-                for at, code in enumerate(gram_codes(own, size).tolist()):
-                    places[size, code].append((n, at))
-        self.keep(dict(places))
-
-    def keep(self, places: dict[tuple[int, int], list[tuple[int, int]]]) -> None:
-        self.places = places
-        sizes = sorted({size for size, _ in places})
-        self.codes = {s: np.sort(np.array([c for size, c in places if size == s], dtype=np.int64)) for s in sizes}
-
-    def seeds(self, frequency: dict[tuple[int, int], int], n_docs: int) -> None:
-        """Keep, of each item, its rare grams: held by few documents, or by no more than its median gram.
-
-        So at least half of an item's grams stay, however common the item is in the documents, and a passage
-        that has leaked very often is still found; of its grams only the commonest phrases go.
-        """
-        few = max(FEW_DOCS, n_docs // RARE)
-        grams = defaultdict(list)
-        for gram, found in self.places.items():
-            for n, at in found:
-                grams[n].append((frequency.get(gram, 0), gram, at))
-        kept: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, own in grams.items():
-            rare = max(few, sorted(f for f, _, _ in own)[len(own) // 2])
-            for f, gram, at in own:
-                if f <= rare:
-                    kept[gram].append((n, at))
-        self.keep(dict(kept))
+            self.bags.append(np.unique(own, return_counts=True))
+            share = self.threshold * len(own)
+            self.need.append(max(1, math.ceil(share - 1e-9)))
+            self.span.append(max(1, math.floor((1 + MATCH) * len(own) - MATCH * share + 1e-9)))
+        held = np.zeros(len(self.vocabulary), dtype=np.int64)
+        for distinct, _ in self.bags:
+            held[distinct] += 1
+        seeds: dict[int, list[int]] = defaultdict(list)
+        for n, (distinct, times) in enumerate(self.bags):
+            order = np.argsort(held[distinct], kind="stable")
+            before = np.cumsum(times[order]) - times[order]
+            for word in distinct[order[before <= len(self.words[n]) - self.need[n]]].tolist():
+                seeds[word].append(n)
+        self.seeds = dict(seeds)
 
     def read(self, text: str) -> np.ndarray:
         """Word ids of a text, -1 for words of no item."""
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words(text)], dtype=np.int64)
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(gram size, gram code, position) wherever a text has a gram of the items."""
-        for size, codes in self.codes.items():
-            if len(ids) < size:
-                continue
-            own = gram_codes(ids, size)
-            known = np.flatnonzero(ids[: len(own)] >= 0)
-            for j in range(1, size):
-                known = known[ids[known + j] >= 0]
-            if len(known):
-                at = np.searchsorted(codes, own[known])
-                at[at == len(codes)] = 0
-                for i in known[codes[at] == own[known]].tolist():
-                    yield size, int(own[i]), i
-
-
-def gram_codes(ids: np.ndarray, size: int) -> np.ndarray:
-    n = len(ids) - size + 1
-    code = ids[:n].copy()
-    with np.errstate(over="ignore"):
-        for j in range(1, size):
-            code = code * _P[j - 1] + ids[j : j + n]
-    return code
+    def candidates(self, ids: np.ndarray) -> list[int]:
+        """Items of whose words a text has enough, anywhere, to reach the threshold."""
+        if not hasattr(self, "_times"):  # all 0 between uses, as is its last place, which stands for unknown words
+            self._times = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
+        present, times = np.unique(ids[ids >= 0], return_counts=True)
+        seeds = self.seeds
+        found = sorted({n for word in present.tolist() if word in seeds for n in seeds[word]})
+        if not found:
+            return found
+        self._times[present] = times
+        bags = [self.bags[n] for n in found]
+        held = np.minimum(self._times[np.concatenate([b[0] for b in bags])], np.concatenate([b[1] for b in bags]))
+        self._times[present] = 0
+        starts = np.cumsum([0] + [len(b[0]) for b in bags[:-1]])
+        return [n for n, m in zip(found, np.add.reduceat(held, starts).tolist()) if m >= self.need[n]]
+
+    def places(self, n: int, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, word after the last) of the parts of a text that may hold a passage like item ``n``.
+
+        Two upper bounds on every alignment's score, by the match where it ends: words of the item in a row
+        count as matches and others as mismatches whatever their order; and no more words match than the span
+        of an alignment holds, each as often as the item has it.
+        """
+        distinct, times = self.bags[n]
+        self._times[distinct] = 1
+        at = np.flatnonzero(self._times[ids])
+        self._times[distinct] = 0
+        each = np.arange(len(at)) * (MATCH - MISMATCH) + at * MISMATCH  # matches and mismatches before it
+        ends = each + MATCH - np.minimum.accumulate(each)
+        good = ends >= self.threshold * MATCH * len(self.words[n]) - 1e-9
+        if not good.any():
+            return []
+        span = self.span[n]
+        word = np.searchsorted(distinct, ids[at])
+        order = np.argsort(word, kind="stable")
+        word, sorted_at = word[order], at[order]
+        before = np.full(len(at), -span, dtype=np.int64)  # as many places of the word back as the item has it
+        back = np.arange(len(at)) - times[word]
+        same = (back >= 0) & (word[back] == word)
+        before[same] = sorted_at[back[same]]
+        change = np.zeros(len(ids) + span + 1, dtype=np.int64)
+        np.add.at(change, np.maximum(sorted_at, before + span), 1)
+        np.add.at(change, sorted_at + span, -1)
+        held = np.cumsum(change)[at]
+        last = at[good & (held >= self.need[n])]
+        out: list[tuple[int, int]] = []
+        for part in np.split(last, np.flatnonzero(np.diff(last) >= span) + 1):
+            if len(part):
+                out.append((max(0, int(part[0]) - span + 1), int(part[-1]) + 1))
+        return out
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -127,28 +142,18 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(items: Items, text: str, threshold: float) -> list[tuple[int, float, int, int]]:
+def matches(items: Items, text: str) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, word after the last) of the best passage for each leaked item."""
     ids = items.read(text)
-    found = defaultdict(list)
-    for size, code, pos in items.hits(ids):
-        for n, at in items.places[size, code]:
-            found[n].append(pos - at)
     out = []
-    for n, starts in found.items():
+    for n in items.candidates(ids):
         item = items.words[n]
-        slack = max(4, len(item) // 2)
         best = (0.0, 0, 0)
-        starts.sort()
-        groups = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > slack) + 1)
-        for group in groups:
-            low, high = max(0, int(group[0]) - slack), int(group[-1]) + len(item) + slack
+        for low, high in items.places(n, ids):
             passage = ids[low:high]
-            if MATCH * min(len(item), int((passage >= 0).sum())) < threshold * MATCH * len(item):
-                continue  # too few of its words occur to reach the threshold
             score, end = align(item, passage)
             share = score / (MATCH * len(item))
-            if share >= threshold and share > best[0]:
+            if share >= items.threshold and share > best[0]:
                 _, back = align(item[::-1], passage[:end][::-1])
                 best = (share, low + end - back, low + end)
         if best[0]:
@@ -156,7 +161,7 @@ def matches(items: Items, text: str, threshold: float) -> list[tuple[int, float,
     return out
 
 
-def load_items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
+def load_items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, threshold: float) -> Iterator[Items]:
     """The items in blocks of a checked size, a few at a time on the driver."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -165,34 +170,7 @@ def load_items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: in
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).distinct().collect()
         part.sort(key=lambda r: (r.i is None, r.i or 0, r.t))
         if part:
-            yield Items([r.i for r in part], [r.t for r in part])
-
-
-def gram_frequency(docs: DataFrame, text_col: str, items: Items) -> dict[tuple[int, int], int]:
-    """In how many documents each gram of the items occurs: counted over all texts, bounded by the grams."""
-    bounded_batches(docs.sparkSession)
-    spread = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = spread.value, defaultdict(int)
-        for batch in batches:
-            counts[DOCUMENTS] += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                for gram in {(size, code) for size, code, _ in own.hits(own.read(text))}:
-                    counts[gram] += 1
-        if counts:
-            sizes, codes = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(codes, pa.int64()), pa.array(counts.values(), pa.int64())], names=["size", "code", "n"])
-
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).mapInArrow(run, "size int, code long, n long")
-    return {(r["size"], r["code"]): r["n"] for r in rows.groupBy("size", "code").agg(F.sum("n").alias("n")).collect()}
-
-
-def seeded_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    for items in load_items(benchmark, item_col, item_text, block_bytes):
-        frequency = gram_frequency(docs, text_col, items)
-        items.seeds(frequency, frequency.get(DOCUMENTS, 0))
-        yield items
+            yield Items([r.i for r in part], [r.t for r in part], threshold)
 
 
 def find_leaks(
@@ -208,18 +186,18 @@ def find_leaks(
     """(doc_id, item_id, score, first_word, end_word): every document row that holds a passage like an item.
 
     score is the local alignment's share of an exact copy's (1 means word for word, case and punctuation
-    aside), first_word and end_word the passage in words. Whole texts are searched; an item shorter than a
-    seed is its own seed; items without words match nothing. Null texts hold nothing, repeated rows are
+    aside), first_word and end_word the passage in words. Whole texts are searched, however many documents
+    share a passage; items without words match nothing. Null texts hold nothing, repeated rows are
     reported each, other columns are ignored, and either table may be empty.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     columns = {"doc_id": F.col(id_col).cast("long"), "text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))}
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in seeded_items(docs, benchmark, text_col, item_col, item_text, block_bytes):
+    for items in load_items(benchmark, item_col, item_text, block_bytes, threshold):
         spread = docs.sparkSession.sparkContext.broadcast(items)
 
         def rows(own: Items, doc_id: int, text: str) -> Iterator[tuple]:
-            return ((doc_id, *m) for m in matches(own, text, threshold))
+            return ((doc_id, *m) for m in matches(own, text))
 
         out = out.unionByName(map_rows(docs, columns, rows, schema, lambda spread=spread: spread.value))
     return out
@@ -228,17 +206,17 @@ def find_leaks(
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; one scan, no join."""
     bounded_batches(docs.sparkSession)
-    for items in seeded_items(docs, benchmark, text_col):
-        docs = docs.where(_clean(docs.sparkSession, items, threshold)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    for items in load_items(benchmark, "item_id", "text", BLOCK_BYTES, threshold):
+        docs = docs.where(_clean(docs.sparkSession, items)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return docs
 
 
-def _clean(spark, items: Items, threshold: float):
+def _clean(spark, items: Items):
     """A condition on texts: whether they hold no passage like one of the items."""
     spread = spark.sparkContext.broadcast(items)
 
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not matches(spread.value, t, threshold) for t in texts], dtype=bool)
+        return pd.Series([not matches(spread.value, t) for t in texts], dtype=bool)
 
     return F.pandas_udf(clean, "boolean")
 

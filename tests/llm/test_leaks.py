@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from gneiss.llm import leaks
 
 SCHEMA = "doc_id long, text string, item_id long"
@@ -61,6 +63,31 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     assert sorted(r.doc_id for r in leaks.drop_leaked(d, b).collect()) == list(range(200, 260))
 
 
+@pytest.mark.parametrize("copies", [9, 100, 5000])
+def test_an_edited_copy_in_many_documents_is_found(spark, copies):
+    item = [f"w{i}" for i in range(30)]
+    fourth = [w if i % 4 != 3 else f"x{i}" for i, w in enumerate(item)]
+    docs = [(i, f"own{i} {' '.join(fourth)} end{i}", 0) for i in range(copies)] + [(copies + i, f"clean{i} w1 w2 w3 other{i}", 0) for i in range(20)]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, round(r.score, 9)) for r in leaks.find_leaks(d, b).collect()} == {(i, 0.65) for i in range(copies)}
+    assert sorted(r.doc_id for r in leaks.drop_leaked(d, b).collect()) == list(range(copies, copies + 20))
+
+
+def test_bounds_lose_no_alignment():
+    rng = random.Random(7)
+    item = [f"w{i}" for i in range(30)]
+    third = [w if i % 3 != 2 else "x" for i, w in enumerate(item)]  # no three words in a row are left
+    apart = [x for w in item for x in (w, "x")]  # no two are
+    assert min(plain_score(item, third), plain_score(item, apart)) >= 0.5
+    letters = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    texts = [third, apart, ["y"] * 50 + apart + ["y"] * 50, *([rng.choice("abcdefghijk") for _ in range(rng.randint(1, 60))] for _ in range(60))]
+    for threshold in (0.5, 0.7, 1.0):
+        own = leaks.Items(list(range(61)), [" ".join(t) for t in [item, *letters]], threshold)
+        for text in texts:
+            scores = {n: plain_score(t, text) for n, t in enumerate([item, *letters])}
+            assert {n: s for n, s, _, _ in leaks.matches(own, " ".join(text))} == {n: s for n, s in scores.items() if s >= threshold}
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items = fixture()
     d, b = spark.createDataFrame([(*r, 0) for r in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
