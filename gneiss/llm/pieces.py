@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -18,8 +19,8 @@ from gneiss.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose pieces a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Cuttings (and words without dropout) that a worker remembers; beyond, it starts anew.
+REMEMBERED = 500_000
 #: Longer words are encoded afresh each time.
 SHORT = 32
 NONE = (float("inf"), -1)
@@ -28,6 +29,7 @@ RAW = "\ufffe▁"
 
 _WORD = re.compile(" +[^ ]*")
 _MASK = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
 
 
 def skipped(key: int, piece: int, left: int, threshold: int) -> bool:
@@ -36,22 +38,35 @@ def skipped(key: int, piece: int, left: int, threshold: int) -> bool:
     return (x ^ (x >> 29)) < threshold
 
 
-def agenda_of_list(at: list[str], merges: dict[str, tuple[float, int]], key: int, threshold: int) -> None:
-    """Merge symbols in place, best candidate first, leftmost of equals: the agenda of a short word is a list."""
+def mixed(key, n):
+    """A 64-bit hash of a key and a number, both of Python or arrays of numpy."""
+    x = (key + (n + 1) * _STEP) & _MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
+def agenda_of_list(at: list[str], merges: dict[str, tuple[float, int]], left_out: tuple[int, ...]) -> int:
+    """Merge symbols in place, best candidate first, leftmost of equals: the agenda of a short word is a list.
+
+    Candidates are numbered as they come up, and those in ``left_out`` are skipped; their count is returned.
+    """
     get = merges.get
     agenda = [get(a + b, NONE) for a, b in zip(at, at[1:])]
-    start = list(range(len(at)))  # where in the word each symbol begins
+    n = 0
     while agenda and (best := min(agenda)) is not NONE:
         i = agenda.index(best)
-        if threshold and skipped(key, best[1], start[i], threshold):
+        n += 1
+        if n - 1 in left_out:
             agenda[i] = NONE
             continue
         piece = at[i] = at[i] + at[i + 1]
-        del at[i + 1], start[i + 1], agenda[i]
+        del at[i + 1], agenda[i]
         if i < len(agenda):
             agenda[i] = get(piece + at[i + 1], NONE)
         if i:
             agenda[i - 1] = get(at[i - 1] + piece, NONE)
+    return n
 
 
 def agenda_of_heap(at: list[str], merges: dict[str, tuple[float, int]], key: int, threshold: int) -> list[str]:
@@ -88,8 +103,10 @@ class PieceCoder:
 
     White space becomes a mark that starts each word, and no piece has that mark after another character,
     so words are encoded one by one. Within a word, candidate merges wait in an agenda ordered by piece
-    rank, then position. With ``dropout`` over 0, a candidate is skipped when a hash of the key, its piece
-    and its position falls below that share; it may still merge with other neighbours later. What stays
+    rank, then position. With ``dropout`` over 0, each candidate of each word of a text is skipped with that
+    chance, by a hash of the text's key and the word's place in it, so no two occurrences are bound to be cut
+    alike; its symbols may still merge with other neighbours later. What is remembered of a word is its
+    pieces by the candidates left out, which cuts nothing from the choice. What stays
     unmerged and has no piece is spelled in byte pieces, and so is the mark itself where a text holds it, so
     decoding gives the very text back.
     """
@@ -112,18 +129,22 @@ class PieceCoder:
             elif p.piece in self.ids:
                 self.spelled[i] = p.piece.replace(SPACE, " ").encode()
         self.threshold = int(dropout * (1 << 64))
-        self.known: dict[int, dict[str, bytes]] = {}
-
-    def word(self, word: str, lane: int) -> list[int]:
-        """Ids of one word that starts with its spaces."""
-        key = xxhash.xxh64_intdigest(word, lane & _MASK) if self.threshold else 0
+        #: Turns the log of a uniform number into how many candidates are kept before the next one is skipped.
+        self.scale = 0.0 if dropout >= 1 else 1 / math.log1p(-dropout) if dropout > 0 else -math.inf
+        #: (candidates, ids) of words by the candidates left out, and of words without any left out.
+        self.cut: dict[tuple[str, tuple[int, ...]], tuple[int, bytes]] = {}
+        self.whole: dict[str, tuple[int, bytes]] = {}
+
+    def word(self, word: str, left_out: tuple[int, ...] = (), key: int = 0) -> tuple[int, bytes]:
+        """(candidates, ids) of one word that starts with its spaces; long words skip by ``key``."""
         at = [RAW if c == SPACE else c for c in word] if SPACE in word else list(word)
         for i, c in enumerate(word):
             if c != " ":
                 break
             at[i] = SPACE
+        n = 0
         if len(at) <= SHORT:
-            agenda_of_list(at, self.merges, key, self.threshold)
+            n = agenda_of_list(at, self.merges, left_out)
         else:
             at = agenda_of_heap(at, self.merges, key, self.threshold)
         get, out = self.ids.get, []
@@ -132,24 +153,49 @@ class PieceCoder:
                 out.append(i)
             else:
                 out.extend(self.byte[b] for b in (SPACE if piece == RAW else piece).encode())
-        return out
-
-    def encode(self, text: str, lane: int = 0) -> bytes:
+        return n, struct.pack(f"<{len(out)}i", *out)
+
+    def gaps(self, key: int, n: int, draw: int) -> list[int]:
+        """For each of ``n`` words, how many candidates are kept before the next one is skipped."""
+        at = np.arange(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            x = mixed(np.uint64(mixed(key, draw)), at)
+        return (np.log1p((x >> np.uint64(11)).astype(float) * -(2.0**-53)) * self.scale).astype(np.int64).tolist()
+
+    def dropped(self, word: str, at: int, key: int, gap: int, following: list[int]) -> bytes:
+        """Ids of the word in place ``at`` whose candidate ``gap`` is the first to be left out."""
+        left_out, draw = (gap,), 1
+        while True:
+            if (found := self.cut.get((word, left_out))) is None:
+                if len(self.cut) >= REMEMBERED:
+                    self.cut.clear()
+                found = self.cut[word, left_out] = self.word(word, left_out)
+            more = following[at] if draw == 1 else int(math.log1p((mixed(mixed(key, draw), at) >> 11) * -(2.0**-53)) * self.scale)
+            gap += 1 + more
+            if gap >= found[0]:
+                return found[1]
+            left_out, draw = (*left_out, gap), draw + 1
+
+    def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as little-endian 32-bit integers; an empty text has none."""
         if not text:
             return b""
-        known = self.known.setdefault(lane, {})
-        get, out = known.get, []
-        for word in _WORD.findall(" " + text):
-            ids = get(word)
-            if ids is None:
-                found = self.word(word, lane)
-                ids = struct.pack(f"<{len(found)}i", *found)
-                if len(word) <= SHORT:
-                    if len(known) * len(self.known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
+        key &= _MASK
+        whole, words, out = self.whole, _WORD.findall(" " + text), []
+        some = self.threshold > 0
+        first, second = (self.gaps(key, len(words), draw) if some else [] for draw in (0, 1))
+        for at, word in enumerate(words):
+            if (found := whole.get(word)) is None:
+                if len(word) > SHORT:
+                    out.append(self.word(word, key=mixed(key, at))[1])
+                    continue
+                if len(whole) >= REMEMBERED:
+                    whole.clear()
+                found = whole[word] = self.word(word)
+            if some and first[at] < found[0]:
+                out.append(self.dropped(word, at, key, first[at], second))
+            else:
+                out.append(found[1])
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -168,10 +214,9 @@ def coder(model: bytes, dropout: float) -> PieceCoder:
     return _CODERS[key]
 
 
-def lane_of(doc_id: int | None, seed: int, lanes: int) -> int:
-    """Which of the ``lanes`` ways of skipping merges a document takes, as a hash seed."""
-    at = xxhash.xxh64_intdigest(repr(doc_id), seed) % max(1, lanes)
-    return xxhash.xxh64_intdigest(f"{seed}:{at}")
+def key_of(doc_id: int | None, text: str, seed: int) -> int:
+    """The hash key of a document, whose text tells apart rows without an id or with the same one."""
+    return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(repr(doc_id), seed & _MASK))
 
 
 def encode_documents(
@@ -181,14 +226,13 @@ def encode_documents(
     model_path: str = MODEL,
     dropout: float = 0.1,
     seed: int = 1,
-    lanes: int = 2,
 ) -> DataFrame:
     """(doc_id, ids array<int>, n_pieces, decoded) for every row.
 
-    ``decoded`` is the text read back from ``ids`` alone. Merges are skipped by a hash keyed with ``seed``
-    and the document's lane: the same seed always gives the same ids, another seed (or lane) other
-    segmentations; dropout 0 gives the model's own. The model file is read on the driver and sent along. A
-    null text counts as empty: no ids, decoded empty. Rows whose id is null take one lane; repeated rows stay;
+    ``decoded`` is the text read back from ``ids`` alone. Merges are skipped by a hash keyed with ``seed``,
+    the document and the word's place in it: the same seed always gives the same ids, another seed other
+    segmentations, and a word is cut anew wherever it occurs; dropout 0 gives the model's own. The model file is read on the driver and sent along. A
+    null text counts as empty: no ids, decoded empty. Repeated rows stay and are cut alike;
     other columns are ignored.
     """
     with open(model_path, "rb") as f:
@@ -199,7 +243,7 @@ def encode_documents(
         own = coder(model, dropout)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            ids = [own.encode(t, lane_of(d, seed, lanes)) for d, t in zip(doc_ids, batch.column(1).to_pylist())]
+            ids = [own.encode(t, key_of(d, t, seed)) for d, t in zip(doc_ids, batch.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))

@@ -45,6 +45,24 @@ def test_seeds_vary_and_repeat(model):
     assert 1.05 < share < 2.5
 
 
+def test_every_occurrence_is_cut_anew(spark, model):
+    word = "segmentations"
+    df = spark.createDataFrame([(i if i < 150 else None, f"{word} {i}") for i in range(200)], "doc_id long, text string")
+    got = pieces.encode_documents(df, dropout=0.2).collect()
+    back = pieces.PieceCoder(model)
+    ends = {len(back.encode(str(i))) // 4 for i in range(200)}
+    assert len({tuple(r.ids[: -max(ends) - 2]) for r in got}) > 10  # two lanes gave few ways to begin
+    own = pieces.PieceCoder(model, 0.2)
+    assert len(own.encode(" ".join([word] * 40), 5)) != 40 * len(own.encode(word, 5))
+
+
+def test_each_candidate_is_skipped_by_the_dropout_share(model):
+    own = pieces.PieceCoder(model, 0.1)
+    gaps = own.gaps(3, 100_000, 0)
+    assert abs(sum(g == 0 for g in gaps) / 100_000 - 0.1) < 0.005
+    assert abs(sum(g == 1 for g in gaps) / 100_000 - 0.09) < 0.005
+
+
 def test_documents(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, "no id", 1), (100, None, 1), (0, "", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
