@@ -6,7 +6,6 @@ import hashlib
 import heapq
 import math
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +18,16 @@ from gneiss.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Cuttings (and words without dropout) that a worker remembers; beyond, it starts anew.
+#: Cuttings that a worker remembers; beyond, it starts anew.
 REMEMBERED = 500_000
-#: Longer words are encoded afresh each time.
+#: Longer words have an agenda of their own each time.
 SHORT = 32
-NONE = (float("inf"), -1)
+#: More candidates than a short word can have: each merge brings two new ones at most.
+MOST = 128
 #: Stands for the mark in a text, which no merge may touch.
-RAW = "\ufffe▁"
+RAW = "￾▁"
+#: The rank of a pair that no piece is made of.
+NO_RANK = 1 << 30
 
 _WORD = re.compile(" +[^ ]*")
 _MASK = (1 << 64) - 1
@@ -46,31 +48,8 @@ def mixed(key, n):
     return x ^ (x >> 31)
 
 
-def agenda_of_list(at: list[str], merges: dict[str, tuple[float, int]], left_out: tuple[int, ...]) -> int:
-    """Merge symbols in place, best candidate first, leftmost of equals: the agenda of a short word is a list.
-
-    Candidates are numbered as they come up, and those in ``left_out`` are skipped; their count is returned.
-    """
-    get = merges.get
-    agenda = [get(a + b, NONE) for a, b in zip(at, at[1:])]
-    n = 0
-    while agenda and (best := min(agenda)) is not NONE:
-        i = agenda.index(best)
-        n += 1
-        if n - 1 in left_out:
-            agenda[i] = NONE
-            continue
-        piece = at[i] = at[i] + at[i + 1]
-        del at[i + 1], agenda[i]
-        if i < len(agenda):
-            agenda[i] = get(piece + at[i + 1], NONE)
-        if i:
-            agenda[i - 1] = get(at[i - 1] + piece, NONE)
-    return n
-
-
 def agenda_of_heap(at: list[str], merges: dict[str, tuple[float, int]], key: int, threshold: int) -> list[str]:
-    """The same for long words, whose agenda is a heap over linked symbols."""
+    """Merge one word's symbols, best candidate first, leftmost of equals; the agenda is a heap over linked symbols."""
     n = len(at)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
@@ -98,6 +77,95 @@ def agenda_of_heap(at: list[str], merges: dict[str, tuple[float, int]], key: int
     return [p for p, a in zip(at, alive) if a]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(end, dtype=self.data.dtype)])
+        self.data[self.n : end] = values
+        self.n = end
+
+    def __getitem__(self, at):
+        return self.data[at]
+
+
+class Agendas:
+    """The agendas of many short words at once, over symbols as numbers.
+
+    A symbol is the id of its piece; other characters have numbers of their own, from ``n_ids`` on. ``pairs``
+    are the pairs of symbols that make a piece, sorted, with that piece's rank.
+    """
+
+    def __init__(self, merges: dict[str, tuple[float, int]], ids: dict[str, int], n_ids: int):
+        self.n_ids = n_ids
+        #: The symbol of every code point; a space is the mark, and the mark itself a character without a piece.
+        self.symbols = np.arange(n_ids, n_ids + 0x110000, dtype=np.int32)
+        for text, i in ids.items():
+            if len(text) == 1:
+                self.symbols[ord(text)] = i
+        self.symbols[ord(" ")], self.symbols[ord(SPACE)] = self.symbols[ord(SPACE)], n_ids + ord(SPACE)
+        single = lambda c: ids.get(c, n_ids + ord(c))
+        ranked = sorted(merges, key=merges.get)
+        self.made = np.array([ids[p] for p in ranked], dtype=np.int32)
+        pairs = []
+        for rank, p in enumerate(ranked):
+            for cut in range(1, len(p)):
+                halves = p[:cut], p[cut:]
+                if all(len(h) == 1 or h in merges for h in halves):
+                    left, right = (single(h) if len(h) == 1 else ids[h] for h in halves)
+                    pairs.append((left << 32 | right, rank))
+        pairs = np.array(sorted(pairs) or [(-1, NO_RANK)], dtype=np.int64)
+        self.pairs, self.ranks = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that pairs of symbols make; a negative symbol is none."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (right >= 0), self.ranks[at], NO_RANK).astype(np.int32)
+
+    def run(self, at: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+        """Merge each row of symbols (padded with -1) in place, best candidate first, leftmost of equals.
+
+        Candidates are numbered as they come up; the ones in the row of ``left_out`` are skipped, and their
+        symbols may merge with other neighbours later. Returns how many each row had.
+        """
+        n, width = at.shape
+        seen = np.zeros(n, dtype=np.int32)
+        if width < 2:
+            return seen
+        rank = np.full((n, width), NO_RANK, dtype=np.int32)  # its last column stays empty
+        row, column = np.nonzero(at[:, 1:] >= 0)
+        rank[row, column] = self.rank(at[row, column], at[row, column + 1])
+        rows, columns = np.arange(n), np.arange(width)[None, :]
+        while True:
+            own = rank[rows]
+            best_at = own.argmin(axis=1)
+            best = own[np.arange(len(rows)), best_at]
+            more = best < NO_RANK
+            rows, best_at, best = rows[more], best_at[more], best[more]
+            if not len(rows):
+                return seen
+            skip = (left_out[rows] == seen[rows, None]).any(axis=1)
+            seen[rows] += 1
+            rank[rows[skip], best_at[skip]] = NO_RANK
+            r, p, piece = rows[~skip], best_at[~skip], self.made[best[~skip]]
+            beyond = columns > p[:, None]
+            for table, end in ((at, -1), (rank, NO_RANK)):
+                old = table[r]
+                moved = np.full_like(old, end)
+                moved[:, :-1] = old[:, 1:]
+                table[r] = np.where(beyond, moved, old)
+            at[r, p] = piece
+            rank[r, p] = self.rank(piece, at[r, np.minimum(p + 1, width - 1)])
+            some = p > 0
+            rank[r[some], p[some] - 1] = self.rank(at[r[some], p[some] - 1], piece[some])
+
+
 class PieceCoder:
     """Encodes and decodes with the pieces of a SentencePiece merge model.
 
@@ -120,6 +188,7 @@ class PieceCoder:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         #: Rank and id of every piece that a merge can make.
         self.merges = {p: (-proto.pieces[i].score, i) for p, i in self.ids.items() if len(p) > 1}
+        self.agendas = Agendas(self.merges, self.ids, len(proto.pieces))
         self.byte = [0] * 256
         self.spelled: list[bytes] = [b""] * len(proto.pieces)
         for i, p in enumerate(proto.pieces):
@@ -131,72 +200,128 @@ class PieceCoder:
         self.threshold = int(dropout * (1 << 64))
         #: Turns the log of a uniform number into how many candidates are kept before the next one is skipped.
         self.scale = 0.0 if dropout >= 1 else 1 / math.log1p(-dropout) if dropout > 0 else -math.inf
-        #: (candidates, ids) of words by the candidates left out, and of words without any left out.
-        self.cut: dict[tuple[str, tuple[int, ...]], tuple[int, bytes]] = {}
-        self.whole: dict[str, tuple[int, bytes]] = {}
-
-    def word(self, word: str, left_out: tuple[int, ...] = (), key: int = 0) -> tuple[int, bytes]:
-        """(candidates, ids) of one word that starts with its spaces; long words skip by ``key``."""
-        at = [RAW if c == SPACE else c for c in word] if SPACE in word else list(word)
-        for i, c in enumerate(word):
-            if c != " ":
-                break
-            at[i] = SPACE
-        n = 0
-        if len(at) <= SHORT:
-            n = agenda_of_list(at, self.merges, left_out)
-        else:
-            at = agenda_of_heap(at, self.merges, key, self.threshold)
-        get, out = self.ids.get, []
-        for piece in at:
-            if (i := get(piece)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte[b] for b in (SPACE if piece == RAW else piece).encode())
-        return n, struct.pack(f"<{len(out)}i", *out)
-
-    def gaps(self, key: int, n: int, draw: int) -> list[int]:
-        """For each of ``n`` words, how many candidates are kept before the next one is skipped."""
-        at = np.arange(n, dtype=np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        #: A cutting is a number: of a word without candidates left out, or of a cutting with one more left out.
+        self.whole: dict[str, int] = {}
+        self.cut: dict[int, int] = {}
+        #: Of each cutting its word's symbols, the cutting before and the candidate left out of it (-1 for none),
+        #: how many candidates came up, and its ids; ``letters`` and ``pool`` hold symbols and ids.
+        self.letter_at, self.n_letters, self.parent, self.gap, self.candidates, self.id_at, self.n_ids = (Grown(np.int64) for _ in range(7))
+        self.letters, self.pool = Grown(np.int32), Grown(np.int32)
+
+    def add_words(self, words: list[str]) -> range:
+        """Numbers of the cuttings of short words without candidates left out."""
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        starts = self.letters.n + np.cumsum(sizes) - sizes
+        self.letters.extend(self.agendas.symbols[points])
+        none = np.full(len(words), -1)
+        return self.add(starts, sizes, none, none)
+
+    def add_cuts(self, codes: np.ndarray) -> range:
+        """Numbers of new cuttings, by the number of the one before and the candidate to be left out as well."""
+        parent = codes // MOST
+        return self.add(self.letter_at[parent], self.n_letters[parent], parent, codes % MOST)
+
+    def add(self, starts: np.ndarray, sizes: np.ndarray, parent: np.ndarray, gap: np.ndarray) -> range:
+        first, n = self.letter_at.n, len(starts)
+        candidates, id_at, n_ids = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        for low, high in ((0, 5), (5, 7), (7, 9), (9, 12), (12, 17), (17, SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for part in (rows[i : i + 8192] for i in range(0, len(rows), 8192)):
+                columns = np.arange(sizes[part].max())[None, :]
+                there = columns < sizes[part][:, None]
+                at = np.where(there, self.letters[np.where(there, starts[part][:, None] + columns, 0)], np.int32(-1))
+                gone, before = [gap[part]], parent[part]
+                while (before >= 0).any():
+                    gone.append(np.where(before >= 0, self.gap[before], -1))
+                    before = np.where(before >= 0, self.parent[before], -1)
+                candidates[part] = self.agendas.run(at, np.stack(gone, axis=1))
+                id_at[part], n_ids[part] = self.keep(at)
+        for table, values in zip((self.letter_at, self.n_letters, self.parent, self.gap, self.candidates, self.id_at, self.n_ids), (starts, sizes, parent, gap, candidates, id_at, n_ids)):
+            table.extend(values)
+        return range(first, first + n)
+
+    def keep(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of merged symbols into the pool; (where each row's begin, how many they are)."""
+        row, column = np.nonzero(at >= 0)
+        ids, times = at[row, column], np.ones(len(row), dtype=np.int64)
+        if (other := np.flatnonzero(ids >= self.agendas.n_ids)).size:
+            spelled = [self.bytes_of(chr(c)) for c in (ids[other] - self.agendas.n_ids).tolist()]
+            times[other] = list(map(len, spelled))
+            ids, starts = np.repeat(ids, times), np.cumsum(times) - times
+            for i, own in zip(other.tolist(), spelled):
+                ids[starts[i] : starts[i] + len(own)] = own
+        sizes = np.bincount(row, weights=times, minlength=len(at)).astype(np.int64)
+        starts = self.pool.n + np.cumsum(sizes) - sizes
+        self.pool.extend(ids)
+        return starts, sizes
+
+    def bytes_of(self, symbol: str) -> list[int]:
+        return [self.byte[b] for b in symbol.encode("utf-8", "surrogatepass")]
+
+    def add_long(self, word: str, key: int) -> int:
+        """Number of the cutting of one long word; it isn't asked for again."""
+        at = [RAW if c == SPACE else c for c in word]
+        spaces = len(word) - len(word.lstrip(" "))
+        at[:spaces] = SPACE * spaces
+        ids: list[int] = []
+        for piece in agenda_of_heap(at, self.merges, key, self.threshold):
+            ids.extend((i,) if (i := self.ids.get(piece)) is not None else self.bytes_of(SPACE if piece == RAW else piece))
+        values = (0, 0, -1, -1, 0, self.pool.n, len(ids))
+        self.pool.extend(np.array(ids))
+        for table, value in zip((self.letter_at, self.n_letters, self.parent, self.gap, self.candidates, self.id_at, self.n_ids), values):
+            table.extend(np.array([value]))
+        return self.letter_at.n - 1
+
+    def gaps(self, keys: np.ndarray, places: np.ndarray, draw: int) -> np.ndarray:
+        """For words in these places, how many candidates are kept before the next one is skipped."""
         with np.errstate(over="ignore"):
-            x = mixed(np.uint64(mixed(key, draw)), at)
-        return (np.log1p((x >> np.uint64(11)).astype(float) * -(2.0**-53)) * self.scale).astype(np.int64).tolist()
-
-    def dropped(self, word: str, at: int, key: int, gap: int, following: list[int]) -> bytes:
-        """Ids of the word in place ``at`` whose candidate ``gap`` is the first to be left out."""
-        left_out, draw = (gap,), 1
-        while True:
-            if (found := self.cut.get((word, left_out))) is None:
-                if len(self.cut) >= REMEMBERED:
-                    self.cut.clear()
-                found = self.cut[word, left_out] = self.word(word, left_out)
-            more = following[at] if draw == 1 else int(math.log1p((mixed(mixed(key, draw), at) >> 11) * -(2.0**-53)) * self.scale)
-            gap += 1 + more
-            if gap >= found[0]:
-                return found[1]
-            left_out, draw = (*left_out, gap), draw + 1
+            x = mixed(mixed(keys.astype(np.uint64), np.uint64(draw)), places.astype(np.uint64))
+        return (np.log1p((x >> np.uint64(11)).astype(float) * -(2.0**-53)) * self.scale).astype(np.int64)
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); an empty text has none."""
+        if self.letter_at.n >= REMEMBERED:
+            self.forget()
+        split = [_WORD.findall(" " + t) if t else [] for t in texts]
+        words = [w for ws in split for w in ws]
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        counts = np.array([len(ws) for ws in split])
+        of = np.repeat(np.arange(len(texts)), counts)
+        places = np.arange(len(words)) - (np.cumsum(counts) - counts)[of]
+        keys_of = np.array([k & _MASK for k in keys], dtype=np.uint64)[of]
+        new = [w for w in set(words).difference(self.whole) if len(w) <= SHORT]
+        self.whole.update(zip(new, self.add_words(new)))
+        found = list(map(self.whole.get, words))
+        if None in found:
+            for i, number in enumerate(found):
+                if number is None:
+                    found[i] = self.add_long(words[i], mixed(int(keys_of[i]), int(places[i])))
+        cutting = np.array(found, dtype=np.int64)
+        if self.threshold:
+            gap = self.gaps(keys_of, places, 0)
+            open_ = np.flatnonzero(gap < self.candidates[cutting])
+            draw = 1
+            while len(open_):
+                codes, back = np.unique(cutting[open_] * MOST + gap[open_], return_inverse=True)
+                new = [c for c in codes.tolist() if c not in self.cut]
+                self.cut.update(zip(new, self.add_cuts(np.array(new, dtype=np.int64))))
+                cutting[open_] = np.array([self.cut[c] for c in codes.tolist()])[back]
+                gap[open_] += 1 + self.gaps(keys_of[open_], places[open_], draw)
+                open_ = open_[gap[open_] < self.candidates[cutting[open_]]]
+                draw += 1
+        sizes, starts = self.n_ids[cutting], self.id_at[cutting]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
+        return ids, np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64)
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as little-endian 32-bit integers; an empty text has none."""
-        if not text:
-            return b""
-        key &= _MASK
-        whole, words, out = self.whole, _WORD.findall(" " + text), []
-        some = self.threshold > 0
-        first, second = (self.gaps(key, len(words), draw) if some else [] for draw in (0, 1))
-        for at, word in enumerate(words):
-            if (found := whole.get(word)) is None:
-                if len(word) > SHORT:
-                    out.append(self.word(word, key=mixed(key, at))[1])
-                    continue
-                if len(whole) >= REMEMBERED:
-                    whole.clear()
-                found = whole[word] = self.word(word)
-            if some and first[at] < found[0]:
-                out.append(self.dropped(word, at, key, first[at], second))
-            else:
-                out.append(found[1])
-        return b"".join(out)
+        return self.encode_many([text], [key])[0].astype("<i4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         spelled = self.spelled
@@ -243,12 +368,12 @@ def encode_documents(
         own = coder(model, dropout)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            ids = [own.encode(t, key_of(d, t, seed)) for d, t in zip(doc_ids, batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            texts = batch.column(1).to_pylist()
+            ids, sizes = own.encode_many(texts, [key_of(d, t, seed) for d, t in zip(doc_ids, texts)])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            read = [own.decode(ids[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(sizes), pa.array([own.decode(x) for x in ids], type=pa.string())],
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes), pa.array(read, type=pa.string())],
                 names=["doc_id", "ids", "n_pieces", "decoded"],
             )
 

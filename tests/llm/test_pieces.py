@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -58,9 +59,50 @@ def test_every_occurrence_is_cut_anew(spark, model):
 
 def test_each_candidate_is_skipped_by_the_dropout_share(model):
     own = pieces.PieceCoder(model, 0.1)
-    gaps = own.gaps(3, 100_000, 0)
-    assert abs(sum(g == 0 for g in gaps) / 100_000 - 0.1) < 0.005
-    assert abs(sum(g == 1 for g in gaps) / 100_000 - 0.09) < 0.005
+    gaps = own.gaps(np.full(100_000, 3), np.arange(100_000), 0)
+    assert abs((gaps == 0).mean() - 0.1) < 0.005
+    assert abs((gaps == 1).mean() - 0.09) < 0.005
+
+
+def plain_cutting(own: pieces.PieceCoder, word: str, key: int, place: int) -> list[int]:
+    """One word's agenda by itself, nothing remembered: a list of candidates, each kept or skipped as it comes up."""
+    at = [pieces.SPACE if c == " " else c for c in word]
+    get = lambda draw: int(own.gaps(np.array([key]), np.array([place]), draw)[0])
+    n, draw, skip = 0, 1, get(0)
+    agenda = {i: own.merges.get(a + b) for i, (a, b) in enumerate(zip(at, at[1:]))}
+    while found := [(rank, i) for i, rank in agenda.items() if rank is not None]:
+        _, i = min(found)
+        n += 1
+        if n - 1 == skip:
+            agenda[i], skip, draw = None, skip + 1 + get(draw), draw + 1
+            continue
+        at[i : i + 2] = [at[i] + at[i + 1]]
+        agenda = {j - (j > i): rank for j, rank in agenda.items() if j not in (i, i + 1, i - 1)} | {
+            j: own.merges.get(at[j] + at[j + 1]) for j in (i - 1, i) if 0 <= j < len(at) - 1
+        }
+    out = []
+    for piece in at:
+        out += [own.ids[piece]] if piece in own.ids else [own.byte[b] for b in piece.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_dropout_equals_a_plain_agenda(model, dropout):
+    own = pieces.PieceCoder(model, dropout)
+    rng = random.Random(4)
+    words = ["segmentation", "international", "extraordinarily", "naïve", "中文字", "a", "xqzjw"]
+    for key in range(60):
+        text = " ".join(rng.choices(words, k=12))
+        ids = np.frombuffer(own.encode(text, key), dtype="<i4").tolist()
+        assert ids == [i for place, w in enumerate(text.split(" ")) for i in plain_cutting(own, " " + w, key, place)], text
+
+
+def test_variety_is_that_of_a_plain_agenda(model):
+    own = pieces.PieceCoder(model, 0.1)
+    for word in ("segmentation", "international", "extraordinarily"):
+        plain = {tuple(plain_cutting(own, " " + word, key, 0)) for key in range(1000)}
+        assert {tuple(np.frombuffer(own.encode(word, key), dtype="<i4").tolist()) for key in range(1000)} == plain
+        assert len(plain) > 25
 
 
 def test_documents(spark):
