@@ -7,12 +7,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import as_bytes, components, map_texts, store
+from gneiss.llm.common import as_bytes, components, discard, map_texts, store
 
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 BLOCK = 1 << 15
 #: Buckets with more rows than this take the linear path over whole words.
 HOT_BUCKET = 1024
+#: Fingerprints with more than this share of all rows are looked up without a shuffle.
+HOT_SHARE = 4096
 
 
 def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -41,7 +43,7 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 
 def links(nodes: DataFrame, radius: int = 3, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) between representatives that join exactly the fingerprints within ``radius`` bits.
+    """Edges (a, b) between representatives that give the groups which all links of ``radius`` bits give.
 
     ``nodes`` has distinct (fp, rep). Two words at distance <= 3 differ by at most one bit (half the
     radius, rounded down) in one of their 32-bit halves. So every fingerprint emits, for each half, the half
@@ -81,7 +83,10 @@ def links(nodes: DataFrame, radius: int = 3, hot_bucket: int = HOT_BUCKET) -> Da
     if not hot_keys.isEmpty():
         hot = variants.join(hot_keys, "key", "left_semi").select("fp", "rep").distinct()
         found = found.unionByName(ball_links(hot))
-    return found.distinct()
+    found = store(found.distinct(), "links")
+    discard(variants)
+    discard(sizes)
+    return found
 
 
 def ball_links(nodes: DataFrame) -> DataFrame:
@@ -104,37 +109,27 @@ def ball_links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_copies, n_links) for every row of ``docs``.
+    """(doc_id, fingerprint, component_id, n_copies) for every row of ``docs``.
 
     component_id is the smallest id reachable over links of 3 or fewer differing bits, the document itself
-    included; n_copies counts the rows with its very fingerprint, n_links the other representatives linked
-    to that fingerprint. Null, empty and blank texts have fingerprint 0 and link like any other; repeated
-    rows stay repeated; a row whose id is null takes part and gets the component of its fingerprint. Other
-    columns are ignored; an empty table gives an empty result.
+    included; n_copies counts the rows with its very fingerprint. Null, empty and blank texts have
+    fingerprint 0 and link like any other; repeated rows stay repeated; a row whose id is null takes part and
+    gets the component of its fingerprint. Other columns are ignored; an empty table gives an empty result.
     """
     fps = store(fingerprints(docs, id_col, text_col, width), "fps")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    known = nodes.where("rep IS NOT NULL").select("fp", "rep")
-    edges = store(links(known), "links")
-    roots = components(edges)
-    degree = (
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        .groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
-    )
-    linked = roots.withColumnRenamed("node", "rep").join(degree, "rep", "left")
-    groups = nodes.join(linked, "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    edges = links(nodes.where("rep IS NOT NULL").select("fp", "rep"))
+    roots = components(edges).withColumnRenamed("node", "rep")
+    groups = nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n_copies")
+    groups = store(groups, "groups")
+    discard(edges)
+    # a fingerprint of more than one in HOT_SHARE rows, of which there are at most as many, is sent to all tasks
+    hot = groups.where(F.col("n_copies") > max(1000, fps.count() // HOT_SHARE))
+    dealt = fps.join(F.broadcast(hot), "fp", "left")
+    own = dealt.where("n_copies IS NOT NULL").unionByName(
+        dealt.where("n_copies IS NULL").select("doc_id", "fp").join(groups.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).drop("_fp")
     )
-    return fps.join(groups, "fp", "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies", "n_links"
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group has one with a smaller id; rows whose id is null stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return own.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from gneiss.llm import leaks, lines, quality, simhash
+from gneiss.llm import leaks, lines, quality, similar
 from tests.llm.test_lines import plain as plain_lines
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_groups
 
 
 def test_every_stage_on_what_the_one_before_kept(spark, sf):
@@ -27,8 +27,7 @@ def test_every_stage_on_what_the_one_before_kept(spark, sf):
     got = {d: hashlib.sha256(r.text.encode()).hexdigest() for d, r in out["line_dedup"].items()}
     assert got == {d: v[2] for d, v in expected.items()}
     assert all(r.n_chars == len(r.text) for r in out["line_dedup"].values())
-    fps = {d: plain_fingerprint(r.text) for d, r in out["line_dedup"].items()}
-    assert set(out["near_dedup"]) == set(plain_components(fps).values())
+    assert set(out["near_dedup"]) == set(plain_groups([(d, r.text) for d, r in out["line_dedup"].items()]).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaked = {d for d, r in out["near_dedup"].items() if any(" ".join(leaks.words(t)) in " ".join(leaks.words(r.text)) for _, t in items)}
     assert not leaked & set(out["decontaminate"]) and len(out["near_dedup"]) - len(leaked) == len(out["decontaminate"])
@@ -43,4 +42,4 @@ def test_run_gives_the_last_stage(spark, sf):
 
 def test_stages_call_the_operators():
     assert [name for name, _ in pipeline.STAGES] == ["quality_filter", "line_dedup", "near_dedup", "decontaminate", "encode"]
-    assert all((simhash, lines))
+    assert all((similar, lines))
