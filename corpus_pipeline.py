@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import leaks, lines, pieces, quality, simhash
+from gneiss.llm import leaks, lines, pieces, quality, similar
 from gneiss.llm.common import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs).select(COLUMNS)
+    """One document, that with the smallest id, of each group that shares 0.8 of its five-word shingles."""
+    return similar.drop_near_duplicates(docs).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
