@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +16,14 @@ from gneiss.llm.common import map_texts, remainder
 #: What the dictionaries are fitted on: so many documents of each language at most, chosen by a hash of
 #: their id, and so many bytes of their text. Everything else covers all documents.
 SAMPLE_DOCS, DICTIONARY_BYTES = 200, 48 << 10
+#: A table with more languages is refused: every text is compressed once for each.
+MAX_LANGUAGES = 500
 #: Texts are compressed in blocks of so many bytes, so that a long text keeps being compared with the
 #: dictionaries and not with its own beginning.
 BLOCK, LEVEL = 4096, 6
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -30,14 +33,15 @@ def normal(text: str) -> bytes:
 
 
 def sample_ids(docs: DataFrame, learn, id_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(id, lang) of at most ``per_language`` documents of each language, smallest hash of id first.
+    """(id, lang, n) of at most ``per_language`` documents of each language, smallest hash of id first, and how many they are.
 
     Only ids, languages and hashes move; the limit is applied before the shuffle too, so a language with
     most documents makes no hot task.
     """
     rank = Window.partitionBy("lang").orderBy("h", "id")
     rows = docs.where(learn).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    return rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).select("id", "lang")
+    chosen = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language).select("id", "lang").distinct()
+    return chosen.withColumn("n", F.count("*").over(Window.partitionBy("lang")))
 
 
 def fit(
@@ -51,17 +55,24 @@ def fit(
 ) -> list[tuple[str, bytes]]:
     """[(language, dictionary)], the commonest language first.
 
-    ``learn`` is the condition on rows that may be learned from. Texts of the sample are gathered on the
-    driver: languages x ``sample_docs`` texts, each cut to its share of the dictionary.
+    ``learn`` is the condition on rows that may be learned from. The sample is gathered on the driver:
+    languages x ``sample_docs`` documents, of each a stretch of its text that is four times its share of its
+    language's dictionary, from a place given by a hash of its id. Of rows that share an id and a language the largest
+    stretch counts. More than ``MAX_LANGUAGES`` languages are an error.
     """
     learn = learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
-    known = docs.where(learn).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
-    chosen = sample_ids(docs, learn, id_col, lang_col, sample_docs)
-    share = max(256, dictionary_bytes * 4 // sample_docs)
+    known = docs.where(learn).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    chosen = sample_ids(docs, learn, id_col, lang_col, sample_docs).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("n").alias("_n"))
+    share = F.greatest(F.lit(256), F.floor(F.lit(dictionary_bytes * 4) / F.col("_n"))).cast("int")
+    n_chars, key = F.char_length(F.col(text_col)), F.xxhash64(F.col(id_col).cast("long"), F.lit(1))
+    begin = F.pmod(key, F.greatest(n_chars - share, F.lit(0)) + 1).cast("int") + 1
     texts = (
         docs.where(learn)
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.substring(text_col, 1, share).alias("text"))
-        .join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+        .join(F.broadcast(chosen), (F.col(id_col).cast("long") == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
+        .groupBy(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"))
+        .agg(F.max(F.substr(F.col(text_col), begin, share)).alias("text"))
         .collect()
     )
     # lines that several documents share (notices, boilerplate) belong to no language

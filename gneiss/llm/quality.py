@@ -24,6 +24,8 @@ SAMPLE_DOCS = 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n|_+")
+#: Longer words are hashed each time, so that what is remembered stays small.
+LONGEST_SEEN = 40
 _SEEN: dict[str, int] = {}
 
 
@@ -34,13 +36,19 @@ def bucket(token: str) -> int:
         if len(_SEEN) > 400_000:
             _SEEN.clear()
         shape = "U" if len(token) > 1 and token.isupper() else ""
-        at = _SEEN[token] = zlib.crc32((shape + token[:24]).encode("utf-8", "replace")) % (BUCKETS - 2)
+        at = zlib.crc32((shape + token).encode("utf-8", "replace")) % (BUCKETS - 2)
+        if len(token) <= LONGEST_SEEN:
+            _SEEN[token] = at
     return at
 
 
 def tokens(text: str) -> np.ndarray:
     """A text as words; a word that repeats the last one, or the one before it, is a word of its own kind."""
-    ids = np.fromiter(map(bucket, _TOKEN.findall(text)), dtype=np.int64)
+    words = _TOKEN.findall(text)
+    found = list(map(_SEEN.get, words))
+    if None in found:
+        found = list(map(bucket, words))
+    ids = np.array(found, dtype=np.int64)
     out = ids.copy()
     out[2:][ids[2:] == ids[:-2]] = AGAIN_NEAR
     out[1:][ids[1:] == ids[:-1]] = AGAIN
@@ -180,10 +188,10 @@ class Model:
     network: Network | None
     prior: float = 0.5
 
-    def scores(self, text: str | None) -> float:
-        if self.network is None:
-            return self.prior
-        return float(self.network.probability(pooled(text or "", self.vectors)[None])[0])
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.network is None or not texts:
+            return np.full(len(texts), self.prior)
+        return self.network.probability(np.stack([pooled(t or "", self.vectors) for t in texts]))
 
 
 def fit(
@@ -191,8 +199,9 @@ def fit(
 ) -> Model:
     """Word vectors from all documents; the network from a bounded sample of labelled rows that ``learn`` allows.
 
-    A document with several labels counts with its largest; null labels are ignored. Without rows of both
-    labels the score is the share of label 1 (a half without any).
+    A document with several labels counts with its largest, rows that share an id count once (with the least
+    features); null labels are ignored. Without rows of both labels the score is the share of label 1 (a half
+    without any).
     """
     vectors = word_vectors(docs, text_col)
     truth = labels.where(F.col(label_col).isNotNull() & learn).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -205,7 +214,8 @@ def fit(
         lambda v, i, y, t: (i, y, pooled(t, v).tolist()),
         "id long, y int, x array<double>",
         lambda: spread.value,
-    ).collect()
+    )
+    rows = rows.groupBy("id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r.id, r.x))
     y = np.array([r.y for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -220,13 +230,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     are scored like any other; other columns are ignored.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
-    def row(own: Model, doc_id: int, text: str | None) -> tuple:
-        p = own.scores(text)
-        return doc_id, p, int(p >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = spread.value.scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    columns = {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}
-    return map_texts(docs, columns, row, "doc_id long, score double, predicted int", lambda: spread.value)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
@@ -240,7 +252,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(texts: pd.Series) -> pd.Series:
-        return pd.Series([spread.value.scores(t) >= threshold for t in texts], dtype=bool)
+        return pd.Series(spread.value.scores(texts.tolist()) >= threshold)
 
     bounded_batches(docs.sparkSession)
     return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("string")))

@@ -59,3 +59,39 @@ def test_word_vectors_do_not_depend_on_partitions(spark):
     docs, _ = corpus(60)
     d = spark.createDataFrame(docs, SCHEMA)
     assert np.array_equal(quality.word_vectors(d.repartition(1)), quality.word_vectors(d.repartition(7)))
+
+
+def test_word_vectors_and_scores_match_plain_loops(spark):
+    docs, labels = corpus(60)
+    docs.append((60, "Antidisestablishmentarianism antidisestablishmentarianist " * 3, ""))
+    d, y = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")
+    places, signs = quality.index_vectors()
+    total = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for _, text, _ in docs:
+        ids = quality.tokens(text).tolist()
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    total[a, places[ids[j]]] += signs[ids[j]]
+    plain = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.word_vectors(d), plain, atol=1e-6)
+    model = quality.fit(d, y, F.lit(True))
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    net = model.network
+    for i, text, _ in docs:
+        ids = quality.tokens(text).tolist()
+        x = [*np.mean([model.vectors[t].astype(float) for t in ids], axis=0), np.log1p(len(ids)) / 10, np.log1p(len(set(ids))) / 10]
+        hidden = [max(0.0, float(np.dot((np.array(x) - net.mean) / net.scale, net.w1[:, k]) + net.b1[k])) for k in range(quality.HIDDEN)]
+        logit = (float(np.dot(hidden, net.w2)) + net.b2) / net.temperature
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_long_words_count_whole():
+    assert quality.bucket("x" * 30 + "a") != quality.bucket("x" * 30 + "b")
+
+
+def test_an_id_in_very_many_rows_is_learned_once(spark):
+    docs, labels = corpus(60)
+    d = spark.createDataFrame(docs + [(3, f"again {i}", "") for i in range(2000)], SCHEMA)
+    model = quality.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+    assert model.network is not None
