@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,8 +16,9 @@ from gneiss.llm.common import bounded_batches, map_rows
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which a passage counts as a leak.
 THRESHOLD = 0.5
-#: Items whose texts one pass holds in each task; more items are taken in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: One pass over the documents holds items of so many bytes of text in each task, and no more than ``MOST_BYTES``
+#: in all that is made of them; more items are taken in blocks.
+BLOCK_BYTES, MOST_BYTES = 8 << 20, 256 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -28,6 +27,19 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(all parts in a row, where each begins and the last ends)."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)).astype(np.int32), ends
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places from each start to before its end, one range after the other."""
+    sizes = ends - starts
+    upto = np.cumsum(sizes)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)
+
+
 @dataclass
 class Items:
     """The test items of one block, as word ids, and the words that seed a search for them.
@@ -39,35 +51,46 @@ class Items:
     """
 
     ids: list[int]
-    texts: list[str]
+    texts: InitVar[list[str]]
     threshold: float
     vocabulary: dict[str, int] = field(default_factory=dict)
-    words: list[np.ndarray] = field(default_factory=list)
-    #: Of each item, its distinct words and how often it has them.
-    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    #: Words of an item that must match, and words of a text that an alignment can span.
-    need: list[int] = field(default_factory=list)
-    span: list[int] = field(default_factory=list)
-    seeds: dict[int, list[int]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for text in self.texts:
-            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], dtype=np.int64)
-            self.words.append(own)
-            self.bags.append(np.unique(own, return_counts=True))
-            share = self.threshold * len(own)
-            self.need.append(max(1, math.ceil(share - 1e-9)))
-            self.span.append(max(1, math.floor((1 + MATCH) * len(own) - MATCH * share + 1e-9)))
-        held = np.zeros(len(self.vocabulary), dtype=np.int64)
-        for distinct, _ in self.bags:
-            held[distinct] += 1
-        seeds: dict[int, list[int]] = defaultdict(list)
-        for n, (distinct, times) in enumerate(self.bags):
+
+    def __post_init__(self, texts: list[str]) -> None:
+        number = self.vocabulary.setdefault
+        own = [np.array([number(w, len(self.vocabulary)) for w in words(t)], dtype=np.int32) for t in texts]
+        sizes = np.array([len(w) for w in own], dtype=np.int64)
+        #: Words of all items one after the other, and where each item's begin.
+        self.all_words, self.word_at = _joined(own)
+        bags = [np.unique(w, return_counts=True) for w in own]
+        #: Of each item, its distinct words and how often it has them.
+        self.bag_words, self.bag_at = _joined([b[0] for b in bags])
+        self.bag_times, _ = _joined([b[1].astype(np.int32) for b in bags])
+        share = self.threshold * sizes
+        #: Words of an item that must match, and words of a text that an alignment can span.
+        self.need = np.maximum(1, np.ceil(share - 1e-9)).astype(np.int64)
+        self.span = np.maximum(1, np.floor((1 + MATCH) * sizes - MATCH * share + 1e-9)).astype(np.int64)
+        held = np.bincount(self.bag_words, minlength=len(self.vocabulary))
+        seeds = []
+        for n, (distinct, times) in enumerate(bags):
             order = np.argsort(held[distinct], kind="stable")
             before = np.cumsum(times[order]) - times[order]
-            for word in distinct[order[before <= len(self.words[n]) - self.need[n]]].tolist():
-                seeds[word].append(n)
-        self.seeds = dict(seeds)
+            seeds.append(distinct[order[before <= sizes[n] - self.need[n]]])
+        flat, at = _joined(seeds)
+        item = np.repeat(np.arange(len(seeds), dtype=np.int32), np.diff(at))
+        #: The items that each word is a seed of, and where each word's begin.
+        self.seed_items = item[np.argsort(flat, kind="stable")]
+        self.seed_at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.vocabulary)))]).astype(np.int64)
+
+    def words(self, n: int) -> np.ndarray:
+        return self.all_words[self.word_at[n] : self.word_at[n + 1]]
+
+    def bag(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.bag_at[n], self.bag_at[n + 1])
+        return self.bag_words[part], self.bag_times[part]
+
+    def n_bytes(self) -> int:
+        """Bytes of the arrays, and of the vocabulary at 120 for a word besides its letters."""
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray)) + sum(120 + 4 * len(w) for w in self.vocabulary) + 40 * len(self.ids)
 
     def read(self, text: str) -> np.ndarray:
         """Word ids of a text, -1 for words of no item."""
@@ -79,16 +102,15 @@ class Items:
         if not hasattr(self, "_times"):  # all 0 between uses, as is its last place, which stands for unknown words
             self._times = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
         present, times = np.unique(ids[ids >= 0], return_counts=True)
-        seeds = self.seeds
-        found = sorted({n for word in present.tolist() if word in seeds for n in seeds[word]})
-        if not found:
-            return found
+        found = np.unique(self.seed_items[_ranges(self.seed_at[present], self.seed_at[present + 1])])
+        if not len(found):
+            return []
         self._times[present] = times
-        bags = [self.bags[n] for n in found]
-        held = np.minimum(self._times[np.concatenate([b[0] for b in bags])], np.concatenate([b[1] for b in bags]))
+        at = _ranges(self.bag_at[found], self.bag_at[found + 1])
+        held = np.minimum(self._times[self.bag_words[at]], self.bag_times[at])
         self._times[present] = 0
-        starts = np.cumsum([0] + [len(b[0]) for b in bags[:-1]])
-        return [n for n, m in zip(found, np.add.reduceat(held, starts).tolist()) if m >= self.need[n]]
+        sizes = self.bag_at[found + 1] - self.bag_at[found]
+        return found[np.add.reduceat(held, np.cumsum(sizes) - sizes) >= self.need[found]].tolist()
 
     def places(self, n: int, ids: np.ndarray) -> list[tuple[int, int]]:
         """(first word, word after the last) of the parts of a text that may hold a passage like item ``n``.
@@ -97,16 +119,16 @@ class Items:
         count as matches and others as mismatches whatever their order; and no more words match than the span
         of an alignment holds, each as often as the item has it.
         """
-        distinct, times = self.bags[n]
+        distinct, times = self.bag(n)
         self._times[distinct] = 1
         at = np.flatnonzero(self._times[ids])
         self._times[distinct] = 0
         each = np.arange(len(at)) * (MATCH - MISMATCH) + at * MISMATCH  # matches and mismatches before it
         ends = each + MATCH - np.minimum.accumulate(each)
-        good = ends >= self.threshold * MATCH * len(self.words[n]) - 1e-9
+        good = ends >= self.threshold * MATCH * len(self.words(n)) - 1e-9
         if not good.any():
             return []
-        span = self.span[n]
+        span = int(self.span[n])
         word = np.searchsorted(distinct, ids[at])
         order = np.argsort(word, kind="stable")
         word, sorted_at = word[order], at[order]
@@ -147,7 +169,7 @@ def matches(items: Items, text: str) -> list[tuple[int, float, int, int]]:
     ids = items.read(text)
     out = []
     for n in items.candidates(ids):
-        item = items.words[n]
+        item = items.words(n)
         best = (0.0, 0, 0)
         for low, high in items.places(n, ids):
             passage = ids[low:high]
@@ -162,15 +184,24 @@ def matches(items: Items, text: str) -> list[tuple[int, float, int, int]]:
 
 
 def load_items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, threshold: float) -> Iterator[Items]:
-    """The items in blocks of a checked size, a few at a time on the driver."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    """The items in blocks of a checked size, one at a time on the driver.
+
+    A block has about ``block_bytes`` of text, by a hash of the item, and is cut in halves for as long as what
+    is made of it would have more than ``MOST_BYTES``.
+    """
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = size // block_bytes + 1
     for block in range(n_blocks):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).distinct().collect()
-        part.sort(key=lambda r: (r.i is None, r.i or 0, r.t))
-        if part:
-            yield Items([r.i for r in part], [r.t for r in part], threshold)
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()
+        todo = [sorted(part, key=lambda r: (r.i is None, r.i or 0, r.t))]
+        while todo:
+            if part := todo.pop():
+                items = Items([r.i for r in part], [r.t for r in part], threshold)
+                if len(part) > 1 and items.n_bytes() > MOST_BYTES:
+                    todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+                else:
+                    yield items
 
 
 def find_leaks(

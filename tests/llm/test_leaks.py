@@ -95,6 +95,36 @@ def test_blocks_of_items_give_the_same(spark):
     assert rows(block_bytes=600) == rows()
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.2, 0.3])
+def test_recall_of_edited_copies(spark, rate):
+    """Each word of a copy is dropped, changed or doubled at a rate; every copy that scores enough is found."""
+    rng = random.Random(int(rate * 100))
+    _, items = fixture()
+    items = items[:15]
+    docs, expected, planted = [], set(), 60
+    for d in range(planted):
+        i, text = rng.choice(items)
+        copy = [x for w in text.split() for x in (rng.choice([[], ["changed"], [w, w]]) if rng.random() < rate else [w])]
+        body = [f"z{rng.randint(0, 99)}" for _ in range(80)]
+        docs.append((d, " ".join(body[:40] + copy + body[40:]), 0))
+        if plain_score(leaks.words(text), leaks.words(docs[-1][1])) >= leaks.THRESHOLD:
+            expected.add((d, i))
+    found = leaks.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert expected <= {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(expected) >= (planted if rate <= 0.2 else 0.8 * planted)
+
+
+def test_an_item_of_one_repeated_word_and_a_bounded_block(spark, monkeypatch):
+    items = [(1, "ha " * 400), (2, "one two three four five"), (3, "one two three four six")]
+    docs = [(1, "ha " * 30_000, 0), (2, "ha ha", 0), (3, "so one two three four five", 0)]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in leaks.find_leaks(d, b).collect())
+    whole = rows()
+    assert whole == [(1, 1, 1.0), (3, 2, 1.0), (3, 3, 0.8)]
+    monkeypatch.setattr(leaks, "MOST_BYTES", 100)
+    assert rows() == whole
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     d, b = spark.createDataFrame([(*r, 0) for r in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
