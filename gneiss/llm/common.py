@@ -17,9 +17,15 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in on a local master; on a cluster, whose executors could
+    not see it, it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import arrow_schema, as_batch, as_bytes, bounded_batches, map_rows, store
+from gneiss.llm.common import arrow_schema, as_batch, as_bytes, bounded_batches, discard, map_rows, store
 
 BLANKS = b" \t\n\x0b\x0c\r"
 DECIDED = "kind int, h1 long, h2 long, doc_id long, version long, pos int, n_docs long"
@@ -108,6 +108,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hashes = store(map_rows(rows, columns, hashed, "h1 long, h2 long, doc_id long, version long, pos int"), "lines")
     decided = store(decide(hashes, min_docs), "decided")
+    discard(hashes)
     # at most two hashes for each task of the step above
     open_runs = F.broadcast(
         decided.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.sum("n_docs").alias("total")).where(F.col("total") >= min_docs)

@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that join the candidates which are alike, in the same groups as all such pairs would.
+    """Links (a, b) that join the candidates which are alike, into the groups that all such pairs would give.
 
     First each node meets the first node of each of its variants and the one before it: two pairs for a
     variant, however many nodes it has. Then every variant whose nodes are not all in one group yet gives
@@ -172,7 +172,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     pairs = balls.select(F.col("center").alias("a"), F.col("rep").alias("b")).union(balls.select("prev", "rep")).where("a < b").distinct()
     pairs = store(pairs, "pairs")
     first = confirmed(pairs, nodes, docs, id_col, text_col, similarity)
-    roots = components(first)
+    roots = store(components(first), "roots")
     open_ = balls.where("many").select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     open_ = store(open_.select("key", "rep", F.coalesce("root", "rep").alias("root")), "open")
     parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
@@ -182,8 +182,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = store(more, "pairs")
     second = confirmed(more, nodes, docs, id_col, text_col, similarity)
-    out = store(first.unionByName(second), "links")
-    for table in (balls, pairs, first, open_, more, second):
+    known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    out = store(known.unionByName(second), "links")
+    for table in (balls, pairs, first, roots, open_, more, second):
         discard(table)
     return out
 
