@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import leaks, lines, pieces, quality, similar
-from gneiss.llm.common import store
+from gneiss.llm.common import discard, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)  # the copy after it holds all that is left
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
