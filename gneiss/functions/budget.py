@@ -55,6 +55,13 @@ def bake_markup(unit_price: Column, quantity: Column, parts: Column, factor: Col
     return F.struct(unit_price.alias("unit_price_raw"), unit.alias("unit_price"), F.round(unit * quantity, 2).alias("total_price"), baked.alias("parts"))
 
 
+def force_scale(unit_price: Column, parts: Column, least: float = 1e-4) -> Column:
+    """Components scaled so that they sum up to a unit price, each rounded; unchanged where the change is below ``least``."""
+    k = F.try_divide(unit_price, total_of(parts))
+    scaled = F.transform(parts, lambda p: p.withField("total", F.round(p["total"] * k, 2)).withField("price", F.round(p["price"] * k, 2)))
+    return F.when(F.abs(1 - k) >= least, scaled).otherwise(parts)
+
+
 def reconcile(unit_price: Column, parts: Column, tolerance: float = 0.02) -> Column:
     """Struct (parts, needs_review, divergence_pct, divergence_amount) of components against a unit price.
 

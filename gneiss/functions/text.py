@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,12 +96,78 @@ def digit_ratio(text: Column) -> Column:
     return F.when(n > 0, F.length(F.regexp_replace(text, "[^0-9]", "")) / n).otherwise(F.lit(0.0))
 
 
+#: Patterns of prompt injection, matched in any case.
+INJECTIONS = (
+    r"ignore (all |the )?(previous|above|prior) (instructions|prompts?|rules)",
+    r"disregard (all |the )?(previous|above|prior)",
+    r"you are now\b",
+    r"act as (?:a |an )?(?:dan|developer|admin|root)",
+    r"system\s*:",
+    r"<\s*\/?\s*sys(?:tem)?\s*>",
+    r"<\|im_(?:start|end)\|>",
+    r"jailbreak",
+    r"reveal (?:your )?(?:system )?prompt",
+    r"tu prompt del sistema",
+    r"olvida (?:todo lo |las )?(?:anterior|instrucciones)",
+    r"ign[oó]ralo todo",
+)
+
+
 def sanitize(text: Column, limit: int = 5000) -> Column:
-    """Control characters to spaces, zero-width ones removed, trimmed and cut."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), r"[\u200B-\u200D\uFEFF]", "")
+    """Control characters to spaces, zero-width and direction marks removed, trimmed and cut."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " "), r"[\u200B-\u200F\u202A-\u202E\uFEFF]", "")
     return F.substring(F.trim(plain), 1, limit)
 
 
+def injections(text: Column) -> Column:
+    """The patterns of ``INJECTIONS`` that a text matches."""
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), F.lit(p)) for p in INJECTIONS)))
+
+
+def fill_template(template: Column, values: dict[str, Column]) -> Column:
+    """``{{name}}`` replaced by its value wherever it stands, names in the order given; a null value is empty."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def wrap_array(raw: Column, field: str) -> Column:
+    """A JSON text that is a bare array as an object with it as its only field; any other text unchanged."""
+    return F.when(F.startswith(raw, F.lit("[")) & F.endswith(raw, F.lit("]")), F.concat(F.lit(f'{{"{field}": '), raw, F.lit("}"))).otherwise(raw)
+
+
+def _whole_objects(raw: str | None) -> tuple[int, str | None]:
+    """(number of whole objects in the first array field, JSON of that field with these alone)."""
+    head = re.search(r'"([^"]+)"\s*:\s*\[', raw) if raw and raw.lstrip().startswith("{") else None
+    if not head:
+        return 0, None
+    depth, n, end = 0, 0, None
+    for mark in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\]]', raw[head.end() :], re.S):
+        if mark[0] == "{":
+            depth += 1
+        elif mark[0] == "}":
+            depth -= 1
+            if depth == 0:
+                n, end = n + 1, head.end() + mark.end()
+        elif mark[0] == "]" and depth == 0:
+            break
+    fixed = f'{{"{head[1]}": [{raw[head.end() : end]}]}}' if n else None
+    try:
+        json.loads(fixed or "")
+    except ValueError:
+        return 0, None
+    return n, fixed
+
+
+def salvage_json(raw: Column) -> Column:
+    """(n_items, fixed) of a JSON object that was cut off within its array field: the items that are whole."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_whole_objects(t) for t in texts], columns=["n_items", "fixed"])
+
+    return F.pandas_udf(run, "n_items int, fixed string")(raw)
+
+
 def cut(text: Column, limit: int = 4000) -> Column:
     """Texts over the limit end in an ellipsis."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("…"))).otherwise(text)

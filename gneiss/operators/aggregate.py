@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.sources.scratch import scratch_path
+
 
 def sum_where(value: Column | str, condition: Column) -> Column:
     """Sum of the rows that meet a condition, 0 for none."""
@@ -31,13 +33,34 @@ def share_of_total(df: DataFrame, value: str, alias: str) -> DataFrame:
     return df.crossJoin(F.broadcast(whole)).withColumn(alias, ratio(F.col(value) * 100, F.col("_whole"))).drop("_whole")
 
 
-def lower_percentile(df: DataFrame, value: str, share: float, alias: str, *keys: str) -> DataFrame:
-    """The value at index floor(share * (n - 1)) in ascending order, without interpolation."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(order) - 1)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    joined = ranked.join(counts, list(keys)) if keys else ranked.crossJoin(F.broadcast(counts))
-    return joined.where(F.col("_r") == F.floor(F.lit(share) * (F.col("_n") - 1))).select(*keys, F.col(value).alias(alias))
+def positions(df: DataFrame, *order: Column | str, alias: str = "position") -> DataFrame:
+    """Rows with their place in the order of the whole table, from 0, without a one-task window.
+
+    Rows are sorted by ranges and written once; a range's first place is the sum of the sizes of those before.
+    """
+    path = scratch_path(df.sparkSession, "ordered")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "_range").withColumn(alias, place).drop("_range", "_id", "_start")
+
+
+def percentiles(df: DataFrame, value: str, **shares: tuple[str, float]) -> DataFrame:
+    """One row with an exact percentile for each name: ("middle", q) interpolates, ("lower", q) takes the value below.
+
+    Values that are null count for nothing; without any, percentiles are null.
+    """
+    placed = positions(df.where(F.col(value).isNotNull()).select(value), value)
+    n = placed.count()
+    wanted = {name: ((n - 1) * q if how == "middle" else (n - 1) * q // 1) for name, (how, q) in shares.items()}
+    places = sorted({int(x) + i for x in wanted.values() for i in (0, 1)})
+    found = placed.where(F.col("position").isin(*places)).agg(*(F.max(F.when(F.col("position") == p, F.col(value))).alias(f"_{p}") for p in places))
+    low = lambda x: F.col(f"_{int(x)}")
+    return found.select(*(F.when(F.lit(x == int(x)), low(x)).otherwise(low(x) + (F.col(f"_{int(x) + 1}") - low(x)) * (x - int(x))).alias(name) for name, x in wanted.items()))
 
 
 def provider_spend(expenses: DataFrame) -> DataFrame:

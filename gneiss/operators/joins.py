@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: A side of so many bytes at most, by the plan's statistics after counting, may be broadcast.
-SMALL_ROWS = 100_000
+#: The queries that one pass over the rows compares have so many bytes of vectors.
+BLOCK_BYTES = 64 << 20
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -17,25 +23,56 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding") -> DataFrame:
+def _unit(vectors: list[list[float] | None], width: int) -> np.ndarray:
+    """Vectors of length 1 as rows, zeros for none."""
+    out = np.array([v if v is not None else [0.0] * width for v in vectors], dtype=np.float64).reshape(-1, width)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, row_id, score, rank) of the ``k`` rows most like each query by cosine.
 
-    The queries are a stated set against all rows. They are broadcast while they are few; a larger set goes
-    through in blocks. Norms are computed once a row; each task keeps its best ``k`` a query (the limit on
-    the rank is applied before the shuffle), ties go to the smaller id.
+    The queries are a stated set against all rows, by brute force: they go through in blocks of
+    ``block_bytes``, each sent to all tasks as a matrix and multiplied with every batch of rows. A task keeps
+    the best ``k`` of each query and returns them at its end, so queries x ``k`` rows a task are shuffled and
+    ranked; ties go to the smaller id. A null vector has no length, and so a score of 0.
     """
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_qv"))
-    n = q.count()
-    out = None
-    blocks = n // SMALL_ROWS + 1
-    for block in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block) if blocks > 1 else q
-        pairs = rows.select(F.col(row_id).alias("_r"), F.col(vector).alias("_rv")).join(F.broadcast(part), F.lit(True))
-        scored = pairs.select("_q", "_r", cosine("_qv", "_rv").alias("score"))
-        order = Window.partitionBy("_q").orderBy(F.desc("score"), "_r")
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out.select(F.col("_q").alias(query_id), F.col("_r").alias(row_id), "score", "rank")
+    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    n, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = max(1, width or 1)
+    kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
+    schema = f"`{query_id}` {kinds[0]}, `{row_id}` {kinds[1]}, score double"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    out = rows.sparkSession.createDataFrame([], schema)
+    n_blocks = n * width * 8 // block_bytes + 1
+    for block in range(n_blocks):
+        part = (q.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block) if n_blocks > 1 else q).collect()
+        if not part:
+            continue
+        spread = rows.sparkSession.sparkContext.broadcast(([r.q for r in part], _unit([r.v for r in part], width)))
+
+        def best(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            ids, matrix = spread.value
+            top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(ids)
+            for batch in batches:
+                row_ids = np.array(batch.column(0).to_pylist(), dtype=object)
+                scores = matrix @ _unit(batch.column(1).to_pylist(), width).T
+                for i, own in enumerate(scores):
+                    scored, named = np.concatenate([top[i][0], own]), np.concatenate([top[i][1], row_ids])
+                    if len(scored) > k:
+                        least = np.partition(scored, len(scored) - k)[len(scored) - k]
+                        chosen = np.flatnonzero(scored >= least)  # ties at the end stay until ids decide
+                        chosen = chosen[np.lexsort((named[chosen].astype("U") if kinds[1] == "string" else named[chosen].astype(np.int64), -scored[chosen]))[:k]]
+                        scored, named = scored[chosen], named[chosen]
+                    top[i] = scored, named
+            for i, (scored, named) in zip(ids, top):
+                if len(scored):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(scored), type=target[0].type), pa.array(named.tolist(), type=target[1].type), pa.array(scored)], schema=target)
+
+        out = out.unionByName(rows.select(row_id, F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, schema))
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

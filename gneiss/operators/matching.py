@@ -5,11 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import normalize_code_word, token_coverage
+from gneiss.operators.aggregate import percentiles
 from gneiss.operators.joins import pair_in_order
+from gneiss.sources.scratch import scratch_path
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -94,13 +96,52 @@ def match_metrics(matches: DataFrame, golden: DataFrame, golden_price: str, foun
     n = golden.agg(F.count("*").alias("n_golden"))
     delta = F.abs(F.col(found_price) - F.col(golden_price)) / F.when(F.col(golden_price) > 0, F.col(golden_price))
     d = matches.select(delta.alias("d"))
-    order = Window.orderBy("d")
-    hits = d.agg(F.count("*").alias("n_matched"), F.percentile("d", 0.5).alias("p50"), F.count("d").alias("n_deltas"))
-    place = d.where("d IS NOT NULL").withColumn("i", F.row_number().over(order) - 1)
-    p95 = place.crossJoin(F.broadcast(hits.select("n_deltas"))).where(F.col("i") == F.floor(0.95 * (F.col("n_deltas") - 1))).agg(F.max("d").alias("p95"))
+    p = percentiles(d, "d", p50=("middle", 0.5), p95=("lower", 0.95))
+    hits = d.agg(F.count("*").alias("n_matched"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return n.crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(p95)).select(
+    return n.crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(p)).select(
         F.when(F.col("n_golden") > 0, F.col("n_matched") / F.col("n_golden")).otherwise(0.0).alias("recall"),
         zero("p50").alias("price_delta_p50"),
         zero("p95").alias("price_delta_p95"),
     )
+
+
+def eval_report(golden: DataFrame, found: DataFrame, block: str, thresholds: dict[str, float]) -> DataFrame:
+    """One row of all metrics of a found budget beside a golden one, and whether they meet ``thresholds``.
+
+    Both frames have (block, seq, code, description, chapter, price, total). Recall and both precisions are
+    shares of the cascade's matches: by exact code, and by descriptions that are alike (0.8) in one chapter.
+    Chapter deltas are relative errors of chapters' totals, as a mean over golden chapters and weighted by
+    their totals. Shares of nothing are 0; figures have three decimals.
+    """
+    side = lambda df, p: df.select(block, F.col("seq").alias(f"{p}_seq"), *(F.col(c).alias(f"{p}_{c}") for c in ("description", "chapter", "price")))
+    pairs = cascade_match(golden, found, block).join(side(golden, "golden"), [block, "golden_seq"]).join(side(found, "found"), [block, "found_seq"])
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    described = ~(empty("golden_description") | empty("found_description"))
+    chapters = empty("golden_chapter") | empty("found_chapter") | (F.trim("golden_chapter") == F.trim("found_chapter"))
+    precise = described & chapters & (fuzzy_ratio(F.trim("golden_description"), F.trim("found_description")) >= 0.8)
+    m = pairs.select("level", precise.alias("precise"), (F.abs(F.col("found_price") - F.col("golden_price")) / F.when(F.col("golden_price") != 0, F.col("golden_price"))).alias("d"))
+    share = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
+    path = scratch_path(golden.sparkSession, "matches")
+    m.write.parquet(path)  # the cascade runs once
+    m = golden.sparkSession.read.schema(m.schema).parquet(path)
+    shares = m.agg(F.count("*").alias("matches_count"), share(F.col("level") == "exact_code").alias("precision_1to1"), share(F.col("precise")).alias("precision_semantic"))
+    prices = percentiles(m, "d", p50=("middle", 0.5), p95=("lower", 0.95))
+    total = lambda df, name: df.groupBy("chapter").agg(F.sum("total").alias(name))
+    g, f = (F.coalesce(c, F.lit(0.0)) for c in ("_g", "_f"))
+    deltas = total(golden, "_g").join(total(found, "_f"), "chapter", "full").agg(
+        F.coalesce(F.avg(F.when(F.col("_g") > 0, F.abs(g - f) / g)), F.lit(0.0)).alias("chapter_total_delta_mean"),
+        F.coalesce(F.sum(F.abs(g - f)) / F.nullif(F.sum(g), F.lit(0.0)), F.lit(0.0)).alias("chapter_total_delta_weighted"),
+    )
+    n = golden.agg(F.count("*").alias("golden_count"))
+    row = n.crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(prices)).crossJoin(F.broadcast(deltas))  # four single rows
+    names = ("recall", "precision_semantic", "chapter_total_delta_weighted", "precision_1to1", "chapter_total_delta_mean", "price_delta_p50", "price_delta_p95")
+    recall = F.when(F.col("golden_count") > 0, F.col("matches_count") / F.col("golden_count")).otherwise(0.0)
+    row = row.select("golden_count", "matches_count", recall.alias("recall"), *names[1:5], *(F.coalesce(c, F.lit(0.0)).alias(f"price_delta_{c}") for c in ("p50", "p95")))
+    passes = (
+        (F.col("recall") >= thresholds.get("recall_min", 0.0))
+        & (F.col("precision_semantic") >= thresholds.get("precision_semantic_min", 0.0))
+        & (F.col("price_delta_p50") <= thresholds.get("price_delta_p50_max", 1.0))
+        & (F.col("chapter_total_delta_weighted") <= thresholds.get("chapter_total_delta_weighted_max", 1.0))
+    )
+    return row.withColumn("passes", passes).select("golden_count", "matches_count", *(F.round(c, 3).alias(c) for c in names), "passes")

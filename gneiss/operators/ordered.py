@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gneiss.functions.text import chapter_prefix
 
@@ -29,10 +35,55 @@ def grouped_runs(df: DataFrame, keys: list[str], order: str, easy: str, same: st
     return part.withColumn("group_id", first).drop("_run", "_part")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], start: Column, step, alias: str) -> DataFrame:
-    """Fold each key's ordered rows; sequential within a key, which is for keys of bounded size."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("_rows"))
-    return rows.select(*keys, F.aggregate("_rows", start, step).alias(alias))
+def streamed(df: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]]) -> DataFrame:
+    """Rows that ``step(state, values)`` gives for each row of a key, in order, after the key's columns.
+
+    For state that depends on all rows before and has no shorter form. Rows are shuffled by key, sorted and
+    streamed, so a task holds one state and one batch, however many rows a key has; a key's rows take one
+    task. ``start()`` makes the state of a key, which ``step`` changes in place.
+    """
+    return _streamed(df.repartition(*keys), keys, order, values, schema, start, step, None)
+
+
+def chunk_summaries(df: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], end: Callable[[object], tuple]) -> DataFrame:
+    """(keys, chunk, ``end(state)``) for each run of a key's rows in one range of (key, order).
+
+    For state changes that compose: rows are dealt by ranges, so a key with very many rows spreads over many
+    tasks. Chunks are numbered in order; a key has no more of them than there are partitions.
+    """
+    return _streamed(df.repartitionByRange(*keys, *order), keys, order, values, f"chunk int, {schema}", start, step, end)
+
+
+def _streamed(dealt: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, start, step, end) -> DataFrame:
+    kinds = dict(dealt.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema])
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId()
+        out: list[tuple] = []
+        now, state = None, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != row[:n]:
+                    if now is not None and end:
+                        out.append((*now, chunk, *end(state)))
+                    now, state = row[:n], start()
+                out.extend((*now, *x) for x in step(state, row[n:]))
+                if len(out) >= 8192:
+                    yield _batch(out, target)
+                    out = []
+        if now is not None and end:
+            out.append((*now, chunk, *end(state)))
+        if out:
+            yield _batch(out, target)
+
+    return dealt.sortWithinPartitions(*keys, *order).select(*keys, *values).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def canonical_chapters(df: DataFrame, keys: list[str], order: str, chapter: str = "chapter") -> DataFrame:
@@ -45,50 +96,67 @@ def canonical_chapters(df: DataFrame, keys: list[str], order: str, chapter: str
     return rows.withColumn(chapter, F.when(F.col("_prefix") == "", F.col(chapter)).otherwise(best)).drop("_name", "_prefix")
 
 
+def stable_chapter(new: str, prefix: str, nameless: bool, state: list) -> str:
+    """The chapter after a row that names ``new``; ``state`` is [chapter, its prefix, whether it stands for none]."""
+    if nameless:
+        return state[0]
+    if not state[2] and prefix == state[1] and len(new) <= len(state[0]) + 3:
+        return state[0]
+    state[:] = new, prefix, new.upper() in CONTINUED
+    return new
+
+
 def forward_fill_chapter(df: DataFrame, keys: list[str], order: str, chapter: str = "chapter") -> DataFrame:
     """Carry the last chapter on; of names with the same prefix the longer, by over three characters, wins."""
+    new = F.trim(F.coalesce(chapter, F.lit("")))
+    up = F.upper(new)
+    nameless = up.isin(*CONTINUED) | F.exists(F.array(*map(F.lit, NO_NAME)), lambda p: F.contains(up, p))
+    rows = df.select(*keys, order, new.alias("_new"), chapter_prefix(new).alias("_prefix"), nameless.alias("_none"))
+    kind = dict(df.dtypes)[order]
 
-    def step(state: Column, row: Column) -> Column:
-        new = F.trim(F.coalesce(row[chapter], F.lit("")))
-        up = F.upper(new)
-        none = up.isin(*CONTINUED) | F.exists(F.array(*map(F.lit, NO_NAME)), lambda p: F.contains(up, p))
-        now = F.coalesce(state["now"], F.lit(""))
-        same = chapter_prefix(new) == chapter_prefix(now)
-        kept = F.when(none, now).when(F.upper(F.trim(now)).isin(*CONTINUED), new).when(same & (F.length(new) <= F.length(F.trim(now)) + 3), F.trim(now)).otherwise(new)
-        return F.struct(kept.alias("now"), F.concat(state["all"], F.array(F.struct(row[order].alias(order), kept.alias(chapter)))).alias("all"))
+    def step(state: list, row: tuple) -> list[tuple]:
+        at, new, prefix, none = row
+        return [(at, stable_chapter(new, prefix, none, state))]
 
-    kind = dict(df.dtypes)[order]
-    start = F.expr(f"named_struct('now', '', 'all', CAST(array() AS ARRAY<STRUCT<{order}: {kind}, {chapter}: STRING>>))")
-    folded = fold(df, keys, [order], [chapter], start, step, "_f")
-    return folded.select(*keys, F.inline("_f.all"))
+    return streamed(rows, keys, [order], [order, "_new", "_prefix", "_none"], f"`{order}` {kind}, `{chapter}` string", lambda: ["", "", True], step)
 
 
 def drop_carry_over(df: DataFrame, keys: list[str], block: str, order: str, quantity: str) -> DataFrame:
     """Sum of each block's quantities, without a first row that repeats the block before's total.
 
-    The total carried on is the last positive one after such a row was left out, hence a fold.
+    The total carried on is the last positive one after such a row was left out. Blocks are summed first, with
+    their first quantity apart; then one row a block is streamed.
     """
-    blocks = df.groupBy(*keys, block).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, quantity))), lambda x: x[quantity]).alias("_q"))
-
-    def step(state: Column, row: Column) -> Column:
-        q = row["_q"]
-        again = (state["total"] > 0) & (F.abs(F.get(q, F.lit(0)) - state["total"]) < 0.01)
-        rest = F.when(again, F.slice(q, F.lit(2), F.greatest(F.size(q) - 1, F.lit(0)))).otherwise(q)
-        own = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x)
-        return F.struct(
-            F.when(own > 0, own).otherwise(state["total"]).alias("total"),
-            F.concat(state["all"], F.array(F.struct(row[block].alias(block), own.alias(quantity)))).alias("all"),
-        )
-
+    q = F.col(quantity).cast("double")
+    blocks = df.groupBy(*keys, block).agg(F.min_by(q, F.struct(order, q)).alias("_first"), F.sum(q).alias("_sum"))
     kind = dict(df.dtypes)[block]
-    start = F.expr(f"named_struct('total', CAST(0 AS DOUBLE), 'all', CAST(array() AS ARRAY<STRUCT<{block}: {kind}, {quantity}: DOUBLE>>))")
-    folded = fold(blocks, keys, [block], ["_q"], start, step, "_f")
-    return folded.select(*keys, F.inline("_f.all"))
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        at, first, whole = row
+        own = whole - first if state[0] > 0 and abs(first - state[0]) < 0.01 else whole
+        if own > 0:
+            state[0] = own
+        return [(at, own)]
+
+    return streamed(blocks.where("_sum IS NOT NULL"), keys, [block], [block, "_first", "_sum"], f"`{block}` {kind}, `{quantity}` double", lambda: [0.0], step)
 
 
 def clamped_score(df: DataFrame, keys: list[str], order: str, event_id: str, delta: str, start: float = 0.0) -> DataFrame:
-    """Final score of each key: an event counts once, and the score stays within 0 and 100 after each."""
+    """Final score of each key: an event counts once, and the score stays within 0 and 100 after each.
+
+    To add and then clamp, over and over, is to add once and clamp once: each range of a key's events becomes
+    three numbers, and these are applied in order.
+    """
     first = Window.partitionBy(*keys, event_id).orderBy(order)
     once = df.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    step = lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), s + x[delta]))
-    return fold(once, keys, [order, event_id], [delta], F.lit(start), step, "score")
+
+    def step(state: list, row: tuple) -> tuple:
+        d = row[0] or 0.0
+        state[:] = state[0] + d, min(100.0, max(0.0, state[1] + d)), min(100.0, max(0.0, state[2] + d))
+        return ()
+
+    infinite = float("inf")
+    parts = chunk_summaries(once, keys, [order, event_id], [delta], "added double, low double, high double", lambda: [0.0, -infinite, infinite], step, tuple)
+    rows = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "added", "low", "high"))).alias("_parts"))
+    apply = lambda s, x: F.greatest(x["low"], F.least(x["high"], s + x["added"]))
+    return rows.select(*keys, F.aggregate("_parts", F.lit(float(start)), apply).alias("score"))

@@ -2,34 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.matching import hybrid_similarity
 
 #: Prefixes of tags that are no topics.
-META_TAGS = ("chapter:", "chapter_code:", "template:", "baseline", "reason:")
+META_TAGS = ("scope:", "chapter:", "principle:", "multiplier:", "surface_band:", "reason:", "cross_chapter:")
 
 
-def topics(tags):
-    return F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda x: ~F.exists(F.array(*map(F.lit, META_TAGS)), lambda p: F.startswith(x, p)))
+def topics(tags: Column) -> Column:
+    """Tags in lower case that say what a fragment is about."""
+    low = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
+    return F.filter(low, lambda x: ~F.exists(F.array(*map(F.lit, META_TAGS)), lambda p: F.startswith(x, p)))
 
 
-def retrieve_fragments(lines: DataFrame, fragments: DataFrame, as_of, months: int = 12, min_similarity: float = 0.45, min_count: int = 2, top: int = 5) -> DataFrame:
-    """(line_id, fragment_id, similarity, rank): golden fragments that are recent, on topic and alike.
+def tag_values(tags: Column, name: str) -> Column:
+    """What follows ``name:`` in the tags that begin with it, in lower case."""
+    low = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
+    own = F.filter(low, lambda x: F.startswith(x, F.lit(f"{name}:")))
+    return F.filter(F.transform(own, lambda x: F.trim(F.substring(x, len(name) + 2, 1 << 30))), lambda x: x != "")
 
-    ``lines`` has (line_id, chapter, description, topics), ``fragments`` (fragment_id, status, chapter, tags,
-    description, at, is_baseline). Pairs meet on the chapter, so no product of all lines and fragments is
-    made; a chapter with very many of either may be split by adaptive execution. A line with fewer than
-    ``min_count`` fragments gets none, unless one of them is a baseline.
+
+def chapter_of_code(code: Column) -> Column:
+    """Chapter number before the first dot of a line's code, two digits; null without a dot."""
+    head = F.ltrim(F.trim(F.substring_index(F.trim(code), ".", 1)), F.lit("0"))
+    return F.when(F.contains(code, F.lit(".")), F.lpad(head, F.greatest(F.lit(2), F.length(head)), F.lit("0")))
+
+
+def applying(lines: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Pairs (line_id, fragment_id) of lines and the fragments whose chapter tags apply to them.
+
+    A fragment applies to all lines if it is tagged ``cross_chapter:true``, to those of its ``chapter_code``,
+    and to those whose chapter's name contains its ``chapter``. Lines meet fragments on codes, and on the
+    distinct chapter names, of which there are few beside lines; each name is compared with each distinct tag.
+    """
+    names = lines.select(F.lower(F.coalesce("chapter", F.lit(""))).alias("_name")).distinct()
+    tagged = fragments.select("fragment_id", F.explode(tag_values(F.col("tags"), "chapter")).alias("_tag"))
+    meets = names.join(tagged.select("_tag").distinct(), F.contains("_name", F.col("_tag")))
+    by_name = lines.select("line_id", F.lower(F.coalesce("chapter", F.lit(""))).alias("_name")).join(meets, "_name").join(tagged, "_tag")
+    padded = lambda x: F.lpad(F.ltrim(x, F.lit("0")), F.greatest(F.lit(2), F.length(F.ltrim(x, F.lit("0")))), F.lit("0"))
+    coded = fragments.select("fragment_id", F.explode(tag_values(F.col("tags"), "chapter_code")).alias("_code")).select("fragment_id", padded(F.col("_code")).alias("_code"))
+    by_code = lines.select("line_id", chapter_of_code(F.col("code")).alias("_code")).join(coded, "_code")
+    all_ = fragments.where(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda x: F.lower(x) == "cross_chapter:true"))
+    everywhere = lines.select("line_id").crossJoin(all_.select("fragment_id"))  # by their tag they go with every line
+    pairs = [p.select("line_id", "fragment_id") for p in (by_name, by_code, everywhere)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+
+
+def retrieve_fragments(
+    lines: DataFrame, fragments: DataFrame, as_of, months: int = 12, min_similarity: float = 0.45, min_count: int = 2, top: int | None = None
+) -> DataFrame:
+    """(line_id, fragment_id, similarity, rank): golden fragments that are recent, apply, on topic and alike.
+
+    ``lines`` has (line_id, code, chapter, description, topics), ``fragments`` (fragment_id, status, tags,
+    description, at, is_baseline). A line with fewer than ``min_count`` fragments gets none, unless one of
+    them is a baseline. All are returned in order of likeness, or the first ``top``.
     """
     recent = fragments.where((F.col("status") == "golden") & (F.col("at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(30 * months))))
-    f = recent.select("fragment_id", F.lower("chapter").alias("_c"), topics(F.col("tags")).alias("_t"), F.col("description").alias("_d"), "at", "is_baseline")
-    pairs = lines.withColumn("_c", F.lower("chapter")).join(f, "_c")
+    recent = recent.where(F.trim(F.coalesce("description", F.lit(""))) != "")
+    f = recent.select("fragment_id", topics(F.col("tags")).alias("_t"), F.trim("description").alias("_d"), "at", "is_baseline")
+    pairs = applying(lines, recent).join(f, "fragment_id").join(lines.select("line_id", "description", "topics"), "line_id")
     on_topic = pairs.where((F.size("topics") <= 0) | (F.size("_t") <= 0) | F.arrays_overlap("topics", "_t"))
     alike = on_topic.withColumn("similarity", hybrid_similarity(F.col("description"), F.col("_d"))).where(F.col("similarity") >= min_similarity)
     by = Window.partitionBy("line_id")
     counted = alike.withColumn("_n", F.count("*").over(by)).withColumn("_base", F.max(F.col("is_baseline").cast("int")).over(by))
     enough = counted.where((F.col("_n") >= min_count) | (F.col("_base") == 1))
     rank = F.row_number().over(by.orderBy(F.desc("similarity"), F.desc("at"), "fragment_id"))
-    return enough.withColumn("rank", rank).where(F.col("rank") <= top).select("line_id", "fragment_id", "similarity", "rank")
+    ranked = enough.withColumn("rank", rank)
+    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("line_id", "fragment_id", "similarity", "rank")

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path in the folder of spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in on a local master; on a cluster it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gneiss.operators.ordered import chunk_summaries, streamed
+from gneiss.sources.scratch import scratch_path
+
 #: How long telemetry is kept.
 RETENTION = "12 hours"
 #: Status changes that a job may go through.
@@ -55,40 +58,108 @@ def once(events: DataFrame, key: str = "event_id", late: str = RETENTION) -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+class Versions:
+    """Versions of a Parquet table in a folder: v0, v1, ..., and for each that is whole a mark beside it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.hadoop = spark, path, spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folder(self, version: int) -> str:
+        return f"{self.path}/v{version}"
+
+    def marks(self) -> list[int]:
+        place = self.hadoop(f"{self.path}/_whole")
+        return sorted(int(f.getPath().getName()) for f in self.fs.listStatus(place)) if self.fs.exists(place) else []
+
+    def read(self) -> DataFrame:
+        """The newest whole version."""
+        marks = self.marks()
+        if not marks:
+            raise ValueError(f"{self.path} has no version")
+        return self.spark.read.parquet(self.folder(marks[-1]))
+
+    def publish(self, version: int) -> None:
+        self.fs.create(self.hadoop(f"{self.path}/_whole/{version}"), True).close()
+
+    def forget(self, version: int) -> None:
+        """Delete a version, its mark first."""
+        self.fs.delete(self.hadoop(f"{self.path}/_whole/{version}"), False)
+        self.fs.delete(self.hadoop(self.folder(version)), True)
+
+
 def upsert(path: str, key: str, order: str):
-    """A ``foreachBatch`` function that keeps the newest row of each key in a Parquet folder.
+    """A ``foreachBatch`` function that keeps the newest row of each key (by ``order``, then by all values).
 
-    Each batch writes a new version beside the last one, then points to it, so a batch that is run again
-    gives the same table.
+    Each batch writes a new version beside the last whole one and marks it as whole; the version before stays
+    for readers, older ones are deleted. A batch that is run again starts from the same version as before and
+    gives the same table. A batch that comes before the newest version but one, as after a lost checkpoint, is
+    an error, and so is a gap: nothing is dropped in silence. ``Versions(spark, path).read()`` is the table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        last = f"{path}/v{batch_id - 1}"
-        rows = batch.unionByName(spark.read.parquet(last)) if batch_id and fs.exists(fs_path(last)) else batch
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        table = Versions(batch.sparkSession, path)
+        marks = table.marks()
+        before = [m for m in marks if m < batch_id]
+        if any(m > batch_id for m in marks):
+            raise ValueError(f"{path} is already at version {marks[-1]}, after batch {batch_id}")
+        if batch_id and batch_id - 1 not in before:
+            raise ValueError(f"{path} lacks version {batch_id - 1}, which batch {batch_id} goes on from")
+        rows = batch.unionByName(table.spark.read.parquet(table.folder(before[-1]))) if before else batch
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, *rows.columns)).alias("r")).select("r.*")
+        newest.write.mode("overwrite").parquet(table.folder(batch_id))
+        table.publish(batch_id)
+        for old in before[:-1]:
+            table.forget(old)
 
     return write
 
 
+def keep_recent(events: DataFrame, as_of: str, at: str = "ts") -> DataFrame:
+    """Events that have not expired at a time: what a clean-up of telemetry leaves."""
+    return with_expiry(events, at).where(F.col("expires_at") > F.lit(as_of).cast("timestamp"))
+
+
+def tail(events: DataFrame, key: str, n: int, order: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The last ``n`` events of each key, newest first, numbered from 1."""
+    newest = Window.partitionBy(key).orderBy(F.desc(order), F.desc(tie))
+    return events.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+
+
+def advance_sequences(enrollments: DataFrame, steps: DataFrame) -> DataFrame:
+    """Enrollments after their present step: whether it is sent, and the next step with its time, or the end.
+
+    ``enrollments`` has (enrollment_id, sequence_id, step, variant, due), ``steps`` (sequence_id, step,
+    day_offset, target). A step is sent if its target is the enrollment's variant or CONTROL; with or without
+    that the enrollment moves on, to ``day_offset`` days of the next step after it was due.
+    """
+    now = steps.select("sequence_id", "step", F.col("target").alias("_target"))
+    after = steps.select("sequence_id", (F.col("step") - 1).alias("step"), F.col("day_offset").alias("_days"))
+    joined = enrollments.join(now, ["sequence_id", "step"], "left").join(after, ["sequence_id", "step"], "left")
+    sent = F.coalesce((F.col("_target") == F.col("variant")) | (F.col("_target") == "CONTROL"), F.lit(False))
+    more = F.col("_days").isNotNull()
+    return joined.select(
+        "enrollment_id",
+        sent.alias("sent"),
+        F.when(more, F.col("step") + 1).otherwise(F.col("step")).alias("step"),
+        F.when(more, "ACTIVE").otherwise("COMPLETED").alias("status"),
+        F.when(more, F.col("due") + F.make_dt_interval(F.col("_days"))).alias("due"),
+    )
+
+
 def rate_limit(events: DataFrame, limit: int, window_ms: int, key: str = "user_id") -> DataFrame:
     """(key, ts, allowed, retry_after_s) of a sliding log: denied calls are not recorded, hence state.
 
-    Works on a batch or a stream. State is at most ``limit`` times for a key, and a key unused for a window
-    is forgotten.
+    Works on a batch or a stream. State is at most ``limit`` times for a key, and in a stream a key unused for
+    a window is forgotten. A batch is streamed in order of time through one task for each key.
     """
 
-    def calls(times: list[int], stamps: list[int]) -> Iterator[tuple[bool, int]]:
-        for now in stamps:
-            times[:] = [t for t in times if t > now - window_ms]
-            if len(times) >= limit:
-                yield False, -(-(times[0] + window_ms - now) // 1000)
-            else:
-                times.append(now)
-                yield True, 0
+    def call(times: list[int], now: int) -> tuple[bool, int]:
+        times[:] = [t for t in times if t > now - window_ms]
+        if len(times) >= limit:
+            return False, -(-(times[0] + window_ms - now) // 1000)
+        times.append(now)
+        return True, 0
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,20 +168,17 @@ def rate_limit(events: DataFrame, limit: int, window_ms: int, key: str = "user_i
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values("ts")
         stamps = (rows["ts"].astype("int64") // _per_ms(rows["ts"])).tolist()
-        out = list(calls(times, stamps))
+        out = [call(times, now) for now in stamps]
         state.update((times,))
         state.setTimeoutTimestamp(max(stamps[-1] + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], "ts": rows["ts"].to_numpy(), "allowed": [a for a, _ in out], "retry_after_s": [r for _, r in out]})
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ts")
-        out = list(calls([], (rows["ts"].astype("int64") // _per_ms(rows["ts"])).tolist()))
-        return pd.DataFrame({key: rows[key], "ts": rows["ts"], "allowed": [a for a, _ in out], "retry_after_s": [r for _, r in out]})
-
     rows = events.select(key, "ts")
-    schema = f"{key} {dict(rows.dtypes)[key]}, ts timestamp, allowed boolean, retry_after_s bigint"
     if not events.isStreaming:
-        return rows.groupBy(key).applyInPandas(whole, schema)
+        timed = rows.withColumn("_ms", F.unix_millis("ts"))
+        step = lambda times, row: ((row[0], *call(times, row[1])),)
+        return streamed(timed, [key], ["ts"], ["ts", "_ms"], "ts timestamp, allowed boolean, retry_after_s bigint", list, step)
+    schema = f"{key} {dict(rows.dtypes)[key]}, ts timestamp, allowed boolean, retry_after_s bigint"
     timed = rows.withWatermark("ts", f"{window_ms} milliseconds")
     return timed.groupBy(key).applyInPandasWithState(update, schema, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -123,35 +191,53 @@ def _per_ms(times: pd.Series) -> int:
 def fixed_window_limit(events: DataFrame, limit: int, window_ms: int, key: str = "user_id") -> DataFrame:
     """(key, ts, allowed) of a window that starts anew with the first call after it has expired.
 
-    A fold over a key's ordered calls: the window's start depends on the calls before, not on the clock.
+    The window's start depends on the calls before, not on the clock, so a key's calls are streamed in order.
     """
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_millis("ts"))).alias("at"))
 
-    def step(s, now):
-        fresh = s["start"].isNull() | (now - s["start"] >= window_ms)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        row = F.struct(now.alias("at"), (n <= limit).alias("allowed"))
-        return F.struct(F.when(fresh, now).otherwise(s["start"]).alias("start"), n.alias("n"), F.concat(s["all"], F.array(row)).alias("all"))
+    def step(state: list, row: tuple) -> tuple:
+        ts, now = row
+        if not state or now - state[0] >= window_ms:
+            state[:] = now, 0
+        state[1] += 1
+        return ((ts, state[1] <= limit),)
 
-    start = F.expr("named_struct('start', CAST(NULL AS BIGINT), 'n', 0, 'all', CAST(array() AS ARRAY<STRUCT<at: BIGINT, allowed: BOOLEAN>>))")
-    return rows.select(key, F.inline(F.aggregate("at", start, step)["all"])).select(key, F.timestamp_millis("at").alias("ts"), "allowed")
+    timed = events.select(key, "ts", F.unix_millis("ts").alias("_ms"))
+    return streamed(timed, [key], ["ts"], ["ts", "_ms"], "ts timestamp, allowed boolean", list, step)
 
 
 def job_states(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """(key, status, illegal): each job's last status; a change that isn't allowed is counted and ignored."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "status"))).alias("s"))
-    pairs = F.array(*(F.lit(f"{a}>{b}") for a, bs in JOB_TRANSITIONS.items() for b in bs))
+    """(key, status, illegal): each job's last status; a change that isn't allowed is counted and ignored.
+
+    Events of one time are taken in order of status. For each range of a job's events a table says where each
+    status leads and how many changes are illegal on the way; the tables are then applied in order, so a job
+    with very many events spreads over many tasks.
+    """
+    names = list(JOB_TRANSITIONS)
+
+    def step(table: list, row: tuple) -> tuple:
+        for at, (status, illegal) in enumerate(table):
+            ok = row[0] in JOB_TRANSITIONS[status]
+            table[at] = (row[0], illegal) if ok else (status, illegal + 1)
+        return ()
 
-    def step(state, x):
-        ok = F.array_contains(pairs, F.concat(state["status"], F.lit(">"), x["status"]))
-        return F.struct(F.when(ok, x["status"]).otherwise(state["status"]).alias("status"), (state["illegal"] + F.when(ok, 0).otherwise(1)).alias("illegal"))
+    end = lambda table: ([names.index(s) for s, _ in table], [n for _, n in table])
+    parts = chunk_summaries(events, [key], ["ts", "status"], ["status"], "to array<int>, illegal array<bigint>", lambda: [(s, 0) for s in names], step, end)
+    rows = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk", "to", "illegal"))).alias("s"))
+    start = F.struct(F.lit(names.index("queued")).alias("at"), F.lit(0).cast("bigint").alias("illegal"))
+    apply = lambda s, x: F.struct(F.get(x["to"], s["at"]).alias("at"), (s["illegal"] + F.get(x["illegal"], s["at"])).alias("illegal"))
+    done = rows.select(key, F.aggregate("s", start, apply).alias("r"))
+    return done.select(key, F.get(F.array(*map(F.lit, names)), F.col("r.at")).alias("status"), F.col("r.illegal").alias("illegal"))
 
-    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("illegal"))
-    return rows.select(key, F.aggregate("s", start, step).alias("r")).select(key, "r.status", "r.illegal")
 
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now; its rows are written to the scratch folder and read from there.
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now, into a table in memory (for small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    In ``complete`` mode the last batch is the whole result.
+    """
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+    if mode == "append":
+        sink = stream.writeStream.format("parquet").option("path", path)
+    else:
+        sink = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    sink.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -86,15 +86,13 @@ def scan_files_dir(t) -> DataFrame:
     return t.pages.select("page_id", part(1).alias("lang"), part(2).try_cast("bigint").alias("number"))
 
 
-@query("SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT), 0) AS version FROM pages")
-def version_extract(t) -> DataFrame:
-    return t.pages.select("page_id", F.coalesce(F.regexp_extract("url", "[?&]page=([0-9]+)", 1).try_cast("bigint"), F.lit(0)).alias("version"))
-
-
 def _sides(t) -> tuple[DataFrame, DataFrame]:
-    """Parts of even and odd keys, as the two sides of a match within each type."""
+    """Parts of even and odd keys, as the two sides of a match within each type and brand."""
     code = F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))
-    rows = t.part.select(F.concat("p_type", F.floor(F.col("p_partkey") / 400).cast("string")).alias("block"), F.col("p_partkey").alias("seq"), code.alias("code"), F.concat("p_name", F.lit(" "), "p_brand").alias("description"))
+    rows = t.part.select(
+        F.concat("p_type", F.lit(" "), "p_brand").alias("block"), F.col("p_partkey").alias("seq"), code.alias("code"), F.concat("p_name", F.lit(" "), "p_brand").alias("description"),
+        F.col("p_type").alias("chapter"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * F.col("p_size")).alias("total"),
+    )
     return rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
 
 
@@ -111,12 +109,8 @@ def join_cascade_full(t) -> DataFrame:
 
 @query()
 def pipe_eval_report(t) -> DataFrame:
-    """Cascade, then recall and price deltas."""
-    golden, found = _sides(t)
-    price = t.part.select("p_partkey", "p_retailprice")
-    m = matching.cascade_match(golden, found, "block")
-    m = m.join(price.select(F.col("p_partkey").alias("golden_seq"), F.col("p_retailprice").alias("gp")), "golden_seq").join(price.select(F.col("p_partkey").alias("found_seq"), F.col("p_retailprice").alias("fp")), "found_seq")
-    return matching.match_metrics(m, golden, "gp", "fp")
+    """All metrics of one side beside the other, and the thresholds that they are held to."""
+    return matching.eval_report(*_sides(t), "block", {"recall_min": 0.2, "precision_semantic_min": 0.5, "price_delta_p50_max": 0.5, "chapter_total_delta_weighted_max": 0.3})
 
 
 @query("WITH m AS (SELECT quality = 1 AS hit FROM labels) SELECT round(coalesce(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 0), 6) AS precision FROM m")
@@ -143,15 +137,36 @@ def hybrid_similarity(t) -> DataFrame:
     return t.part.select("p_partkey", matching.hybrid_similarity(F.col("p_name"), F.concat("p_brand", F.lit(" "), "p_name")).alias("similarity"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+  coalesce(CASE turn % 3 WHEN 0 THEN trim('C0' || (turn % 5) || ' ' || substring(text, 1, 6)) WHEN 1 THEN 'NOT FOUND' END, '') AS name FROM conversations),
+k AS (SELECT *, name IN ('', 'NOT FOUND') OR contains(name, '[') AS none FROM c),
+r AS (SELECT conv_id, turn, n, CASE WHEN none THEN '' ELSE name END AS chapter FROM k WHERE n = 1
+  UNION ALL SELECT k.conv_id, k.turn, k.n, CASE WHEN k.none THEN r.chapter WHEN r.chapter = '' THEN k.name
+    WHEN left(k.name, 3) = left(r.chapter, 3) AND length(k.name) <= length(r.chapter) + 3 THEN r.chapter ELSE k.name END
+  FROM r JOIN k ON k.conv_id = r.conv_id AND k.n = r.n + 1)
+SELECT conv_id, turn, chapter FROM r""")
 def win_forward_fill_chapter(t) -> DataFrame:
     name = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("C0"), (F.col("turn") % 5).cast("string"), F.lit(" "), F.substring("text", 1, 6))).when(F.col("turn") % 3 == 1, "NOT FOUND")
     return ordered.forward_fill_chapter(t.conversations.select("conv_id", "turn", name.alias("chapter")), ["conv_id"], "turn")
 
 
-@query()
+@query("""SELECT conv_id, first(name ORDER BY length(name) > 5 DESC, turn) AS chapter, count(*) AS n FROM
+  (SELECT conv_id, turn, coalesce(trim('C0' || (turn % 3) || ' ' || substring(text, 1, CAST(turn % 7 AS INTEGER))), '') AS name FROM conversations) WHERE name <> '' GROUP BY conv_id, left(name, 3)""")
+def stabilize_chapter_name(t) -> DataFrame:
+    """One name for each chapter of a document, by the code that it begins with."""
+    name = F.coalesce(F.concat(F.lit("C0"), (F.col("turn") % 3).cast("string"), F.lit(" "), F.substring(F.col("text"), F.lit(1), (F.col("turn") % 7).cast("int"))), F.lit(""))
+    stable = ordered.canonical_chapters(t.conversations.select("conv_id", "turn", name.alias("chapter")).where("chapter <> ''"), ["conv_id"], "turn")
+    return stable.groupBy("conv_id", "chapter").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE q AS (SELECT l_suppkey, l_orderkey AS block, first(floor(l_quantity / 10) ORDER BY l_linenumber, floor(l_quantity / 10)) AS first_q, sum(floor(l_quantity / 10)) AS whole FROM lineitem GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY block) AS n FROM q),
+r AS (SELECT l_suppkey, block, n, whole AS q, CASE WHEN whole > 0 THEN whole ELSE 0 END AS total FROM b WHERE n = 1
+  UNION ALL SELECT l_suppkey, block, n, own, CASE WHEN own > 0 THEN own ELSE total END FROM
+    (SELECT b.l_suppkey, b.block, b.n, r.total, CASE WHEN r.total > 0 AND abs(b.first_q - r.total) < 0.01 THEN b.whole - b.first_q ELSE b.whole END AS own FROM r JOIN b ON b.l_suppkey = r.l_suppkey AND b.n = r.n + 1))
+SELECT l_suppkey, block, q FROM r""")
 def win_carry_over_discard(t) -> DataFrame:
-    rows = t.lineitem.select("l_suppkey", F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("at"), F.floor(F.col("l_quantity") / 10).cast("double").alias("q")).where("block < 400")
+    rows = t.lineitem.select("l_suppkey", F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("at"), F.floor(F.col("l_quantity") / 10).cast("double").alias("q"))
     return ordered.drop_carry_over(rows, ["l_suppkey"], "block", "at", "q")
 
 
@@ -256,33 +271,58 @@ def _pages(t) -> DataFrame:
     """Order lines written as pages of a budget, a page for each line number."""
     unit = F.element_at(F.array(*map(F.lit, ("m2", "Ud", "ml"))), (F.col("l_partkey") % 3).cast("int") + 1)
     line = F.concat(F.lit("C"), (F.col("l_suppkey") % 9).cast("string"), F.lit("."), F.col("l_partkey").cast("string"), F.lit(" Partida "), unit, F.lit(" LÍNEA "), F.col("l_returnflag"), F.lit("\nDescripción de la línea\n"), F.translate(F.format_string("%.2f", "l_quantity"), ".", ","))
-    rows = t.lineitem.where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.struct("l_partkey", line.alias("x")).alias("s"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.struct("l_partkey", line.alias("x")).alias("s"))
     return rows.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "\n").alias("text"))
 
 
-@query()
+PAGES = """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_no,
+  length('C' || (l_suppkey % 9) || '.' || l_partkey || ' Partida ' || CASE l_partkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'Ud' ELSE 'ml' END || ' LÍNEA ' || l_returnflag
+    || chr(10) || 'Descripción de la línea' || chr(10) || format('{:.2f}', l_quantity)) AS n, l_quantity FROM lineitem),
+p AS (SELECT doc_id, page_no, sum(n + 1) AS n, count(*) AS items FROM l GROUP BY 1, 2),
+d AS (SELECT doc_id, count(*) AS n_pages, sum(n) AS n_chars, CAST(sum(items) AS BIGINT) AS n_items FROM p GROUP BY 1) """
+
+
+@query(PAGES + """SELECT doc_id, CASE WHEN n_chars - 1 < 200 OR n_items < 3 THEN 'UNKNOWN' ELSE 'INLINE_WITH_TITLES' END AS layout,
+  CAST(CASE WHEN n_chars - 1 < 200 THEN 1.0 WHEN n_items < 3 THEN 0.6 WHEN n_items >= 20 THEN 0.9 ELSE 0.65 END AS DOUBLE) AS confidence, n_items FROM d""")
 def layout_classify(t) -> DataFrame:
-    return layout.classify(_pages(t))
+    """Items and their quantities stand on the same pages here, so no document is annexed."""
+    return layout.classify(_pages(t)).withColumn("n_items", F.col("n_items").cast("bigint"))
 
 
-@query("""SELECT l_orderkey AS doc_id, count(*) AS n_items FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1""")
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, l_linenumber, 'C' || (l_suppkey % 9) || '.' || l_partkey AS code, CASE l_partkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'Ud' ELSE 'ml' END AS unit, CAST(l_quantity AS DOUBLE) AS q,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
+r AS (SELECT doc_id, n, code, unit, q AS own, q AS total FROM b WHERE n = 1
+  UNION ALL SELECT doc_id, n, code, unit, own, CASE WHEN own > 0 THEN own ELSE total END FROM
+    (SELECT b.doc_id, b.n, b.code, b.unit, r.total, CASE WHEN abs(b.q - r.total) < 0.01 THEN 0.0 ELSE b.q END AS own FROM r JOIN b ON b.doc_id = r.doc_id AND b.n = r.n + 1))
+SELECT doc_id, unit, count(*) AS n_items, count(DISTINCT code) AS n_codes, round(sum(own), 4) AS quantity FROM r GROUP BY 1, 2""")
 def pipe_layout_extract(t) -> DataFrame:
-    """Items read back from pages, counted."""
-    return layout.extract_items(_pages(t)).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    """Items read back from pages with their quantities, carried-over totals left out, summed by unit."""
+    items = layout.extract_items(_pages(t))
+    return items.groupBy("doc_id", "unit").agg(F.count("*").alias("n_items"), F.countDistinct("code").alias("n_codes"), F.round(F.sum("quantity"), 4).alias("quantity"))
 
 
-@query("SELECT l_orderkey AS doc_id, count(*) AS n_items, count(DISTINCT l_linenumber) AS n_pages FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1")
+@query("SELECT l_orderkey AS doc_id, count(*) AS n_items, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY 1")
 def pipe_layout_fingerprint(t) -> DataFrame:
     lines = layout.page_lines(_pages(t))
     return lines.groupBy("doc_id").agg(count_where(F.col("code").isNotNull()).alias("n_items"), F.countDistinct("page_no").alias("n_pages"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+SELECT doc_id, (n - 1) // 40 + 1 AS page_no, count(*) AS n_lines, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM l GROUP BY 1, 2""")
+def scan_pdf_text(t) -> DataFrame:
+    """Texts as pages of forty lines (or up to a form feed, of which these have none)."""
+    pages = layout.text_pages(t.documents)
+    return pages.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query()
 def pipe_fragment_retrieval(t) -> DataFrame:
-    """Fragments for lines of the same chapter."""
+    """Correction fragments for the parts whose key is divisible by 50, against all parts as fragments."""
     at = F.lit("2025-12-01").cast("timestamp")
-    lines = t.part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("line_id"), F.concat("p_type", "p_brand").alias("chapter"), F.col("p_name").alias("description"), F.array(F.lit("a")).alias("topics"))
-    f = t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("fragment_id"), F.lit("golden").alias("status"), F.concat("p_type", "p_brand").alias("chapter"), F.array(F.lit("chapter:x"), F.lit("a")).alias("tags"), F.col("p_name").alias("description"), at.alias("at"), (F.col("p_size") > 40).alias("is_baseline"))
+    code = F.concat(F.lpad((F.col("p_size") % 7).cast("string"), 2, "0"), F.lit("."), F.col("p_partkey").cast("string"))
+    lines = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("line_id"), code.alias("code"), F.concat("p_type", F.lit(" "), "p_brand").alias("chapter"), F.col("p_name").alias("description"), F.array(F.lower("p_type")).alias("topics"))
+    tag = F.when(F.col("p_partkey") % 997 == 0, "cross_chapter:true").when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("chapter_code:"), (F.col("p_size") % 7).cast("string"))).otherwise(F.concat(F.lit("chapter:"), "p_brand"))
+    f = t.part.select(F.col("p_partkey").alias("fragment_id"), F.lit("golden").alias("status"), F.array(tag, F.lower("p_type")).alias("tags"), F.col("p_name").alias("description"), at.alias("at"), (F.col("p_size") > 40).alias("is_baseline"))
     return retrieval.retrieve_fragments(lines, f, "2026-01-01")
 
 
@@ -323,9 +363,11 @@ def pipe_nl_budget(t) -> DataFrame:
     return t.orders.where("o_orderstatus = 'P'").select("o_orderkey", F.concat(F.lit("NL-"), F.col("o_orderkey").cast("string")).alias("code"), F.round(price, 6).alias("total"))
 
 
-@query("""WITH f AS (SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS n FROM customer)
-SELECT c_nationkey AS grp, c_mktsegment AS kind, c_custkey AS latest FROM f WHERE n = 1""")
-def pipe_doc_classify_plan(t) -> DataFrame:
-    """Latest file of each group and kind."""
-    newest = F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey"))
-    return t.customer.groupBy(F.col("c_nationkey").alias("grp"), F.col("c_mktsegment").alias("kind")).agg(newest.alias("latest"))
+@query("""SELECT string_agg(line, chr(10) ORDER BY i) AS report FROM (SELECT 0 AS i, '# Regiones' || chr(10) || chr(10) || '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' AS line
+  UNION ALL SELECT 1 + r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)""")
+def sink_markdown_report(t) -> DataFrame:
+    """A report for people, written as text and read back."""
+    path = scratch_path(t.spark, "report")
+    report = sinks.markdown_report(t.region.select("r_regionkey", "r_name").orderBy("r_regionkey"), "Regiones")
+    t.spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(path)
+    return t.spark.read.text(path, wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("report"))

@@ -256,10 +256,11 @@ SELECT project_id, strftime(cal.month, '%Y-%m') AS month, round(coalesce(cost, 0
   round(sum(coalesce(cost, 0)) OVER (PARTITION BY project_id ORDER BY cal.month), 4) AS running_cost FROM cal LEFT JOIN m USING (project_id, month)""")
 def win_running_cost(t) -> DataFrame:
     """Cumulative validated cost by month, over every month between a project's first and last."""
-    m = t.expenses.where(valid()).groupBy("project_id", F.trunc("invoice_date", "month").alias("month")).agg(F.sum("total").alias("cost"))
-    span = m.groupBy("project_id").agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    span = span.select("project_id", F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
-    full = span.join(m, ["project_id", "month"], "left").fillna({"cost": 0.0})
+    rows = t.expenses.where(valid()).select("project_id", F.trunc("invoice_date", "month").alias("month"), "total")
+    m = rows.repartition("project_id").groupBy("project_id", "month").agg(F.sum("total").alias("cost"))  # the only shuffle
+    per = m.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "cost"))).alias("costs"), F.min("month").alias("a"), F.max("month").alias("b"))
+    full = per.select("project_id", "costs", F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
+    full = full.select("project_id", "month", F.coalesce(F.col("costs")[F.col("month")], F.lit(0.0)).alias("cost"))
     upto = Window.partitionBy("project_id").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return full.select("project_id", F.date_format("month", "yyyy-MM").alias("month"), r("cost").alias("cost"), r(F.sum("cost").over(upto)).alias("running_cost"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.joins import first_by, nearest, pair_in_order
+from gneiss.operators.joins import cosine, first_by, nearest, pair_in_order
 from gneiss.workloads.base import VIEWS, query
 
 
@@ -149,6 +149,14 @@ def agg_chapter_delta_weighted(t) -> DataFrame:
     )
 
 
+@query(TOTALS + "SELECT round(coalesce(avg(abs(golden - coalesce(found, 0)) / golden), 0), 6) AS mean, count(*) AS n_chapters FROM a LEFT JOIN b USING (chapter) WHERE golden > 0")
+def agg_chapter_delta_mean(t) -> DataFrame:
+    """Mean relative error of the totals of golden chapters."""
+    a, b = chapter_totals(t)
+    gap = F.abs(F.col("golden") - F.coalesce("found", F.lit(0.0))) / F.col("golden")
+    return a.where("golden > 0").join(b, "chapter", "left").agg(F.round(F.coalesce(F.avg(gap), F.lit(0.0)), 6).alias("mean"), F.count("*").alias("n_chapters"))
+
+
 @query("""WITH a AS (SELECT string_split(p_name, ' ')[1] AS prefix, count(*) AS n FROM part GROUP BY 1), b AS (SELECT string_split(p_name, ' ')[1] AS prefix, sum(p_size) AS size FROM part WHERE p_size > 45 GROUP BY 1)
 SELECT prefix, n, coalesce(CAST(size AS BIGINT), 0) AS size FROM a LEFT JOIN b USING (prefix)""")
 def join_chapter_prefix(t) -> DataFrame:
@@ -196,11 +204,11 @@ def join_dag_followers(t) -> DataFrame:
 SELECT p.l_orderkey, p.p_type AS chapter, list_sort(list(n.prereq)) AS missing FROM present p JOIN need n ON n.p_type = p.p_type
 LEFT JOIN present q ON q.l_orderkey = p.l_orderkey AND q.p_type = n.prereq WHERE q.p_type IS NULL GROUP BY 1, 2""")
 def join_missing_prereq(t) -> DataFrame:
-    need = t.spark.createDataFrame([("PROMO", "ECONOMY"), ("STANDARD", "PROMO"), ("LARGE", "SMALL")], "p_type string, prereq string")
-    present = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_type").distinct()
-    wanted = present.join(F.broadcast(need), "p_type")
-    missing = wanted.join(present.select("l_orderkey", F.col("p_type").alias("prereq")), ["l_orderkey", "prereq"], "left_anti")
-    return missing.groupBy("l_orderkey", F.col("p_type").alias("chapter")).agg(F.sort_array(F.collect_list("prereq")).alias("missing"))
+    """Chapters of an order whose prerequisites it lacks: one row an order holds all its chapters."""
+    need = F.create_map(*(F.lit(x) for x in ("PROMO", "ECONOMY", "STANDARD", "PROMO", "LARGE", "SMALL")))
+    have = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_type").alias("have"))
+    lacking = F.filter("have", lambda x: need[x].isNotNull() & ~F.array_contains("have", need[x]))
+    return have.select("l_orderkey", F.explode(lacking).alias("chapter")).select("l_orderkey", "chapter", F.array(need[F.col("chapter")]).alias("missing"))
 
 
 @query("""SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
@@ -211,10 +219,22 @@ def merge_provider_by_cif(t) -> DataFrame:
     return have.unionByName(new)
 
 
-@query("""SELECT 'a' AS source, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE label < 5
-UNION ALL SELECT 'b', p_partkey, 0.0 FROM part WHERE p_type <> 'PROMO'""")
+@query("""SELECT 'a' AS source, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings
+UNION ALL SELECT 'b', p_partkey, 0.0 FROM part""")
 def join_catalog_two_sources(t) -> DataFrame:
-    one = t.embeddings.where("vec_id = 0").select("vec_id", "embedding")
-    a = nearest(one.withColumnRenamed("vec_id", "q"), t.embeddings.where("label < 5"), 1 << 30, "q", "vec_id")
-    b = t.part.where("p_type <> 'PROMO'").select(F.lit("b").alias("source"), F.col("p_partkey").alias("id"), F.lit(0.0).alias("score"))
-    return a.select(F.lit("a").alias("source"), F.col("vec_id").alias("id"), F.round("score", 6).alias("score")).unionByName(b)
+    """All vectors scored against one, and a second source without vectors."""
+    one = F.broadcast(t.embeddings.where("vec_id = 0").limit(1).select(F.col("embedding").alias("_q")))  # one row
+    a = t.embeddings.crossJoin(one).select(F.lit("a").alias("source"), F.col("vec_id").alias("id"), F.round(cosine("_q", "embedding"), 6).alias("score"))
+    return a.unionByName(t.part.select(F.lit("b").alias("source"), F.col("p_partkey").alias("id"), F.lit(0.0).alias("score")))
+
+
+@query("SELECT vec_id, list_transform(embedding[1:16], lambda x: round(CAST(x AS DOUBLE), 6)) AS head FROM embeddings")
+def truncate_vector(t) -> DataFrame:
+    """The first sixteen dimensions of each vector."""
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double"), 6)).alias("head"))
+
+
+@query(r"""SELECT regexp_replace(p_brand, '[^0-9]', '', 'g') AS code, arg_max(p_size, p_partkey) AS quantity FROM part GROUP BY 1""")
+def last_write_wins(t) -> DataFrame:
+    """A dictionary from rows in order: of equal keys the last value stays."""
+    return t.part.groupBy(F.regexp_replace("p_brand", "[^0-9]", "").alias("code")).agg(F.max_by("p_size", "p_partkey").alias("quantity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import budget, rules
-from gneiss.operators.aggregate import count_where
+from gneiss.operators.aggregate import count_where, percentiles, sum_where
 from gneiss.operators.joins import nearest
 from gneiss.operators.matching import fuzzy_ratio, hybrid_similarity
 from gneiss.workloads.base import query
@@ -39,24 +39,36 @@ def categorize_component(t) -> DataFrame:
 @query(PARTS_SQL + """SELECT l_orderkey, round(coalesce(sum(total) FILTER (WHERE category = 'labor'), 0), 2) AS labor_only,
   round(coalesce(sum(total) FILTER (WHERE category <> 'material_variable'), 0), 2) AS labor_and_fixed, round(sum(total), 2) AS complete FROM k GROUP BY 1""")
 def agg_mode_price(t) -> DataFrame:
-    price = lambda mode: budget.mode_price(F.col("parts"), mode, F.lit(0.0)).alias(mode.lower())
-    return budgets(t).select("l_orderkey", *map(price, ("LABOR_ONLY", "LABOR_AND_FIXED", "COMPLETE")))
+    """Price of an order by mode: what of its components each mode leaves out, in one aggregation."""
+    return sums_by_category(t).select("l_orderkey", F.round("labor", 2).alias("labor_only"), F.round(F.col("complete") - F.col("variable"), 2).alias("labor_and_fixed"), F.round("complete", 2).alias("complete"))
+
+
+def sums_by_category(t) -> DataFrame:
+    """Totals of each order's components: labour, variable material, and all."""
+    k = components(t).select("l_orderkey", "total", budget.categorize(F.col("code"), F.col("type"), F.col("is_variable")).alias("c"))
+    return k.groupBy("l_orderkey").agg(
+        sum_where("total", F.col("c") == "labor").alias("labor"), sum_where("total", F.col("c") == "material_variable").alias("variable"), F.sum("total").alias("complete")
+    )
 
 
 @query(PARTS_SQL + """, s AS (SELECT l_orderkey, sum(total) AS pem, sum(total) FILTER (WHERE category = 'labor') AS labor FROM k GROUP BY 1)
 SELECT l_orderkey, round(pem, 2) AS pem, round(pem - coalesce(labor, 0), 2) AS deduction, round(pem * 1.25 * 1.1, 7) AS complete_total, round(coalesce(labor, 0) * 1.25 * 1.1, 7) AS execution_total FROM s""")
 def agg_editor_breakdown(t) -> DataFrame:
-    s = budgets(t).select("l_orderkey", budget.total_of(F.col("parts")).alias("pem"), budget.mode_price(F.col("parts"), "LABOR_ONLY", F.lit(0.0)).alias("labor"))
+    s = sums_by_category(t).withColumnRenamed("complete", "pem")
     return s.select(
         "l_orderkey", F.round("pem", 2).alias("pem"), F.round(F.col("pem") - F.col("labor"), 2).alias("deduction"),
         F.round(F.col("pem") * 1.25 * 1.1, 7).alias("complete_total"), F.round(F.col("labor") * 1.25 * 1.1, 7).alias("execution_total"),
     )
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 1.25, 6) AS unit_price, o_totalprice AS unit_price_raw FROM orders")
+@query(PARTS_SQL + """SELECT l_orderkey, round(round(sum(total), 2) * 1.2, 2) AS unit_price, round(sum(total), 2) AS unit_price_raw, round(3 * round(round(sum(total), 2) * 1.2, 2), 2) AS total_price,
+  round(sum(round(total * 1.2, 2)), 2) AS parts_total, round(sum(total), 2) AS parts_raw FROM k GROUP BY 1""")
 def bake_markup(t) -> DataFrame:
-    factor = budget.markup_factor(F.lit(10.0), F.lit(15.0))
-    return t.orders.select("o_orderkey", F.round(F.col("o_totalprice") * factor, 6).alias("unit_price"), F.col("o_totalprice").alias("unit_price_raw"))
+    """A budget line and its components marked up, the raw values beside them."""
+    factor = budget.markup_factor(F.lit(10.0), F.lit(10.0))
+    b = budgets(t).select("l_orderkey", budget.bake_markup(F.round(budget.total_of(F.col("parts")), 2), F.lit(3.0), F.col("parts"), factor).alias("b"))
+    total = lambda name: F.round(F.aggregate(F.col("b.parts"), F.lit(0.0), lambda s, p: s + p[name]), 2)
+    return b.select("l_orderkey", "b.unit_price", "b.unit_price_raw", "b.total_price", total("total").alias("parts_total"), total("raw_total").alias("parts_raw"))
 
 
 @query("SELECT o_orderkey, round(1.25 / (1.0 + (o_orderkey % 5) * 5 / 100.0), 6) AS shown FROM orders")
@@ -79,11 +91,13 @@ def detect_divergence(t) -> DataFrame:
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", (gap > 0.005).alias("diverges"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN abs(1 - p_retailprice * l_quantity / l_extendedprice) < 0.0001 THEN l_extendedprice ELSE p_retailprice * l_quantity END AS reconciled FROM lineitem JOIN part ON p_partkey = l_partkey""")
+@query(PARTS_SQL + "SELECT l_orderkey, count(*) AS n_parts, l_orderkey % 3 <> 0 AS scaled, TRUE AS sums_up FROM k GROUP BY 1")
 def force_reconcile(t) -> DataFrame:
-    target = F.col("p_retailprice") * F.col("l_quantity")
-    kept = F.when(F.abs(1 - target / F.col("l_extendedprice")) < 1e-4, F.col("l_extendedprice")).otherwise(target)
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", kept.alias("reconciled"))
+    """Components scaled to a price whatever it is, and left alone where it is their sum already."""
+    b = budgets(t).withColumn("total", budget.total_of(F.col("parts"))).withColumn("price", F.col("total") * (1 + F.col("l_orderkey") % 3 * 0.04))
+    r = b.select("l_orderkey", "price", "total", "parts", budget.force_scale(F.col("price"), F.col("parts")).alias("now"))
+    n = F.size("now").cast("bigint")
+    return r.select("l_orderkey", n.alias("n_parts"), (F.col("now") != F.col("parts")).alias("scaled"), (F.abs(budget.total_of(F.col("now")) - F.col("price")) <= 0.006 * n).alias("sums_up"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE (l_extendedprice * l_quantity / l_extendedprice) END, 4) AS yield_amount FROM lineitem""")
@@ -147,9 +161,9 @@ def agg_diagnose_patterns(t) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_returnflag").alias("match_kind"), F.col("l_linenumber").alias("unit")).agg(F.count("*").alias("n"), count_where(F.col("l_discount") > 0.05).alias("n_flagged"))
 
 
-@query("SELECT p_brand AS reason, count(*) AS n, min(p_name) AS example FROM part WHERE p_size < 10 GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT p_brand AS reason, count(*) AS n, min(p_name) AS example FROM part GROUP BY 1 HAVING count(*) >= 2")
 def agg_fragment_by_reason(t) -> DataFrame:
-    return t.part.where("p_size < 10").groupBy(F.col("p_brand").alias("reason")).agg(F.count("*").alias("n"), F.min("p_name").alias("example")).where("n >= 2")
+    return t.part.groupBy(F.col("p_brand").alias("reason")).agg(F.count("*").alias("n"), F.min("p_name").alias("example")).where("n >= 2")
 
 
 @query("SELECT l_partkey, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) AS first_order FROM lineitem GROUP BY 1")
@@ -173,13 +187,11 @@ def agg_recall(t) -> DataFrame:
 r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM d)
 SELECT round((SELECT median(d) FROM d), 6) AS p50, round((SELECT max(d) FROM r WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)), 6) AS p95""")
 def agg_price_delta_percentiles(t) -> DataFrame:
-    """Median by interpolation; the 95th percentile by the lower index, from a distributed percentile."""
+    """Median by interpolation; the 95th percentile by the lower index, both from places in the whole order."""
     base = F.col("p_retailprice") * F.col("l_quantity")
     d = t.lineitem.join(t.part.where("p_retailprice > 0"), F.col("l_partkey") == F.col("p_partkey")).select((F.abs(F.col("l_extendedprice") - base) / base).alias("d"))
-    counts = d.agg(F.count("*").alias("n"))
-    n = counts.first().n
-    lower = int(0.95 * (n - 1)) / max(1, n - 1)
-    return d.agg(F.round(F.percentile("d", 0.5), 6).alias("p50"), F.round(F.percentile("d", lower), 6).alias("p95"))
+    p = percentiles(d, "d", p50=("middle", 0.5), p95=("lower", 0.95))
+    return p.select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("""SELECT p_type AS chapter, count(*) FILTER (WHERE p_size > 10) AS n_now, count(*) AS n_base, 1 - count(*) FILTER (WHERE p_size > 10) * 1.0 / count(*) <= 0.2 AS passes FROM part GROUP BY 1""")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions import text, units
+from gneiss.functions import files, text, units
 from gneiss.operators.aggregate import count_where
+from gneiss.plans import layout
 from gneiss.workloads.base import query
 
 
@@ -54,12 +55,15 @@ def unit_convert(t) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(converted, 6).alias("converted"))
 
 
-@query(r"""SELECT doc_id, length(s) AS n, list_filter(['ignore previous', 'system prompt', 'the the'], lambda x: contains(lower(s), x)) AS matched FROM (SELECT doc_id, substring(trim(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), ' '), 1, 5000) AS s FROM documents)""")
+INJECTION_SQL = ", ".join(f"'{p}'" for p in text.INJECTIONS)
+
+
+@query(rf"""WITH s AS (SELECT doc_id, substring(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F]', ' ', 'g'), '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{FEFF}}]', '', 'g'), ' '), 1, 5000) AS s FROM documents)
+SELECT doc_id, length(s) AS n, list_filter([{INJECTION_SQL}], lambda p: regexp_matches(s, p, 'i')) AS matched FROM s""")
 def sanitize_text(t) -> DataFrame:
-    s = text.sanitize(F.coalesce("text", F.lit("")))
-    patterns = F.array(*map(F.lit, ("ignore previous", "system prompt", "the the")))
-    clean = t.documents.select("doc_id", s.alias("s"))
-    return clean.select("doc_id", F.length("s").cast("bigint").alias("n"), F.filter(patterns, lambda p: F.contains(F.lower("s"), p)).alias("matched"))
+    """Clean text and the patterns of prompt injection that it matches; texts are cut to 5,000 characters by the operator."""
+    clean = t.documents.select("doc_id", text.sanitize(F.coalesce("text", F.lit(""))).alias("s"))
+    return clean.select("doc_id", F.length("s").cast("bigint").alias("n"), text.injections(F.col("s")).alias("matched"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4000 THEN substring(text, 1, 3997) || '…' ELSE text END AS reply FROM documents")
@@ -75,11 +79,17 @@ def token_set(t) -> DataFrame:
     return t.documents.select("doc_id", F.size(text.token_set(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
-@query(f"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '[a-záéíóúñü0-9]{{3,}}')), lambda x: x NOT IN ({STOP_SQL})) AS a,
-  list_filter(list_distinct(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]{{3,}}')), lambda x: x NOT IN ({STOP_SQL})) AS b FROM benchmark)
+@query(f"""WITH n AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(CASE WHEN length(x) <= length(y) THEN x ELSE y END), '[a-záéíóúñü0-9]{{3,}}')), lambda x: x NOT IN ({STOP_SQL})) AS a,
+  list_filter(list_distinct(regexp_extract_all(lower(CASE WHEN length(x) <= length(y) THEN y ELSE x END), '[a-záéíóúñü0-9]{{3,}}')), lambda x: x NOT IN ({STOP_SQL})) AS b FROM n)
 SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / greatest(len(a), 4) END, 6) AS coverage FROM w""")
 def token_coverage(t) -> DataFrame:
-    return t.benchmark.select("item_id", F.round(text.token_coverage(F.substring("text", 1, 60), F.col("text")), 6).alias("coverage"))
+    """How much of an item's words the next one has, or the other way round: of the shorter of the two."""
+    b = t.benchmark.select("item_id", "text")
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    first = F.length("text") <= F.length("other")
+    short, long = F.when(first, F.col("text")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("text"))
+    return pairs.select("item_id", F.round(text.token_coverage(short, long), 6).alias("coverage"))
 
 
 @query("""SELECT p_partkey, round(len(list_filter(['red', 'small', 'widget'], lambda x: contains(lower(p_name), x))) / 3.0, 6) AS score FROM part""")
@@ -155,13 +165,16 @@ def classify_price_doc(t) -> DataFrame:
     return d.select("doc_id", "n_numbers", "score", F.when(F.col("score") >= 4, "OUTPUT").when(F.col("n_numbers") > 0, "INPUT").otherwise("UNKNOWN").alias("role"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE length(trim(line)) >= 30 AND regexp_matches(lower(trim(line)), '^(licensed|released|this)')) AS n_work FROM l GROUP BY 1""")
+VERB_SQL = ", ".join(f"'{v.lower()}'" for v in layout.WORK_VERBS)
+
+
+@query(f"""WITH l AS (SELECT p_partkey, list_extract([{VERB_SQL}, 'licensed', 'para'], CAST(p_partkey % 40 AS INTEGER) + 1) AS verb, p_name FROM part)
+SELECT p_partkey, coalesce(length(verb || 's de ' || p_name || ' en obra') >= 30 AND verb NOT IN ('licensed', 'para'), FALSE) AS is_work FROM l""")
 def work_verb_line(t) -> DataFrame:
-    """Lines of 30 characters or more that open with one of some words."""
-    lines = t.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    opens = F.exists(F.array(*map(F.lit, ("licensed", "released", "this"))), lambda v: F.startswith(F.lower(F.trim("line")), v))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), count_where((F.length(F.trim("line")) >= 30) & opens).alias("n_work"))
+    """Lines of 30 characters or more that open with a word of work, whatever its case."""
+    verbs = F.array(*(F.lit(v.upper()) for v in layout.WORK_VERBS), F.lit("Licensed"), F.lit("Para"))
+    line = F.concat(F.lit("  "), F.get(verbs, (F.col("p_partkey") % 40).cast("int")), F.lit("s de "), "p_name", F.lit(" en obra "))
+    return t.part.select("p_partkey", F.coalesce(layout.work_line(line), F.lit(False)).alias("is_work"))
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(regexp_extract_all(html, 'href=')) AS n_links FROM pages""")
@@ -176,14 +189,75 @@ def pattern_frequency(t) -> DataFrame:
     return k.groupBy("pattern").agg(F.count("*").alias("n_pages"), F.round(F.avg(F.regexp_count("html", F.col("pattern"))), 6).alias("per_page"))
 
 
-@query("""SELECT p_brand, string_agg(p_name, ' / ' ORDER BY p_partkey) AS merged FROM part WHERE p_size > 40 GROUP BY 1""")
+@query("""SELECT p_brand, string_agg(p_name, ' / ' ORDER BY p_partkey) AS merged FROM part GROUP BY 1""")
 def merge_chapters_by_name(t) -> DataFrame:
     """Lists concatenated in page order."""
-    rows = t.part.where("p_size > 40").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
+    rows = t.part.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
     return rows.select("p_brand", F.array_join(F.transform("x", lambda s: s["p_name"]), " / ").alias("merged"))
 
 
-@query("SELECT p_type, CASE WHEN contains(all_names, 'widget') THEN 'widget' WHEN contains(all_names, 'ring') THEN 'ring' ELSE 'other' END AS kind FROM (SELECT p_type, string_agg(p_name, ' ') AS all_names FROM part WHERE p_size = 7 GROUP BY 1)")
+@query("SELECT p_type, CASE WHEN contains(all_names, 'widget') THEN 'widget' WHEN contains(all_names, 'ring') THEN 'ring' ELSE 'other' END AS kind FROM (SELECT p_type, string_agg(p_name, ' ') AS all_names FROM part GROUP BY 1)")
 def project_type_detect(t) -> DataFrame:
-    names = t.part.where("p_size = 7").groupBy("p_type").agg(F.concat_ws(" ", F.collect_list("p_name")).alias("n"))
-    return names.select("p_type", F.when(F.contains("n", F.lit("widget")), "widget").when(F.contains("n", F.lit("ring")), "ring").otherwise("other").alias("kind"))
+    has = lambda w: F.bool_or(F.contains("p_name", F.lit(w)))
+    return t.part.groupBy("p_type").agg(F.when(has("widget"), "widget").when(has("ring"), "ring").otherwise("other").alias("kind"))
+
+
+#: How file names of budgets are made up here: a date or none, a project, a version or none, a kind of file.
+_NAMES_SQL = """WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN '20241345_' ELSE '20' || (20 + c_custkey % 6) || '-0' || (1 + c_custkey % 9) || '-1' || (c_custkey % 9) || '_' END AS d,
+  'PPTO ' || c_mktsegment || ' Nave-' || c_nationkey AS project, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '_v' || (1 + c_custkey % 5) ELSE ' rev 0' || (1 + c_custkey % 3) END AS version,
+  list_extract(['.pdf', '.xlsx', '.bc3', '.zip'], CAST(c_custkey % 4 AS INTEGER) + 1) AS ext FROM customer),
+p AS (SELECT c_custkey, ext, CASE WHEN d IN ('', '20241345_') THEN NULL ELSE CAST(left(d, 10) AS DATE) END AS date,
+  CASE WHEN version = '' THEN 0 ELSE CAST(regexp_extract(version, '[0-9]+', 0) AS BIGINT) END AS version,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(lower(replace(project, '-', ' ')), ' '), lambda x: x <> 'ppto'))), '_') AS slug FROM f) """
+
+
+def _files(t) -> DataFrame:
+    key = F.col("c_custkey")
+    date = F.when(key % 3 == 0, "").when(key % 7 == 0, "20241345_").otherwise(F.format_string("20%d-0%d-1%d_", 20 + key % 6, 1 + key % 9, key % 9))
+    version = F.when(key % 4 == 0, "").when(key % 4 == 1, F.format_string("_v%d", 1 + key % 5)).otherwise(F.format_string(" rev 0%d", 1 + key % 3))
+    ext = F.get(F.array(*map(F.lit, (".pdf", ".xlsx", ".bc3", ".zip"))), (key % 4).cast("int"))
+    name = F.concat(date, F.lit("PPTO "), "c_mktsegment", F.lit(" Nave-"), F.col("c_nationkey").cast("string"), version, ext)
+    return files.parsed(t.customer.select("c_custkey", name.alias("name")), "name")
+
+
+@query(_NAMES_SQL + "SELECT c_custkey, strftime(date, '%Y-%m-%d') AS date FROM p")
+def date_prefix(t) -> DataFrame:
+    """The date that a file's name begins with, null without one that exists."""
+    return _files(t).select("c_custkey", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query(_NAMES_SQL + "SELECT c_custkey, version, slug FROM p")
+def version_extract(t) -> DataFrame:
+    """Version and project of a file's name."""
+    return _files(t).select("c_custkey", F.col("version").cast("bigint").alias("version"), "slug")
+
+
+@query(_NAMES_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY date DESC NULLS LAST, version DESC, CASE ext WHEN '.pdf' THEN 3 WHEN '.xlsx' THEN 2 WHEN '.bc3' THEN 1 ELSE 0 END DESC, c_custkey) AS n FROM p WHERE ext <> '.zip')
+SELECT c_custkey, slug, CASE WHEN n > 1 OR date IS NULL THEN '02-borradores-sin-cierre' WHEN year(date) >= 2025 THEN '00-golden-candidates-2025' ELSE '01-aprobados-pre-2025' END AS category FROM r
+UNION ALL SELECT c_custkey, '_', '99-formato-raro' FROM p WHERE ext = '.zip'""")
+def pipe_doc_classify_plan(t) -> DataFrame:
+    """Which folder each file of a project goes to."""
+    return files.plan(_files(t), "c_custkey").select("c_custkey", "slug", "category")
+
+
+@query("SELECT c_custkey, 'Hola ' || c_name || ', {{other}} ' || c_mktsegment || c_mktsegment || ' ' AS prompt FROM customer")
+def prompt_placeholder_replace(t) -> DataFrame:
+    """Named places of a template filled in, all their occurrences; unknown ones stay, a null is left empty."""
+    values = {"name": F.col("c_name"), "kind": F.col("c_mktsegment"), "none": F.lit(None).cast("string")}
+    return t.customer.select("c_custkey", text.fill_template(F.lit("Hola {{name}}, {{other}} {{kind}}{{kind}} {{none}}"), values).alias("prompt"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 2 - c_custkey % 2 END AS n_items, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE '{"items": [' || '{"a": "x}", "b": {"c": ' || c_nationkey || '}}' || CASE WHEN c_custkey % 2 = 0 THEN ', {"a": "]"}' ELSE '' END || ']}' END AS fixed FROM customer""")
+def json_salvage(t) -> DataFrame:
+    """Whole objects of an answer that was cut off, as JSON again."""
+    first = F.concat(F.lit('{"a": "x}", "b": {"c": '), F.col("c_nationkey").cast("string"), F.lit("}}"))
+    tail = F.when(F.col("c_custkey") % 2 == 0, ', {"a": "]"}, {"a": "cut').otherwise(', {"a": {"b": 1')
+    raw = F.when(F.col("c_custkey") % 4 == 3, F.lit('{"items": [{"a": ')).otherwise(F.concat(F.lit('{"items": ['), first, tail))
+    return t.customer.select("c_custkey", text.salvage_json(raw).alias("s")).select("c_custkey", F.col("s.n_items").cast("bigint").alias("n_items"), F.col("s.fixed").alias("fixed"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{"items": [' || c_nationkey || ']}' ELSE '{"items": []}' END AS fixed FROM customer""")
+def json_wrap_array(t) -> DataFrame:
+    """A bare array as the only field of an object; anything else as it is."""
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("["), F.col("c_nationkey").cast("string"), F.lit("]"))).otherwise('{"items": []}')
+    return t.customer.select("c_custkey", text.wrap_array(raw, "items").alias("fixed"))

@@ -82,15 +82,118 @@ def test_layout_classes_and_items(spark):
 
 
 def test_retrieval(spark):
-    lines = spark.createDataFrame([(1, "C02 Alicatados", "Alicatado de gres porcelánico en baño", ["tiles"])], "line_id long, chapter string, description string, topics array<string>")
-    now = datetime(2026, 1, 1)
-    frag = lambda i, desc, days=10, status="golden", base=False, tags=("tiles",): (i, status, "c02 alicatados", list(tags), desc, now - timedelta(days=days), base)
-    schema = "fragment_id long, status string, chapter string, tags array<string>, description string, at timestamp, is_baseline boolean"
-    run = lambda *rows: [r.fragment_id for r in retrieval.retrieve_fragments(lines, spark.createDataFrame(rows, schema), "2026-01-01").orderBy("rank").collect()]
     same = "Alicatado de gres porcelánico en baño"
-    assert run(frag(1, same, base=True)) == [1]
-    assert run(frag(1, same)) == []
-    assert run(frag(1, same), frag(2, "Alicatado de gres en baño"), frag(3, same, 999), frag(4, same, status="draft"), frag(5, same, tags=("wood",))) == [1, 2]
+    lines = spark.createDataFrame([(1, "02.04", "C02 Alicatados", same, ["tiles"])], "line_id long, code string, chapter string, description string, topics array<string>")
+    now = datetime(2026, 1, 1)
+    frag = lambda i, desc=same, days=10, status="golden", base=False, tags=("chapter:C02 Alicatados", "tiles"): (i, status, list(tags), desc, now - timedelta(days=days), base)
+    schema = "fragment_id long, status string, tags array<string>, description string, at timestamp, is_baseline boolean"
+    run = lambda *rows, **k: [r.fragment_id for r in retrieval.retrieve_fragments(lines, spark.createDataFrame(rows, schema), "2026-01-01", **k).orderBy("rank").collect()]
+    assert run(frag(1, base=True)) == [1]
+    assert run(frag(1)) == []
+    assert run(frag(1), frag(2, "Alicatado de gres en baño"), frag(3, days=999), frag(4, status="draft"), frag(5, tags=("chapter:c02", "wood")), frag(6, " ")) == [1, 2]
+    tags = (["cross_chapter:true"], ["chapter_code:2", "tiles"], ["chapter_code:02", "reason:x", "Tiles"], ["Chapter:ALICATADOS"], ["chapter_code:3"], ["tiles"], None)
+    assert run(*(frag(i, tags=t or ()) for i, t in enumerate(tags))) == [0, 1, 2, 3]
+    assert len(run(*(frag(i) for i in range(9)))) == 9 and len(run(*(frag(i) for i in range(9)), top=5)) == 5
+
+
+def test_table_head_in_any_case(spark):
+    text = "CÓDIGO UD RESUMEN\n" + "\n".join(f"1.{i} Ud TÍTULO {i}" for i in range(4)) + "\n" + "x" * 200
+    df = spark.createDataFrame([(1, 1, text)], "doc_id long, page_no int, text string")
+    assert layout.classify(df).first().confidence == 0.85
+
+
+def test_work_lines_and_pages(spark):
+    lines = [("  SUMINISTRO y colocación de puerta interior",), ("Puerta interior de suministro y colocación",), ("Picado corto",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(lines, "t string").select(layout.work_line(F.col("t"))).collect()] == [True, False, False, None]
+    docs = spark.createDataFrame([(1, "a\nb\fc\nd\ne"), (2, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in layout.text_pages(docs, lines=2).collect()) == [(1, 1, "a\nb"), (1, 2, "c\nd"), (1, 3, "e"), (2, 1, "")]
+
+
+def test_file_names(spark):
+    from gneiss.functions import files
+
+    names = ["20240105_PPTO Hotel Marte-Reforma V6_solo local.PDF", "2025-03-01 reforma hotel marte.xlsx", "20241345_Casa rev 02.bc3", "notas revisada.pdf", "plano.dwg", "marte reforma hotel v2.bc3"]
+    rows = files.plan(files.parsed(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string"), "name"), "i")
+    got = {r.i: (r.slug, str(r.date), r.version, r.category) for r in rows.collect()}
+    assert got == {
+        0: ("hotel_marte_reforma", "2024-01-05", 6, files.DRAFTS),
+        1: ("hotel_marte_reforma", "2025-03-01", 0, files.GOLDEN),
+        2: ("casa", "None", 2, files.DRAFTS),
+        3: ("notas", "None", 1, files.DRAFTS),
+        4: ("_", "None", 0, files.RAW),
+        5: ("hotel_marte_reforma", "None", 2, files.DRAFTS),
+    }
+
+
+def test_positions_and_percentiles(spark):
+    from gneiss.operators.aggregate import percentiles, positions
+
+    df = spark.createDataFrame([(float(i * 7 % 101),) for i in range(101)] + [(None,)], "v double").repartition(5)
+    assert all(r.v == r.position for r in positions(df.where("v IS NOT NULL"), "v").collect())
+    assert tuple(percentiles(df, "v", a=("middle", 0.125), b=("lower", 0.129)).first()) == (12.5, 12.0)
+    assert tuple(percentiles(df.where("false"), "v", a=("middle", 0.5)).first()) == (None,)
+
+
+def test_nearest_matches_all_pairs(spark):
+    import numpy as np
+
+    from gneiss.operators.joins import nearest
+
+    rng = np.random.default_rng(2)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    vectors[5], vectors[9], vectors[11] = 0, vectors[8], vectors[8]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, None)], "id long, embedding array<float>").repartition(4)
+    unit = np.vstack([vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), np.zeros(8)])
+    q = df.where("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
+    for block in (64 << 20, 130):
+        got = {(r.q, r["rank"]): r.id for r in nearest(q, df, 7, "q", "id", block_bytes=block).collect()}
+        for i in range(0, 301, 50):
+            score = np.round(unit @ unit[i], 9)
+            best = sorted(range(301), key=lambda j: (-score[j], j))[:7]
+            assert [round(float(score[got[i, n]]), 6) for n in range(1, 8)] == [round(float(score[j]), 6) for j in best]
+
+
+def cascade_plain(golden, found, threshold=0.75):
+    """Rows (seq, code, description) of one block, golden ones in order, each found one used once."""
+    import re
+    from difflib import SequenceMatcher
+
+    clean, used, out = (lambda c: re.sub(r"[^\w]", "", c).lower()), set(), {}
+    for level, key in (("exact_code", lambda c: c), ("normalized_code", clean)):
+        for g, code, _ in golden:
+            if g not in out and key(code):
+                hit = next((p for p, c, _ in found if p not in used and key(c) == key(code)), None)
+                if hit is not None:
+                    out[g] = (hit, level)
+                    used.add(hit)
+    for g, _, text in golden:
+        if g not in out and text:
+            best = max(((SequenceMatcher(None, text.lower(), d.lower()).ratio(), -p) for p, _, d in found if p not in used), default=(0, 0))
+            if best[0] >= threshold:
+                out[g] = (-best[1], "fuzzy_description")
+                used.add(-best[1])
+    return out
+
+
+def test_cascade_queries_match_plain_version(spark, sf):
+    from collections import defaultdict
+
+    from gneiss import catalog
+
+    blocks = defaultdict(lambda: ([], []))
+    for r in spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect():
+        blocks[f"{r.p_type} {r.p_brand}"][r.p_partkey % 2].append((r.p_partkey, f"{r.p_brand}-{r.p_size}", f"{r.p_name} {r.p_brand}"))
+    for name, threshold in (("join_cascade_match", 0.75), ("join_cascade_full", 0.55)):
+        got = defaultdict(dict)
+        for r in catalog.queries()[name](spark, sf).collect():
+            if r.golden_seq is not None and r.found_seq is not None:
+                got[r.block][r.golden_seq] = (r.found_seq, r.level)
+        assert dict(got) == {b: m for b, (g, f) in blocks.items() if (m := cascade_plain(g, f, threshold))}
+    report = catalog.queries()["pipe_eval_report"](spark, sf).first()
+    matched = {b: cascade_plain(g, f) for b, (g, f) in blocks.items()}
+    n, levels = sum(len(g) for g, _ in blocks.values()), [x for m in matched.values() for _, x in m.values()]
+    assert (report.golden_count, report.matches_count, report.recall) == (n, len(levels), round(len(levels) / n, 3))
+    assert report.precision_1to1 == round(levels.count("exact_code") / len(levels), 3)
 
 
 def test_sinks(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from gneiss.streaming import jobs
@@ -38,7 +39,7 @@ def test_rate_limiter_as_a_stream(spark, tmp_path):
     _, df = calls(spark)
     df.write.parquet(str(tmp_path / "in"))
     stream = jobs.rate_limit(jobs.read_events(spark, str(tmp_path / "in"), 100), 3, 60_000)
-    got = jobs.run_available(stream, "limits")
+    got = jobs.run_available(stream)
     key = lambda r: (r.user_id, r.ts)
     assert sorted(got.collect(), key=key) == sorted(jobs.rate_limit(df, 3, 60_000).collect(), key=key)
 
@@ -55,15 +56,58 @@ def test_job_states(spark):
 
 
 def test_upsert_keeps_the_newest_row(spark, tmp_path):
-    write = jobs.upsert(str(tmp_path / "t"), "k", "at")
+    path = str(tmp_path / "t")
+    write, table = jobs.upsert(path, "k", "at"), jobs.Versions(spark, path)
     schema = "k string, at long, v string"
-    write(spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], schema), 0)
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    write(batch(("a", 1, "x"), ("b", 5, "y")), 0)
     for _ in range(2):  # a batch may run again
-        write(spark.createDataFrame([("a", 2, "z"), ("b", 4, "old"), ("c", 1, "n")], schema), 1)
-    assert {(r.k, r.at, r.v) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {("a", 2, "z"), ("b", 5, "y"), ("c", 1, "n")}
+        write(batch(("a", 2, "z"), ("b", 4, "old"), ("c", 1, "n")), 1)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 2, "z"), ("b", 5, "y"), ("c", 1, "n")}
+    write(batch(("d", 1, "x")), 2)
+    assert table.marks() == [1, 2] and table.read().count() == 4
+    with pytest.raises(ValueError):
+        write(batch(("a", 9, "lost checkpoint")), 0)
+    with pytest.raises(ValueError):
+        write(batch(("a", 9, "gap")), 4)
+    assert table.read().count() == 4
+
+
+def test_folds_do_not_depend_on_partitions(spark):
+    import random
+
+    from gneiss.operators import ordered
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2]), i, rng.choice(["queued", "running", "completed", "failed", "cancelled"]), float(rng.randint(-60, 60))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "job_id long, ts long, status string, d double")
+    score, state, illegal = {1: 0.0, 2: 0.0}, {1: "queued", 2: "queued"}, {1: 0, 2: 0}
+    for k, _, s, d in rows:
+        score[k] = min(100.0, max(0.0, score[k] + d))
+        if s in jobs.JOB_TRANSITIONS[state[k]]:
+            state[k] = s
+        else:
+            illegal[k] += 1
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            assert {r.job_id: r.score for r in ordered.clamped_score(df, ["job_id"], "ts", "ts", "d").collect()} == score
+            assert {r.job_id: (r.status, r.illegal) for r in jobs.job_states(df).collect()} == {k: (state[k], illegal[k]) for k in state}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tail_retention_and_sequences(spark):
+    df = spark.createDataFrame([(i, i % 2, T0 + timedelta(hours=i)) for i in range(10)], "event_id long, user_id long, ts timestamp")
+    assert {(r.user_id, r.event_id) for r in jobs.tail(df, "user_id", 2).collect()} == {(0, 8), (0, 6), (1, 9), (1, 7)}
+    assert jobs.keep_recent(df, "2024-01-01 15:00:00").count() == 6
+    steps = spark.createDataFrame([(0, 0, 0, "A"), (0, 1, 2, "CONTROL")], "sequence_id long, step long, day_offset int, target string")
+    e = spark.createDataFrame([(1, 0, 0, "B", T0), (2, 0, 1, "B", T0), (3, 9, 0, "A", T0)], "enrollment_id long, sequence_id long, step long, variant string, due timestamp")
+    got = {r.enrollment_id: (r.sent, r.step, r.status, r.due) for r in jobs.advance_sequences(e, steps).collect()}
+    assert got == {1: (False, 1, "ACTIVE", T0 + timedelta(days=2)), 2: (True, 1, "COMPLETED", None), 3: (False, 0, "COMPLETED", None)}
 
 
 def test_repeats_count_once(spark, tmp_path):
     df = spark.createDataFrame([(1, T0), (1, T0), (2, T0 + timedelta(minutes=5))], "event_id long, ts timestamp")
     df.write.parquet(str(tmp_path / "in"))
-    assert jobs.run_available(jobs.once(jobs.read_events(spark, str(tmp_path / "in"), 100)), "once").agg(F.count("*")).first()[0] == 2
+    assert jobs.run_available(jobs.once(jobs.read_events(spark, str(tmp_path / "in"), 100))).agg(F.count("*")).first()[0] == 2
