@@ -57,3 +57,18 @@ def plan(files: DataFrame, tie: str, year: int = 2025) -> DataFrame:
     rows = files.where(~raw).withColumn("_n", F.row_number().over(newest))
     folder = F.when((F.col("_n") > 1) | F.col("date").isNull(), DRAFTS).when(F.year("date") >= year, GOLDEN).otherwise(APPROVED)
     return rows.withColumn("category", folder).drop("_n").unionByName(files.where(raw).withColumn("slug", F.lit("_")).withColumn("category", F.lit(RAW)))
+
+
+def largest_pairs(files: DataFrame) -> DataFrame:
+    """(folder, measurement, budget): of each folder's files (folder, name, size) the largest of either kind.
+
+    Without a budget by name the largest other file counts, else the largest that is neither a certificate nor
+    an invoice nor that measurement itself; folders without a pair are left out, ties go to the later name.
+    """
+    begins = lambda kind: F.startswith("name", F.lit(f"{kind}_"))
+    largest = lambda cond: F.max_by("name", F.when(cond, F.struct("size", "name")))
+    m = files.where(begins("MEDICION")).groupBy("folder").agg(F.max_by("name", F.struct("size", "name")).alias("measurement"))
+    rows = files.join(m, "folder").where(F.col("name") != F.col("measurement"))
+    other = ~F.contains("name", F.lit("CERTIFICACION")) & ~F.contains("name", F.lit("FACTURA"))
+    found = rows.groupBy("folder", "measurement").agg(F.coalesce(largest(begins("PRESUPUESTO")), largest(begins("OTRO")), largest(other)).alias("budget"))
+    return found.where("budget IS NOT NULL")

@@ -56,3 +56,20 @@ def price_scale(found: Column, stored: Column) -> Column:
     """How a price read from text relates to the stored one."""
     ratio = stored / F.when(found > 0, found)
     return F.when(ratio.between(90, 110), "times_100").when((ratio < 0.9) | (ratio > 1.1), "suspicious").otherwise("ok")
+
+
+def match_ladder(candidates: Column) -> Column:
+    """Struct (price, confidence) from candidates (price, type, verified) in order.
+
+    The first that is verified counts (95 for labour, else 75), else the first of labour (85), else the first of
+    material with two fifths more (60), else there is no price (30).
+    """
+    first = lambda cond: F.get(F.filter(candidates, cond), F.lit(0))
+    known, labor, material = first(lambda c: c["verified"]), first(lambda c: c["type"] == "LABOR"), first(lambda c: c["type"] == "MATERIAL")
+    rung = lambda price, confidence: F.struct(price.cast("double").alias("price"), confidence.cast("int").alias("confidence"))
+    return (
+        F.when(known.isNotNull(), rung(known["price"], F.when(known["type"] == "LABOR", 95).otherwise(75)))
+        .when(labor.isNotNull(), rung(labor["price"], F.lit(85)))
+        .when(material.isNotNull(), rung(material["price"] * 1.4, F.lit(60)))
+        .otherwise(rung(F.lit(None), F.lit(30)))
+    )

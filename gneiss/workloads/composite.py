@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import budget, units
 from gneiss.operators import matching, ordered
 from gneiss.operators.aggregate import count_where
-from gneiss.plans import dag, layout, retrieval
+from gneiss.plans import dag, layout, pricing, retrieval
 from gneiss.sources import sinks
 from gneiss.sources.scratch import scratch_path
 from gneiss.workloads.base import VIEWS, query
@@ -333,20 +333,46 @@ def pipe_catalog_reindex(t) -> DataFrame:
     return t.part.where("p_retailprice > 0").select(F.col("p_partkey").alias("item_id"), s.alias("embedding_text"), F.array(F.length(s).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("embedding"))
 
 
-PRICED = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, p_type, p_retailprice, contains(p_name, 'red') AS ancillary FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')),
-first AS (SELECT l_orderkey, sum(l_quantity * p_retailprice) AS pem FROM c WHERE NOT ancillary GROUP BY 1) """
+PRICED = """WITH cat AS (SELECT vec_id AS item_id, embedding, 'c' || (vec_id % 97) AS code, ['k' || label] AS words, label % 3 AS dimension, CASE label % 2 WHEN 0 THEN 'm2' ELSE 'ud' END AS unit, CAST(10 + vec_id % 50 AS DOUBLE) AS price FROM embeddings),
+lin AS (SELECT vec_id AS line_id, vec_id // 50 % 4 AS budget_id, vec_id AS seq, 'ch' || (label % 2) AS chapter, CASE WHEN label = 3 THEN 'Medios auxiliares de obra' ELSE 'Solado' END AS description, embedding, ['k' || (label % 4), 'k9'] AS keywords,
+  label % 3 AS dimension, 'm2' AS unit, CAST(1 + label AS DOUBLE) AS quantity FROM embeddings WHERE vec_id % 50 = 0),
+n AS (SELECT l.*, c.item_id, c.code, c.words, c.dimension AS cd, c.unit AS cu, c.price, list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS cosine FROM lin l, cat c),
+near AS (SELECT *, cosine * (1 + 0.5 * len(list_intersect(keywords, words)) / 2.0) * CASE WHEN dimension <> cd THEN 0.3 ELSE 1.0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY cosine DESC, item_id) AS r FROM n) WHERE r <= 45),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id, code ORDER BY score DESC, item_id) AS k FROM near) WHERE k = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, item_id) AS rank FROM once) """
 
 
-@query(PRICED + """SELECT l_orderkey, round(sum(CASE WHEN ancillary THEN 0.02 * coalesce(pem, 0) ELSE l_quantity * p_retailprice END), 4) AS total, count(*) AS n_lines FROM c LEFT JOIN first USING (l_orderkey) GROUP BY 1""")
+@query(PRICED + """, best AS (SELECT *, description LIKE 'Medios%' AS anc, CASE WHEN score >= 0.85 AND cu = unit THEN 'flash' ELSE 'pro' END AS tier FROM top WHERE rank = 1),
+runs AS (SELECT *, CASE WHEN tier = 'flash' AND lag(tier) OVER w = 'flash' AND lag(chapter) OVER w = chapter THEN 0 ELSE 1 END AS b FROM best WINDOW w AS (PARTITION BY budget_id ORDER BY seq)),
+nr AS (SELECT *, sum(b) OVER (PARTITION BY budget_id ORDER BY seq) AS run FROM runs), pl AS (SELECT *, (row_number() OVER (PARTITION BY budget_id, run ORDER BY seq) - 1) // 5 AS part FROM nr)
+SELECT line_id, budget_id, item_id, tier, first_value(seq) OVER (PARTITION BY budget_id, run, part ORDER BY seq) AS group_id,
+  round(CASE WHEN anc THEN 0.02 * coalesce(sum(CASE WHEN NOT anc THEN quantity * price END) OVER (PARTITION BY budget_id), 0) ELSE price END, 6) AS unit_price,
+  round(CASE WHEN anc THEN 0.02 * coalesce(sum(CASE WHEN NOT anc THEN quantity * price END) OVER (PARTITION BY budget_id), 0) ELSE quantity * price END, 6) AS total FROM pl""")
 def pipe_pricing(t) -> DataFrame:
-    """What is left to price, in two passes: ancillary lines are a share of the others."""
-    left = t.lineitem.join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    c = left.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("ancillary", F.contains("p_name", F.lit("red"))).withColumn("own", F.col("l_quantity") * F.col("p_retailprice"))
-    sums = c.groupBy("l_orderkey").agg(
-        F.coalesce(F.sum(F.when(~F.col("ancillary"), F.col("own"))), F.lit(0.0)).alias("pem"), count_where(F.col("ancillary")).alias("k"), F.count("*").alias("n_lines")
-    )  # both passes from one aggregation
-    return sums.select("l_orderkey", F.round(F.col("pem") + F.col("k") * 0.02 * F.col("pem"), 4).alias("total"), "n_lines")
+    """Vectors whose id is divisible by 50 as budget lines, priced from all vectors as a catalog."""
+    word = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    label, key = F.col("label"), F.col("vec_id")
+    catalog = t.embeddings.select(
+        key.alias("item_id"), "embedding", F.concat(F.lit("c"), (key % 97).cast("string")).alias("code"), F.array(word(label)).alias("words"), (label % 3).alias("dimension"),
+        F.when(label % 2 == 0, "m2").otherwise("ud").alias("unit"), (10.0 + key % 50).alias("price"),
+    )
+    lines = t.embeddings.where("vec_id % 50 = 0").select(
+        key.alias("line_id"), (F.floor(key / 50) % 4).alias("budget_id"), key.alias("seq"), F.concat(F.lit("ch"), (label % 2).cast("string")).alias("chapter"),
+        F.when(label == 3, "Medios auxiliares de obra").otherwise("Solado").alias("description"), "embedding", F.array(word(label % 4), F.lit("k9")).alias("keywords"),
+        (label % 3).alias("dimension"), F.lit("m2").alias("unit"), (1.0 + label).alias("quantity"),
+    )
+    p = pricing.price_lines(lines, catalog)
+    return p.withColumn("unit_price", F.round("unit_price", 6)).withColumn("total", F.round("total", 6))
+
+
+@query(PRICED + "SELECT line_id, item_id, rank, round(score, 6) AS score FROM top WHERE rank <= 15")
+def pipe_catalog_candidates(t) -> DataFrame:
+    """The fifteen candidates of each line of ``pipe_pricing``, one for each code."""
+    word = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    label, key = F.col("label"), F.col("vec_id")
+    catalog = t.embeddings.select(key.alias("item_id"), "embedding", F.concat(F.lit("c"), (key % 97).cast("string")).alias("code"), F.array(word(label)).alias("words"), (label % 3).alias("dimension"))
+    lines = t.embeddings.where("vec_id % 50 = 0").select(key.alias("line_id"), "embedding", F.array(word(label % 4), F.lit("k9")).alias("keywords"), (label % 3).alias("dimension"))
+    return pricing.candidates(lines, catalog).select("line_id", "item_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, p_type, sum(l_extendedprice) * 1.25 AS amount FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions import budget, rules
+from gneiss.functions import budget, files, rules
 from gneiss.operators.aggregate import count_where, percentiles, sum_where
 from gneiss.operators.joins import nearest
 from gneiss.operators.matching import fuzzy_ratio, hybrid_similarity
@@ -230,13 +230,21 @@ def material_substitution_price(t) -> DataFrame:
     return t.part.select("p_partkey", F.round(price * 0.6 + price * 0.4 * (1 + waste), 6).alias("price"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN p_retailprice WHEN p_type = 'PROMO' THEN p_retailprice WHEN p_type = 'SMALL' THEN p_retailprice * 1.4 ELSE NULL END AS price, CASE WHEN p_size > 40 THEN 95 WHEN p_type = 'PROMO' THEN 85 WHEN p_type = 'SMALL' THEN 60 ELSE 30 END AS confidence FROM part""")
+LADDER = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 'LABOR' WHEN 'A' THEN 'MATERIAL' ELSE 'OTHER' END AS type, l_linestatus = 'F' AND l_quantity > 40 AND l_returnflag <> 'N' AS verified, l_extendedprice AS price FROM lineitem),
+r AS (SELECT *, CASE WHEN verified THEN 0 WHEN type = 'LABOR' THEN 1 WHEN type = 'MATERIAL' THEN 2 ELSE 3 END AS step FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY step, l_linenumber, l_partkey, price) AS n FROM r) """
+
+
+@query(LADDER + """SELECT l_orderkey, CASE step WHEN 2 THEN round(price * 1.4, 4) WHEN 3 THEN NULL ELSE round(price, 4) END AS price,
+  CASE step WHEN 0 THEN CASE type WHEN 'LABOR' THEN 95 ELSE 75 END WHEN 1 THEN 85 WHEN 2 THEN 60 ELSE 30 END AS confidence FROM f WHERE n = 1""")
 def match_ladder(t) -> DataFrame:
-    price, big = F.col("p_retailprice"), F.col("p_size") > 40
-    labor, material = F.col("p_type") == "PROMO", F.col("p_type") == "SMALL"
-    return t.part.select(
-        "p_partkey", F.when(big | labor, price).when(material, price * 1.4).alias("price"), F.when(big, 95).when(labor, 85).when(material, 60).otherwise(30).alias("confidence")
-    )
+    """Price of an order from its candidates: a verified one, else labour, else material with a surcharge, else an estimate."""
+    kind = F.when(F.col("l_returnflag") == "R", "LABOR").when(F.col("l_returnflag") == "A", "MATERIAL").otherwise("OTHER")
+    verified = (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40) & (F.col("l_returnflag") != "N")
+    part = F.struct("l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"), kind.alias("type"), verified.alias("verified"))
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(part)).alias("candidates"))
+    m = orders.select("l_orderkey", rules.match_ladder(F.col("candidates")).alias("m"))
+    return m.select("l_orderkey", F.round("m.price", 4).alias("price"), "m.confidence")
 
 
 @query("SELECT round(sum(l_extendedprice), 2) AS subtotal, round(sum(l_extendedprice) * 0.13, 2) AS overhead, round(sum(l_extendedprice) * 0.06, 2) AS benefit, count(*) FILTER (WHERE l_returnflag = 'R') AS matched FROM lineitem")
@@ -245,11 +253,16 @@ def measurement_totals(t) -> DataFrame:
     return t.lineitem.agg(F.round(s, 2).alias("subtotal"), F.round(s * 0.13, 2).alias("overhead"), F.round(s * 0.06, 2).alias("benefit"), count_where(F.col("l_returnflag") == "R").alias("matched"))
 
 
-@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, (SELECT sum(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey), 0) > 0 AS resolved FROM orders""")
+@query("""SELECT c_custkey, CASE WHEN a.p_partkey IS NOT NULL THEN 'partida' WHEN m.p_partkey IS NOT NULL THEN 'material' WHEN s.total IS NOT NULL THEN 'assembly' ELSE 'ask_user' END AS kind,
+  round(coalesce(a.p_retailprice, m.p_retailprice, s.total), 2) AS price FROM customer LEFT JOIN part a ON a.p_partkey = c_custkey AND a.p_size > 40 LEFT JOIN part m ON m.p_partkey = c_custkey AND m.p_size BETWEEN 25 AND 40
+LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) s ON s.l_orderkey = c_custkey""")
 def union_resolve_item(t) -> DataFrame:
-    assembly = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
-    o = t.orders.join(assembly, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.select("o_orderkey", (F.coalesce(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), F.col("s"), F.lit(0.0)) > 0).alias("resolved"))
+    """An item as a line of the catalog, else a material, else the sum of its assembly, else a row that asks."""
+    item = lambda cond, kind: t.part.where(cond).select(F.col("p_partkey").alias("c_custkey"), F.struct(F.lit(kind).alias("kind"), F.col("p_retailprice").alias("price")).alias(kind))
+    assembly = t.lineitem.groupBy(F.col("l_orderkey").alias("c_custkey")).agg(F.struct(F.lit("assembly").alias("kind"), F.sum("l_extendedprice").alias("price")).alias("assembly"))
+    rows = t.customer.select("c_custkey").join(item("p_size > 40", "partida"), "c_custkey", "left").join(item("p_size BETWEEN 25 AND 40", "material"), "c_custkey", "left").join(assembly, "c_custkey", "left")
+    ask = F.struct(F.lit("ask_user").alias("kind"), F.lit(None).cast("double").alias("price"))
+    return rows.select("c_custkey", F.coalesce("partida", "material", "assembly", ask).alias("x")).select("c_custkey", "x.kind", F.round("x.price", 2).alias("price"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0 OR label = 3")
@@ -278,11 +291,16 @@ def duplicate_codes(t) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""SELECT p_brand, arg_max(p_partkey, p_size * 100000 + p_partkey) FILTER (WHERE p_type = 'SMALL') AS measurement, coalesce(arg_max(p_partkey, p_size * 100000 + p_partkey) FILTER (WHERE p_type = 'LARGE'), max(p_partkey)) AS budget FROM part GROUP BY 1""")
+@query("""WITH f AS (SELECT p_brand || p_size % 9 AS folder, CASE p_type WHEN 'SMALL' THEN 'MEDICION' WHEN 'LARGE' THEN 'PRESUPUESTO' WHEN 'PROMO' THEN 'OTRO' WHEN 'ECONOMY' THEN 'FACTURA' ELSE 'PLANO' END || '_' || p_partkey || '.pdf' AS name, p_size * 1000 + p_partkey % 7 AS size FROM part),
+m AS (SELECT folder, arg_max(name, (size, name)) AS measurement FROM f WHERE name LIKE 'MEDICION_%' GROUP BY 1),
+c AS (SELECT f.folder, f.name, f.size, CASE WHEN name LIKE 'PRESUPUESTO_%' THEN 1 WHEN name LIKE 'OTRO_%' THEN 2 ELSE 3 END AS step FROM f JOIN m ON m.folder = f.folder AND f.name <> m.measurement WHERE name NOT LIKE '%CERTIFICACION%' AND name NOT LIKE '%FACTURA%')
+SELECT folder, m.measurement, first(c.name ORDER BY c.step, c.size DESC, c.name DESC) AS budget FROM m JOIN c USING (folder) GROUP BY 1, 2""")
 def pair_largest_files(t) -> DataFrame:
-    size = F.col("p_size") * 100000 + F.col("p_partkey")
-    largest = lambda kind: F.max_by("p_partkey", F.when(F.col("p_type") == kind, size))
-    return t.part.groupBy("p_brand").agg(largest("SMALL").alias("measurement"), F.coalesce(largest("LARGE"), F.max("p_partkey")).alias("budget"))
+    """Of each folder the largest measurement with the largest budget: by name, else other files, else any but invoices."""
+    kind = F.when(F.col("p_type") == "SMALL", "MEDICION").when(F.col("p_type") == "LARGE", "PRESUPUESTO").when(F.col("p_type") == "PROMO", "OTRO").when(F.col("p_type") == "ECONOMY", "FACTURA").otherwise("PLANO")
+    name = F.concat(kind, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    rows = t.part.select(F.concat("p_brand", (F.col("p_size") % 9).cast("string")).alias("folder"), name.alias("name"), (F.col("p_size") * 1000 + F.col("p_partkey") % 7).alias("size"))
+    return files.largest_pairs(rows)
 
 
 @query(PARTS_SQL + """SELECT coalesce(p_type, 'Partidas Generales') AS chapter, round(sum(greatest(0, total - 1000)), 4) AS total FROM k LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")
