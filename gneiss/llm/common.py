@@ -109,6 +109,17 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as make it no column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def as_bytes(column: str | Column) -> Column:
     """A text as UTF-8 bytes, null as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary")

@@ -66,15 +66,10 @@ def fit(
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     chosen = sample_ids(docs, learn, id_col, lang_col, sample_docs).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("n").alias("_n"))
     share = F.greatest(F.lit(256), F.floor(F.lit(dictionary_bytes * 4) / F.col("_n"))).cast("int")
-    n_chars, key = F.char_length(F.col(text_col)), F.xxhash64(F.col(id_col).cast("long"), F.lit(1))
-    begin = F.pmod(key, F.greatest(n_chars - share, F.lit(0)) + 1).cast("int") + 1
-    texts = (
-        docs.where(learn)
-        .join(F.broadcast(chosen), (F.col(id_col).cast("long") == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-        .groupBy(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"))
-        .agg(F.max(F.substr(F.col(text_col), begin, share)).alias("text"))
-        .collect()
-    )
+    rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    begin = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.char_length("text") - share, F.lit(0)) + 1).cast("int") + 1
+    met = rows.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    texts = met.groupBy("lang", "id").agg(F.max(F.substr(F.col("text"), begin, share)).alias("text")).collect()
     # lines that several documents share (notices, boilerplate) belong to no language
     shared = Counter(line for r in texts for line in set(r.text.split("\n")))
     out = []

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import arrow_schema, as_batch, as_bytes, bounded_batches, discard, map_rows, store
+from gneiss.llm.common import arrow_schema, as_batch, as_bytes, bounded_batches, discard, map_rows, store, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 DECIDED = "kind int, h1 long, h2 long, doc_id long, version long, pos int, n_docs long"
@@ -148,13 +148,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A ``docs`` column named n_lines, n_dropped or keep is replaced. An empty table gives an empty result.
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_docs, min_chars)
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.drop("n_lines", "n_dropped", "keep")
-    joined = base.join(maps, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left")
-    out = [kept_text(text, F.col("_keep")).alias(c) if c == text_col else F.col(c) for c in base.columns]
+    own_id, version, keep, n = unused(base, "_id", "_version", "_keep", "_n")
+    maps = maps.select(F.col("doc_id").alias(own_id), F.col("version").alias(version), F.col("keep").alias(keep), F.col("n_dropped").alias(n))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = base.join(maps, (F.col(id_col).cast("long") == F.col(own_id)) & (F.xxhash64(text) == F.col(version)), "left")
+    out = [kept_text(text, F.col(keep)).alias(c) if c == text_col else F.col(c) for c in base.columns]
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*out, n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"), F.col("_keep").alias("keep"))
+    return joined.select(*out, n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("long").alias("n_dropped"), F.col(keep).alias("keep"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

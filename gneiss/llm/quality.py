@@ -207,7 +207,8 @@ def fit(
     truth = labels.where(F.col(label_col).isNotNull() & learn).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = truth.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     spread = docs.sparkSession.sparkContext.broadcast(vectors)
-    sample = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("id")).select("id", "y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    sample = texts.join(F.broadcast(chosen), "id")
     rows = map_texts(
         sample,
         {"id": F.col("id"), "y": F.col("y"), "t": F.col("t")},

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import as_bytes, components, discard, map_texts, store
+from gneiss.llm.common import as_bytes, components, discard, map_texts, store, unused
 
 #: Words in a shingle, and the share of all shingles of two texts that both have, from which they are alike.
 WORDS, SIMILARITY = 5, 0.8
@@ -147,9 +147,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
     close = store(both.where(sizes & (differ <= MOST_BITS)).select("a", "b"), "close")
     ids = close.select(F.col("a").alias("_id")).union(close.select("b")).distinct()
-    asked = docs.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), as_bytes(text_col).alias("text"))
+    asked = texts.join(ids, F.col("rep") == F.col("_id"), "left_semi")
     sets = map_texts(
-        asked, {"rep": F.col(id_col).cast("long"), "text": as_bytes(text_col)}, lambda _, rep, text: (rep, shingle_set(text).view(np.int64).tolist()), "rep long, s array<bigint>"
+        asked, {"rep": F.col("rep"), "text": F.col("text")}, lambda _, rep, text: (rep, shingle_set(text).view(np.int64).tolist()), "rep long, s array<bigint>"
     )
     sets = store(sets.dropDuplicates(), "shingles")
     met = looked_up(close, sets)
@@ -217,7 +218,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share an id stay or go together; other columns are carried along; an empty table gives an
     empty result.
     """
-    kept = near_groups(docs, id_col, text_col, similarity).where("rep = component_id").select(F.col("rep").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left")
-    return joined.where(F.col(id_col).isNull() | F.col("_kept").isNotNull()).drop("_kept")
-
+    (mark,) = unused(docs, "_kept")
+    groups = near_groups(docs, id_col, text_col, similarity)
+    kept = groups.where("rep = component_id").select(F.col("rep").alias(mark)).distinct()
+    joined = docs.join(kept, F.col(id_col).cast("long") == F.col(mark), "left")
+    return joined.where(F.col(id_col).isNull() | F.col(mark).isNotNull()).drop(mark)

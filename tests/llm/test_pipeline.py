@@ -43,3 +43,43 @@ def test_run_gives_the_last_stage(spark, sf):
 def test_stages_call_the_operators():
     assert [name for name, _ in pipeline.STAGES] == ["quality_filter", "line_dedup", "near_dedup", "decontaminate", "encode"]
     assert all((similar, lines))
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty, repeated and very long texts, and columns with the operators' own names."""
+    extra = "n_lines string, keep string, _kept string, component_id string, score string, ids string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    clash = ("x",) * 6
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    texts = [None, "", " \n\t ", "one", "A line that three of the documents share\nown text {0} of it here", long, "é 中文 😀\x00 {0}", "same text in two rows of one id"]
+    rows = [(i, (t or "").format(i) if t is not None else None, None if i % 3 else "en", None, None, *clash) for i, t in enumerate(texts * 4)]
+    rows += [(None, "a text without an id", "en", "web", 5, *clash), (None, None, None, None, None, *clash), rows[-1], rows[-1]]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_stages_take_odd_documents(spark, tmp_path):
+    docs = odd_documents(spark)
+    labels = [(i, i % 2, 0) for i in range(16)] + [(None, 1, None), (3, None, 0), (3, 1, 1), (3, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "zz yy xx ww vv uu"), (None, "one"), (2, None), (3, ""), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in pipeline.STAGES:
+        for given in (docs, docs.where("false"), docs.where("doc_id IS NULL"), docs.limit(1)):
+            out = stage(spark, given, str(tmp_path))
+            rows = out.collect()
+            assert len(rows) <= given.count(), name
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == pipeline.COLUMNS, name
+            if given is docs and name in ("line_dedup", "encode"):
+                assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect()), name
+    kept = [r.doc_id for r in pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert kept.count(None) == 2  # rows without an id stay
+    assert {0, 3, 4, 5, 6, 7} <= set(kept) and not {8, 11, 13, 15} & set(kept)
+    left = {r.doc_id for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert 3 not in left and {0, 1, 4, 5} <= left  # the item "one" is a whole text
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    odd_documents(spark).select(pipeline.COLUMNS).where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
