@@ -20,6 +20,13 @@ def delete_where(spark: SparkSession, path: str, out: str, condition: Column) ->
     spark.read.parquet(path).where(~F.coalesce(condition, F.lit(False))).write.mode("overwrite").parquet(out)
 
 
+def update_where(spark: SparkSession, path: str, out: str, condition: Column, **values: Column) -> None:
+    """Copy a table with columns set in the rows that meet the condition (null counts as not met)."""
+    rows, met = spark.read.parquet(path), F.coalesce(condition, F.lit(False))
+    changed = {name: F.when(met, value).otherwise(F.col(name) if name in rows.columns else F.lit(None)) for name, value in values.items()}
+    rows.withColumns(changed).write.mode("overwrite").parquet(out)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Semicolon-separated, with a header."""
     df.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)

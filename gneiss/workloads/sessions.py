@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.rules import ab_variant, job_status, lead_decision
 from gneiss.operators.aggregate import count_where
+from gneiss.sources import sinks
+from gneiss.sources.scratch import scratch_path
 from gneiss.workloads.base import query
 
 
@@ -131,9 +133,14 @@ def enrollment_dedupe(t) -> DataFrame:
     return t.customer.where("c_nationkey = 5").join(active, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT o_custkey, count(*) AS cancelled FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS cancelled, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' GROUP BY 1")
 def cancel_all_for_lead(t) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("cancelled"))
+    """Pending rows marked as cancelled in a written table, and how many each lead had."""
+    path, out = scratch_path(t.spark, "schedule"), scratch_path(t.spark, "cancelled")
+    t.orders.select("o_custkey", "o_orderpriority", "o_totalprice", F.col("o_orderstatus").alias("status")).write.parquet(path)
+    sinks.update_where(t.spark, path, out, (F.col("status") == "P") & (F.col("o_orderpriority") != "1-URGENT"), status=F.lit("cancelled"))
+    cancelled = t.spark.read.parquet(out).where("status = 'cancelled'")
+    return cancelled.groupBy("o_custkey").agg(F.count("*").alias("cancelled"), F.round(F.sum("o_totalprice")).cast("bigint").alias("total"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '1995-01-01' ORDER BY o_orderdate, o_orderkey")
@@ -142,7 +149,10 @@ def bookings_for_lead(t) -> DataFrame:
     return open_.orderBy("o_orderdate", "o_orderkey").select("o_orderkey")
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN TRUE ELSE turn < 2 END AS is_read FROM conversations")
+@query("SELECT conv_id, turn, role = 'user' OR turn < 2 AS is_read FROM conversations")
 def sink_mark_read(t) -> DataFrame:
-    """A conditional update as a rewrite of the column."""
-    return t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", True).otherwise(F.col("turn") < 2).alias("is_read"))
+    """Turns of a written table marked as read, the others left as they were."""
+    path, out = scratch_path(t.spark, "turns"), scratch_path(t.spark, "read")
+    t.conversations.select("conv_id", "turn", "role", (F.col("turn") < 2).alias("is_read")).write.parquet(path)
+    sinks.update_where(t.spark, path, out, F.col("role") == "user", is_read=F.lit(True))
+    return t.spark.read.parquet(out).select("conv_id", "turn", "is_read")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions import files, text, units
+from gneiss.functions import addresses, files, text, units
 from gneiss.operators.aggregate import count_where
 from gneiss.plans import layout
 from gneiss.workloads.base import query
@@ -113,10 +113,16 @@ def slug_tokens(t) -> DataFrame:
     return t.customer.select("c_custkey", F.sort_array(F.array_distinct(words)).alias("slug"), F.coalesce(version, F.lit(0)).alias("version"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS domain, regexp_extract(url, '^https?://([^/?#]+)', 1) LIKE '%.example.com' AS disposable FROM pages""")
+DISPOSABLE_SQL = ", ".join(f"'{d}'" for d in addresses.DISPOSABLE)
+
+
+@query(f"""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'example.com' ELSE list_extract([{DISPOSABLE_SQL}], CAST(c_custkey % 80 AS INTEGER) + 1) END AS domain FROM customer)
+SELECT c_custkey, domain, c_custkey % 3 <> 0 AND domain IS NOT NULL AS disposable FROM d""")
 def email_domain_disposable(t) -> DataFrame:
-    domain = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    return t.pages.select("page_id", domain.alias("domain"), domain.endswith(".example.com").alias("disposable"))
+    """Domain of an address, and whether it is one of the throw-away ones."""
+    listed = F.get(F.array(*(F.lit(d.upper()) for d in addresses.DISPOSABLE)), (F.col("c_custkey") % 80).cast("int"))
+    email = F.concat(F.lit("a.b@"), F.when(F.col("c_custkey") % 3 == 0, "Example.com").otherwise(listed), F.lit(" "))
+    return t.customer.select("c_custkey", addresses.domain(email).alias("domain"), addresses.is_disposable(email).alias("disposable"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS value FROM lineitem""")
@@ -177,10 +183,15 @@ def work_verb_line(t) -> DataFrame:
     return t.part.select("p_partkey", F.coalesce(layout.work_line(line), F.lit(False)).alias("is_work"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(regexp_extract_all(html, 'href=')) AS n_links FROM pages""")
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'item_coded' WHEN 1 THEN 'item_numbered' WHEN 2 THEN 'chapter_coded' WHEN 3 THEN 'chapter_numbered' WHEN 4 THEN 'quantity' WHEN 5 THEN 'quantity' END AS family FROM part""")
 def regex_family_layout(t) -> DataFrame:
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
-    return t.pages.select("page_id", count("<p[ >]").alias("n_paragraphs"), count("href=").alias("n_links"))
+    """The family of budget lines that each line belongs to."""
+    key = F.col("p_partkey").cast("string")
+    forms = (
+        F.concat(F.lit("C04."), key, F.lit(" Partida m² "), "p_name"), F.concat(F.lit("1."), key, F.lit(".03 Ud "), "p_name"), F.concat(F.lit("C"), key, F.lit(" Capitulo "), F.upper("p_name")),
+        F.concat(key, F.lit(" OBRA CIVIL, Y MUROS")), F.concat(key, F.lit(",25 kg")), F.concat(key, F.lit(".5 ")), F.concat(F.lit("Partida "), key, F.lit(" m2 "), "p_name"),
+    )
+    return t.part.select("p_partkey", layout.line_family(F.get(F.array(*forms), (F.col("p_partkey") % 7).cast("int"))).alias("family"))
 
 
 @query(r"""WITH k AS (SELECT unnest(['table', 'href', 'script']) AS pattern) SELECT pattern, count(*) AS n_pages, round(avg(len(regexp_extract_all(html, pattern))), 6) AS per_page FROM pages, k WHERE contains(html, pattern) GROUP BY 1""")
