@@ -23,9 +23,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def _unit(vectors: list[list[float] | None], width: int) -> np.ndarray:
+def _unit(vectors: pa.Array, width: int) -> np.ndarray:
     """Vectors of length 1 as rows, zeros for none."""
-    out = np.array([v if v is not None else [0.0] * width for v in vectors], dtype=np.float64).reshape(-1, width)
+    flat = vectors.flatten()
+    if not vectors.null_count and not flat.null_count and len(flat) == len(vectors) * width:
+        out = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+    else:
+        out = np.array([v if v is not None else [0.0] * width for v in vectors.to_pylist()], dtype=np.float64).reshape(-1, width)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
@@ -50,14 +54,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id:
         part = (q.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block) if n_blocks > 1 else q).collect()
         if not part:
             continue
-        spread = rows.sparkSession.sparkContext.broadcast(([r.q for r in part], _unit([r.v for r in part], width)))
+        spread = rows.sparkSession.sparkContext.broadcast(([r.q for r in part], _unit(pa.array([r.v for r in part], type=pa.list_(pa.float64())), width)))
 
         def best(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
             ids, matrix = spread.value
             top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(ids)
             for batch in batches:
                 row_ids = np.array(batch.column(0).to_pylist(), dtype=object)
-                scores = matrix @ _unit(batch.column(1).to_pylist(), width).T
+                scores = matrix @ _unit(batch.column(1), width).T
                 for i, own in enumerate(scores):
                     scored, named = np.concatenate([top[i][0], own]), np.concatenate([top[i][1], row_ids])
                     if len(scored) > k:
