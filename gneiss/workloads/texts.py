@@ -162,13 +162,15 @@ def query_variation(t) -> DataFrame:
     return t.part.select("p_partkey", F.sort_array(F.array_distinct(F.array("p_name", once("red", "crimson"), once("ring", "band")))).alias("variations"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\d+')) AS n_numbers, least(10, len(regexp_extract_all(coalesce(text, ''), '\d+'))) + 2 * CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END AS score,
- CASE WHEN least(10, len(regexp_extract_all(coalesce(text, ''), '\d+'))) + 2 * CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END >= 4 THEN 'OUTPUT' WHEN len(regexp_extract_all(coalesce(text, ''), '\d+')) > 0 THEN 'INPUT' ELSE 'UNKNOWN' END AS role FROM documents""")
+@query("""WITH c AS (SELECT l_orderkey, 2 * any_value(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) + least(count(*) FILTER (WHERE l_returnflag = 'A'), 10) AS price, count(*) FILTER (WHERE l_returnflag = 'R') AS measured FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT l_orderkey, CAST(price AS BIGINT) AS price_score, measured AS measurement_score, CASE WHEN price >= 3 THEN 'OUTPUT' WHEN (price = 0 AND measured >= 3) OR (price <= 2 AND measured >= 5) THEN 'INPUT' ELSE 'UNKNOWN' END AS role FROM c""")
 def classify_price_doc(t) -> DataFrame:
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\d+")).cast("bigint")
-    score = F.least(F.lit(10), n) + 2 * F.when(F.contains(F.lower("text"), F.lit("license")), 1).otherwise(0)
-    d = t.documents.select("doc_id", n.alias("n_numbers"), score.alias("score"))
-    return d.select("doc_id", "n_numbers", "score", F.when(F.col("score") >= 4, "OUTPUT").when(F.col("n_numbers") > 0, "INPUT").otherwise("UNKNOWN").alias("role"))
+    """Whether a document made of an order's lines has prices or measurements."""
+    line = F.when(F.col("l_returnflag") == "A", "Solado de gres 1.234,56 €").when(F.col("l_returnflag") == "R", "Solado de gres 12,5 M2 ").otherwise("Solado de gres")
+    texts = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    head = F.when(F.col("o_orderstatus") == "P", "TOTAL PRESUPUESTO\n").otherwise("")
+    docs = texts.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", layout.price_role(F.concat(head, "body")).alias("r"))
+    return docs.select("l_orderkey", F.col("r.price_score").cast("bigint").alias("price_score"), F.col("r.measurement_score").cast("bigint").alias("measurement_score"), "r.role")
 
 
 VERB_SQL = ", ".join(f"'{v.lower()}'" for v in layout.WORK_VERBS)
