@@ -55,6 +55,26 @@ def bake_markup(unit_price: Column, quantity: Column, parts: Column, factor: Col
     return F.struct(unit_price.alias("unit_price_raw"), unit.alias("unit_price"), F.round(unit * quantity, 2).alias("total_price"), baked.alias("parts"))
 
 
+def rebake(raw: Column, baked: Column, old: Column, new: Column, least: float = 1e-4) -> Column:
+    """A marked-up price under a new factor; as it is where the factor changes by less than ``least`` of the old one."""
+    return F.when(F.abs(new / old - 1) >= least, raw * new).otherwise(baked)
+
+
+def defensive_scale(parts: Column, unit_price: Column, value: Column, result: Column) -> Column:
+    """Struct (parts, event): components held against a unit price that a conversion from ``value`` to ``result`` made.
+
+    With a conversion, a sum outside of 0.95 to 1.05 of the price is scaled by it; without (null), one outside of
+    0.7 to 1.5 is only reported.
+    """
+    total = total_of(parts)
+    ratio = F.when((total > 0) & (unit_price > 0), total / unit_price)
+    converted, factor = result.isNotNull() & value.isNotNull(), result / F.greatest(value, F.lit(1e-6))
+    scaled = F.transform(parts, lambda p: p.withField("price", p["price"] * factor).withField("total", p["total"] * factor))
+    return F.struct(
+        F.when(converted & ~ratio.between(0.95, 1.05), scaled).otherwise(parts).alias("parts"), F.coalesce(~converted & ~ratio.between(0.7, 1.5), F.lit(False)).alias("event")
+    )
+
+
 def force_scale(unit_price: Column, parts: Column, least: float = 1e-4) -> Column:
     """Components scaled so that they sum up to a unit price, each rounded; unchanged where the change is below ``least``."""
     k = F.try_divide(unit_price, total_of(parts))

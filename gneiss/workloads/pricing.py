@@ -113,13 +113,15 @@ def price_anomaly(t) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", rules.price_anomaly(unit, F.col("l_extendedprice"), F.col("l_quantity")).alias("review"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN r BETWEEN 0.95 AND 1.05 THEN 1.0 WHEN l_returnflag = 'R' THEN l_tax ELSE 1.0 END AS factor, l_returnflag <> 'R' AND (r < 0.7 OR r > 1.5) AS event
-FROM (SELECT *, 0.5 + l_discount * 12 AS r FROM lineitem)""")
+@query(PARTS_SQL + """, s AS (SELECT l_orderkey, sum(total) AS total, list_extract([1.0, 1.2, 2.0], CAST(l_orderkey % 3 AS INTEGER) + 1) AS ratio, l_orderkey % 2 = 0 AS conv FROM k GROUP BY 1)
+SELECT l_orderkey, round(total * CASE WHEN conv AND ratio > 1.05 THEN 2 ELSE 1 END, 2) AS total, NOT conv AND ratio > 1.5 AS event FROM s""")
 def breakdown_defensive_scale(t) -> DataFrame:
-    ratio_ = 0.5 + F.col("l_discount") * 12
-    has = F.col("l_returnflag") == "R"
-    factor = F.when(ratio_.between(0.95, 1.05), 1.0).when(has, F.col("l_tax")).otherwise(1.0)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", factor.alias("factor"), (~has & ((ratio_ < 0.7) | (ratio_ > 1.5))).alias("event"))
+    """Components that a unit conversion left behind scaled by it, and those too far from their price reported."""
+    ratio = F.get(F.array(*map(F.lit, (1.0, 1.2, 2.0))), (F.col("l_orderkey") % 3).cast("int"))
+    conv = F.col("l_orderkey") % 2 == 0
+    b = budgets(t).withColumn("price", budget.total_of(F.col("parts")) / ratio)
+    r = b.select("l_orderkey", budget.defensive_scale(F.col("parts"), F.col("price"), F.when(conv, 1.0), F.when(conv, 2.0)).alias("r"))
+    return r.select("l_orderkey", F.round(budget.total_of(F.col("r.parts")), 2).alias("total"), "r.event")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_discount > 0.05 AND l_linenumber IN (1, 2) AND l_returnflag <> 'R' AS hidden FROM lineitem")
