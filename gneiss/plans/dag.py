@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.aggregate import positions
+
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
     """(node, level): 0 for nodes without prerequisites, else one more than the highest of them.
@@ -31,10 +33,7 @@ def planned_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes`` has (node, seq, kind), kind one of node, transversal, unknown.
     """
-    from pyspark.sql import Window
-
     levels = topological_levels(nodes.where("kind = 'node'"), edges)
     late = F.when(F.col("kind") == "node", 0).when(F.col("kind") == "transversal", 1).otherwise(2)
     ordered = nodes.join(levels, "node", "left").withColumn("_late", late)
-    order = Window.orderBy("_late", F.asc_nulls_last("level"), "seq")
-    return ordered.select("node", (F.row_number().over(order) - 1).alias("position"))
+    return positions(ordered.select("node", "_late", "level", "seq"), "_late", F.asc_nulls_last("level"), "seq").select("node", "position")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.aggregate import positions
 from gneiss.operators.joins import first_by
 from gneiss.operators.ordered import clamped_score, grouped_runs, islands
 from gneiss.workloads.base import query
@@ -94,7 +95,7 @@ def win_parser_state(t) -> DataFrame:
 def win_row_order(t) -> DataFrame:
     """Chapters in the order in which they first appear."""
     firsts = t.part.groupBy(F.col("p_type").alias("chapter")).agg(F.min("p_partkey").alias("first_seen"))
-    return firsts.withColumn("chapter_order", F.rank().over(Window.orderBy("first_seen")).cast("bigint"))
+    return positions(firsts, "first_seen").select("chapter", "first_seen", (F.col("position") + 1).alias("chapter_order"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 30.0 WHEN 'error' THEN -45.0 ELSE value / 10 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
