@@ -48,13 +48,10 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=pdf.columns)
 
 
-def cascade_match(golden: DataFrame, found: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
-    """(block, golden_seq, found_seq, level, ratio): exact code, then normal code, then description.
+def code_matches(golden: DataFrame, found: DataFrame, block: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((block, golden_seq, found_seq, level) by exact code, then by normal code; the rows of either side left over).
 
-    Each side is used once, golden rows in order of ``seq``. The code steps are equi-joins of ranked rows.
-    The last step depends on order, so it runs for each ``block`` (a document, a chapter) in one group of
-    the candidate pairs that can reach the threshold; blocks should be of bounded size. Both frames have
-    (block, seq, code, description).
+    The n-th golden row of a code in a block meets the n-th found one. Both frames have (block, seq, code, description).
     """
     g = golden.select(block, F.col("seq").alias("golden_seq"), F.col("code").alias("gcode"), F.col("description").alias("gdesc"))
     p = found.select(block, F.col("seq").alias("found_seq"), F.col("code").alias("pcode"), F.col("description").alias("pdesc"))
@@ -68,12 +65,23 @@ def cascade_match(golden: DataFrame, found: DataFrame, block: str, threshold: fl
     exact = step(F.col("gcode"), F.col("pcode"), "exact_code", g, p)
     g2, p2 = rest(g, "golden_seq", exact), rest(p, "found_seq", exact)
     normal = step(normalize_code_word(F.col("gcode")), normalize_code_word(F.col("pcode")), "normalized_code", g2, p2)
-    g3, p3 = rest(g2, "golden_seq", normal), rest(p2, "found_seq", normal)
+    return exact.unionByName(normal), rest(g2, "golden_seq", normal), rest(p2, "found_seq", normal)
+
+
+def cascade_match(golden: DataFrame, found: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
+    """(block, golden_seq, found_seq, level, ratio): exact code, then normal code, then description.
+
+    Each side is used once, golden rows in order of ``seq``. The code steps are equi-joins of ranked rows.
+    The last step depends on order, so it runs for each ``block`` (a document, a chapter) in one group of
+    the candidate pairs that can reach the threshold; blocks should be of bounded size. Both frames have
+    (block, seq, code, description).
+    """
+    coded, g3, p3 = code_matches(golden, found, block)
     pairs = g3.join(p3, block).where((F.length("gdesc") > 0) & (length_bound(F.col("gdesc"), F.col("pdesc")) >= threshold))
     scored = pairs.select(block, "golden_seq", "found_seq", fuzzy_ratio(F.col("gdesc"), F.col("pdesc")).alias("ratio")).where(F.col("ratio") >= threshold)
     kinds = dict(scored.dtypes)
     fuzzy = scored.groupBy(block).applyInPandas(_greedy, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
-    coded = exact.unionByName(normal).withColumn("ratio", F.lit(None).cast("double"))
+    coded = coded.withColumn("ratio", F.lit(None).cast("double"))
     return coded.unionByName(fuzzy.select(block, "golden_seq", "found_seq", F.lit("fuzzy_description").alias("level"), F.round("ratio", 3).alias("ratio")))
 
 

@@ -175,16 +175,6 @@ def agg_resource_dedup(t) -> DataFrame:
     return t.lineitem.groupBy("l_partkey").agg(first.alias("first_order"))
 
 
-@query("""WITH m AS (SELECT quality = 1 AS hit FROM documents LEFT JOIN labels USING (doc_id))
-SELECT round(coalesce(avg(CASE WHEN hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 0), 6) AS recall, round(coalesce(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE hit IS NOT NULL), 0), 6) AS precision FROM m""")
-def agg_recall(t) -> DataFrame:
-    """Recall and precision of found rows, 0 on nothing."""
-    m = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    found, hit = F.col("quality").isNotNull(), F.col("quality") == 1
-    share = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
-    return m.agg(share(F.when(found, 1.0).otherwise(0.0)).alias("recall"), share(F.when(hit, 1.0).when(found, 0.0)).alias("precision"))
-
-
 @query("""WITH d AS (SELECT abs(l_extendedprice - p_retailprice * l_quantity) / (p_retailprice * l_quantity) AS d FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_retailprice > 0),
 r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM d)
 SELECT round((SELECT median(d) FROM d), 6) AS p50, round((SELECT max(d) FROM r WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)), 6) AS p95""")
