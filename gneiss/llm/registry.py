@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gneiss.llm import chat, language, leaks, lengths, licenses, lines, pieces, quality, simhash, syncmers
+from gneiss.llm import audit, chat, divergence, language, leaks, lengths, licenses, lines, mixing, pieces, quality, simhash, syncmers
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
             licenses.op8_license_scan,
             lengths.op9_token_counts,
             pieces.op10_sentencepiece,
+            divergence.op11_divergence,
+            mixing.op12_mix,
+            audit.op13_filter_audit,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.op5_sql(), "op7_line_dedup": lines.OP7_SQL}
+    return {"op5_chat_format": chat.op5_sql(), "op7_line_dedup": lines.OP7_SQL, "op11_divergence": divergence.OP11_SQL, "op13_filter_audit": audit.op13_sql()}

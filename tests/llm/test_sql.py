@@ -11,7 +11,7 @@ SQL = registry.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     df = registry.queries()[name](spark, sf)
     ran = con.execute(SQL[name])
