@@ -121,24 +121,41 @@ def forward_fill_chapter(df: DataFrame, keys: list[str], order: str, chapter: st
     return streamed(rows, keys, [order], [order, "_new", "_prefix", "_none"], f"`{order}` {kind}, `{chapter}` string", lambda: ["", "", True], step)
 
 
-def drop_carry_over(df: DataFrame, keys: list[str], block: str, order: str, quantity: str) -> DataFrame:
+def drop_carry_over(df: DataFrame, keys: list[str], block: str, order: str, quantity: str, nothing_left: float | None = 0.0) -> DataFrame:
     """Sum of each block's quantities, without a first row that repeats the block before's total.
 
-    The total carried on is the last positive one after such a row was left out. Blocks are summed first, with
-    their first quantity apart; then one row a block is streamed.
+    The total carried on is the last positive one after such a row was left out. A block that had no other row gets
+    ``nothing_left``. Blocks are summed first, with their first quantity apart; then one row a block is streamed.
     """
     q = F.col(quantity).cast("double")
-    blocks = df.groupBy(*keys, block).agg(F.min_by(q, F.struct(order, q)).alias("_first"), F.sum(q).alias("_sum"))
+    blocks = df.groupBy(*keys, block).agg(F.min_by(q, F.struct(order, q)).alias("_first"), F.sum(q).alias("_sum"), F.count(q).alias("_rows"))
     kind = dict(df.dtypes)[block]
 
     def step(state: list, row: tuple) -> list[tuple]:
-        at, first, whole = row
-        own = whole - first if state[0] > 0 and abs(first - state[0]) < 0.01 else whole
+        at, first, whole, n = row
+        carried = state[0] > 0 and abs(first - state[0]) < 0.01
+        own = whole - first if carried else whole
+        if carried and n == 1:
+            return [(at, nothing_left)]
         if own > 0:
             state[0] = own
         return [(at, own)]
 
-    return streamed(blocks.where("_sum IS NOT NULL"), keys, [block], [block, "_first", "_sum"], f"`{block}` {kind}, `{quantity}` double", lambda: [0.0], step)
+    return streamed(blocks.where("_sum IS NOT NULL"), keys, [block], [block, "_first", "_sum", "_rows"], f"`{block}` {kind}, `{quantity}` double", lambda: [0.0], step)
+
+
+def merge_tails(items: DataFrame, pages: DataFrame, keys: list[str], page: str, order: str, text: str) -> DataFrame:
+    """``items`` whose last one on a truncated page takes over the orphan text that opens the next page.
+
+    ``pages`` has a row for each page that was read: keys, page, ``truncated`` and ``tail`` (either may be null). The next
+    page is the next such row, whatever its number; a page without items takes over nothing, a blank tail adds nothing.
+    """
+    last = Window.partitionBy(*keys, page).orderBy(F.desc(order))
+    tail = F.nullif(F.trim(F.lead("tail").over(Window.partitionBy(*keys).orderBy(page))), F.lit(""))
+    cut = pages.select(*keys, page, "truncated", tail.alias("_tail")).where("truncated AND _tail IS NOT NULL").drop("truncated")
+    rows = items.withColumn("_n", F.row_number().over(last)).join(cut, [*keys, page], "left")
+    merged = F.concat(F.rtrim(F.coalesce(text, F.lit(""))), F.lit(" "), "_tail")
+    return rows.withColumn(text, F.when((F.col("_n") == 1) & F.col("_tail").isNotNull(), merged).otherwise(F.col(text))).drop("_n", "_tail")
 
 
 def clamped_score(df: DataFrame, keys: list[str], order: str, event_id: str, delta: str, start: float = 0.0) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.ordered import drop_carry_over
+from gneiss.functions.units import unit_dimension, unit_normalize
+from gneiss.operators.ordered import canonical_chapters, drop_carry_over, forward_fill_chapter, merge_tails
 
 #: Units as budgets write them, longer ones first.
 UNITS = r"(?:m²|M²|m³|M³|m2|M2|m3|M3|ml|ML|kg|Kg|KG|kgs|Tn|tn|Ud|UD|ud|uds|UDS|PA|Pa|pa|hr|hrs|h|H|t|T|u|U|m|M|%)"
@@ -16,6 +17,12 @@ QUANTITY = rf"^(\d+[,.]\d+)(?:\s+({UNITS}))?\s*$"
 #: A chapter, with a C or numbered alone.
 CHAPTER_CODED = r"^(C\d+)\s+Cap[ií]tulo\s+([A-ZÁÉÍÓÚÑ][^\n]+)$"
 CHAPTER_NUMBERED = r"^(\d+)\s+([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s,Y]+)$"
+#: A code that stands alone on its line.
+CODE_ALONE = r"^(C?\d+(?:[.-]\d+)+)$"
+#: A description under so many characters is short; so much after an item's title is looked at.
+SHORT, SCANNED = 50, 1500
+#: Fixed value: the chapter of items without one.
+NO_CHAPTER = "Sin Capítulo"
 #: Fixed value: the head of a table of lines, in any case.
 TABLE_HEAD = r"(?iu)C[óo]digo\s+(?:Nat\s+)?(?:Ud|U/?d)\s+Resumen"
 
@@ -89,30 +96,98 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page_no", "line_no", "line", part(1).alias("code"), part(2).alias("unit"), part(3).alias("title"), quantity.alias("quantity"))
 
 
-def classify(pages: DataFrame) -> DataFrame:
-    """(doc_id, layout, confidence, n_items) from where items and quantities stand in the pages."""
-    lines = page_lines(pages)
-    size = pages.groupBy("doc_id").agg(
-        F.count("*").alias("n_pages"), F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).alias("n_chars"), F.max(F.coalesce("text", F.lit("")).rlike(TABLE_HEAD)).alias("has_head")
+def _first(line: Column, group: int, *patterns: str) -> Column:
+    """A group of the first of these patterns that a line has, null for none."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(line, p, group), F.lit("")) for p in patterns))
+
+
+def _quantity_alone(line: Column) -> Column:
+    """Whether a line has nothing but a number and at most one word more."""
+    words = F.split(F.trim(line), r"\s+")
+    return (F.size(words) <= 2) & F.replace(words[0], F.lit(","), F.lit(".")).try_cast("double").isNotNull()
+
+
+def profile(pages: DataFrame) -> DataFrame:
+    """What the fingerprint and the routes need of each document, in one shuffle: a row for each doc_id.
+
+    n_pages, n_chars, has_head, items and quantities by page (``by_page``), ``codes`` of all items, ``heads`` of chapters
+    with their places, and ``cross_page``: items at the foot of a page whose description seems to go on overleaf.
+    """
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    item = lambda x: F.struct(_first(x, 1, CODED, NUMBERED).alias("code"), F.trim(_first(x, 3, CODED, NUMBERED)).alias("title"))
+    kind = lambda x: F.when(x.rlike(CHAPTER_CODED), 0).when(x.rlike(CHAPTER_NUMBERED), 1)
+    chapter = lambda x, i: F.struct(F.col("page_no"), kind(x).alias("kind"), i.alias("at"), _first(x, 1, CHAPTER_CODED, CHAPTER_NUMBERED).alias("prefix"), F.trim(_first(x, 2, CHAPTER_CODED, CHAPTER_NUMBERED)).alias("name"))
+    rows = pages.select(
+        "doc_id", "page_no", text.alias("text"), F.filter(lines, lambda x: F.trim(x) != "")[0].alias("opening"),
+        F.filter(F.transform(lines, item), lambda x: x["code"].isNotNull()).alias("items"),
+        F.size(F.filter(lines, lambda x: F.trim(x).rlike(QUANTITY))).alias("quantities"),
+        F.filter(F.transform(lines, chapter), lambda x: x["kind"].isNotNull()).alias("heads"),
+    )
+    after = F.lead("opening").over(Window.partitionBy("doc_id").orderBy("page_no"))
+    at = rows.withColumn("overleaf", F.coalesce(work_line(after), F.lit(False)))
+    rest = lambda x: F.substring(F.col("text"), F.instr("text", x["title"]) + F.length(x["title"]), F.lit(SCANNED))
+    own = lambda x: F.length(F.trim(F.array_join(F.filter(F.split(rest(x), "\n", -1), lambda y: (F.trim(y) != "") & ~_quantity_alone(y)), "\n")))
+    broken = F.when(F.col("overleaf"), F.filter("items", lambda x: own(x) < SHORT)).otherwise(F.filter("items", lambda _: F.lit(False)))
+    return at.withColumn("broken", broken).groupBy("doc_id").agg(
+        F.count("*").alias("n_pages"),
+        F.sum(F.length("text") + 1).alias("n_chars"),
+        F.max(F.col("text").rlike(TABLE_HEAD)).alias("has_head"),
+        F.collect_list(F.struct("page_no", F.size("items").alias("items"), "quantities")).alias("by_page"),
+        F.flatten(F.collect_list(F.transform("items", lambda x: x["code"]))).alias("codes"),
+        F.array_sort(F.flatten(F.collect_list("heads"))).alias("heads"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("broken", lambda x: F.struct(F.col("page_no"), x["code"].alias("code")))))).alias("cross_page"),
     )
+
+
+def _layout(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with layout, confidence and n_items: from where items and quantities stand in the pages."""
     third = F.floor(F.col("n_pages") / 3)
-    at = lines.join(size, "doc_id").withColumn("front", F.col("page_no") <= third).withColumn("back", F.col("page_no") > F.col("n_pages") - third)
-    item, row = F.col("code").isNotNull(), F.col("quantity").isNotNull()
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    c = at.groupBy("doc_id", "n_pages", "n_chars", "has_head").agg(
-        n(item).alias("items"), n(item & F.col("front")).alias("fi"), n(item & F.col("back")).alias("bi"), n(row & F.col("front")).alias("fq"), n(row & F.col("back")).alias("bq")
-    )
-    annexed = (F.col("n_pages") >= 6) & (F.col("fi") > F.col("bi") * 2) & (F.col("bq") > F.col("fq") * 2) & (F.col("bq") >= 5)
-    blank, few = F.col("n_chars") - 1 < 200, F.col("items") < 3
+    total = lambda field, keep: F.aggregate(F.filter("by_page", keep), F.lit(0), lambda n, x: n + x[field])
+    front, back = (lambda x: x["page_no"] <= third), (lambda x: x["page_no"] > F.col("n_pages") - third)
+    n = F.size("codes")
+    back_rows = total("quantities", back)
+    annexed = (F.col("n_pages") >= 6) & (total("items", front) > total("items", back) * 2) & (back_rows > total("quantities", front) * 2) & (back_rows >= 5)
+    blank, few = F.col("n_chars") - 1 < 200, n < 3
     layout = F.when(blank | few, "UNKNOWN").when(annexed, "TWO_PHASE_ANNEXED").otherwise("INLINE_WITH_TITLES")
-    confidence = F.when(blank, 1.0).when(few, 0.6).when(annexed, 0.85).when(F.col("items") >= 20, 0.9).when(F.col("has_head"), 0.85).otherwise(0.65)
-    return c.select("doc_id", layout.alias("layout"), confidence.alias("confidence"), F.col("items").alias("n_items"))
+    confidence = F.when(blank, 1.0).when(few, 0.6).when(annexed, 0.85).when(n >= 20, 0.9).when(F.col("has_head"), 0.85).otherwise(0.65)
+    return profiles.withColumn("layout", layout).withColumn("confidence", confidence).withColumn("n_items", n)
+
+
+def classify(pages: DataFrame) -> DataFrame:
+    """(doc_id, layout, confidence, n_items) of each document; pages count from 1."""
+    return _layout(profile(pages)).select("doc_id", "layout", "confidence", "n_items")
+
+
+def fingerprint(pages: DataFrame) -> DataFrame:
+    """The structure of each document: counts, chapters, items that go on overleaf, and anomalies.
+
+    chapters: of each prefix the name seen first, its items and page; cross_page: (page, code) of items that lack a
+    description of ``SHORT`` characters before the page ends while the next page opens with a piece of work. These need a
+    model, the others don't. anomalies: prefixes with several names, and these. A page without text counts as a
+    page; a document without items has empty lists.
+    """
+    p = _layout(profile(pages))
+    prefix = lambda c: F.upper(F.substring_index(c, ".", 1))
+    prefixes = F.array_distinct(F.transform("heads", lambda h: h["prefix"]))
+    of = lambda x: F.filter("heads", lambda h: h["prefix"] == x)
+    named = lambda x: F.array_sort(F.array_distinct(F.transform(of(x), lambda h: h["name"])))
+    n_own = lambda x: F.size(F.filter("codes", lambda c: prefix(c) == x))
+    entry = lambda x: F.struct(x.alias("prefix"), of(x)[0]["name"].alias("name"), n_own(x).alias("n_items"), of(x)[0]["page_no"].alias("first_page"))
+    anomalies = F.filter(F.transform(prefixes, lambda x: F.struct(x.alias("prefix"), named(x).alias("names"))), lambda a: F.size(a["names"]) > 1)
+    n_cross = F.size("cross_page")
+    return p.select(
+        "doc_id", F.col("n_pages").cast("int").alias("n_pages"), (F.col("n_chars") - F.col("n_pages") > 200).alias("extractable"), "layout", "confidence", "n_items",
+        F.greatest(F.lit(0), F.col("n_items") - n_cross).alias("n_plain"), n_cross.alias("n_needs_model"),
+        F.transform(prefixes, entry).alias("chapters"), "cross_page", anomalies.alias("anomalies"),
+    )
 
 
-def extract_items(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, code, unit, title, description, quantity): each item with the lines up to the next.
+def extract_items(pages: DataFrame, nothing_left: float | None = 0.0) -> DataFrame:
+    """(doc_id, page_no, at, code, unit, title, description, quantity): each item with the lines up to the next.
 
-    Quantities of an item are summed; a first one that repeats the item before's total is a carry-over.
+    Quantities of an item are summed; a first one that repeats the item before's total is a carry-over, and
+    ``nothing_left`` is the quantity of an item that had no other. ``at`` is the item's place in the document.
     """
     upto = Window.partitionBy("doc_id").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     same_page = Window.partitionBy("doc_id", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,6 +196,92 @@ def extract_items(pages: DataFrame) -> DataFrame:
     heads = own.where("code IS NOT NULL").select("doc_id", "item", "page_no", "code", "unit", "title")
     order = (F.col("page_no").cast("bigint") * 1_000_000 + F.col("line_no")).alias("at")
     text = own.where("code IS NULL AND quantity IS NULL AND trim(line) <> ''").groupBy("doc_id", "item").agg(F.sort_array(F.collect_list(F.struct(order, F.trim("line").alias("line")))).alias("ls"))
-    quantities = drop_carry_over(own.where("quantity IS NOT NULL").select("doc_id", "item", order, "quantity"), ["doc_id"], "item", "at", "quantity")
+    quantities = drop_carry_over(own.where("quantity IS NOT NULL").select("doc_id", "item", order, "quantity"), ["doc_id"], "item", "at", "quantity", nothing_left)
     described = heads.join(text, ["doc_id", "item"], "left").join(quantities, ["doc_id", "item"], "left")
-    return described.select("doc_id", "page_no", "code", "unit", "title", F.array_join(F.transform("ls", lambda x: x["line"]), " ").alias("description"), "quantity")
+    return described.select("doc_id", "page_no", F.col("item").alias("at"), "code", "unit", "title", F.array_join(F.transform("ls", lambda x: x["line"]), " ").alias("description"), "quantity")
+
+
+def _priced_unit(items: DataFrame, route: str) -> DataFrame:
+    """The columns that all routes share."""
+    return items.select(
+        "doc_id", F.lit(route).alias("route"), F.lit(None).cast("string").alias("reason"), "page_no", "code", "unit", unit_normalize(F.col("unit")).alias("unit_normalized"),
+        unit_dimension(F.col("unit")).alias("unit_dimension"), "chapter", "description", "quantity",
+    )
+
+
+def inline_items(pages: DataFrame, heads: DataFrame) -> DataFrame:
+    """Items that stand beside their descriptions, with ``short``: whether a description has under ``SHORT`` characters.
+
+    ``heads``: (doc_id, prefix, chapter), the first name of each chapter. An item without a description has its
+    title, without a quantity one piece.
+    """
+    items = extract_items(pages, None).withColumn("prefix", F.upper(F.substring_index("code", ".", 1))).join(heads, ["doc_id", "prefix"], "left")
+    named = canonical_chapters(items.withColumn("chapter", F.coalesce("chapter", F.lit(NO_CHAPTER))), ["doc_id"], "at")
+    short = F.coalesce(F.length("description"), F.lit(0)) < SHORT
+    return named.select("doc_id", "page_no", "at", "code", "unit", "chapter", short.alias("short"), F.coalesce(F.nullif("description", F.lit("")), F.col("title")).alias("description"), F.coalesce("quantity", F.lit(1.0)).alias("quantity"))
+
+
+def annexed_items(pages: DataFrame) -> DataFrame:
+    """Items of documents whose first half describes them and whose second half has their quantities.
+
+    A description that a page's foot cuts off (it doesn't end in a full stop) takes over the text at the head of the next page.
+    The second half has codes alone on a line, each with the quantities after it; both halves meet on the
+    digits of the code, the last of repeated codes counts, and an item without a quantity has 0. Chapters are
+    carried on from the headings before.
+    """
+    n_pages = F.count("*").over(Window.partitionBy("doc_id"))
+    halves = pages.withColumn("_front", F.col("page_no") * 2 <= n_pages)
+    front, back = halves.where("_front").drop("_front"), halves.where("NOT _front").drop("_front")
+    lines = page_lines(front)
+    upto = Window.partitionBy("doc_id", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    all_before = Window.partitionBy("doc_id").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select("*", _first(F.col("line"), 1, CHAPTER_CODED, CHAPTER_NUMBERED).alias("prefix"), F.trim(_first(F.col("line"), 2, CHAPTER_CODED, CHAPTER_NUMBERED)).alias("name"))
+    marked = marked.withColumn("_head", F.col("line").rlike(TABLE_HEAD)).withColumn("_plain", F.col("code").isNull() & F.col("quantity").isNull() & F.col("prefix").isNull() & ~F.col("_head") & (F.trim("line") != ""))
+    placed = marked.select(
+        "*", F.sum(F.when(F.col("code").isNotNull(), 1).otherwise(0)).over(all_before).alias("at"), F.max(F.col("code").isNotNull()).over(upto).alias("_begun"),
+        F.last(F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(" "), "name")), ignorenulls=True).over(all_before).alias("heading"),
+    )
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_plain"), F.struct("line_no", F.trim("line").alias("line"))))), lambda x: x["line"]), " ")
+    items = placed.where("_begun AND at > 0").groupBy("doc_id", "page_no", "at").agg(
+        F.max("code").alias("code"), F.max("unit").alias("unit"), F.max("title").alias("title"), F.max_by("heading", F.when(F.col("code").isNotNull(), 1)).alias("chapter"), joined.alias("description")
+    )
+    tails = placed.where("NOT _begun").groupBy("doc_id", "page_no").agg(joined.alias("tail"))
+    ends = items.groupBy("doc_id", "page_no").agg(F.max_by(~F.rtrim("description").rlike(r"\.$"), "at").alias("truncated"))
+    notes = front.select("doc_id", "page_no").join(ends, ["doc_id", "page_no"], "left").join(tails, ["doc_id", "page_no"], "left")
+    items = merge_tails(items, notes, ["doc_id"], "page_no", "at", "description")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    rows = page_lines(back).withColumn("own", F.nullif(F.regexp_extract(F.trim("line"), CODE_ALONE, 1), F.lit("")))
+    rows = rows.withColumn("own", F.when(F.col("own").isNotNull() & F.col("quantity").isNull(), F.col("own")))
+    counted = rows.select("*", F.last("own", ignorenulls=True).over(all_before).alias("of"), F.sum(F.when(F.col("own").isNotNull(), 1).otherwise(0)).over(all_before).alias("turn"))
+    turns = counted.where("of IS NOT NULL").groupBy("doc_id", "turn").agg(F.max(digits(F.col("of"))).alias("digits"), F.sum("quantity").alias("quantity"))
+    totals = turns.groupBy("doc_id", "digits").agg(F.max_by(F.coalesce("quantity", F.lit(0.0)), "turn").alias("quantity"))
+    filled = forward_fill_chapter(items, ["doc_id"], "at").withColumnRenamed("chapter", "_chapter")
+    named = items.drop("chapter").join(filled, ["doc_id", "at"]).withColumn("chapter", F.coalesce(F.nullif("_chapter", F.lit("")), F.lit(NO_CHAPTER)))
+    named = canonical_chapters(named, ["doc_id"], "at").withColumn("digits", digits(F.col("code")))
+    out = named.join(totals, ["doc_id", "digits"], "left")
+    return out.select("doc_id", "page_no", "at", "code", "unit", "chapter", F.coalesce(F.nullif("description", F.lit("")), F.col("title")).alias("description"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
+
+
+def extract_documents(pages: DataFrame, confidence: float = 0.85, items: int = 5, short: float = 0.3) -> DataFrame:
+    """Items of all documents that patterns can read, by route, and one row with the reason for each that needs a model.
+
+    Documents with a layout of two halves go the ``annexed`` route. The others must pass three gates to go
+    ``inline``: a layout known with ``confidence``, at least so many ``items``, and no more than a share ``short`` of
+    them with short descriptions. ``pages`` (doc_id, page_no from 1, text) is read several times: hand in a table.
+    """
+    known = _layout(profile(pages))
+    reason = F.when(F.col("layout") == "UNKNOWN", "layout").when(F.col("confidence") < confidence, "confidence").when(F.col("n_items") < items, "few_items")
+    routed = known.select("doc_id", "heads", F.when(F.col("layout") == "TWO_PHASE_ANNEXED", "annexed").when(reason.isNull(), "inline").otherwise("model").alias("route"), reason.alias("reason"))
+    by = lambda route: routed.where(F.col("route") == route)
+    inline = by("inline")
+    heads = inline.select("doc_id", F.explode("heads").alias("h")).groupBy("doc_id", "h.prefix").agg(F.min_by(F.concat("h.prefix", F.lit(" "), "h.name"), F.struct("h.page_no", "h.kind", "h.at")).alias("chapter"))
+    found = inline_items(pages.join(inline.select("doc_id"), "doc_id", "left_semi"), heads)
+    share = F.avg(F.col("short").cast("int")).over(Window.partitionBy("doc_id"))
+    judged = found.withColumn("_share", share)
+    refused = judged.where(F.col("_share") > short).select("doc_id").distinct().withColumn("reason", F.lit("short_descriptions"))
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rest = by("model").select("doc_id", "reason").unionByName(refused)
+    kinds = {"page_no": "int", "code": "string", "unit": "string", "unit_normalized": "string", "unit_dimension": "string", "chapter": "string", "description": "string", "quantity": "double"}
+    rest = rest.select("doc_id", F.lit("model").alias("route"), "reason", *(empty(c, k) for c, k in kinds.items()))
+    annexed = annexed_items(pages.join(by("annexed").select("doc_id"), "doc_id", "left_semi"))
+    return _priced_unit(judged.where(F.col("_share") <= short), "inline").unionByName(_priced_unit(annexed, "annexed")).unionByName(rest)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("finance", "scans", "joining", "windows", "sessions", "texts", "pricing", "streams", "composite")
+MODULES = ("finance", "scans", "joining", "windows", "sessions", "texts", "pricing", "streams", "composite", "books")
 
 
 def load() -> None:

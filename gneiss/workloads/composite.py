@@ -71,19 +71,6 @@ def scan_pdf_images(t) -> DataFrame:
     return t.conversations.select("conv_id", "turn", (F.col("turn") >= n / 2.0).alias("is_summatory"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-SELECT doc_id, line_no, length(line) AS n_chars FROM l WHERE regexp_matches(line, '^(Licensed|Released|This work)')""")
-def scan_regex_text_parser(t) -> DataFrame:
-    """Lines of a text with their number, kept where a pattern opens them."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike("^(Licensed|Released|This work)")).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.length("line").cast("bigint").alias("n_chars"))
-
-
-@query("SELECT page_id, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) AS lang, TRY_CAST(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) AS BIGINT) AS number FROM pages")
-def scan_files_dir(t) -> DataFrame:
-    """Names taken apart by a pattern."""
-    part = lambda i: F.regexp_extract("url", "/([a-z]{2})/([0-9]+)", i)
-    return t.pages.select("page_id", part(1).alias("lang"), part(2).try_cast("bigint").alias("number"))
 
 
 def _sides(t) -> tuple[DataFrame, DataFrame]:
@@ -320,30 +307,7 @@ def layout_classify(t) -> DataFrame:
     return layout.classify(_pages(t)).withColumn("n_items", F.col("n_items").cast("bigint"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, l_linenumber, 'C' || (l_suppkey % 9) || '.' || l_partkey AS code, CASE l_partkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'Ud' ELSE 'ml' END AS unit, CAST(l_quantity AS DOUBLE) AS q,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
-r AS (SELECT doc_id, n, code, unit, q AS own, q AS total FROM b WHERE n = 1
-  UNION ALL SELECT doc_id, n, code, unit, own, CASE WHEN own > 0 THEN own ELSE total END FROM
-    (SELECT b.doc_id, b.n, b.code, b.unit, r.total, CASE WHEN abs(b.q - r.total) < 0.01 THEN 0.0 ELSE b.q END AS own FROM r JOIN b ON b.doc_id = r.doc_id AND b.n = r.n + 1))
-SELECT doc_id, unit, count(*) AS n_items, count(DISTINCT code) AS n_codes, round(sum(own), 4) AS quantity FROM r GROUP BY 1, 2""")
-def pipe_layout_extract(t) -> DataFrame:
-    """Items read back from pages with their quantities, carried-over totals left out, summed by unit."""
-    items = layout.extract_items(_pages(t))
-    return items.groupBy("doc_id", "unit").agg(F.count("*").alias("n_items"), F.countDistinct("code").alias("n_codes"), F.round(F.sum("quantity"), 4).alias("quantity"))
-
-
-@query("SELECT l_orderkey AS doc_id, count(*) AS n_items, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY 1")
-def pipe_layout_fingerprint(t) -> DataFrame:
-    lines = layout.page_lines(_pages(t))
-    return lines.groupBy("doc_id").agg(count_where(F.col("code").isNotNull()).alias("n_items"), F.countDistinct("page_no").alias("n_pages"))
-
 
-@query("""WITH l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-SELECT doc_id, (n - 1) // 40 + 1 AS page_no, count(*) AS n_lines, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM l GROUP BY 1, 2""")
-def scan_pdf_text(t) -> DataFrame:
-    """Texts as pages of forty lines (or up to a form feed, of which these have none)."""
-    pages = layout.text_pages(t.documents)
-    return pages.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query()

@@ -42,13 +42,6 @@ def win_canonical_chapter(t) -> DataFrame:
     return t.part.select("p_partkey", F.coalesce(F.first(long, ignorenulls=True).over(all_), F.first("p_name").over(all_)).alias("canonical"))
 
 
-@query("""SELECT conv_id, turn, length(text) + CASE WHEN role = 'user' THEN coalesce(length(lead(text) OVER w), 0) ELSE 0 END AS merged FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def win_lead_lag_merge(t) -> DataFrame:
-    """A truncated row takes over the next one's orphan tail."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    tail = F.when(F.col("role") == "user", F.coalesce(F.length(F.lead("text").over(w)), F.lit(0))).otherwise(0)
-    return t.conversations.select("conv_id", "turn", (F.length("text") + tail).cast("bigint").alias("merged"))
-
 
 @query("""SELECT event_id, date_diff('second', ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts)) AS block FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)""")
 def win_next_match_block(t) -> DataFrame:
