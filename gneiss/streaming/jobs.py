@@ -16,11 +16,11 @@ from gneiss.sources.scratch import scratch_path
 RETENTION = "12 hours"
 #: Status changes that a job may go through.
 JOB_TRANSITIONS = {
-    "queued": ("running", "cancelled"),
-    "running": ("completed", "failed", "cancelled", "queued"),
+    "queued": ("running", "failed"),
+    "running": ("completed", "failed", "cancelled"),
     "failed": ("queued",),
     "completed": (),
-    "cancelled": (),
+    "cancelled": ("queued",),
 }
 
 
@@ -58,63 +58,6 @@ def once(events: DataFrame, key: str = "event_id", late: str = RETENTION) -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-class Versions:
-    """Versions of a Parquet table in a folder: v0, v1, ..., and for each that is whole a mark beside it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.hadoop = spark, path, spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def folder(self, version: int) -> str:
-        return f"{self.path}/v{version}"
-
-    def marks(self) -> list[int]:
-        place = self.hadoop(f"{self.path}/_whole")
-        return sorted(int(f.getPath().getName()) for f in self.fs.listStatus(place)) if self.fs.exists(place) else []
-
-    def read(self) -> DataFrame:
-        """The newest whole version."""
-        marks = self.marks()
-        if not marks:
-            raise ValueError(f"{self.path} has no version")
-        return self.spark.read.parquet(self.folder(marks[-1]))
-
-    def publish(self, version: int) -> None:
-        self.fs.create(self.hadoop(f"{self.path}/_whole/{version}"), True).close()
-
-    def forget(self, version: int) -> None:
-        """Delete a version, its mark first."""
-        self.fs.delete(self.hadoop(f"{self.path}/_whole/{version}"), False)
-        self.fs.delete(self.hadoop(self.folder(version)), True)
-
-
-def upsert(path: str, key: str, order: str):
-    """A ``foreachBatch`` function that keeps the newest row of each key (by ``order``, then by all values).
-
-    Each batch writes a new version beside the last whole one and marks it as whole; the version before stays
-    for readers, older ones are deleted. A batch that is run again starts from the same version as before and
-    gives the same table. A batch that comes before the newest version but one, as after a lost checkpoint, is
-    an error, and so is a gap: nothing is dropped in silence. ``Versions(spark, path).read()`` is the table.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        table = Versions(batch.sparkSession, path)
-        marks = table.marks()
-        before = [m for m in marks if m < batch_id]
-        if any(m > batch_id for m in marks):
-            raise ValueError(f"{path} is already at version {marks[-1]}, after batch {batch_id}")
-        if batch_id and batch_id - 1 not in before:
-            raise ValueError(f"{path} lacks version {batch_id - 1}, which batch {batch_id} goes on from")
-        rows = batch.unionByName(table.spark.read.parquet(table.folder(before[-1]))) if before else batch
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, *rows.columns)).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(table.folder(batch_id))
-        table.publish(batch_id)
-        for old in before[:-1]:
-            table.forget(old)
-
-    return write
-
-
 def keep_recent(events: DataFrame, as_of: str, at: str = "ts") -> DataFrame:
     """Events that have not expired at a time: what a clean-up of telemetry leaves."""
     return with_expiry(events, at).where(F.col("expires_at") > F.lit(as_of).cast("timestamp"))

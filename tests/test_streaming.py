@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.streaming import jobs
+from gneiss.sources.manifest import HourlyLog, KeyedTable
+from gneiss.streaming import jobs, stateful
 
 T0 = datetime(2024, 1, 1)
 
@@ -55,22 +56,115 @@ def test_job_states(spark):
     assert {(r.job_id, r.status, r.illegal) for r in jobs.job_states(df).collect()} == {("a", "completed", 1), ("b", "queued", 1)}
 
 
-def test_upsert_keeps_the_newest_row(spark, tmp_path):
-    path = str(tmp_path / "t")
-    write, table = jobs.upsert(path, "k", "at"), jobs.Versions(spark, path)
-    schema = "k string, at long, v string"
-    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
-    write(batch(("a", 1, "x"), ("b", 5, "y")), 0)
-    for _ in range(2):  # a batch may run again
-        write(batch(("a", 2, "z"), ("b", 4, "old"), ("c", 1, "n")), 1)
-    assert {tuple(r) for r in table.read().collect()} == {("a", 2, "z"), ("b", 5, "y"), ("c", 1, "n")}
-    write(batch(("d", 1, "x")), 2)
-    assert table.marks() == [1, 2] and table.read().count() == 4
+def folders(table):
+    return {p: f[0] for p, f in table.manifest()["parts"].items()}
+
+
+def test_upsert_keeps_the_newest_row_and_rewrites_touched_parts_alone(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "k", "at", buckets=8)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, at long, v string")
+    table.upsert(batch(*((f"k{i}", 1, "first") for i in range(200))), 0)
+    before, reader = folders(table), table.read()
+    assert len(before) == 8
+    changed = batch(("k7", 2, "new"), ("k8", 0, "old"))
+    touched = table.upsert(changed, 1)
+    assert 1 <= len(touched) <= 2
+    after = folders(table)
+    assert {p for p in after if after[p] != before[p]} == set(touched)
+    assert table.upsert(changed, 1) == [] and folders(table) == after
+    rows = {r.k: (r.at, r.v) for r in table.read().collect()}
+    assert len(rows) == 200 and rows["k7"] == (2, "new") and rows["k8"] == (1, "first")
+    assert reader.where("k = 'k7'").first().v == "first"  # a reader of the version before is undisturbed
     with pytest.raises(ValueError):
-        write(batch(("a", 9, "lost checkpoint")), 0)
-    with pytest.raises(ValueError):
-        write(batch(("a", 9, "gap")), 4)
-    assert table.read().count() == 4
+        table.upsert(changed, 3)
+    table.upsert(batch(), 2)
+    assert folders(table) == after
+    gone = table.vacuum(keep=1)
+    assert {before[p] for p in touched} <= set(gone) and table.read().count() == 200
+
+
+def test_upsert_merges_what_a_row_lacks(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "k", "at", merge=True)
+    table.upsert(spark.createDataFrame([("a", 1, "x", 5)], "k string, at long, v string, n int"), 0)
+    table.upsert(spark.createDataFrame([("a", 2, "y")], "k string, at long, v string"), 1)
+    table.upsert(spark.createDataFrame([("a", 3, None, 7)], "k string, at long, v string, n int"), 2)
+    assert [tuple(r) for r in table.read().select("k", "at", "v", "n").collect()] == [("a", 3, "y", 7)]
+
+
+def test_upsert_as_a_sink_goes_on_after_a_restart(spark, tmp_path):
+    path, table = str(tmp_path / "in"), KeyedTable(spark, str(tmp_path / "t"), "user_id", "ts")
+    for n in range(2):
+        spark.createDataFrame([(u, T0 + timedelta(hours=n)) for u in (n, n + 1)], "user_id long, ts timestamp").write.mode("append").parquet(path)
+        stream = jobs.read_events(spark, path, 100).writeStream.foreachBatch(table.sink()).option("checkpointLocation", str(tmp_path / "state"))
+        stream.trigger(availableNow=True).start().awaitTermination()
+    assert {(r.user_id, r.ts) for r in table.read().collect()} == {(0, T0), (1, T0 + timedelta(hours=1)), (2, T0 + timedelta(hours=1))}
+
+
+def test_a_log_by_the_hour_expires(spark, tmp_path):
+    log = HourlyLog(spark, str(tmp_path / "log"))
+    rows = spark.createDataFrame([(i, T0 + timedelta(minutes=30 * i)) for i in range(12)] + [(99, None)], "id long, ts timestamp")
+    for half in (0, 1, 1):  # the second batch comes twice
+        log.append(rows.where(F.col("id") % 2 == half), half)
+    assert log.read().count() == 13
+    reader = log.read()
+    assert log.expire("2024-01-01 14:30:00", 12) == ["2024010100", "2024010101"]
+    assert log.expire("2024-01-01 14:30:00", 12) == []
+    assert sorted(r.id for r in log.read().collect()) == [*range(4, 12), 99]
+    assert reader.count() == 13  # its files are there until the version before goes
+    gone = log.vacuum(keep=1)
+    assert len(gone) == 4 and not any((tmp_path / "log" / f).exists() for f in gone)
+    assert log.read().count() == 9
+
+
+def arriving(spark, tmp_path, parts, schema, stream_of):
+    """Rows of each part as new files, each followed by a run that goes on from the one before."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = stateful.run_to(stream_of(jobs.read_events(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"))
+    return out
+
+
+def test_job_changes_out_of_order_and_late(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    first = [("a", at(5), "completed"), ("a", at(0), "running"), ("b", at(2), "completed")]
+    second = [("a", at(200), "queued"), ("b", at(30), "running"), ("b", at(31), "failed"), ("b", at(32), "queued")]
+    third = [("a", at(6), "running"), ("b", at(400), "cancelled"), ("c", at(10_000), "running")]
+    out = arriving(spark, tmp_path, [first, second, third], "job_id string, ts timestamp, status string", lambda e: stateful.job_changes(e, late="1 hour"))
+    rows = {(r.job_id, r.ts, r.value): (r.before, r.legal) for r in out.collect()}
+    assert rows["a", at(0), "running"] == ("queued", True) and rows["a", at(5), "completed"] == ("running", True)
+    assert ("a", at(6), "running") not in rows
+    assert rows["a", at(200), "queued"] == ("completed", False) and rows["b", at(2), "completed"] == ("queued", False)
+    done = {r.job_id: (r.status, r.illegal) for r in stateful.job_status(out).collect()}
+    assert done == {"a": ("completed", 1), "b": ("queued", 2)}
+    kept = spark.createDataFrame([x for x in first + second + third[1:2]], "job_id string, ts timestamp, status string")
+    assert {r.job_id: (r.status, r.illegal) for r in jobs.job_states(kept).collect()} == done
+
+
+def test_fixed_window_as_a_stream_is_the_batch_fold(spark, tmp_path):
+    seconds = [5, 6, 7, 64, 65, 66, 200, 201, 202, 500]
+    rows = [(u, T0 + timedelta(seconds=s * u)) for u in (1, 2) for s in seconds]
+    parts = [[r for r in rows if r[1] < T0 + timedelta(seconds=150)][::-1], [r for r in rows if r[1] >= T0 + timedelta(seconds=150)] + [(9, T0 + timedelta(days=9))]]
+    out = arriving(spark, tmp_path, parts, "user_id long, ts timestamp", lambda e: stateful.fixed_window_calls(e, 2, 60_000, late="10 minutes"))
+    batch = jobs.fixed_window_limit(spark.createDataFrame(rows, "user_id long, ts timestamp"), 2, 60_000)
+    assert {tuple(r) for r in out.where("user_id < 9").select("user_id", "ts", "allowed").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_tail_gives_out_each_row_once(spark, tmp_path):
+    row = lambda i, m: (i, i % 2, T0 + timedelta(minutes=m))
+    parts = [[row(0, 0), row(2, 2), row(4, 4), row(1, 1)], [row(6, 1), row(8, 9), row(4, 4)], [row(10, 3), row(3, 0)]]
+    out = arriving(spark, tmp_path, parts, "event_id long, user_id long, ts timestamp", lambda e: stateful.added_to_tail(e, "user_id", 2, "event_id"))
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 8]
+    assert {(r.user_id, r.id) for r in jobs.tail(out, "user_id", 2, tie="id").collect()} == {(0, 8), (0, 4), (1, 1), (1, 3)}
+    seen = stateful.after_cursor(out, (T0 + timedelta(minutes=2), 2))
+    assert sorted(r.id for r in seen.collect()) == [4, 8] and stateful.after_cursor(out, None).count() == 5
+
+
+def test_interval_join_drops_late_rows(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    of = lambda e, kind: e.where(F.col("kind") == kind).select("u", "id", "ts")
+    parts = [[(1, 1, "a", at(0)), (1, 2, "b", at(30)), (1, 3, "b", at(61))], [(2, 4, "b", at(10)), (2, 5, "a", at(5)), (3, 6, "a", at(900)), (3, 7, "b", at(900))], [(1, 8, "b", at(40)), (3, 9, "b", at(955))]]
+    out = arriving(spark, tmp_path, parts, "u long, id long, kind string, ts timestamp", lambda e: stateful.followed(of(e, "a"), of(e, "b"), "u", "1 hour", "30 minutes"))
+    assert {(r.first_id, r.then_id) for r in out.collect()} == {(1, 2), (5, 4), (6, 7), (6, 9)}
 
 
 def test_folds_do_not_depend_on_partitions(spark):
