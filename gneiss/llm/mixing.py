@@ -15,6 +15,8 @@ from gneiss.llm.common import arrow_schema, as_bytes, bounded_batches, discard,
 
 #: Words of a block, slots of an output shard, documents of a bucket within which offsets are summed.
 BLOCK, SHARD, BUCKET = 64, 16_384, 1024
+#: Slots that one task deals out.
+TASK_SLOTS = 1 << 20
 #: Weights of the sources in order, repeating; and how often a source is used at most.
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 SEED = 42
@@ -183,7 +185,9 @@ def dealt_slots(spark, quotas: Quotas, shard: int = SHARD) -> DataFrame:
                 columns = [pa.array(np.full(n, s)), pa.array(slot), pa.array(to, pa.int32()), pa.array(epoch, pa.int32()), pa.array(block)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return draws.select("shard", "rank", "n", "at", first.alias("k0")).mapInArrow(run, _SLOTS)
+    numbered = draws.select("shard", "rank", "n", "at", first.alias("k0"))
+    tasks = min(-(-total // shard), spark.sparkContext.defaultParallelism + total // TASK_SLOTS)  # a row of draws makes many slots
+    return numbered.repartition(max(1, tasks), "shard").mapInArrow(run, _SLOTS)
 
 
 @dataclass
@@ -204,7 +208,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """``placed`` with the words that the mix takes of each document, repeats counted."""
-        times = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
+        # as large as the mix, though it comes of a small table of draws: never to be sent to all tasks
+        times = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
         used = self.pieces().join(times, ["rank", "block"], "left")
         words = used.groupBy("rank", "offset", "doc_id", "size").agg(F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
         none = self.placed.where("size = 0").select("rank", "offset", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
@@ -271,7 +276,7 @@ def mixed_blocks(docs: DataFrame, **options: object) -> DataFrame:
     pieces = map_rows(mix.placed.where("size > 0"), columns, cut, "rank int, block long, at long, piece binary")
     texts = pieces.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("all"))
     texts = texts.select("rank", "block", F.array_join(F.transform("all", lambda x: x.piece.cast("string")), " ").alias("text"))
-    out = mix.slots.join(texts, ["rank", "block"]).join(mix.targets.select("rank", "source"), "rank")
+    out = mix.slots.join(texts.hint("merge"), ["rank", "block"]).join(mix.targets.select("rank", "source"), "rank")
     return out.select("shard", "slot", "source", "epoch", "block", "text")
 
 
