@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.functions.units import unit_normalize
+
 #: Category of a component by the first letters of its code, or else by its type.
 CODE_CATEGORIES = {"%": "indirect", "mo": "labor", "mt": "material_fixed", "mq": "machinery", "ci": "indirect"}
 TYPE_CATEGORIES = {"LABOR": "labor", "MATERIAL": "material_fixed", "MACHINERY": "machinery", "OTHER": "other"}
@@ -114,8 +116,18 @@ def normalize_yield(price: Column, total: Column, declared: Column, tolerance: f
 
 
 def select_tier(score: Column, candidate_unit: Column, unit: Column) -> Column:
-    """``flash`` for a confident candidate in the same canonical unit, else ``pro``."""
-    return F.when((score >= 0.85) & (candidate_unit == unit), "flash").otherwise("pro")
+    """``flash`` for a confident candidate in the same canonical unit, however either is written, else ``pro``."""
+    return F.when((score >= 0.85) & (unit_normalize(candidate_unit) == unit_normalize(unit)), "flash").otherwise("pro")
+
+
+def needs_pro(tier: Column, match_kind: Column, needs_review: Column) -> Column:
+    """Whether a line that was priced the quick way must be priced again: from scratch, or to be reviewed."""
+    return (tier == "flash") & F.coalesce((match_kind == "from_scratch") | needs_review, F.lit(False))
+
+
+def runaway(unit: Column, unit_price: Column, quantity: Column) -> Column:
+    """Whether a line in one of the common units, written plainly, costs over 100,000."""
+    return F.coalesce(F.lower(unit).isin("m2", "m3", "ml", "ud") & (unit_price * quantity > 100_000.0), F.lit(False))
 
 
 def is_ancillary(description: Column) -> Column:

@@ -41,9 +41,9 @@ def normalize_code_pad(code: Column) -> Column:
 
 
 def chapter_code_of(code: Column) -> Column:
-    """Chapter before the first dot, zeros stripped and padded to two; null without a dot or for zero."""
-    head = F.ltrim(F.substring_index(code, ".", 1), F.lit("0"))
-    return F.when(~F.contains(code, F.lit(".")) | (head == ""), None).otherwise(pad(head))
+    """Chapter before the first dot, zeros stripped and padded to two (``00`` for zero); null without a dot."""
+    head = F.ltrim(F.trim(F.substring_index(code, ".", 1)), F.lit("0"))
+    return F.when(F.contains(code, F.lit(".")), pad(head))
 
 
 def chapter_prefix(name: Column) -> Column:

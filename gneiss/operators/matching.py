@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import normalize_code_word, token_coverage
+from gneiss.functions.text import normalize_code_pad, normalize_code_word, token_coverage
 from gneiss.operators.aggregate import percentiles
 from gneiss.operators.joins import pair_in_order
-from gneiss.sources.scratch import scratch_path
+from gneiss.operators.ordered import streamed
+from gneiss.sources.scratch import stored
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -36,16 +37,60 @@ def hybrid_similarity(a: Column, b: Column) -> Column:
     return F.when(coverage == 0, ratio * 0.5).otherwise(F.greatest(ratio, coverage))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each golden row, in order, takes the best free row; of equals the first."""
-    used, out = set(), []
-    for _, rows in pdf.sort_values(["golden_seq", "found_seq"]).groupby("golden_seq", sort=True):
-        free = rows[~rows["found_seq"].isin(used)]
-        if len(free):
-            best = free.loc[free["ratio"].idxmax()]
-            used.add(best["found_seq"])
-            out.append(best)
-    return pd.DataFrame(out, columns=pdf.columns)
+def _letters(text: Column) -> Column:
+    """The characters of a text in small letters, each with its number of occurrence, later occurrences first.
+
+    Two texts share as many of these as their bags of characters do, which is the most that matching blocks can cover.
+    """
+    low = F.lower(text)
+    distinct = F.array_distinct(F.filter(F.split(low, ""), lambda c: c != ""))
+    count = lambda c: F.floor((F.length(low) - F.length(F.replace(low, c, F.lit("")))) / F.length(c)).cast("int")
+    each = F.flatten(F.transform(distinct, lambda c: F.transform(F.sequence(F.lit(1), count(c)), lambda i: F.struct((-i).alias("i"), c.alias("c")))))
+    return F.transform(F.array_sort(each), lambda x: F.concat(x["c"], (-x["i"]).cast("string")))
+
+
+def similar_pairs(golden: DataFrame, found: DataFrame, block: str, threshold: float) -> DataFrame:
+    """(block, golden_seq, found_seq, ratio) of all pairs of a block whose ``fuzzy_ratio`` reaches ``threshold``.
+
+    A pair at the threshold shares at least t / (2 - t) of either text's numbered characters, so it shares one of the first
+    n - t n / (2 - t) + 1 of each in any fixed order: rows meet on these alone, each pair at the first that both have.
+    Lengths, and then the whole bags, bound the ratio before it is worked out. Frames have (block, seq, description); null
+    and empty descriptions are like nothing.
+    """
+    share = threshold / (2 - threshold)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where(F.length("description") > 0).select(block, F.col("seq").alias(f"{name}_seq"), F.col("description").alias(f"_{name}"), _letters(F.col("description")).alias(f"_{name}_all"))
+        n = F.size(f"_{name}_all")
+        first = F.slice(F.col(f"_{name}_all"), F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)
+        return rows.withColumn(f"_{name}_first", first).withColumn("_letter", F.explode(f"_{name}_first"))
+
+    met = side(golden, "golden").join(side(found, "found"), [block, "_letter"])
+    met = met.where(length_bound(F.col("_golden"), F.col("_found")) >= threshold - 1e-9).where(F.array_intersect("_golden_first", "_found_first")[0] == F.col("_letter"))
+    shared = F.size(F.array_intersect("_golden_all", "_found_all")) * 2 / (F.size("_golden_all") + F.size("_found_all"))
+    close = met.where(shared >= threshold - 1e-9).select(block, "golden_seq", "found_seq", "_golden", "_found")
+    return close.select(block, "golden_seq", "found_seq", fuzzy_ratio(F.col("_golden"), F.col("_found")).alias("ratio")).where(F.col("ratio") >= threshold)
+
+
+def greedy(pairs: DataFrame, block: str) -> DataFrame:
+    """The pairs (block, golden_seq, found_seq, ratio) of a one-to-one match: golden rows in order take the best free row.
+
+    Of equally good rows the first is taken. A block's pairs are streamed in that order through a task that holds the
+    rows already taken; blocks (budgets) run side by side.
+    """
+    kinds = dict(pairs.dtypes)
+
+    def step(state: list, row: tuple) -> tuple:
+        g, f, ratio, _ = row
+        if g == state[0] or f in state[1]:
+            return ()
+        state[0] = g
+        state[1].add(f)
+        return ((g, f, ratio),)
+
+    rows = pairs.withColumn("_order", -F.col("ratio"))
+    schema = f"golden_seq {kinds['golden_seq']}, found_seq {kinds['found_seq']}, ratio double"
+    return streamed(rows, [block], ["golden_seq", "_order", "found_seq"], ["golden_seq", "found_seq", "ratio", "_order"], schema, lambda: [None, set()], step)
 
 
 def code_matches(golden: DataFrame, found: DataFrame, block: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,38 +107,47 @@ def code_matches(golden: DataFrame, found: DataFrame, block: str) -> tuple[DataF
         return pair_in_order(left, right, [block, "_k"], "golden_seq", "found_seq").select(block, "golden_seq", "found_seq", F.lit(level).alias("level"))
 
     rest = lambda df, key, done: df.join(done.select(block, key), [block, key], "left_anti")
-    exact = step(F.col("gcode"), F.col("pcode"), "exact_code", g, p)
+    exact = stored(step(F.col("gcode"), F.col("pcode"), "exact_code", g, p), "exact")
     g2, p2 = rest(g, "golden_seq", exact), rest(p, "found_seq", exact)
-    normal = step(normalize_code_word(F.col("gcode")), normalize_code_word(F.col("pcode")), "normalized_code", g2, p2)
+    normal = stored(step(normalize_code_word(F.col("gcode")), normalize_code_word(F.col("pcode")), "normalized_code", g2, p2), "normal")
     return exact.unionByName(normal), rest(g2, "golden_seq", normal), rest(p2, "found_seq", normal)
 
 
 def cascade_match(golden: DataFrame, found: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
     """(block, golden_seq, found_seq, level, ratio): exact code, then normal code, then description.
 
-    Each side is used once, golden rows in order of ``seq``. The code steps are equi-joins of ranked rows.
-    The last step depends on order, so it runs for each ``block`` (a document, a chapter) in one group of
-    the candidate pairs that can reach the threshold; blocks should be of bounded size. Both frames have
-    (block, seq, code, description).
+    Each side is used once, golden rows in order of ``seq``. ``block`` is a whole budget. The code steps are equi-joins of ranked rows,
+    the last one a similarity join whose pairs are matched in order. Both frames have (block, seq, code, description).
     """
     coded, g3, p3 = code_matches(golden, found, block)
-    pairs = g3.join(p3, block).where((F.length("gdesc") > 0) & (length_bound(F.col("gdesc"), F.col("pdesc")) >= threshold))
-    scored = pairs.select(block, "golden_seq", "found_seq", fuzzy_ratio(F.col("gdesc"), F.col("pdesc")).alias("ratio")).where(F.col("ratio") >= threshold)
-    kinds = dict(scored.dtypes)
-    fuzzy = scored.groupBy(block).applyInPandas(_greedy, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
+    left = lambda df, seq, text: df.select(block, F.col(seq).alias("seq"), F.col(text).alias("description"))
+    fuzzy = greedy(similar_pairs(left(g3, "golden_seq", "gdesc"), left(p3, "found_seq", "pdesc"), block, threshold), block)
     coded = coded.withColumn("ratio", F.lit(None).cast("double"))
     return coded.unionByName(fuzzy.select(block, "golden_seq", "found_seq", F.lit("fuzzy_description").alias("level"), F.round("ratio", 3).alias("ratio")))
 
 
 def full_outer_match(golden: DataFrame, found: DataFrame, block: str, threshold: float = 0.55) -> DataFrame:
-    """The cascade with what is left on either side: ``missing`` golden rows and ``extra`` found ones."""
-    m = cascade_match(golden, found, block, threshold)
-    missing = golden.select(block, F.col("seq").alias("golden_seq")).join(m, [block, "golden_seq"], "left_anti")
-    extra = found.select(block, F.col("seq").alias("found_seq")).join(m, [block, "found_seq"], "left_anti")
-    return (
-        m.unionByName(missing.withColumn("level", F.lit("missing")), allowMissingColumns=True)
-        .unionByName(extra.withColumn("level", F.lit("extra")), allowMissingColumns=True)
-    )
+    """(block, golden_seq, found_seq, level, ratio) of two whole budgets: by zero-padded code, by description, and what is left.
+
+    Every golden row meets the last found row of its code (``4.2`` and ``C04.02`` are one code), however many golden rows
+    have it. Golden rows of other codes take, in order, the best found row that is still free; then come ``missing`` golden
+    rows and ``extra`` found ones. ratio is that of the descriptions, 0 for what is left.
+    """
+    g = golden.select(block, F.col("seq").alias("golden_seq"), normalize_code_pad(F.coalesce("code", F.lit(""))).alias("_code"), F.coalesce("description", F.lit("")).alias("_g"))
+    f = found.select(block, F.col("seq").alias("found_seq"), normalize_code_pad(F.coalesce("code", F.lit(""))).alias("_code"), F.coalesce("description", F.lit("")).alias("_f"))
+    last = f.groupBy(block, "_code").agg(F.max_by(F.struct("found_seq", "_f"), "found_seq").alias("_last")).select(block, "_code", "_last.*")
+    exact = g.join(last, [block, "_code"]).withColumn("ratio", F.when((F.col("_g") == "") & (F.col("_f") == ""), 1.0).otherwise(fuzzy_ratio(F.col("_g"), F.col("_f"))))
+    exact = stored(exact.select(block, "golden_seq", "found_seq", F.lit("exact_code").alias("level"), "ratio"), "exact")
+    g2 = g.join(exact, [block, "golden_seq"], "left_anti").select(block, F.col("golden_seq").alias("seq"), F.col("_g").alias("description"))
+    f2 = f.join(exact, [block, "found_seq"], "left_anti").select(block, F.col("found_seq").alias("seq"), F.col("_f").alias("description"))
+    blank = lambda df, seq: df.where("description = ''").select(block, F.col("seq").alias(seq))
+    blanks = pair_in_order(blank(g2, "golden_seq"), blank(f2, "found_seq"), [block], "golden_seq", "found_seq").withColumn("ratio", F.lit(1.0))
+    alike = greedy(similar_pairs(g2, f2, block, threshold), block).unionByName(blanks)
+    fuzzy = stored(alike.select(block, "golden_seq", "found_seq", F.lit("fuzzy_description").alias("level"), "ratio"), "fuzzy")
+    both = exact.unionByName(fuzzy)
+    rest = lambda df, seq, level: df.select(block, seq).join(both, [block, seq], "left_anti").select(block, seq, F.lit(level).alias("level"), F.lit(0.0).alias("ratio"))
+    out = both.unionByName(rest(g, "golden_seq", "missing"), allowMissingColumns=True).unionByName(rest(f, "found_seq", "extra"), allowMissingColumns=True)
+    return out.withColumn("ratio", F.round("ratio", 3))
 
 
 def match_metrics(matches: DataFrame, golden: DataFrame, golden_price: str, found_price: str) -> DataFrame:
@@ -130,9 +184,7 @@ def eval_report(golden: DataFrame, found: DataFrame, block: str, thresholds: dic
     precise = described & chapters & (fuzzy_ratio(F.trim("golden_description"), F.trim("found_description")) >= 0.8)
     m = pairs.select("level", precise.alias("precise"), (F.abs(F.col("found_price") - F.col("golden_price")) / F.when(F.col("golden_price") != 0, F.col("golden_price"))).alias("d"))
     share = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
-    path = scratch_path(golden.sparkSession, "matches")
-    m.write.parquet(path)  # the cascade runs once
-    m = golden.sparkSession.read.schema(m.schema).parquet(path)
+    m = stored(m, "matches")  # the cascade runs once
     shares = m.agg(F.count("*").alias("matches_count"), share(F.col("level") == "exact_code").alias("precision_1to1"), share(F.col("precise")).alias("precision_semantic"))
     prices = percentiles(m, "d", p50=("middle", 0.5), p95=("lower", 0.95))
     total = lambda df, name: df.groupBy("chapter").agg(F.sum("total").alias(name))

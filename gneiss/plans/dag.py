@@ -2,38 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.aggregate import positions
+from gneiss.sources.scratch import stored
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """(node, level): 0 for nodes without prerequisites, else one more than the highest of them.
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): the longest way to a node from one without prerequisites; null for nodes on a cycle or behind one.
 
-    ``edges`` has (node, needs); those to unknown nodes are ignored. One level a round; the nodes that a
-    cycle keeps from being placed get a null level.
+    ``edges`` has (node, needs); those to unknown nodes are ignored. Ways of 2^k steps are joined from two of half the length, so
+    there are as many rounds as the depth has binary digits; a node's longest way is then put together from
+    the longest pieces down, each of which it holds at most once. Ways as long as there are nodes exist on cycles alone.
     """
-    known = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs").distinct()
-    left = nodes.select("node").distinct()
-    placed = None
-    for level in range(max_levels):
-        open_ = known.join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
-        ready = left.join(open_, "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if ready.isEmpty():
-            break
-        placed = ready if placed is None else placed.unionByName(ready)
-        left = left.join(ready, "node", "left_anti").checkpoint()
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if placed is None else placed.unionByName(rest)
-
-
-def planned_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, position): by level, then order of input; transversal nodes after these, then unknown ones.
-
-    ``nodes`` has (node, seq, kind), kind one of node, transversal, unknown.
+    own = nodes.select("node").distinct()
+    known = edges.join(own.select(F.col("node").alias("needs")), "needs", "left_semi").join(own, "node", "left_semi")
+    n = own.count()
+    ways = [stored(known.select("node", "needs").distinct(), "ways")]
+    while not ways[-1].isEmpty() and 1 << (len(ways) - 1) <= n:
+        step = ways[-1]
+        half = step.select(F.col("needs").alias("_at"), F.col("node"))
+        ways.append(stored(half.join(step.select(F.col("node").alias("_at"), "needs"), "_at").select("node", "needs").distinct(), "ways"))
+    endless = ways.pop() if 1 << (len(ways) - 1) > n or not ways[-1].isEmpty() else None
+    reached = own.withColumn("level", F.lit(0))
+    for k in reversed(range(len(ways))):
+        longer = ways[k].join(reached.select(F.col("node").alias("needs"), F.col("level").alias("_before")), "needs").groupBy("node").agg(F.max("_before").alias("_before"))
+        reached = reached.join(longer, "node", "left").select("node", F.greatest("level", F.col("_before") + (1 << k)).alias("level"))
+        if k and k % 4 == 0:  # each step reads the one before twice
+            reached = stored(reached, "reached")
+    if endless is None:
+        return reached
+    cyclic = endless.select("node").distinct().withColumn("_cyclic", F.lit(True))
+    return reached.join(cyclic, "node", "left").select("node", F.when(F.col("_cyclic").isNull(), F.col("level")).alias("level"))
+
+
+def _in_order(chapters: list[tuple], needs: dict[str, tuple]) -> list[tuple]:
+    """Chapters (seq, name) so that each comes after those that it needs, the earliest of those that may come first; cycles at the end."""
+    place = {name: seq for seq, name in chapters}
+    open_ = {name: sum(p in place for p in set(needs[name])) for name in place}
+    followers: dict[str, list] = {}
+    for name in place:
+        for p in set(needs[name]):
+            followers.setdefault(p, []).append(name)
+    ready, out = [(place[name], name) for name, n in open_.items() if not n], []
+    heapq.heapify(ready)
+    while ready:
+        seq, name = heapq.heappop(ready)
+        out.append((seq, name))
+        for f in followers.get(name, ()):
+            open_[f] -= 1
+            if not open_[f]:
+                heapq.heappush(ready, (place[f], f))
+    return out + sorted((place[n], n) for n in place.keys() - {n for _, n in out})
+
+
+def planned_orders(chapters: DataFrame, graph: dict[str, tuple[str, ...]], transversal: tuple[str, ...], key: str) -> DataFrame:
+    """(key, chapter, seq, position): the chapters of each document in the order of their work.
+
+    ``chapters`` has (key, seq, chapter). ``graph`` names what each known chapter needs. Known chapters come in the order of their needs, and of
+    those that may come next the one that was given first; then transversal ones, then unknown ones, both as given. A need
+    that the document lacks is ignored. A chapter that is given twice counts where it is given last. Known chapters of a
+    document are as many as the graph has at most; the others are only numbered.
     """
-    levels = topological_levels(nodes.where("kind = 'node'"), edges)
-    late = F.when(F.col("kind") == "node", 0).when(F.col("kind") == "transversal", 1).otherwise(2)
-    ordered = nodes.join(levels, "node", "left").withColumn("_late", late)
-    return positions(ordered.select("node", "_late", "level", "seq"), "_late", F.asc_nulls_last("level"), "seq").select("node", "position")
+    known = [c for c in graph if c not in transversal]
+    kind = F.when(F.col("chapter").isin(*known), 0).when(F.col("chapter").isin(*(c for c in graph if c in transversal)), 1).otherwise(2) if graph else F.lit(2)
+    once = chapters.groupBy(key, "chapter").agg(F.max("seq").alias("seq")).withColumn("_kind", kind)
+    dtypes = dict(once.dtypes)
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        own = _in_order(list(zip(rows["seq"].tolist(), rows["chapter"].tolist())), graph)
+        return pd.DataFrame({key: [rows[key].iloc[0]] * len(own), "chapter": [c for _, c in own], "seq": [s for s, _ in own], "_place": range(len(own))})
+
+    sorted_ = once.where("_kind = 0").groupBy(key).applyInPandas(order, f"`{key}` {dtypes[key]}, chapter string, seq {dtypes['seq']}, _place bigint").withColumn("_kind", F.lit(0))
+    rest = once.where("_kind > 0").select(key, "chapter", "seq", F.col("seq").cast("bigint").alias("_place"), "_kind")
+    return sorted_.unionByName(rest).select(key, "chapter", "seq", (F.row_number().over(Window.partitionBy(key).orderBy("_kind", "_place", "chapter")) - 1).alias("position"))

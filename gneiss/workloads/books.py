@@ -9,7 +9,7 @@ from gneiss.functions import files as names
 from gneiss.operators import ordered
 from gneiss.plans import layout, pricebooks
 from gneiss.sources import files
-from gneiss.sources.scratch import scratch_path
+from gneiss.sources.scratch import scratch_path, stored
 from gneiss.workloads.base import query
 
 #: Document k of part p: its lines in order of keys, numbered from 0, n in all.
@@ -96,12 +96,6 @@ def pipe_layout_fingerprint(t) -> DataFrame:
     )
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query(f"""{ROUTES},
 r AS (SELECT *, CASE WHEN layout = 'TWO_PHASE_ANNEXED' THEN 'annexed' WHEN layout = 'UNKNOWN' OR confidence < 0.85 OR kind = 2 THEN 'model' ELSE 'inline' END AS route,
   CASE WHEN layout = 'UNKNOWN' THEN 'layout' WHEN confidence < 0.85 THEN 'confidence' WHEN kind = 2 THEN 'short_descriptions' END AS reason FROM d),
@@ -117,7 +111,7 @@ SELECT doc_id, route, NULL AS reason, CAST(k // CASE WHEN route = 'annexed' THEN
 UNION ALL SELECT doc_id, route, reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE route = 'model'""")
 def pipe_layout_extract(t) -> DataFrame:
     """Items of both layouts, and the budgets that need a model with the gate that stopped them."""
-    out = layout.extract_documents(_stored(budget_pages(t), "pages"))
+    out = layout.extract_documents(stored(budget_pages(t), "pages"))
     return out.withColumn("quantity", F.round("quantity", 2))
 
 

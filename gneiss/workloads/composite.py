@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from gneiss.functions import budget, units
 from gneiss.operators import matching, ordered
 from gneiss.operators.aggregate import count_where
+from gneiss.operators.index import VectorIndex
 from gneiss.plans import dag, layout, pricing, retrieval
 from gneiss.sources import sinks
-from gneiss.sources.scratch import scratch_path
+from gneiss.sources.scratch import scratch_path, stored
 from gneiss.workloads.base import VIEWS, query
 from gneiss.workloads.pricing import budgets, components
 
@@ -74,23 +75,28 @@ def scan_pdf_images(t) -> DataFrame:
 
 
 def _sides(t) -> tuple[DataFrame, DataFrame]:
-    """Parts of even and odd keys, as the two sides of a match within each type and brand."""
-    code = F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))
+    """Parts of even and odd keys, as the two sides of a match within each budget (brand); codes are written in several ways."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    number = (size % 6 + 1).cast("string")
+    chapter = F.when(k % 4 < 2, F.concat(F.lit("C0"), number)).otherwise(number)
+    code = F.when(k % 10 < 4, F.concat(chapter, F.when(k % 3 == 0, "-").otherwise("."), F.floor(k / 2) % 5 + 1)).otherwise(F.concat(F.lit("P"), k))
+    text = F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.substring(F.md5((size % 10).cast("string")), 1, 12))
     rows = t.part.select(
-        F.concat("p_type", F.lit(" "), "p_brand").alias("block"), F.col("p_partkey").alias("seq"), code.alias("code"), F.concat("p_name", F.lit(" "), "p_brand").alias("description"),
-        F.col("p_type").alias("chapter"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * F.col("p_size")).alias("total"),
+        F.col("p_brand").alias("block"), k.alias("seq"), code.alias("code"), F.when(k % 40 > 1, text).alias("description"),
+        F.col("p_type").alias("chapter"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * size).alias("total"),
     )
     return rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
 
 
 @query()
 def join_cascade_match(t) -> DataFrame:
-    """One-to-one cascade: exact code, normal code, description."""
+    """One-to-one cascade over whole budgets: exact code, normal code, description."""
     return matching.cascade_match(*_sides(t), "block")
 
 
 @query()
 def join_cascade_full(t) -> DataFrame:
+    """Both sides of whole budgets, with what is missing or extra: by zero-padded code, then by description."""
     return matching.full_outer_match(*_sides(t), "block")
 
 
@@ -186,13 +192,34 @@ def win_carry_over_discard(t) -> DataFrame:
     return ordered.drop_carry_over(rows, ["l_suppkey"], "block", "at", "q")
 
 
-@query("SELECT 'n' || n_nationkey AS node, 1 AS level FROM nation UNION ALL SELECT 'r' || r_regionkey, 0 FROM region")
+@query("SELECT o_orderkey AS node, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS level FROM orders")
 def sort_topological(t) -> DataFrame:
-    """Levels of the graph in which nations need their region."""
-    scratch_path(t.spark, "dag")
-    n = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("needs"))
-    r = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    return dag.topological_levels(n.select("node").unionByName(r), n)
+    """Levels of the graph in which each order needs the two before it of its customer."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    before = t.orders.select(F.col("o_orderkey").alias("node"), F.array(F.lag("o_orderkey", 1).over(w), F.lag("o_orderkey", 2).over(w)).alias("before"))
+    needs = before.select("node", F.explode("before").alias("needs"))
+    return dag.topological_levels(t.orders.select(F.col("o_orderkey").alias("node")), needs.where("needs IS NOT NULL"))
+
+
+#: What chapters need, and those that go along with all others.
+WORKS = {"DEMOLICIONES": (), "TIERRAS": ("DEMOLICIONES",), "HORMIGONES": ("TIERRAS",), "REVOCOS": ("HORMIGONES", "DEMOLICIONES"), "PINTURA": ("REVOCOS",), "SEGURIDAD": ("DEMOLICIONES",)}
+ALONG = ("SEGURIDAD",)
+
+
+@query("""WITH RECURSIVE g(chapter, needs) AS (VALUES ('DEMOLICIONES', []::VARCHAR[]), ('TIERRAS', ['DEMOLICIONES']), ('HORMIGONES', ['TIERRAS']), ('REVOCOS', ['HORMIGONES', 'DEMOLICIONES']), ('PINTURA', ['REVOCOS'])),
+c AS (SELECT l_orderkey AS doc, list_extract(['PINTURA', 'HORMIGONES', 'SEGURIDAD', 'DEMOLICIONES', 'OTROS', 'TIERRAS', 'REVOCOS'], CAST(l_partkey % 7 AS INT) + 1) AS chapter, max(l_linenumber) AS seq FROM lineitem GROUP BY 1, 2),
+k AS (SELECT c.*, list_filter(g.needs, lambda n: list_contains(a.own, n)) AS needs FROM c JOIN g USING (chapter) JOIN (SELECT doc, list(chapter) AS own FROM c GROUP BY 1) a USING (doc)),
+r AS (SELECT DISTINCT doc, []::VARCHAR[] AS done, CAST(NULL AS VARCHAR) AS chapter, 0 AS n FROM k
+  UNION ALL SELECT doc, list_append(done, chapter), chapter, n + 1 FROM
+    (SELECT r.doc, r.done, k.chapter, r.n, row_number() OVER (PARTITION BY r.doc ORDER BY k.seq, k.chapter) AS first FROM r JOIN k ON k.doc = r.doc WHERE NOT list_contains(r.done, k.chapter) AND list_has_all(r.done, k.needs)) WHERE first = 1),
+p AS (SELECT doc, chapter, 0 AS kind, n AS place FROM r WHERE n > 0 UNION ALL SELECT doc, chapter, CASE chapter WHEN 'SEGURIDAD' THEN 1 ELSE 2 END, seq FROM c WHERE chapter IN ('SEGURIDAD', 'OTROS'))
+SELECT doc AS o_orderkey, chapter, CAST(row_number() OVER (PARTITION BY doc ORDER BY kind, place) - 1 AS INT) AS position FROM p""")
+def sort_planned_order(t) -> DataFrame:
+    """Chapters of each order as the work goes: what is needed first, then what goes along, then what is unknown."""
+    names = F.array(*map(F.lit, ("PINTURA", "HORMIGONES", "SEGURIDAD", "DEMOLICIONES", "OTROS", "TIERRAS", "REVOCOS")))
+    c = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("seq"), F.get(names, (F.col("l_partkey") % 7).cast("int")).alias("chapter"))
+    out = dag.planned_orders(c.withColumnRenamed("l_orderkey", "o_orderkey"), WORKS, ALONG, "o_orderkey")
+    return out.select("o_orderkey", "chapter", "position")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'superficie' WHEN 1 THEN 'masa' END AS dimension FROM part")
@@ -331,46 +358,81 @@ def pipe_catalog_reindex(t) -> DataFrame:
     return t.spark.read.schema(items.schema).parquet(path)
 
 
-PRICED = """WITH cat AS (SELECT vec_id AS item_id, embedding, 'c' || (vec_id % 97) AS code, ['k' || label] AS words, label % 3 AS dimension, CASE label % 2 WHEN 0 THEN 'm2' ELSE 'ud' END AS unit, CAST(10 + vec_id % 50 AS DOUBLE) AS price FROM embeddings),
-lin AS (SELECT vec_id AS line_id, vec_id // 50 % 4 AS budget_id, vec_id AS seq, 'ch' || (label % 2) AS chapter, CASE WHEN label = 3 THEN 'Medios auxiliares de obra' ELSE 'Solado' END AS description, embedding, ['k' || (label % 4), 'k9'] AS keywords,
-  label % 3 AS dimension, 'm2' AS unit, CAST(1 + label AS DOUBLE) AS quantity FROM embeddings WHERE vec_id % 50 = 0),
+PRICED = """WITH cat AS (SELECT vec_id AS item_id, embedding, 'c' || (vec_id % 97) AS code, ['k' || label] AS words, label % 3 AS dimension, CASE label % 2 WHEN 0 THEN 'm²' ELSE 'ud' END AS unit, CAST(10 + vec_id % 50 AS DOUBLE) AS price FROM embeddings),
+lin AS (SELECT vec_id AS line_id, vec_id // 50 % 4 AS budget_id, vec_id AS seq, CASE WHEN label % 5 > 0 THEN 'ch' || (label % 2) END AS chapter, CASE WHEN label = 3 THEN 'Medios auxiliares de obra' WHEN label <> 4 THEN 'Solado' END AS description, embedding, ['k' || (label % 4), 'k9'] AS keywords,
+  label % 3 AS dimension, 'm2' AS unit, CASE WHEN label <> 6 THEN 1.0 + label * CASE WHEN label = 7 THEN 1e4 ELSE 1.0 END END AS quantity FROM embeddings WHERE vec_id % 50 = 0),
 n AS (SELECT l.*, c.item_id, c.code, c.words, c.dimension AS cd, c.unit AS cu, c.price, list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS cosine FROM lin l, cat c),
 near AS (SELECT *, cosine * (1 + 0.5 * len(list_intersect(keywords, words)) / 2.0) * CASE WHEN dimension <> cd THEN 0.3 ELSE 1.0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY cosine DESC, item_id) AS r FROM n) WHERE r <= 45),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id, code ORDER BY score DESC, item_id) AS k FROM near) WHERE k = 1),
 top AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, item_id) AS rank FROM once) """
 
 
-@query(PRICED + """, best AS (SELECT *, description LIKE 'Medios%' AS anc, CASE WHEN score >= 0.85 AND cu = unit THEN 'flash' ELSE 'pro' END AS tier FROM top WHERE rank = 1),
-runs AS (SELECT *, CASE WHEN tier = 'flash' AND lag(tier) OVER w = 'flash' AND lag(chapter) OVER w = chapter THEN 0 ELSE 1 END AS b FROM best WINDOW w AS (PARTITION BY budget_id ORDER BY seq)),
-nr AS (SELECT *, sum(b) OVER (PARTITION BY budget_id ORDER BY seq) AS run FROM runs), pl AS (SELECT *, (row_number() OVER (PARTITION BY budget_id, run ORDER BY seq) - 1) // 5 AS part FROM nr)
-SELECT line_id, budget_id, item_id, tier, first_value(seq) OVER (PARTITION BY budget_id, run, part ORDER BY seq) AS group_id,
-  round(CASE WHEN anc THEN 0.02 * coalesce(sum(CASE WHEN NOT anc THEN quantity * price END) OVER (PARTITION BY budget_id), 0) ELSE price END, 6) AS unit_price,
-  round(CASE WHEN anc THEN 0.02 * coalesce(sum(CASE WHEN NOT anc THEN quantity * price END) OVER (PARTITION BY budget_id), 0) ELSE quantity * price END, 6) AS total FROM pl""")
-def pipe_pricing(t) -> DataFrame:
-    """Vectors whose id is divisible by 50 as budget lines, priced from all vectors as a catalog."""
+def _priced_tables(t) -> tuple[DataFrame, DataFrame]:
+    """Vectors whose id is divisible by 50 as budget lines, and all vectors as a catalog."""
     word = lambda c: F.concat(F.lit("k"), c.cast("string"))
     label, key = F.col("label"), F.col("vec_id")
     catalog = t.embeddings.select(
         key.alias("item_id"), "embedding", F.concat(F.lit("c"), (key % 97).cast("string")).alias("code"), F.array(word(label)).alias("words"), (label % 3).alias("dimension"),
-        F.when(label % 2 == 0, "m2").otherwise("ud").alias("unit"), (10.0 + key % 50).alias("price"),
+        F.when(label % 2 == 0, "m²").otherwise("ud").alias("unit"), (10.0 + key % 50).alias("price"),
     )
     lines = t.embeddings.where("vec_id % 50 = 0").select(
-        key.alias("line_id"), (F.floor(key / 50) % 4).alias("budget_id"), key.alias("seq"), F.concat(F.lit("ch"), (label % 2).cast("string")).alias("chapter"),
-        F.when(label == 3, "Medios auxiliares de obra").otherwise("Solado").alias("description"), "embedding", F.array(word(label % 4), F.lit("k9")).alias("keywords"),
-        (label % 3).alias("dimension"), F.lit("m2").alias("unit"), (1.0 + label).alias("quantity"),
+        key.alias("line_id"), (F.floor(key / 50) % 4).alias("budget_id"), key.alias("seq"), F.when(label % 5 > 0, F.concat(F.lit("ch"), (label % 2).cast("string"))).alias("chapter"),
+        F.when(label == 3, "Medios auxiliares de obra").when(label != 4, "Solado").alias("description"), "embedding", F.array(word(label % 4), F.lit("k9")).alias("keywords"),
+        (label % 3).alias("dimension"), F.lit("m2").alias("unit"), F.when(label != 6, 1.0 + label * F.when(label == 7, 1e4).otherwise(1.0)).alias("quantity"),
+    )
+    return lines, catalog
+
+
+@query(PRICED + """, sel AS (SELECT line_id, list(item_id ORDER BY rank DESC) AS ids FROM top WHERE rank IN (2, 4) AND line_id % 200 = 0 GROUP BY 1),
+ranked AS (SELECT t.*, CASE WHEN list_position(ids, item_id) > 0 THEN list_position(ids, item_id) END AS place FROM top t LEFT JOIN sel USING (line_id) WHERE rank <= 15),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY place NULLS LAST, rank) AS f FROM ranked) WHERE f = 1),
+v AS (SELECT vec_id AS line_id, CASE WHEN label % 4 = 1 THEN 'from_scratch' ELSE '1:1' END AS kind, label = 5 AS review, 20.0 + label AS flash, CASE WHEN label <> 9 THEN 30.0 + label END AS pro, label % 8 < 7 AS valued FROM embeddings WHERE vec_id % 50 = 0),
+b0 AS (SELECT f.*, coalesce(chapter, 'Sin Capítulo') AS ch, coalesce(quantity, 0) AS qty, coalesce(description LIKE 'Medios%', FALSE) AS anc, CASE WHEN score >= 0.85 AND cu = 'm²' THEN 'flash' ELSE 'pro' END AS tier, v.kind, v.review, v.flash, v.pro, v.valued
+  FROM firsts f JOIN v USING (line_id) WHERE line_id % 350 <> 0),
+best AS (SELECT *, tier = 'flash' AND valued AND pro IS NOT NULL AND (kind = 'from_scratch' OR review) AS escalated FROM b0),
+runs AS (SELECT *, CASE WHEN tier = 'flash' AND lag(tier) OVER w = 'flash' AND lag(ch) OVER w = ch THEN 0 ELSE 1 END AS b FROM best WINDOW w AS (PARTITION BY budget_id ORDER BY seq)),
+nr AS (SELECT *, sum(b) OVER (PARTITION BY budget_id ORDER BY seq) AS run FROM runs), pl AS (SELECT *, (row_number() OVER (PARTITION BY budget_id, run ORDER BY seq) - 1) // 5 AS part FROM nr),
+w1 AS (SELECT *, first_value(seq) OVER (PARTITION BY budget_id, run, part ORDER BY seq) AS group_id, CASE WHEN NOT valued THEN price WHEN tier = 'pro' OR escalated THEN coalesce(pro, price) ELSE flash END AS p1,
+  CASE WHEN valued AND (CASE WHEN tier = 'pro' OR escalated THEN pro IS NOT NULL ELSE TRUE END) THEN CASE WHEN tier = 'pro' OR escalated THEN 'pro-' || kind ELSE kind END ELSE '1:1' END AS match_kind,
+  valued AND tier = 'flash' AND NOT escalated AND review AS asked FROM pl),
+w2 AS (SELECT *, CASE WHEN anc THEN 0.02 * coalesce(sum(CASE WHEN NOT anc THEN qty * p1 END) OVER (PARTITION BY budget_id, ch), 0) ELSE p1 END AS unit_price FROM w1)
+SELECT line_id, budget_id, item_id, tier, escalated, match_kind, group_id, round(unit_price, 6) AS unit_price, round(CASE WHEN anc THEN unit_price ELSE qty * p1 END, 6) AS total, asked OR unit_price * qty > 100000 AS needs_review,
+  CAST(CASE WHEN asked OR unit_price * qty > 100000 THEN 40 ELSE 95 END AS INT) AS confidence FROM w2
+UNION ALL SELECT line_id, budget_id, -1, 'pro', FALSE, 'resumed', -1, 1.5, 3.0, FALSE, 95 FROM lin WHERE line_id % 350 = 0""")
+def pipe_pricing(t) -> DataFrame:
+    """Lines priced from a catalog: some of an earlier run, some reranked, valued in two tiers, ancillary ones last."""
+    lines, catalog = _priced_tables(t)
+    label = F.col("label")
+    done = lines.where("line_id % 350 = 0").select(
+        "line_id", "budget_id", F.lit(-1).cast("bigint").alias("item_id"), F.lit("pro").alias("tier"), F.lit(False).alias("escalated"), F.lit("resumed").alias("match_kind"), F.lit(-1).cast("bigint").alias("group_id"),
+        F.lit(1.5).alias("unit_price"), F.lit(3.0).alias("total"), F.lit(False).alias("needs_review"), F.lit(95).alias("confidence"),
     )
-    p = pricing.price_lines(lines, catalog)
+    found = stored(pricing.candidates(lines, catalog), "candidates")
+    chosen = F.sort_array(F.collect_list(F.struct(F.col("rank"), "item_id")), asc=False)
+    selected = found.where("rank IN (2, 4) AND line_id % 200 = 0").groupBy("line_id").agg(F.concat(F.array(F.lit(-5).cast("bigint")), F.transform(chosen, lambda x: x["item_id"])).alias("ids"))
+    kind = F.when(label % 4 == 1, "from_scratch").otherwise("1:1")
+    quick = F.struct(F.lit("flash").alias("tier"), kind.alias("match_kind"), (label == 5).alias("needs_review"), (20.0 + label).alias("unit_price"))
+    slow = F.struct(F.lit("pro").alias("tier"), F.concat(F.lit("pro-"), kind).alias("match_kind"), F.lit(None).cast("boolean").alias("needs_review"), (30.0 + label).alias("unit_price"))
+    both = t.embeddings.where("vec_id % 50 = 0 AND label % 8 < 7").select(F.col("vec_id").alias("line_id"), "label", F.explode(F.array(quick, slow)).alias("v"))
+    valuations = both.where("label <> 9 OR v.tier = 'flash'").select("line_id", "v.*")
+    p = pricing.price_lines(lines, catalog, valuations, selected, done, found)
     return p.withColumn("unit_price", F.round("unit_price", 6)).withColumn("total", F.round("total", 6))
 
 
+@query()
+def join_knn_index(t) -> DataFrame:
+    """The ten vectors most like each query (ids divisible by 50), from an index that looks into some of its lists."""
+    index = VectorIndex.fit(t.embeddings)
+    rows = stored(index.indexed(t.embeddings.select("vec_id", "embedding")), "index")
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.nearest(queries, rows, 10, "query_id", "vec_id", probes=max(8, len(index.centres) // 2)).withColumn("score", F.round("score", 6))
+
+
 @query(PRICED + "SELECT line_id, item_id, rank, round(score, 6) AS score FROM top WHERE rank <= 15")
 def pipe_catalog_candidates(t) -> DataFrame:
     """The fifteen candidates of each line of ``pipe_pricing``, one for each code."""
-    word = lambda c: F.concat(F.lit("k"), c.cast("string"))
-    label, key = F.col("label"), F.col("vec_id")
-    catalog = t.embeddings.select(key.alias("item_id"), "embedding", F.concat(F.lit("c"), (key % 97).cast("string")).alias("code"), F.array(word(label)).alias("words"), (label % 3).alias("dimension"))
-    lines = t.embeddings.where("vec_id % 50 = 0").select(key.alias("line_id"), "embedding", F.array(word(label % 4), F.lit("k9")).alias("keywords"), (label % 3).alias("dimension"))
-    return pricing.candidates(lines, catalog).select("line_id", "item_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    c = pricing.candidates(*_priced_tables(t))
+    return c.withColumn("score", F.round("score", 6))
 
 
 @query("""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, 'C' || (l_suppkey % 9) AS chapter, l_partkey, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),

@@ -131,10 +131,14 @@ def hidden_dimension_flag(t) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", flag.alias("hidden"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 50 >= 0.85 AND l_linestatus = 'F' THEN 'flash' ELSE 'pro' END AS tier FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 50 >= 0.85 AND CASE l_linenumber % 5 WHEN 0 THEN 'm2' WHEN 1 THEN 'm2' WHEN 2 THEN 'h' WHEN 3 THEN 'ud' END
+  = CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'm2' WHEN 2 THEN 'ud' END THEN 'flash' ELSE 'pro' END AS tier FROM lineitem""")
 def select_tier(t) -> DataFrame:
-    unit = F.when(F.col("l_linestatus") == "F", "m2")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", budget.select_tier(F.col("l_quantity") / 50, unit, F.lit("m2")).alias("tier"))
+    """Units of candidates and lines in several spellings, unknown ones and none among them."""
+    one_of = lambda key, *names: F.get(F.array(*map(F.lit, names)), key.cast("int"))
+    candidate = one_of(F.col("l_linenumber") % 5, "m²", " M2", "h", "Uds", None)
+    line = one_of(F.col("l_partkey") % 4, "m2", "m²", "ud", "zzz")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", budget.select_tier(F.col("l_quantity") / 50, candidate, line).alias("tier"))
 
 
 @query("SELECT p_partkey, contains(lower(p_name), 'medios') AND regexp_matches(lower(p_name), 'auxiliares|ejecución|ejecucion') AS ancillary FROM part")
@@ -201,13 +205,15 @@ def agg_qualitative(t) -> DataFrame:
     return a.select("l_orderkey", F.sort_array(F.array_intersect(wanted, "have")).alias("present"), F.sort_array(F.array_except(wanted, "have")).alias("missing"), F.col("pem").between(50000, 200000).alias("in_range"))
 
 
-@query("""WITH m AS (SELECT coalesce(CASE WHEN p_size > 20 THEN p_brand END, 'REVIEW:' || p_name) AS key, p_size, p_retailprice, p_size > 20 AS matched FROM part)
-SELECT key, CAST(sum(p_size) AS BIGINT) AS quantity, round(CASE WHEN bool_or(matched) THEN sum(p_size * p_retailprice) ELSE 0 END, 4) AS total FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT coalesce(CASE WHEN p_size > 20 THEN p_brand END, 'REVIEW:' || p_name) AS key, p_partkey, p_size, p_retailprice, p_size > 20 AS matched FROM part)
+SELECT key, CAST(CASE WHEN bool_or(matched) THEN sum(p_size) ELSE arg_max(p_size, p_partkey) END AS BIGINT) AS quantity,
+  CAST(CASE WHEN bool_or(matched) THEN arg_min(p_retailprice, p_partkey) ELSE 0 END AS DOUBLE) AS unit_price,
+  CAST(CASE WHEN bool_or(matched) THEN round(arg_min(p_retailprice, p_partkey) * sum(p_size), 2) ELSE 0 END AS DOUBLE) AS total FROM m GROUP BY 1""")
 def agg_assembly_merge(t) -> DataFrame:
+    """Lines of one catalog code add up, at the price of the first; of lines to be reviewed the last takes the place of those before."""
     matched = F.col("p_size") > 20
     key = F.coalesce(F.when(matched, F.col("p_brand")), F.concat(F.lit("REVIEW:"), "p_name"))
-    value = F.when(F.bool_or(matched), F.sum(F.col("p_size") * F.col("p_retailprice"))).otherwise(0.0)
-    return t.part.groupBy(key.alias("key")).agg(F.sum("p_size").alias("quantity"), F.round(value, 4).alias("total"))
+    return rules.merged_assembly(t.part.select(key.alias("key"), "p_partkey", matched.alias("matched"), F.col("p_size").alias("quantity"), F.col("p_retailprice").alias("price")), "p_partkey")
 
 
 @query("SELECT p_partkey, p_size / 50.0 AS score FROM part WHERE p_size / 50.0 > 0.60")
@@ -239,10 +245,12 @@ def match_ladder(t) -> DataFrame:
     return m.select("l_orderkey", F.round("m.price", 4).alias("price"), "m.confidence")
 
 
-@query("SELECT round(sum(l_extendedprice), 2) AS subtotal, round(sum(l_extendedprice) * 0.13, 2) AS overhead, round(sum(l_extendedprice) * 0.06, 2) AS benefit, count(*) FILTER (WHERE l_returnflag = 'R') AS matched FROM lineitem")
+@query("""WITH s AS (SELECT coalesce(sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_extendedprice END), 0) AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS matched FROM lineitem)
+SELECT round(s, 2) AS subtotal, round(s * 0.10, 2) AS overhead, round(s * 0.15, 2) AS benefit, round(s * 1.25 * 0.10, 2) AS vat, round(s * 1.25 * 1.10, 2) AS total, matched FROM s""")
 def measurement_totals(t) -> DataFrame:
-    s = F.sum("l_extendedprice")
-    return t.lineitem.agg(F.round(s, 2).alias("subtotal"), F.round(s * 0.13, 2).alias("overhead"), F.round(s * 0.06, 2).alias("benefit"), count_where(F.col("l_returnflag") == "R").alias("matched"))
+    """Sums of a priced measurement: lines without a price count as nothing."""
+    price = F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice"))
+    return rules.measurement_totals(t.lineitem.select(price.alias("price"), (F.col("l_returnflag") == "R").alias("matched")))
 
 
 @query("""SELECT c_custkey, CASE WHEN a.p_partkey IS NOT NULL THEN 'partida' WHEN m.p_partkey IS NOT NULL THEN 'material' WHEN s.total IS NOT NULL THEN 'assembly' ELSE 'ask_user' END AS kind,

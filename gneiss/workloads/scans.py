@@ -175,18 +175,18 @@ def row_validation_split(t) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0.09, "discount").when(F.col("l_quantity") < 5, "quantity").alias("error"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, abs(l_quantity * (p_retailprice + 0.0) - l_extendedprice) < 0.02 AS is_valid FROM lineitem JOIN part ON p_partkey = l_partkey""")
+@query("""SELECT l_orderkey, l_linenumber, abs(round(l_quantity * (p_retailprice + 0.0), 2) - round(l_extendedprice, 2)) < 0.02 AS is_valid FROM lineitem JOIN part ON p_partkey = l_partkey""")
 def math_validate_line(t) -> DataFrame:
-    gap = F.abs(F.col("l_quantity") * F.col("p_retailprice") - F.col("l_extendedprice"))
+    gap = F.abs(F.round(F.col("l_quantity") * F.col("p_retailprice"), 2) - F.round("l_extendedprice", 2))
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", (gap < 0.02).alias("is_valid"))
 
 
-@query("""SELECT o_orderkey, round(coalesce(sum(l_extendedprice), 0), 2) AS computed, abs(coalesce(sum(l_extendedprice), 0) - o_totalprice) < 0.02 AS is_valid
+@query("""SELECT o_orderkey, round(coalesce(sum(l_extendedprice), 0), 2) AS computed, abs(round(coalesce(sum(l_extendedprice), 0), 2) - round(o_totalprice, 2)) < 0.02 AS is_valid
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice""")
 def math_validate_chapter(t) -> DataFrame:
     items = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
     x = t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    return x.select("o_orderkey", F.round("s", 2).alias("computed"), (F.abs(F.col("s") - F.col("o_totalprice")) < 0.02).alias("is_valid"))
+    return x.select("o_orderkey", F.round("s", 2).alias("computed"), (F.abs(F.round("s", 2) - F.round("o_totalprice", 2)) < 0.02).alias("is_valid"))
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_name ASC")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.rules import ab_variant, job_status, lead_decision
+from gneiss.functions.rules import ab_variant, job_status, qualify_lead
 from gneiss.operators.aggregate import count_where
 from gneiss.sources import sinks
 from gneiss.sources.scratch import scratch_path
@@ -94,20 +94,38 @@ def agg_tokens_cost(t) -> DataFrame:
     return t.lineitem.agg(F.round(F.sum(cost), 6).alias("cost"), F.sum("l_linenumber").alias("tokens"))
 
 
-@query("""WITH s AS (SELECT c_custkey, 50 + CASE WHEN c_nationkey < 8 THEN 10 ELSE -25 END + CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 5 ELSE -20 END
-  + CASE WHEN c_acctbal <= 0 THEN -5 WHEN c_acctbal < 2000 THEN -15 ELSE 5 END + CASE WHEN c_acctbal > 8000 THEN 10 ELSE 0 END AS raw FROM customer)
-SELECT c_custkey, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, CASE WHEN raw >= 70 THEN 'qualified' WHEN raw >= 40 THEN 'review_required' ELSE 'rejected' END AS decision FROM s""")
+@query("""WITH l AS (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' 07001' WHEN 2 THEN '07' || c_nationkey ELSE '28001' END AS cp,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'bathroom' WHEN 'HOUSEHOLD' THEN 'integral' WHEN 'MACHINERY' THEN 'pool' WHEN 'AUTOMOBILE' THEN 'other' END AS kind,
+    CASE WHEN c_acctbal <= 0 THEN NULL ELSE CAST(c_acctbal AS INT) % 40 END AS size, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN c_name WHEN 2 THEN c_name || ' pide reforma' ELSE c_name || ' pide una reforma integral de la casa' END AS words,
+    c_custkey % 6 = 0 AS disposable, c_custkey % 9 = 0 AS suspicious, c_custkey % 5 = 1 AS images, c_acctbal > 5000 AS budget, c_custkey % 7 < 3 AS timeline FROM customer),
+r AS (SELECT c_custkey, CASE WHEN cp IS NULL THEN 'geo.postal_code_missing' WHEN trim(cp) LIKE '07%' THEN 'geo.in_service_area' ELSE 'geo.out_of_service_area' END AS r1,
+    CASE WHEN kind IN ('bathroom', 'integral', 'pool') THEN 'scope.accepted_project_type' ELSE 'scope.rejected_project_type' END AS r2,
+    CASE WHEN coalesce(size, 0) = 0 THEN 'size.unknown' WHEN size < CASE kind WHEN 'bathroom' THEN 3 WHEN 'integral' THEN 25 WHEN 'pool' THEN 8 WHEN 'other' THEN 0 END THEN 'size.below_minimum' ELSE 'size.adequate' END AS r3,
+    CASE WHEN coalesce(length(trim(words)), 0) < 10 THEN 'content.description_too_short' WHEN length(trim(words)) < 30 THEN 'content.description_minimal' ELSE 'content.description_ok' END AS r4,
+    CASE WHEN disposable THEN 'email.disposable' ELSE 'email.ok' END AS r5, CASE WHEN suspicious THEN 'security.injection_attempt' ELSE 'security.clean' END AS r6,
+    CASE WHEN images THEN 10 ELSE 0 END + CASE WHEN budget THEN 5 ELSE 0 END + CASE WHEN timeline THEN 5 ELSE 0 END AS shown FROM l),
+s AS (SELECT *, greatest(0, least(100, 50 + CASE r1 WHEN 'geo.postal_code_missing' THEN -10 WHEN 'geo.in_service_area' THEN 10 ELSE -25 END + CASE r2 WHEN 'scope.accepted_project_type' THEN 5 ELSE -20 END
+    + CASE r3 WHEN 'size.unknown' THEN -5 WHEN 'size.below_minimum' THEN -15 ELSE 5 END + CASE r4 WHEN 'content.description_too_short' THEN -20 WHEN 'content.description_minimal' THEN -5 ELSE 5 END
+    + CASE r5 WHEN 'email.ok' THEN 5 ELSE -25 END + CASE r6 WHEN 'security.clean' THEN 0 ELSE -30 END + shown)) AS score FROM r)
+SELECT c_custkey, CASE WHEN score >= 70 THEN 'qualified' WHEN score >= 40 THEN 'review_required' ELSE 'rejected' END AS decision, score, concat_ws(' ', r1, r2, r3, r4, r5, r6, 'evidence.signals') AS rules,
+  concat_ws(' ', CASE WHEN r1 <> 'geo.in_service_area' THEN r1 END, CASE WHEN r2 LIKE '%rejected%' THEN r2 END, CASE WHEN r3 <> 'size.adequate' THEN r3 END, CASE WHEN r4 <> 'content.description_ok' THEN r4 END,
+    CASE WHEN r5 <> 'email.ok' THEN r5 END, CASE WHEN r6 <> 'security.clean' THEN r6 END, CASE WHEN shown = 0 THEN 'evidence.signals' END) AS failed, r5 <> 'email.ok' OR r6 <> 'security.clean' AS low_trust FROM s""")
 def lead_score_rules(t) -> DataFrame:
-    """Deltas from 50, clamped, with two thresholds."""
-    v = F.col("c_acctbal")
-    deltas = (
-        F.when(F.col("c_nationkey") < 8, 10).otherwise(-25),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), 5).otherwise(-20),
-        F.when(v <= 0, -5).when(v < 2000, -15).otherwise(5),
-        F.when(v > 8000, 10).otherwise(0),
-    )
-    score = F.greatest(F.lit(0), F.least(F.lit(100), sum(deltas, F.lit(50))))
-    return t.customer.select("c_custkey", score.alias("score"), lead_decision(score).alias("decision"))
+    """Seven rules with their outcomes, the score clamped to 0 and 100, and two thresholds."""
+    k, v = F.col("c_custkey"), F.col("c_acctbal")
+    lead = {
+        "postal_code": F.when(F.col("c_nationkey") % 5 == 1, " 07001").when(F.col("c_nationkey") % 5 == 2, F.concat(F.lit("07"), F.col("c_nationkey"))).when(F.col("c_nationkey") % 5 > 2, "28001"),
+        "project_type": F.when(F.col("c_mktsegment") == "BUILDING", "bathroom").when(F.col("c_mktsegment") == "HOUSEHOLD", "integral").when(F.col("c_mktsegment") == "MACHINERY", "pool").when(F.col("c_mktsegment") == "AUTOMOBILE", "other"),
+        "square_metres": F.when(v > 0, F.rint(v).cast("int") % 40),
+        "description": F.when(k % 4 == 1, F.col("c_name")).when(k % 4 == 2, F.concat("c_name", F.lit(" pide reforma"))).when(k % 4 == 3, F.concat("c_name", F.lit(" pide una reforma integral de la casa"))),
+        "email": F.when(k % 6 == 0, "ana@Mailinator.com").otherwise("ana@obra.es"),
+        "suspicious": F.when(k % 9 == 0, F.lit(True)),
+        "images": F.when(k % 5 == 1, 2),
+        "budget": F.when(v > 5000, v),
+        "timeline": F.when(k % 7 < 3, "pronto"),
+    }
+    q = t.customer.select("c_custkey", qualify_lead(lead).alias("q"))
+    return q.select("c_custkey", "q.decision", "q.score", F.array_join("q.rules", " ").alias("rules"), F.array_join("q.failed", " ").alias("failed"), "q.low_trust")
 
 
 @query("""WITH u AS (SELECT user_id, min(ts) AS started, max(ts) AS updated FROM events GROUP BY 1)

@@ -27,9 +27,10 @@ def normalize_code_pad(t) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", text.normalize_code_pad(raw).alias("code"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 20 = 0 THEN NULL ELSE lpad(CAST(p_size % 20 AS VARCHAR), 2, '0') END AS chapter FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE lpad(CAST(p_size % 20 AS VARCHAR), 2, '0') END AS chapter FROM part""")
 def chapter_code_of(t) -> DataFrame:
-    code = F.concat(F.lit("0"), (F.col("p_size") % 20).cast("string"), F.lit(".1"))
+    """Codes with zeros before them, blanks around them, of chapter 0, and without a dot."""
+    code = F.concat(F.when(F.col("p_partkey") % 3 == 0, " 0").otherwise("0"), (F.col("p_size") % 20).cast("string"), F.when(F.col("p_partkey") % 5 == 0, " ").when(F.col("p_partkey") % 7 == 0, " .1").otherwise(".1"))
     return t.part.select("p_partkey", text.chapter_code_of(code).alias("chapter"))
 
 

@@ -87,7 +87,7 @@ def test_numbers_and_codes(spark):
     assert one(spark, (1234.5,), "v double", text.format_eur(F.col("v"))) == "1.234,50 €"
     assert one(spark, ("c4.2.10",), "s string", text.normalize_code_pad(F.col("s"))) == "04.02.10"
     assert one(spark, ("123.4",), "s string", text.normalize_code_pad(F.col("s"))) == "123.04"
-    assert [one(spark, (c,), "s string", text.chapter_code_of(F.col("s"))) for c in ("4.1.9", "012.3", "00.1", "4")] == ["04", "12", None, None]
+    assert [one(spark, (c,), "s string", text.chapter_code_of(F.col("s"))) for c in ("4.1.9", "012.3", "0.5", " 07 .1", "4")] == ["04", "12", "00", "07", None]
     assert one(spark, ("4-1-9",), "s string", text.normalize_code_word(F.col("s"))) == "419"
 
 
@@ -139,3 +139,42 @@ def test_match_ladder_and_forced_scale(spark):
     df = spark.createDataFrame([(100.0, parts), (50.0, parts), (50.004, parts)], f"price double, parts {PARTS}")
     now = [[p.total for p in r.x] for r in df.select(budget.force_scale(F.col("price"), F.col("parts")).alias("x")).collect()]
     assert now == [[40.0, 60.0], [20.0, 30.0], [20.0, 30.0]]
+
+
+def test_tiers_units_and_escalation(spark):
+    tier = lambda score, candidate, unit: one(spark, (score, candidate, unit), "s double, c string, u string", budget.select_tier(F.col("s"), F.col("c"), F.col("u")))
+    cases = [(0.92, "m2", "m2", "flash"), (None, None, "m2", "pro"), (0.70, "m2", "m2", "pro"), (0.92, "h", "m2", "pro"), (0.92, "m2", None, "pro"), (0.90, "m²", "m2", "flash"), (0.85, "Uds", "ud", "flash"), (0.9, "zzz", "zzz", "pro")]
+    assert [tier(*c[:3]) for c in cases] == [c[3] for c in cases]
+    again = lambda *row: one(spark, row, "t string, k string, r boolean", budget.needs_pro(F.col("t"), F.col("k"), F.col("r")))
+    assert [again("flash", "from_scratch", False), again("flash", "1:1", True), again("flash", "1:1", False), again("pro", "from_scratch", True), again("flash", None, None)] == [True, True, False, False, False]
+    over = lambda *row: one(spark, row, "u string, p double, q double", budget.runaway(F.col("u"), F.col("p"), F.col("q")))
+    assert [over("M2", 1000.0, 101.0), over("pa", 1e9, 1.0), over("ud", 1.0, 100_000.0), over(None, 1e9, 1e9)] == [True, False, False, False]
+
+
+def test_leads_by_seven_rules(spark):
+    from gneiss.functions import rules
+
+    names = ("postal_code", "project_type", "square_metres", "description", "email", "suspicious", "images", "budget", "timeline")
+    schema = "postal_code string, project_type string, square_metres int, description string, email string, suspicious boolean, images int, budget double, timeline string"
+    rows = [
+        ("07001", "bathroom", 6, "Reforma completa del baño principal", "a@obra.es", False, 2, 9000.0, "ya"),
+        (None, None, None, None, None, None, None, None, None),
+        ("28001", "pool", 7, "Piscina en el patio", "a@mailinator.com", True, 0, 0.0, ""),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = [r.q for r in df.select(rules.qualify_lead({n: F.col(n) for n in names}).alias("q")).collect()]
+    assert [(q.decision, q.score, q.low_trust) for q in got] == [("qualified", 100, False), ("rejected", 0, False), ("rejected", 0, True)]
+    assert got[0].failed == [] and got[1].failed == ["geo.postal_code_missing", "scope.rejected_project_type", "size.unknown", "content.description_too_short", "evidence.signals"]
+    fatal = df.limit(1).withColumn("square_metres", F.lit(1)).select(rules.qualify_lead({n: F.col(n) for n in names}, ("size.below_minimum",)).alias("q")).first().q
+    assert (fatal.decision, fatal.score) == ("rejected", 80)
+
+
+def test_assemblies_and_totals(spark):
+    from gneiss.functions import rules
+
+    lines = [("A", 1, True, 2.0, 10.005), ("A", 2, True, 1.0, 99.0), ("REVIEW:x", 3, False, 5.0, None), ("REVIEW:x", 4, False, 7.0, 3.0)]
+    out = rules.merged_assembly(spark.createDataFrame(lines, "key string, n int, matched boolean, quantity double, price double"), "n")
+    assert {tuple(r) for r in out.collect()} == {("A", 3.0, 10.005, 30.02), ("REVIEW:x", 7.0, 0.0, 0.0)}
+    totals = rules.measurement_totals(spark.createDataFrame([(100.0, True), (None, False)], "price double, matched boolean")).first()
+    assert tuple(totals) == (100.0, 10.0, 15.0, 12.5, 137.5, 1)
+    assert tuple(rules.measurement_totals(spark.createDataFrame([], "price double, matched boolean")).first()) == (0.0, 0.0, 0.0, 0.0, 0.0, 0)

@@ -21,6 +21,32 @@ def test_cascade_uses_each_side_once(spark):
     assert [(r.golden_seq, r.found_seq, r.level) for r in again.collect()] == [(1, 1, "fuzzy_description")]
 
 
+def test_full_match_pads_codes_and_takes_the_last_of_a_code(spark):
+    golden = [(1, 0, "C4.2", "uno"), (1, 1, "04.02", "dos"), (1, 2, None, ""), (1, 3, "9", "Solado de gres"), (1, 4, "8", "Solado de gres"), (1, 5, "7", None), (2, 0, "1.1", "x")]
+    found = [(1, 0, "4.2", "antes"), (1, 1, "C04.2", "uno"), (1, 2, "z", "Solado de  gres"), (1, 3, "y", None), (1, 4, "x", "nada"), (1, 5, "w", "solado de gres")]
+    m = matching.full_outer_match(spark.createDataFrame(golden, ITEM), spark.createDataFrame(found, ITEM), "doc_id")
+    rows = {(r.doc_id, r.golden_seq, r.found_seq, r.level) for r in m.collect()}
+    assert rows == {
+        (1, 0, 1, "exact_code"), (1, 1, 1, "exact_code"), (1, 2, 3, "fuzzy_description"), (1, 3, 5, "fuzzy_description"), (1, 4, 2, "fuzzy_description"),
+        (1, 5, None, "missing"), (2, 0, None, "missing"), (1, None, 0, "extra"), (1, None, 4, "extra"),
+    }
+
+
+def test_similar_pairs_lose_none(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    words = ["solado", "gres", "porcelánico", "ALICATADO", "baño", "pintura", "plástica", "muro", "de", "x", "ñandú", "🙂", "10x10"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+    golden, found = ([(rng.randint(1, 2), i, "", text()) for i in range(60)] + [(1, 99, "", None), (1, 98, "", "")] for _ in range(2))
+    for t in (0.4, 0.55, 0.75, 1.0):
+        got = matching.similar_pairs(spark.createDataFrame(golden, ITEM), spark.createDataFrame(found, ITEM), "doc_id", t).collect()
+        ratio = lambda a, b: SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
+        want = {(d, i, j): ratio(a, b) for d, i, _, a in golden for e, j, _, b in found if d == e and a and b and ratio(a, b) >= t}
+        assert {(r.doc_id, r.golden_seq, r.found_seq): r.ratio for r in got} == want and len(got) == len(want)
+
+
 def test_metrics(spark):
     g = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 0.0), (4, 5.0)], "id long, gp double")
     m = spark.createDataFrame([(100.0, 120.0), (100.0, 80.0), (0.0, 9.0)], "gp double, fp double")
@@ -62,13 +88,82 @@ def test_grouped_runs(spark):
     assert [r.group_id for r in ordered.grouped_runs(df, ["d"], "seq", "easy", "chapter").orderBy("seq").collect()] == [0] * 5 + [5, 5, 7, 8, 9, 10, 11]
 
 
-def test_topological_order(spark):
-    nodes = spark.createDataFrame([("B", 0, "node"), ("X", 1, "unknown"), ("A", 2, "node"), ("T", 3, "transversal"), ("C", 4, "node")], "node string, seq int, kind string")
-    edges = spark.createDataFrame([("B", "A"), ("C", "B"), ("C", "gone")], "node string, needs string")
-    assert [r.node for r in dag.planned_order(nodes, edges).orderBy("position").collect()] == ["A", "B", "C", "T", "X"]
-    cycle = spark.createDataFrame([("A", "B"), ("B", "A")], "node string, needs string")
-    levels = {r.node: r.level for r in dag.topological_levels(nodes.where("kind = 'node'"), cycle).collect()}
-    assert levels == {"C": 0, "A": None, "B": None}
+def test_topological_levels_of_chains_and_cycles(spark):
+    nodes = spark.createDataFrame([(n,) for n in ("B", "A", "C")], "node string")
+    cycle = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "gone")], "node string, needs string")
+    assert {r.node: r.level for r in dag.topological_levels(nodes, cycle).collect()} == {"C": 0, "A": None, "B": None}
+    behind = spark.createDataFrame([("A", "A"), ("B", "A"), ("B", "C")], "node string, needs string")
+    assert {r.node: r.level for r in dag.topological_levels(nodes, behind).collect()} == {"C": 0, "A": None, "B": None}
+    assert {r.level for r in dag.topological_levels(nodes, cycle.where("false")).collect()} == {0}
+    diamond = spark.createDataFrame([("B", "A"), ("C", "A"), ("C", "B"), ("B", "A")], "node string, needs string")
+    assert {r.node: r.level for r in dag.topological_levels(nodes, diamond).collect()} == {"A": 0, "B": 1, "C": 2}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = dag.stored
+    monkeypatch.setattr(dag, "stored", lambda df, label: rounds.append(label) or real(df, label))
+    n = 10_000
+    levels = dag.topological_levels(spark.range(n).withColumnRenamed("id", "node"), spark.range(1, n).selectExpr("id AS node", "id - 1 AS needs"))
+    assert levels.where("level <> node").isEmpty() and levels.count() == n
+    assert len(rounds) < 20
+
+
+def test_planned_orders(spark):
+    graph = {"DEM": (), "TIERRAS": ("DEM",), "HORM": ("TIERRAS",), "B": (), "LATE": ("ZZ",), "ZZ": (), "SEG": ("DEM",), "X1": ("X2",), "X2": ("X1",)}
+    given = {
+        1: ["HORM", "DEM", "TIERRAS"], 2: ["LATE", "?1", "SEG", "B", "ZZ", "?0", "B"], 3: ["HORM", "ZZ"], 4: ["X1", "SEG", "X2", "DEM"], 5: ["LATE", "ZZ", "B"],
+    }
+    rows = [(k, i, c) for k, cs in given.items() for i, c in enumerate(cs)]
+    out = dag.planned_orders(spark.createDataFrame(rows, "doc long, seq int, chapter string"), graph, ("SEG",), "doc").orderBy("doc", "position").collect()
+    got = {k: [r.chapter for r in out if r.doc == k] for k in given}
+    assert got == {
+        1: ["DEM", "TIERRAS", "HORM"], 2: ["ZZ", "LATE", "B", "SEG", "?1", "?0"], 3: ["HORM", "ZZ"], 4: ["DEM", "X1", "X2", "SEG"], 5: ["ZZ", "LATE", "B"],
+    }
+
+
+def test_index_recall_and_all_lists(spark):
+    import numpy as np
+
+    from gneiss.operators.index import VectorIndex
+    from gneiss.operators.joins import nearest
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    vectors = centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 16)) * 0.4
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(2000, None), (2001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4).cache()
+    q = df.where("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
+    index = VectorIndex.fit(df, lists=20, sample_rows=500)
+    indexed = index.indexed(df).cache()
+    assert indexed.count() == 2002 and indexed.where("_list = -1").count() == 2
+    exact = {(r.q, r.id) for r in nearest(q, df, 10, "q", "id").collect()}
+    some = {(r.q, r.id) for r in index.nearest(q, indexed, 10, "q", "id", probes=5).collect()}
+    assert len(some) == len(exact) and len(some & exact) >= 0.9 * len(exact)
+    assert {(r.q, r.id) for r in index.nearest(q, indexed, 10, "q", "id", probes=20).collect()} == exact
+
+
+def test_index_query_finds_nine_of_ten(spark, sf):
+    from gneiss import catalog
+    from gneiss.operators.joins import nearest
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    exact = {(r.q, r.vec_id) for r in nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"), e, 10, "q", "vec_id").collect()}
+    found = {(r.query_id, r.vec_id) for r in catalog.queries()["join_knn_index"](spark, sf).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    import numpy as np
+
+    from gneiss.operators import joins
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 4)))], "id long, embedding array<float>")
+    q = df.select(F.col("id").alias("q"), "embedding")
+    whole = sorted(tuple(r) for r in joins.nearest(q, df, 3, "q", "id").collect())
+    monkeypatch.setattr(joins, "PRODUCT_BYTES", 8 * 1000)
+    assert [r[:2] for r in sorted(tuple(r) for r in joins.nearest(q, df, 3, "q", "id").collect())] == [r[:2] for r in whole]
 
 
 def test_layout_classes_and_items(spark):
@@ -175,20 +270,46 @@ def cascade_plain(golden, found, threshold=0.75):
     return out
 
 
+def full_plain(golden, found, threshold=0.55):
+    """As above, by padded codes of which the last found row counts, however often."""
+    import re
+    from difflib import SequenceMatcher
+
+    def padded(code):
+        m = re.match(r"^C?(\d+)\.(\d+)(?:\.(\d+))?$", code.upper())
+        return ".".join(x.zfill(2) for x in m.groups() if x) if m else code.upper()
+
+    last = {padded(c): p for p, c, _ in found}
+    out = {g: (last[padded(c)], "exact_code") for g, c, _ in golden if padded(c) in last}
+    used = {p for p, _ in out.values()}
+    for g, _, text in golden:
+        if g not in out:
+            best = max(((SequenceMatcher(None, text.lower(), d.lower()).ratio(), -p) for p, _, d in found if p not in used), default=(0, 0))
+            if best[0] >= threshold:
+                out[g] = (-best[1], "fuzzy_description")
+                used.add(-best[1])
+    return out
+
+
 def test_cascade_queries_match_plain_version(spark, sf):
     from collections import defaultdict
 
     from gneiss import catalog
 
+    from gneiss.sources.tables import Tables
+    from gneiss.workloads.composite import _sides
+
     blocks = defaultdict(lambda: ([], []))
-    for r in spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect():
-        blocks[f"{r.p_type} {r.p_brand}"][r.p_partkey % 2].append((r.p_partkey, f"{r.p_brand}-{r.p_size}", f"{r.p_name} {r.p_brand}"))
-    for name, threshold in (("join_cascade_match", 0.75), ("join_cascade_full", 0.55)):
+    for n, side in enumerate(_sides(Tables(spark, sf))):
+        for r in side.orderBy("seq").collect():
+            blocks[r.block][n].append((r.seq, r.code, r.description or ""))
+    for name, version in (("join_cascade_match", cascade_plain), ("join_cascade_full", full_plain)):
         got = defaultdict(dict)
         for r in catalog.queries()[name](spark, sf).collect():
             if r.golden_seq is not None and r.found_seq is not None:
                 got[r.block][r.golden_seq] = (r.found_seq, r.level)
-        assert dict(got) == {b: m for b, (g, f) in blocks.items() if (m := cascade_plain(g, f, threshold))}
+        assert dict(got) == {b: m for b, (g, f) in blocks.items() if (m := version(g, f))}
+        assert {level for m in got.values() for _, level in m.values()} >= ({"fuzzy_description"} | ({"exact_code"} if name.endswith("full") else set()))
     report = catalog.queries()["pipe_eval_report"](spark, sf).first()
     matched = {b: cascade_plain(g, f) for b, (g, f) in blocks.items()}
     n, levels = sum(len(g) for g, _ in blocks.values()), [x for m in matched.values() for _, x in m.values()]
