@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import bounded_batches, map_rows
+from gneiss.llm.common import bounded_batches, discard, map_rows, store
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which a passage counts as a leak.
@@ -234,17 +234,27 @@ def find_leaks(
     return out
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; one scan, no join."""
-    bounded_batches(docs.sparkSession)
-    for items in load_items(benchmark, "item_id", "text", BLOCK_BYTES, threshold):
-        docs = docs.where(_clean(docs.sparkSession, items)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return docs
-
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage.
 
-def _clean(spark, items: Items):
-    """A condition on texts: whether they hold no passage like one of the items."""
-    spread = spark.sparkContext.broadcast(items)
+    A benchmark of one block costs one scan and no join. Of several, each is held against what the one before has left, which is
+    written in between, so a Python worker never has more than one.
+    """
+    bounded_batches(docs.sparkSession)
+    spark, text, kept, last = docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), None, None
+    for items in load_items(benchmark, "item_id", "text", block_bytes, threshold):
+        if last is not None:
+            docs, before = store(docs.where(_clean(last)(text)), "unleaked"), kept
+            last.destroy()
+            if before is not None:
+                discard(before)
+            kept = docs
+        last = spark.sparkContext.broadcast(items)
+    return docs if last is None else docs.where(_clean(last)(text))
+
+
+def _clean(spread):
+    """A condition on texts: whether they hold no passage like one of the broadcast items."""
 
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([not matches(spread.value, t) for t in texts], dtype=bool)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+from math import ceil, comb, log, log2
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -11,15 +15,47 @@ from gneiss.llm.common import as_bytes, components, discard, map_texts, store, u
 
 #: Words in a shingle, and the share of all shingles of two texts that both have, from which they are alike.
 WORDS, SIMILARITY = 5, 0.8
-#: A fingerprint has so many pieces of so many bits, two to a long.
-PIECES, BITS = 12, 28
-LONGS = PIECES // 2
-#: Of two alike texts at most so many of all bits differ: at 0.8 a share of 0.15 is expected, and a quarter is
-#: 4.8 standard deviations more.
-MOST_BITS = PIECES * BITS // 4
+#: Share of bits that differ between two texts of that similarity (0.15 is expected), and the chance that such a pair has no
+#: piece within two bits.
+DIFFERING, MISSED = 0.15, 0.056
+#: Sets of at most so many shingles are also joined on the shingles themselves, which loses no pair.
+EXACT = 40
 #: Ids that hold more than this share of all pairs are spread over so many tasks.
 HOT_SHARE, SALTS = 4096, 64
 
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A fingerprint of ``pieces`` of ``bits`` bits, two to a long or one."""
+
+    bits: int
+    pieces: int
+
+    @classmethod
+    def for_texts(cls, n: int) -> Layout:
+        """Pieces so wide that a variant of one has half a text by chance, and so many that few alike pairs lack a close one.
+
+        28 bits and 14 pieces up to four million texts; 34 bits and 30 pieces at 250 million.
+        """
+        bits = max(28, ceil(log2(max(1, n) * 58)))
+        close = sum(comb(bits, i) * DIFFERING**i * (1 - DIFFERING) ** (bits - i) for i in range(3))
+        return cls(bits, ceil(log(MISSED) / log(1 - close) / 2) * 2)
+
+    @property
+    def to_a_long(self) -> int:
+        return 2 if self.bits <= 31 else 1
+
+    @cached_property
+    def longs(self) -> list[str]:
+        return [f"f{k}" for k in range(-(-self.pieces // self.to_a_long))]
+
+    @property
+    def most_bits(self) -> int:
+        """Of two alike texts at most so many of all bits differ: a quarter is 4.8 standard deviations over what is expected."""
+        return self.pieces * self.bits // 4
+
+
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 _LOW_BITS = np.uint64(0x0101010101010101)
 _SEEN: dict[bytes, int] = {}
@@ -53,57 +89,80 @@ def shingle_set(text: bytes, width: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def fingerprint(shingles: np.ndarray) -> list[int]:
-    """SimHash of a set of shingles: ``LONGS`` numbers of two pieces each; an empty set has zeros.
+def fingerprint(shingles: np.ndarray, layout: Layout) -> list[int]:
+    """SimHash of a set of shingles as the longs of a layout; an empty set has zeros.
 
     A bit is 1 if more than half of the shingles have it. Bits are counted eight at a time, in the bytes of
     64-bit words, over blocks of at most 255 shingles.
     """
-    counts = np.zeros((LONGS, 64), dtype=np.int64)
+    longs = len(layout.longs)
+    counts = np.zeros((longs, 64), dtype=np.int64)
     for at in range(0, len(shingles), 255 * 64):
         part = shingles[at : at + 255 * 64]
         with np.errstate(over="ignore"):
-            words = np.stack([_mixed(part + np.uint64((k + 1) * _STEP & (1 << 64) - 1)) for k in range(LONGS)], axis=1)
+            words = np.stack([_mixed(part + np.uint64((k + 1) * _STEP & (1 << 64) - 1)) for k in range(longs)], axis=1)
         rows = -(-len(part) // 255) * 255
-        padded = np.zeros((rows, LONGS), dtype=np.uint64)
+        padded = np.zeros((rows, longs), dtype=np.uint64)
         padded[: len(part)] = words
         for bit in range(8):
-            sums = ((padded >> np.uint64(bit)) & _LOW_BITS).reshape(-1, 255, LONGS).sum(axis=1, dtype=np.uint64)
-            counts[:, bit::8] += sums.view(np.uint8).reshape(-1, LONGS, 8).sum(axis=0, dtype=np.int64)
-    bits = counts[:, : 2 * BITS] * 2 > len(shingles)
-    return (bits @ (1 << np.arange(2 * BITS, dtype=np.int64))).tolist()
+            sums = ((padded >> np.uint64(bit)) & _LOW_BITS).reshape(-1, 255, longs).sum(axis=1, dtype=np.uint64)
+            counts[:, bit::8] += sums.view(np.uint8).reshape(-1, longs, 8).sum(axis=0, dtype=np.int64)
+    used = layout.to_a_long * layout.bits
+    bits = counts[:, :used] * 2 > len(shingles)
+    return (bits @ (1 << np.arange(used, dtype=np.int64))).tolist()
 
 
-def texts_as_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, d1, d2, n, f0, ...): digest of each text's words, size of its shingle set and fingerprint."""
+def texts_as_nodes(docs: DataFrame, id_col: str, text_col: str, layout: Layout) -> DataFrame:
+    """(doc_id, d1, d2, n, short, f0, ...): digest of each text's words, size of its shingle set, the set if it is small, fingerprint."""
 
     def row(_: object, doc_id: int, text: bytes) -> tuple:
         digest = xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
         shingles = shingle_set(text)
-        return doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), len(shingles), *fingerprint(shingles)
+        short = shingles.view(np.int64).tolist() if len(shingles) <= EXACT / SIMILARITY else None
+        return doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), len(shingles), short, *fingerprint(shingles, layout)
 
     columns = {"doc_id": F.col(id_col).cast("long"), "text": as_bytes(text_col)}
-    schema = "doc_id long, d1 long, d2 long, n long, " + ", ".join(f"f{k} long" for k in range(LONGS))
+    schema = "doc_id long, d1 long, d2 long, n long, short array<bigint>, " + ", ".join(f"{f} long" for f in layout.longs)
     return map_texts(docs, columns, row, schema)
 
 
-def ball_rows(nodes: DataFrame) -> DataFrame:
-    """(key, rep, center, prev, many): the variants of each piece that several nodes have.
+def variants(nodes: DataFrame, layout: Layout, *more: str) -> DataFrame:
+    """(key, rep, more): each piece itself and its variants within one bit, half of the two bits that may differ."""
+    bits, mask = layout.bits, (1 << layout.bits) - 1
+    shifts = [s * bits for s in range(layout.to_a_long)]
+    words = [F.shiftright(f, s).bitwiseAND(F.lit(mask)) for f in layout.longs for s in shifts][: layout.pieces]
+    return (
+        nodes.select("rep", *more, F.posexplode(F.array(*words)).alias("piece", "w"))
+        .select("rep", *more, "piece", "w", F.explode(F.expr(f"sequence(0, {bits})")).alias("j"))
+        .select(F.expr(f"shiftleft(CAST(piece AS BIGINT), {bits}) | (w ^ (CASE WHEN j = {bits} THEN 0L ELSE shiftleft(1L, j) END))").alias("key"), "rep", *more)
+    )
+
 
-    Every piece emits itself and its variants within one bit, half of the two bits that may differ, and
-    nodes meet on a variant. Of a variant's nodes in order, ``center`` is the first and ``prev`` the one
-    before; ``many`` says that there are more than two.
+def rare_shingles(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep): of each small set the shingles on which any alike set of any size must meet it, as keys below zero.
+
+    Two sets that share ``similarity`` of theirs share one of the first n - similarity n + 1 of either in any fixed order: here the
+    rarest among small sets come first, so what many texts have in common brings none of them together. Shingles that no
+    other small set has take their places but need no key. A set that is alike to one of ``EXACT`` shingles is no larger than
+    those that are looked at.
+    """
+    each = nodes.where("short IS NOT NULL").select("rep", "n", F.explode("short").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    order = Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(1)), "h")
+    placed = each.join(shared, "h", "left").withColumn("place", F.row_number().over(order))
+    first = placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("c").isNotNull())
+    return first.select((-F.shiftrightunsigned("h", 1) - 1).alias("key"), "rep")
+
+
+def ball_rows(keys: DataFrame) -> DataFrame:
+    """(key, rep, center, prev, many) of the rows (key, rep) whose key several nodes have.
+
+    Of a key's nodes in order, ``center`` is the first and ``prev`` the one before; ``many`` says that there are more
+    than two.
     """
-    mask = (1 << BITS) - 1
-    words = [F.shiftright(f"f{k}", s).bitwiseAND(F.lit(mask)) for k in range(LONGS) for s in (0, BITS)]
-    variants = (
-        nodes.select("rep", F.posexplode(F.array(*words)).alias("piece", "w"))
-        .select("rep", "piece", "w", F.explode(F.expr(f"sequence(0, {BITS})")).alias("j"))
-        .select(F.expr(f"shiftleft(CAST(piece AS BIGINT), {BITS}) | (w ^ (CASE WHEN j = {BITS} THEN 0L ELSE shiftleft(1L, j) END))").alias("key"), "rep")
-    )
     order = Window.partitionBy("key").orderBy("rep")
     near = {f"{side}{n}": getattr(F, side)("rep", n).over(order) for side in ("lag", "lead") for n in (1, 2)}
-    met = variants.select("key", "rep", F.first("rep").over(order).alias("center"), *(c.alias(n) for n, c in near.items()))
+    met = keys.select("key", "rep", F.first("rep").over(order).alias("center"), *(c.alias(n) for n, c in near.items()))
     many = F.coalesce("lag2", "lead2").isNotNull() | (F.col("lag1").isNotNull() & F.col("lead1").isNotNull())
     return met.where("lag1 IS NOT NULL OR lead1 IS NOT NULL").select("key", "rep", "center", F.col("lag1").alias("prev"), many.alias("many"))
 
@@ -135,17 +194,17 @@ def looked_up(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have ``similarity`` or more in common.
 
-    Fingerprints and the sets' sizes rule most chance pairs out; only the texts of the others are cut into
-    shingles again, and each pair's sets are compared.
+    Fingerprints (but for small sets, whose bits say less) and the sets' sizes rule most chance pairs out; only the
+    texts of the others are cut into shingles again, and each pair's sets are compared.
     """
-    known = nodes.select("rep", "n", *(f"f{k}" for k in range(LONGS)))
+    known = nodes.select("rep", "n", *layout.longs)
     both = looked_up(pairs, known)
-    differ = sum((F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(LONGS)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in layout.longs), F.lit(0))
     sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
-    close = store(both.where(sizes & (differ <= MOST_BITS)).select("a", "b"), "close")
+    close = store(both.where(sizes & ((F.least("a_n", "b_n") <= EXACT) | (differ <= layout.most_bits))).select("a", "b"), "close")
     ids = close.select(F.col("a").alias("_id")).union(close.select("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), as_bytes(text_col).alias("text"))
     asked = texts.join(ids, F.col("rep") == F.col("_id"), "left_semi")
@@ -162,30 +221,34 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return out
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def near_links(nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that join the candidates which are alike, into the groups that all such pairs would give.
 
-    First each node meets the first node of each of its variants and the one before it: two pairs for a
-    variant, however many nodes it has. Then every variant whose nodes are not all in one group yet gives
-    the pairs between its largest group and the others, and among these; pairs within a group add nothing.
+    First each node meets the first node of each of its keys (variants of pieces, and shingles of small sets) and the one before it:
+    two pairs for a row of a key, however many nodes it has. Then the keys are made anew with each node's group, and only those
+    whose nodes are not all in one group yet give the pairs between their largest group and the others, and among these;
+    pairs within a group add nothing.
     """
-    balls = store(ball_rows(nodes), "balls")
+    exact = store(rare_shingles(nodes, similarity), "rare")
+    balls = store(ball_rows(variants(nodes, layout).unionByName(exact)), "balls")
     pairs = balls.select(F.col("center").alias("a"), F.col("rep").alias("b")).union(balls.select("prev", "rep")).where("a < b").distinct()
     pairs = store(pairs, "pairs")
-    first = confirmed(pairs, nodes, docs, id_col, text_col, similarity)
+    first = confirmed(pairs, nodes, layout, docs, id_col, text_col, similarity)
     roots = store(components(first), "roots")
-    open_ = balls.where("many").select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    open_ = store(open_.select("key", "rep", F.coalesce("root", "rep").alias("root")), "open")
-    parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-    split = open_.join(parts.where("parts > 1").select("key", "main"), "key")
-    few = split.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-    more = few.join(split.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), "key").where("x_root <> y_root")
+    grouped = store(nodes.select("rep", *layout.longs).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node"), "grouped")
+    shared = exact.join(grouped.select("rep", "root"), "rep").select("key", "rep", "root")
+    again = variants(grouped, layout, "root").unionByName(shared)
+    split = again.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
+    open_ = store(again.join(split.select("key"), "key"), "open")
+    parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    few = open_.join(parts, "key").where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
+    more = few.join(open_.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), "key").where("x_root <> y_root")
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = store(more, "pairs")
-    second = confirmed(more, nodes, docs, id_col, text_col, similarity)
+    second = confirmed(more, nodes, layout, docs, id_col, text_col, similarity)
     known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     out = store(known.unionByName(second), "links")
-    for table in (balls, pairs, first, roots, open_, more, second):
+    for table in (exact, balls, pairs, first, roots, grouped, open_, more, second):
         discard(table)
     return out
 
@@ -195,16 +258,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id reachable over texts that are alike.
 
     Texts are alike if they share ``similarity`` of their sets of five-word shingles (the shared shingles over
-    all of either); texts without words are alike, and a text of fewer words is one shingle. Candidates come
-    from SimHash pieces that differ in at most two bits: a pair at exactly 0.8 has one of the twelve with a
-    chance of 0.91, at 0.85 of 0.98, at 0.9 of 0.999; what becomes a candidate is compared exactly. Rows that
+    all of either); texts without words are alike, and a text of fewer words is one shingle. Sets of up to ``EXACT``
+    shingles meet every alike set. Of larger ones, candidates come from SimHash pieces that differ in at most two bits: a pair at
+    exactly 0.8 has one with a chance of about 0.94, at 0.85 of 0.99; what becomes a candidate is compared exactly. Rows that
     share an id count as one document; texts that only rows without an id have are left out.
     """
-    nodes = texts_as_nodes(docs, id_col, text_col).groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(LONGS))
+    layout = Layout.for_texts(docs.count())
+    nodes = texts_as_nodes(docs, id_col, text_col, layout).groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), *(F.first(f).alias(f) for f in layout.longs)
     )  # equal words have equal fingerprints, so any row's will do
     nodes = store(nodes.where("rep IS NOT NULL"), "nodes")
-    links = near_links(nodes, docs, id_col, text_col, similarity)
+    links = near_links(nodes, layout, docs, id_col, text_col, similarity)
     roots = components(links).withColumnRenamed("node", "rep")
     out = store(nodes.join(roots, "rep", "left").select("rep", "d1", "d2", F.coalesce("root", "rep").alias("component_id")), "groups")
     discard(nodes)

@@ -125,6 +125,20 @@ def test_an_item_of_one_repeated_word_and_a_bounded_block(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_many_blocks_leave_the_same_documents(spark, monkeypatch):
+    docs, items = fixture()
+    d, b = spark.createDataFrame([(*r, 0) for r in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, leaks.drop_leaked(d, b).collect()), key=repr)
+    assert len(whole) < len(docs)
+    made, spread = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: made.append(x) or spread(x))
+    left = leaks.drop_leaked(d, b, block_bytes=sum(len(t or "") for _, t in items) // 10)
+    assert sorted(map(tuple, left.collect()), key=repr) == whole
+    assert len([x for x in made if isinstance(x, leaks.Items)]) >= 8
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("clean(") <= 2  # one block in a worker, named in the operator and the filter
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     d, b = spark.createDataFrame([(*r, 0) for r in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")

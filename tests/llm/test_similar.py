@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from gneiss.llm import similar
 
@@ -56,7 +57,9 @@ def test_shingle_sets_match_plain_ones():
 
 def test_fingerprint_matches_plain_counts():
     shingles = similar.shingle_set(" ".join(map(str, range(20_000))).encode())
-    got = similar.fingerprint(shingles)
+    layout = similar.Layout.for_texts(10**6)
+    got = similar.fingerprint(shingles, layout)
+    assert len(got) == len(layout.longs) == 7 and layout.to_a_long == 2
     with np.errstate(over="ignore"):
         for k in (0, 5):
             words = similar._mixed(shingles + np.uint64((k + 1) * similar._STEP & (1 << 64) - 1))
@@ -109,6 +112,37 @@ def test_pairs_at_the_threshold_are_found(spark):
     assert sum(2 * p + 1 not in kept for p in range(n)) >= 0.9 * n
 
 
+@pytest.mark.parametrize("size, share", [(4, 1.0), (12, 1.0), (20, 1.0), (32, 1.0), (48, 0.9), (80, 0.9), (160, 0.9), (400, 0.9)])
+def test_recall_at_exactly_the_threshold_by_size(spark, size, share):
+    """Of two texts one is the other less its end, so that four fifths of the longer one's shingles are shared."""
+    rng = random.Random(size)
+    common = [f"c{i}" for i in range(4)]  # all texts begin alike: their common shingles are no reason to meet
+    rows, n = [], 150
+    for p in range(n):
+        words = common + [f"w{rng.randint(0, 10**6)}" for _ in range(size * 5 // 4)]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(words[: size + 4]))]
+    assert {len(plain_set(t)) for _, t in rows} == {size, size * 5 // 4}
+    kept = {r.doc_id for r in similar.drop_near_duplicates(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    assert {d for d in range(2 * n) if d % 2 == 0} <= kept
+    assert sum(2 * p + 1 not in kept for p in range(n)) >= share * n
+
+
+def test_wider_pieces_find_the_same_groups(spark, monkeypatch):
+    rows = near_texts(6, 8)
+    wide = similar.Layout(34, 30)
+    monkeypatch.setattr(similar.Layout, "for_texts", classmethod(lambda cls, n: wide))
+    kept = similar.drop_near_duplicates(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_groups(rows).values()))
+
+
+def test_layouts_follow_the_number_of_texts():
+    small, large = similar.Layout.for_texts(4_000_000), similar.Layout.for_texts(250_000_000)
+    assert (small.bits, small.pieces, large.bits) == (28, 14, 34)
+    for n in (10**6, 10**8, 10**10):
+        layout = similar.Layout.for_texts(n)
+        assert n * (layout.bits + 1) / 2**layout.bits <= 1 and layout.pieces <= layout.to_a_long * len(layout.longs)
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     rows = [(None, "a b c d e f", "", ""), (5, "a b c d e f", "", ""), (5, "a b c d e f", "", ""), (9, "A b c  d e f", "", ""), (7, None, "", "")]
     kept = similar.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
