@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import arrow_schema, as_bytes, bounded_batches, discard, map_rows, store
+from gneiss.llm.common import arrow_schema, as_bytes, discard, map_rows, store
 
 #: Words of a block, slots of an output shard, documents of a bucket within which offsets are summed.
 BLOCK, SHARD, BUCKET = 64, 16_384, 1024

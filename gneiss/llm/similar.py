@@ -64,7 +64,7 @@ _SEEN: dict[bytes, int] = {}
 def word_hash(word: bytes) -> int:
     found = _SEEN.get(word)
     if found is None:
-        if len(_SEEN) > 500_000:
+        if len(_SEEN) > 100_000:
             _SEEN.clear()
         found = _SEEN[word] = xxhash.xxh64_intdigest(word)
     return found
@@ -126,15 +126,15 @@ def texts_as_nodes(docs: DataFrame, id_col: str, text_col: str, layout: Layout)
     return map_texts(docs, columns, row, schema)
 
 
-def variants(nodes: DataFrame, layout: Layout, *more: str) -> DataFrame:
-    """(key, rep, more): each piece itself and its variants within one bit, half of the two bits that may differ."""
+def variants(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """(key, rep): each piece itself and its variants within one bit, half of the two bits that may differ."""
     bits, mask = layout.bits, (1 << layout.bits) - 1
     shifts = [s * bits for s in range(layout.to_a_long)]
     words = [F.shiftright(f, s).bitwiseAND(F.lit(mask)) for f in layout.longs for s in shifts][: layout.pieces]
     return (
-        nodes.select("rep", *more, F.posexplode(F.array(*words)).alias("piece", "w"))
-        .select("rep", *more, "piece", "w", F.explode(F.expr(f"sequence(0, {bits})")).alias("j"))
-        .select(F.expr(f"shiftleft(CAST(piece AS BIGINT), {bits}) | (w ^ (CASE WHEN j = {bits} THEN 0L ELSE shiftleft(1L, j) END))").alias("key"), "rep", *more)
+        nodes.select("rep", F.posexplode(F.array(*words)).alias("piece", "w"))
+        .select("rep", "piece", "w", F.explode(F.expr(f"sequence(0, {bits})")).alias("j"))
+        .select(F.expr(f"shiftleft(CAST(piece AS BIGINT), {bits}) | (w ^ (CASE WHEN j = {bits} THEN 0L ELSE shiftleft(1L, j) END))").alias("key"), "rep")
     )
 
 
@@ -225,30 +225,32 @@ def near_links(nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, t
     """Links (a, b) that join the candidates which are alike, into the groups that all such pairs would give.
 
     First each node meets the first node of each of its keys (variants of pieces, and shingles of small sets) and the one before it:
-    two pairs for a row of a key, however many nodes it has. Then the keys are made anew with each node's group, and only those
-    whose nodes are not all in one group yet give the pairs between their largest group and the others, and among these;
-    pairs within a group add nothing.
+    two pairs for a row of a key, however many nodes it has. A key each of whose rows is alike to one of these two is one
+    group and settled. Of the others, those whose nodes are not all in one group by now give the pairs between
+    their largest group and the others, and among these; pairs within a group add nothing.
     """
-    exact = store(rare_shingles(nodes, similarity), "rare")
+    exact = rare_shingles(nodes, similarity)
     balls = store(ball_rows(variants(nodes, layout).unionByName(exact)), "balls")
     pairs = balls.select(F.col("center").alias("a"), F.col("rep").alias("b")).union(balls.select("prev", "rep")).where("a < b").distinct()
     pairs = store(pairs, "pairs")
     first = confirmed(pairs, nodes, layout, docs, id_col, text_col, similarity)
     roots = store(components(first), "roots")
-    grouped = store(nodes.select("rep", *layout.longs).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node"), "grouped")
-    shared = exact.join(grouped.select("rep", "root"), "rep").select("key", "rep", "root")
-    again = variants(grouped, layout, "root").unionByName(shared)
-    split = again.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 AND low < high")
-    open_ = store(again.join(split.select("key"), "key"), "open")
-    parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    few = open_.join(parts, "key").where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-    more = few.join(open_.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), "key").where("x_root <> y_root")
+    shared = balls.where("many")
+    loose = shared.where("prev IS NOT NULL")
+    for side in ("prev", "center"):
+        loose = loose.join(first.select(F.col("a").alias(side), F.col("b").alias("rep")), [side, "rep"], "left_anti")
+    open_ = shared.select("key", "rep").join(loose.select("key").distinct(), "key", "left_semi").join(roots, F.col("rep") == F.col("node"), "left")
+    open_ = store(open_.select("key", "rep", F.coalesce("root", "rep").alias("root")), "open")
+    parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+    split = open_.join(parts.where("parts > 1").select("key", "main"), "key")
+    few = split.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
+    more = few.join(split.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), "key").where("x_root <> y_root")
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = store(more, "pairs")
     second = confirmed(more, nodes, layout, docs, id_col, text_col, similarity)
     known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     out = store(known.unionByName(second), "links")
-    for table in (exact, balls, pairs, first, roots, grouped, open_, more, second):
+    for table in (balls, pairs, first, roots, open_, more, second):
         discard(table)
     return out
 
