@@ -171,3 +171,8 @@ def salvage_json(raw: Column) -> Column:
 def cut(text: Column, limit: int = 4000) -> Column:
     """Texts over the limit end in an ellipsis."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("…"))).otherwise(text)
+
+
+def first_named(record: Column, names: tuple[str, ...], default: Column) -> Column:
+    """The number under the first of ``names`` that a JSON record has with a number; ``default`` for none."""
+    return F.coalesce(*(F.get_json_object(record, f"$.{n}").try_cast("double") for n in names), default)

@@ -119,7 +119,7 @@ def profile(pages: DataFrame) -> DataFrame:
     kind = lambda x: F.when(x.rlike(CHAPTER_CODED), 0).when(x.rlike(CHAPTER_NUMBERED), 1)
     chapter = lambda x, i: F.struct(F.col("page_no"), kind(x).alias("kind"), i.alias("at"), _first(x, 1, CHAPTER_CODED, CHAPTER_NUMBERED).alias("prefix"), F.trim(_first(x, 2, CHAPTER_CODED, CHAPTER_NUMBERED)).alias("name"))
     rows = pages.select(
-        "doc_id", "page_no", text.alias("text"), F.filter(lines, lambda x: F.trim(x) != "")[0].alias("opening"),
+        "doc_id", "page_no", text.alias("text"), F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0)).alias("opening"),
         F.filter(F.transform(lines, item), lambda x: x["code"].isNotNull()).alias("items"),
         F.size(F.filter(lines, lambda x: F.trim(x).rlike(QUANTITY))).alias("quantities"),
         F.filter(F.transform(lines, chapter), lambda x: x["kind"].isNotNull()).alias("heads"),

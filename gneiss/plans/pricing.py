@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import budget
@@ -92,3 +92,42 @@ def price_lines(lines: DataFrame, catalog: DataFrame, valuations: DataFrame | No
         "needs_review", F.when(F.col("needs_review"), 40).otherwise(95).alias("confidence"),
     )
     return out if done is None else out.unionByName(done.select(out.columns))
+
+
+#: Overhead, benefit and tax of a finished budget in per cent; the chapter of tasks without one.
+OVERHEAD_PCT, BENEFIT_PCT, TAX_PCT, OTHER_CHAPTER = 10.0, 15.0, 21.0, "VARIOS"
+
+
+def finished_budgets(tasks: DataFrame) -> DataFrame:
+    """(budget_id, chapters, execution, overhead, benefit, tax, total) of priced tasks (budget_id, seq, chapter, unit_price, quantity).
+
+    Prices are marked up to the cent, task by task; ``chapters`` are structs (order, name, n_items, total) in the order in which the
+    tasks name them. The costs of execution are what the marked-up sum comes to without the markup. Null prices count as 0.
+    """
+    factor = budget.markup_factor(F.lit(OVERHEAD_PCT), F.lit(BENEFIT_PCT))
+    name = F.coalesce(F.nullif(F.trim("chapter"), F.lit("")), F.lit(OTHER_CHAPTER))
+    unit = F.round(F.coalesce("unit_price", F.lit(0.0)) * factor, 2)
+    rows = tasks.select("budget_id", "seq", name.alias("name"), F.round(unit * F.coalesce("quantity", F.lit(0.0)), 2).alias("total"))
+    chapters = rows.groupBy("budget_id", "name").agg(F.min("seq").alias("first"), F.count("*").alias("n_items"), F.sum("total").alias("total"))
+    listed = chapters.groupBy("budget_id").agg(F.sort_array(F.collect_list(F.struct("first", "name", "n_items", "total"))).alias("c"), F.sum("total").alias("s"))
+    entry = lambda x, i: F.struct((i + 1).alias("order"), x["name"].alias("name"), x["n_items"].alias("n_items"), x["total"].alias("total"))
+    raw = F.col("s") / factor
+    tax = F.round(F.col("s") * (TAX_PCT / 100), 2)
+    return listed.select(
+        "budget_id", F.transform("c", entry).alias("chapters"), F.round(raw, 2).alias("execution"), F.round(raw * (OVERHEAD_PCT / 100), 2).alias("overhead"),
+        F.round(raw * (BENEFIT_PCT / 100), 2).alias("benefit"), tax.alias("tax"), F.round(F.col("s") + tax, 2).alias("total"),
+    )
+
+
+def mode_total(mode: Column, total: Column, quantity: Column, parts: Column) -> Column:
+    """What an item costs in a mode: ``execution`` leaves out its variable components, ``labor`` has labour alone; never below 0.
+
+    ``parts`` are components (code, is_variable, total) of one piece; an item without any costs its total in every mode. A null or
+    zero quantity counts as one.
+    """
+    pieces = F.coalesce(F.nullif(quantity.cast("double"), F.lit(0.0)), F.lit(1.0))
+    cost = lambda keep: F.aggregate(F.filter(parts, keep), F.lit(0.0), lambda s, p: s + F.coalesce(p["total"], F.lit(0.0))) * pieces
+    whole = F.coalesce(total, F.lit(0.0))
+    variable, labor = cost(lambda p: F.coalesce(p["is_variable"], F.lit(False))), cost(lambda p: F.startswith(F.lower(p["code"]), F.lit("mo")))
+    own = F.when(mode == "execution", F.greatest(F.lit(0.0), whole - variable)).when(mode == "labor", F.greatest(F.lit(0.0), labor)).otherwise(whole)
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, own).otherwise(whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.text import chapter_code_of
 from gneiss.operators.matching import hybrid_similarity
 
 #: Prefixes of tags that are no topics.
@@ -24,28 +25,39 @@ def tag_values(tags: Column, name: str) -> Column:
     return F.filter(F.transform(own, lambda x: F.trim(F.substring(x, len(name) + 2, 1 << 30))), lambda x: x != "")
 
 
-def chapter_of_code(code: Column) -> Column:
-    """Chapter number before the first dot of a line's code, two digits; null without a dot."""
-    head = F.ltrim(F.trim(F.substring_index(F.trim(code), ".", 1)), F.lit("0"))
-    return F.when(F.contains(code, F.lit(".")), F.lpad(head, F.greatest(F.lit(2), F.length(head)), F.lit("0")))
+def _grams(text: Column, n: int) -> Column:
+    """All pieces of ``n`` characters of a text."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def names_with(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """(_name, _tag): names that contain a tag. They meet on the tag's first three characters (or all, of a shorter one)."""
+    pieces = F.array_distinct(F.concat(*(_grams(F.col("_name"), n) for n in (1, 2, 3))))
+    left = names.select("_name", F.explode(pieces).alias("_gram"))
+    right = tags.select("_tag", F.substring("_tag", 1, 3).alias("_gram"))
+    return left.join(right, "_gram").where(F.contains("_name", F.col("_tag"))).select("_name", "_tag")
 
 
 def applying(lines: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Pairs (line_id, fragment_id) of lines and the fragments whose chapter tags apply to them.
+    """Pairs (line_id, fragment_id) of lines and the fragments whose chapter tags apply to them, and that are not off their topics.
 
     A fragment applies to all lines if it is tagged ``cross_chapter:true``, to those of its ``chapter_code``,
-    and to those whose chapter's name contains its ``chapter``. Lines meet fragments on codes, and on the
-    distinct chapter names, of which there are few beside lines; each name is compared with each distinct tag.
+    and to those whose chapter's name contains its ``chapter``. Lines meet fragments on codes, on distinct chapter names,
+    and, if both have topics, on these; only fragments for all lines of which one side has no topics meet all of them, as they must.
     """
     names = lines.select(F.lower(F.coalesce("chapter", F.lit(""))).alias("_name")).distinct()
     tagged = fragments.select("fragment_id", F.explode(tag_values(F.col("tags"), "chapter")).alias("_tag"))
-    meets = names.join(tagged.select("_tag").distinct(), F.contains("_name", F.col("_tag")))
+    meets = names_with(names, tagged.select("_tag").distinct())
     by_name = lines.select("line_id", F.lower(F.coalesce("chapter", F.lit(""))).alias("_name")).join(meets, "_name").join(tagged, "_tag")
     padded = lambda x: F.lpad(F.ltrim(x, F.lit("0")), F.greatest(F.lit(2), F.length(F.ltrim(x, F.lit("0")))), F.lit("0"))
     coded = fragments.select("fragment_id", F.explode(tag_values(F.col("tags"), "chapter_code")).alias("_code")).select("fragment_id", padded(F.col("_code")).alias("_code"))
-    by_code = lines.select("line_id", chapter_of_code(F.col("code")).alias("_code")).join(coded, "_code")
-    all_ = fragments.where(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda x: F.lower(x) == "cross_chapter:true"))
-    everywhere = lines.select("line_id").crossJoin(all_.select("fragment_id"))  # by their tag they go with every line
+    by_code = lines.select("line_id", chapter_code_of(F.col("code")).alias("_code")).join(coded, "_code")
+    own = fragments.where(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda x: F.lower(x) == "cross_chapter:true")).select("fragment_id", topics(F.col("tags")).alias("_t"))
+    # a side without topics meets every row of the other under a key of its own
+    some, none = (lambda c: F.size(c) > 0), F.array(F.lit("\0"))
+    asked = lines.select("line_id", F.explode(F.when(some("topics"), F.concat("topics", none)).otherwise(F.array(F.lit("\0"), F.lit("\0\0")))).alias("_topic"))
+    offered = own.select("fragment_id", F.explode(F.when(some("_t"), F.concat("_t", F.array(F.lit("\0\0")))).otherwise(none)).alias("_topic"))
+    everywhere = asked.join(offered, "_topic")
     pairs = [p.select("line_id", "fragment_id") for p in (by_name, by_code, everywhere)]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 

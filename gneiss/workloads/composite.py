@@ -13,7 +13,7 @@ from gneiss.plans import dag, layout, pricing, retrieval
 from gneiss.sources import sinks
 from gneiss.sources.scratch import scratch_path, stored
 from gneiss.workloads.base import VIEWS, query
-from gneiss.workloads.pricing import budgets, components
+from gneiss.workloads.pricing import budgets
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -450,10 +450,20 @@ def pipe_pdf_budget(t) -> DataFrame:
     return priced.agg(F.countDistinct("chapter").alias("n_chapters"), count_where(F.col("price").isNull()).alias("n_unpriced"), F.round(amount, 6).alias("subtotal"), F.round(amount * 1.21, 6).alias("total"))
 
 
-@query("SELECT o_orderkey, 'NL-' || o_orderkey AS code, round(o_totalprice * 1.25, 6) AS total FROM orders WHERE o_orderstatus = 'P'")
+@query("""WITH x AS (SELECT l_orderkey AS budget_id, l_linenumber * 1000000 + l_partkey AS seq, CASE l_partkey % 4 WHEN 0 THEN 'VARIOS' WHEN 1 THEN 'OBRA' WHEN 2 THEN 'VARIOS' ELSE 'PINTURA' END AS name,
+  5 * coalesce(floor(p_retailprice), 0) * l_quantity AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'P' LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5),
+c AS (SELECT budget_id, name, min(seq) AS first, count(*) AS n, sum(total) AS total, row_number() OVER (PARTITION BY budget_id ORDER BY min(seq)) AS place FROM x GROUP BY 1, 2)
+SELECT budget_id, string_agg(place || ' ' || name || ' ' || n, '; ' ORDER BY place) AS chapters, sum(total) / 1.25 AS execution, round(sum(total) / 1.25 * 0.1, 2) AS overhead, round(sum(total) / 1.25 * 0.15, 2) AS benefit,
+  round(sum(total) * 0.21, 2) AS tax, round(sum(total) * 1.21, 2) AS total FROM c GROUP BY 1""")
 def pipe_nl_budget(t) -> DataFrame:
-    price = F.col("o_totalprice") * budget.markup_factor(F.lit(10.0), F.lit(15.0))
-    return t.orders.where("o_orderstatus = 'P'").select("o_orderkey", F.concat(F.lit("NL-"), F.col("o_orderkey").cast("string")).alias("code"), F.round(price, 6).alias("total"))
+    """Tasks of pending orders, priced by a catalog where it has them, in chapters as they come, marked up, with all sums."""
+    chapter = F.get(F.array(F.lit("  "), F.lit("OBRA"), F.lit(None), F.lit(" PINTURA")), (F.col("l_partkey") % 4).cast("int"))
+    pending = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("budget_id"))
+    catalog = t.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), (F.floor("p_retailprice") * 4.0).alias("unit_price"))
+    tasks = t.lineitem.join(pending, F.col("l_orderkey") == F.col("budget_id")).join(catalog, "l_partkey", "left")
+    tasks = tasks.select("budget_id", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"), chapter.alias("chapter"), "unit_price", F.col("l_quantity").alias("quantity"))
+    out = pricing.finished_budgets(tasks)
+    return out.withColumn("chapters", F.array_join(F.transform("chapters", lambda c: F.concat_ws(" ", c["order"], c["name"], c["n_items"])), "; "))
 
 
 @query("""SELECT string_agg(line, chr(10) ORDER BY i) AS report FROM (SELECT 0 AS i, '# Regiones' || chr(10) || chr(10) || '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' AS line

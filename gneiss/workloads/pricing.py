@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import budget, files, rules
-from gneiss.operators.aggregate import count_where, percentiles, sum_where
+from gneiss.functions.text import first_named
+from gneiss.operators.aggregate import count_where, percentiles, positions, sum_where
 from gneiss.operators.joins import nearest
 from gneiss.operators.matching import fuzzy_ratio, hybrid_similarity
+from gneiss.plans.pricing import mode_total
 from gneiss.workloads.base import query
 
 #: Components of a budget: the lines of an order, coded by return flag.
@@ -265,9 +267,33 @@ def union_resolve_item(t) -> DataFrame:
     return rows.select("c_custkey", F.coalesce("partida", "material", "assembly", ask).alias("x")).select("c_custkey", "x.kind", F.round("x.price", 2).alias("price"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0 OR label = 3")
+@query("""SELECT vec_id, label IS NULL OR label % 4 = 1 AS never, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 50 AS INT) AS page
+FROM embeddings WHERE label % 4 IN (1, 3) OR label IS NULL""")
 def vectorize_missing(t) -> DataFrame:
-    return t.embeddings.where(F.col("embedding").isNull() | (F.size("embedding") == 0) | (F.col("label") == 3)).select("vec_id")
+    """Rows without a vector, or with an empty one, in pages of fifty by id."""
+    vector = F.when(F.col("label") % 4 == 3, F.array().cast("array<float>")).when(F.col("label") % 4 != 1, F.col("embedding"))
+    rows = t.embeddings.select("vec_id", vector.alias("embedding")).where(F.col("embedding").isNull() | (F.size("embedding") == 0))
+    paged = positions(rows.select("vec_id", F.col("embedding").isNull().alias("never")), "vec_id")
+    return paged.select("vec_id", "never", F.floor(F.col("position") / 50).cast("int").alias("page"))
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, CAST(0 AS BIGINT) AS refunds,
+  count(*) AS total, round(max(CASE WHEN event_type <> 'error' THEN value END) * 2, 4) AS largest FROM events GROUP BY 1""")
+def map_counters(t) -> DataFrame:
+    """Counters kept in a map of each user, read with a default for those that were never raised, and its values mapped."""
+    kinds = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    maps = kinds.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "most")))).alias("m"))
+    counter = lambda name: F.coalesce(F.try_element_at("m", F.lit(name))["n"], F.lit(0)).cast("bigint").alias(name)
+    doubled = F.map_values(F.transform_values(F.map_filter("m", lambda k, _: k != "error"), lambda _, v: v["most"] * 2))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda s, v: s + v["n"])
+    return maps.select("user_id", counter("view").alias("views"), counter("purchase").alias("purchases"), counter("refund").alias("refunds"), total.alias("total"), F.round(F.array_max(doubled), 4).alias("largest"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN json_extract(props, '$.k')::DOUBLE ELSE 1.0 END AS price FROM events""")
+def alias_chain(t) -> DataFrame:
+    """A price under the first of its names that a record has: priceTotal, unit_price, the key of its properties, else 1."""
+    record = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("priceTotal"), F.col("value").alias("unit_price")))).when(F.col("event_id") % 3 == 1, F.col("props"))
+    return t.events.select("event_id", first_named(record, ("priceTotal", "unit_price", "k"), F.lit(1.0)).alias("price"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 2) AND (embedding IS NULL OR len(embedding) <> 64)")
@@ -303,10 +329,19 @@ def pair_largest_files(t) -> DataFrame:
     return files.largest_pairs(rows)
 
 
-@query(PARTS_SQL + """SELECT coalesce(p_type, 'Partidas Generales') AS chapter, round(sum(greatest(0, total - 1000)), 4) AS total FROM k LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+@query(PARTS_SQL + """, i AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Partidas Generales' ELSE o_orderpriority END AS chapter, ['execution', 'labor', 'complete'][o_orderkey % 3 + 1] AS mode, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS pieces,
+  o_totalprice AS total, coalesce(sum(k.total) FILTER (WHERE is_variable), 0) AS variable, coalesce(sum(k.total) FILTER (WHERE code LIKE 'mo%'), 0) AS labor, count(l_orderkey) AS n FROM orders LEFT JOIN k ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT chapter, mode, count(*) AS n_items, round(sum(CASE WHEN n = 0 OR mode = 'complete' THEN total WHEN mode = 'execution' THEN greatest(0, total - variable * pieces) ELSE labor * pieces END), 2) AS total FROM i GROUP BY 1, 2""")
 def group_items_pdf(t) -> DataFrame:
-    rows = components(t).join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return rows.groupBy(F.coalesce("p_type", F.lit("Partidas Generales")).alias("chapter")).agg(F.round(F.sum(F.greatest(F.lit(0.0), F.col("total") - 1000)), 4).alias("total"))
+    """Items (orders) by chapter, each at what it costs in its mode."""
+    k = F.col("o_orderkey")
+    items = t.orders.join(budgets(t), k == F.col("l_orderkey"), "left").select(
+        F.coalesce(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")), F.lit("Partidas Generales")).alias("chapter"),
+        F.get(F.array(F.lit("execution"), F.lit("labor"), F.lit("complete")), (k % 3).cast("int")).alias("mode"),
+        F.when(k % 2 == 1, 2).alias("quantity"), "o_totalprice", "parts",
+    )
+    costs = items.withColumn("total", mode_total(F.col("mode"), F.col("o_totalprice"), F.col("quantity"), F.col("parts")))
+    return costs.groupBy("chapter", "mode").agg(F.count("*").alias("n_items"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("""SELECT o_orderkey, list_contains(['O>F', 'P>O'], o_orderstatus || '>' || CASE o_orderstatus WHEN 'O' THEN 'F' WHEN 'P' THEN 'F' ELSE 'O' END) AS allowed FROM orders""")

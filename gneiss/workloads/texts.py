@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import addresses, files, text, units
-from gneiss.operators.aggregate import count_where
 from gneiss.plans import layout
 from gneiss.workloads.base import query
 
