@@ -102,6 +102,7 @@ class Scanner:
         #: Word -> (template, where in it). Of the words of a template so many are seeds that a passage without
         #: all of them misses too many; words with a trigger come first, then long ones.
         self.seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.bags = [Counter(words) for _, words, _, _ in self.all]
         for n, (_, words, _, _) in enumerate(self.all):
             order = sorted(range(len(words)), key=lambda i: (not any(t in words[i] for t in TRIGGERS), -len(words[i]), i))
             for i in order[: int(MISSING * len(words)) + 1]:
@@ -113,25 +114,45 @@ class Scanner:
         raw = " ".join(own).encode()
         return (len(self.plain(raw)) - len(compress(raw))) / max(len(raw), size)
 
-    def passage(self, at: int, tokens: list[str]) -> tuple | None:
-        """(rank, template, start, end, differences) of the confirmed passage that holds word ``at`` and explains most words."""
-        best = None
+    def reduction(self, n: int, block: bytes) -> int:
+        """Bytes that a template saves of a block."""
+        return len(self.plain(block)) - len(self.all[n][3](block))
+
+    def passage(self, at: int, tokens: list[str], refused: set[tuple[int, int]]) -> tuple | None:
+        """(reduction, template, start, end, wording, differences) of the confirmed passage that holds word ``at``.
+
+        The templates of which enough words stand around it compress the block that all of them would span, and are ranked by
+        what they save of it; the first whose wording is confirmed there is taken. ``refused`` keeps, for one
+        text, where a template has been refused before: the same place is not compared again.
+        """
+        places: dict[int, list[int]] = {}
+        first, last = at, at + 1
         for n, i in self.seeds[tokens[at]]:
             words = self.all[n][1]
             slack = int(MISSING * len(words))  # how far missing or added words can move the start or the end
-            low = max(0, at - i - slack)
-            own = tokens[low : at - i + len(words) + slack]
-            if sum((Counter(words) - Counter(own)).values()) > slack:
+            low, high = max(0, at - i - slack), at - i + len(words) + slack
+            if (n, at - i) in refused:
                 continue
-            start, end, ops = differences(words, own)
-            if not (low + start <= at < low + end and confirmed(words, ops)):
+            if sum((self.bags[n] - Counter(tokens[low:high])).values()) > slack:
+                refused.add((n, at - i))
                 continue
-            wrong = sum(b - a + d - c for a, b, c, d in ops)
-            own = own[start:end]
-            rank = (len(words) - 2 * wrong, self.gain(n, own), -n)
-            if best is None or rank > best[0]:
-                best = rank, n, low + start, low + end, worded(words, tokens[low:], ops), ops
-        return best
+            places.setdefault(n, []).append(i)
+            first, last = min(first, low), max(last, high)
+        block = " ".join(tokens[first:last]).encode()
+        for n in sorted(places, key=lambda n: (-self.reduction(n, block), n)) if len(places) > 1 else places:
+            words, best = self.all[n][1], None
+            slack = int(MISSING * len(words))
+            for i in places[n]:
+                low = max(0, at - i - slack)
+                start, end, ops = differences(words, tokens[low : at - i + len(words) + slack])
+                if not confirmed(words, ops):
+                    refused.add((n, at - i))
+                elif low + start <= at < low + end and (best is None or sum(counts(ops)) < best[0]):
+                    best = sum(counts(ops)), low, start, end, ops
+            if best:
+                _, low, start, end, ops = best
+                return self.gain(n, tokens[low + start : low + end]), n, low + start, low + end, worded(words, tokens[low:], ops), ops
+        return None
 
     def scan(self, text: bytes) -> Iterator[tuple[int, str, float, int, int, bool, str]]:
         """(line, license, reduction, missing words, added words, confirmed, wording difference) per block."""
@@ -149,10 +170,11 @@ class Scanner:
         out, covered = [], 0
         breaks = [m.start() for m in re.finditer("\n", low)]
         taken: set[int] = set()
+        refused: set[tuple[int, int]] = set()
         for at in found:
-            if at < covered or (best := self.passage(at, tokens)) is None:
+            if at < covered or (best := self.passage(at, tokens, refused)) is None:
                 continue
-            (_, gain, _), n, start, covered, wording, ops = best
+            gain, n, start, covered, wording, ops = best
             first, last = (bisect_left(breaks, begins[j]) for j in (start, covered - 1))
             taken.update(range(first, last + 1))
             out.append((first, self.all[n][0], gain, *counts(ops), True, wording))
@@ -212,8 +234,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Confirmed passages may run over lines and blank lines or lie within one long line; ``line`` (counted from 0)
     is where they start. ``confirmed`` says that at most a tenth of the template's words is missing, at most as
-    many are added, and no number differs (a version, say); of overlapping passages, that which explains most
-    words counts. Other lines with a word that licenses have are reported unconfirmed, with the template under
+    many are added, and no number differs (a version, say); of templates that may stand in one block, that which
+    compresses it best and is confirmed counts, of equals the one listed first. Other lines with a word that licenses have are reported unconfirmed, with the template under
     which the text from there compresses best. ``reduction`` is the saving, ``wording`` lists what differs from
     the template, word by word. Whole texts are searched; null and empty texts have no blocks; repeated rows are
     reported each; other columns are ignored; an empty table gives an empty result.
