@@ -70,12 +70,12 @@ def planned_orders(chapters: DataFrame, graph: dict[str, tuple[str, ...]], trans
     known = [c for c in graph if c not in transversal]
     kind = F.when(F.col("chapter").isin(*known), 0).when(F.col("chapter").isin(*(c for c in graph if c in transversal)), 1).otherwise(2) if graph else F.lit(2)
     once = chapters.groupBy(key, "chapter").agg(F.max("seq").alias("seq")).withColumn("_kind", kind)
-    dtypes = dict(once.dtypes)
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        own = _in_order(list(zip(rows["seq"].tolist(), rows["chapter"].tolist())), graph)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(own), "chapter": [c for _, c in own], "seq": [s for s, _ in own], "_place": range(len(own))})
+    def order(lists: pd.Series) -> pd.Series:
+        return pd.Series([[name for _, name in _in_order([(x["seq"], x["chapter"]) for x in own], graph)] for own in lists], dtype=object)
 
-    sorted_ = once.where("_kind = 0").groupBy(key).applyInPandas(order, f"`{key}` {dtypes[key]}, chapter string, seq {dtypes['seq']}, _place bigint").withColumn("_kind", F.lit(0))
+    lists = once.where("_kind = 0").groupBy(key).agg(F.collect_list(F.struct("seq", "chapter")).alias("_own"))
+    placed = lists.select(key, F.posexplode(F.pandas_udf(order, "array<string>")("_own")).alias("_place", "chapter"))
+    sorted_ = placed.join(once.where("_kind = 0").select(key, "chapter", "seq"), [key, "chapter"]).select(key, "chapter", "seq", F.col("_place").cast("bigint").alias("_place"), F.lit(0).alias("_kind"))
     rest = once.where("_kind > 0").select(key, "chapter", "seq", F.col("seq").cast("bigint").alias("_place"), "_kind")
     return sorted_.unionByName(rest).select(key, "chapter", "seq", (F.row_number().over(Window.partitionBy(key).orderBy("_kind", "_place", "chapter")) - 1).alias("position"))

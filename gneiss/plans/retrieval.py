@@ -69,8 +69,9 @@ def retrieve_fragments(
 
     ``lines`` has (line_id, code, chapter, description, topics), ``fragments`` (fragment_id, status, tags,
     description, at, is_baseline). A line with fewer than ``min_count`` fragments gets none, unless one of
-    them is a baseline. All are returned in order of likeness, or the first ``top``.
+    them is a baseline. Null topics are none. All are returned in order of likeness, or the first ``top``.
     """
+    lines = lines.withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
     recent = fragments.where((F.col("status") == "golden") & (F.col("at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(30 * months))))
     recent = recent.where(F.trim(F.coalesce("description", F.lit(""))) != "")
     f = recent.select("fragment_id", topics(F.col("tags")).alias("_t"), F.trim("description").alias("_d"), "at", "is_baseline")

@@ -19,6 +19,9 @@ PART = "_part"
 class PartedTable:
     """``versions()``, ``read()`` and what writers share; ``path`` may be in any store that Spark reaches."""
 
+    #: Whether folders may have other columns than each other.
+    widens = False
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._hadoop = spark, path.rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,7 +50,7 @@ class PartedTable:
         return self._folders(folders)
 
     def _folders(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{f}" for f in folders))
+        return self.spark.read.option("mergeSchema", self.widens).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def _write(self, rows: DataFrame, part: Column) -> dict[str, list[str]]:
         """Rows in a folder of their own for each part; (part, folders)."""
@@ -84,6 +87,7 @@ class KeyedTable(PartedTable):
     def __init__(self, spark: SparkSession, path: str, key: str, order: str, buckets: int = 64, merge: bool = False):
         super().__init__(spark, path)
         self.key, self.order, self.buckets, self.merge = key, order, buckets, merge
+        self.widens = merge
 
     def upsert(self, batch: DataFrame, batch_id: int) -> list[str]:
         """Take in the rows of a batch; the parts that were rewritten.

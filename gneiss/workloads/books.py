@@ -14,14 +14,14 @@ from gneiss.workloads.base import query
 
 #: Document k of part p: its lines in order of keys, numbered from 0, n in all.
 LINES = """l AS (SELECT l_partkey AS doc_id, l_orderkey, l_linenumber,
-  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_partkey) AS n, l_quantity FROM lineitem),
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_partkey) AS n, l_quantity FROM lineitem),
 b AS (SELECT doc_id, l_orderkey, l_linenumber, CAST(k AS INT) AS k, CAST(n AS INT) AS n, round(l_quantity + (k % 7) * 0.05, 2) AS q, CAST(doc_id % 4 AS INT) AS kind, CAST(k // 4 AS INT) % 3 + 1 AS c FROM l)"""
 CHAPTERS = ("TRABAJOS PREVIOS", "ALBAÑILERIA", "PINTURA")
 PER_PAGE, PER_ANNEXED_PAGE = 6, 5
 
 
 def _book_lines(t) -> DataFrame:
-    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
     rows = t.lineitem.select(
         F.col("l_partkey").alias("doc_id"), "l_orderkey", "l_linenumber", (F.row_number().over(order) - 1).alias("k"), F.count("*").over(Window.partitionBy("l_partkey")).cast("int").alias("n"), "l_quantity",
         F.lag("l_orderkey").over(order).alias("before"), F.lag("l_quantity").over(order).alias("quantity_before"),

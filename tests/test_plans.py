@@ -191,6 +191,43 @@ def test_retrieval(spark):
     assert len(run(*(frag(i) for i in range(9)))) == 9 and len(run(*(frag(i) for i in range(9)), top=5)) == 5
 
 
+def test_fragments_are_those_of_all_pairs(spark):
+    """The joins on codes, grams of names and topics against rules over every pair of line and fragment."""
+    import random
+
+    rng = random.Random(6)
+    kinds = ["tiles", "Tiles", "paint", "reason:x", "scope:y"]
+    texts = ["Alicatado de gres porcelánico en baño", "Alicatado de gres en baño", "Pintura plástica lisa", "Pintura plástica en paredes lisas"]
+    names = ["C02 Alicatados", "Pinturas y acabados", "ÑU", "", None]
+    tag = lambda: rng.choice(["cross_chapter:true", f"chapter_code:{rng.choice(['2', '02', '7'])}", f"chapter:{rng.choice(['alicatados', 'PINT', 'ñu', 'a', '', 'c02 alicatados y más'])}", rng.choice(kinds), rng.choice(kinds)])
+    now = datetime(2026, 1, 1)
+    lines = [(i, rng.choice(["02.04", "7.1", "x", None]), rng.choice(names), rng.choice(texts), rng.choice([["tiles"], ["paint", "wood"], [], None])) for i in range(40)]
+    fragments = [(i, "golden", [tag() for _ in range(rng.randint(0, 3))], rng.choice(texts), now - timedelta(days=i % 30), i % 5 == 0) for i in range(60)]
+    left = spark.createDataFrame(lines, "line_id long, code string, chapter string, description string, topics array<string>")
+    right = spark.createDataFrame(fragments, "fragment_id long, status string, tags array<string>, description string, at timestamp, is_baseline boolean")
+    both = left.select("line_id", "description").crossJoin(right.select("fragment_id", F.col("description").alias("other")))
+    alike = {(r.line_id, r.fragment_id): r.s for r in both.select("line_id", "fragment_id", matching.hybrid_similarity(F.col("description"), F.col("other")).alias("s")).collect()}
+
+    def applies(code, chapter, tags):
+        number = (code.split(".")[0].lstrip("0") or "0").zfill(2) if code and "." in code else None
+        of = lambda name: [t[len(name) + 1 :].strip() for t in (x.lower() for x in tags) if t.startswith(name + ":") and t[len(name) + 1 :].strip()]
+        return "cross_chapter:true" in tags or number in [c.lstrip("0").zfill(2) for c in of("chapter_code")] or any(c in (chapter or "").lower() for c in of("chapter"))
+
+    want = {}
+    for i, code, chapter, _, topics in lines:
+        own = []
+        for f, _, tags, _, at, base in fragments:
+            about = {t.lower() for t in tags if not t.lower().startswith(retrieval.META_TAGS) and not t.lower().startswith("chapter_code:")}
+            about |= {t.lower() for t in tags if t.lower().startswith("chapter_code:")}  # no meta tag
+            if applies(code, chapter, tags) and (not topics or not about or set(topics) & about) and alike[i, f] >= 0.45:
+                own.append((-alike[i, f], -at.timestamp(), f, base))
+        if len(own) >= 2 or any(b for *_, b in own):
+            want |= {(i, f): n for n, (_, _, f, _) in enumerate(sorted(own), 1)}
+    got = retrieval.retrieve_fragments(left, right, "2026-01-01")
+    assert {(r.line_id, r.fragment_id): r["rank"] for r in got.collect()} == want and len(want) > 100
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_table_head_in_any_case(spark):
     text = "CÓDIGO UD RESUMEN\n" + "\n".join(f"1.{i} Ud TÍTULO {i}" for i in range(4)) + "\n" + "x" * 200
     df = spark.createDataFrame([(1, 1, text)], "doc_id long, page_no int, text string")
