@@ -155,16 +155,15 @@ def rare_shingles(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def ball_rows(keys: DataFrame) -> DataFrame:
-    """(key, rep, center, prev, many) of the rows (key, rep) whose key several nodes have.
+    """(key, rep, center, many) of the rows (key, rep) whose key several nodes have.
 
-    Of a key's nodes in order, ``center`` is the first and ``prev`` the one before; ``many`` says that there are more
-    than two.
+    Of a key's nodes ``center`` is the smallest; ``many`` says that there are more than two.
     """
     order = Window.partitionBy("key").orderBy("rep")
     near = {f"{side}{n}": getattr(F, side)("rep", n).over(order) for side in ("lag", "lead") for n in (1, 2)}
     met = keys.select("key", "rep", F.first("rep").over(order).alias("center"), *(c.alias(n) for n, c in near.items()))
     many = F.coalesce("lag2", "lead2").isNotNull() | (F.col("lag1").isNotNull() & F.col("lead1").isNotNull())
-    return met.where("lag1 IS NOT NULL OR lead1 IS NOT NULL").select("key", "rep", "center", F.col("lag1").alias("prev"), many.alias("many"))
+    return met.where("lag1 IS NOT NULL OR lead1 IS NOT NULL").select("key", "rep", "center", many.alias("many"))
 
 
 def hot_ids(pairs: DataFrame, key: str) -> DataFrame:
@@ -224,21 +223,19 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, layout: Layout, docs: DataFram
 def near_links(nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that join the candidates which are alike, into the groups that all such pairs would give.
 
-    First each node meets the first node of each of its keys (variants of pieces, and shingles of small sets) and the one before it:
-    two pairs for a row of a key, however many nodes it has. A key each of whose rows is alike to one of these two is one
-    group and settled. Of the others, those whose nodes are not all in one group by now give the pairs between
+    First each node meets the first node of each of its keys (variants of pieces, and shingles of small sets): a pair for a row of
+    a key, however many nodes it has, and mostly the same pair for all keys of a large group. A key each of whose rows is alike
+    to its first is one group and settled. Of the others, those whose nodes are not all in one group by now give the pairs between
     their largest group and the others, and among these; pairs within a group add nothing.
     """
     exact = rare_shingles(nodes, similarity)
     balls = store(ball_rows(variants(nodes, layout).unionByName(exact)), "balls")
-    pairs = balls.select(F.col("center").alias("a"), F.col("rep").alias("b")).union(balls.select("prev", "rep")).where("a < b").distinct()
+    pairs = balls.select(F.col("center").alias("a"), F.col("rep").alias("b")).where("a < b").distinct()
     pairs = store(pairs, "pairs")
     first = confirmed(pairs, nodes, layout, docs, id_col, text_col, similarity)
     roots = store(components(first), "roots")
     shared = balls.where("many")
-    loose = shared.where("prev IS NOT NULL")
-    for side in ("prev", "center"):
-        loose = loose.join(first.select(F.col("a").alias(side), F.col("b").alias("rep")), [side, "rep"], "left_anti")
+    loose = shared.where("center < rep").join(first.select(F.col("a").alias("center"), F.col("b").alias("rep")), ["center", "rep"], "left_anti")
     open_ = shared.select("key", "rep").join(loose.select("key").distinct(), "key", "left_semi").join(roots, F.col("rep") == F.col("node"), "left")
     open_ = store(open_.select("key", "rep", F.coalesce("root", "rep").alias("root")), "open")
     parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
