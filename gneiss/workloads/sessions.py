@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.rules import ab_variant, job_status, qualify_lead
@@ -153,12 +153,18 @@ def enrollment_dedupe(t) -> DataFrame:
 
 @query("SELECT o_custkey, count(*) AS cancelled, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' GROUP BY 1")
 def cancel_all_for_lead(t) -> DataFrame:
-    """Pending rows marked as cancelled in a written table, and how many each lead had."""
+    """Pending rows marked as cancelled in a written table, and how many each lead had.
+
+    Prices are added up in order of the orders' keys: a sum that is half a unit exactly is rounded by its last bit, which
+    depends on the order of its addends.
+    """
     path, out = scratch_path(t.spark, "schedule"), scratch_path(t.spark, "cancelled")
-    t.orders.select("o_custkey", "o_orderpriority", "o_totalprice", F.col("o_orderstatus").alias("status")).write.parquet(path)
+    t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderstatus").alias("status")).write.parquet(path)
     sinks.update_where(t.spark, path, out, (F.col("status") == "P") & (F.col("o_orderpriority") != "1-URGENT"), status=F.lit("cancelled"))
     cancelled = t.spark.read.parquet(out).where("status = 'cancelled'")
-    return cancelled.groupBy("o_custkey").agg(F.count("*").alias("cancelled"), F.round(F.sum("o_totalprice")).cast("bigint").alias("total"))
+    upto = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = cancelled.select("o_custkey", F.sum("o_totalprice").over(upto).alias("total"), F.row_number().over(upto).alias("n"))
+    return place.groupBy("o_custkey").agg(F.count("*").alias("cancelled"), F.round(F.max_by("total", "n")).cast("bigint").alias("total"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '1995-01-01' ORDER BY o_orderdate, o_orderkey")
