@@ -230,8 +230,9 @@ def join_catalog_two_sources(t) -> DataFrame:
 
 @query("SELECT vec_id, list_transform(embedding[1:16], lambda x: round(CAST(x AS DOUBLE), 6)) AS head FROM embeddings")
 def truncate_vector(t) -> DataFrame:
-    """The first sixteen dimensions of each vector."""
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double"), 6)).alias("head"))
+    """The first sixteen dimensions of each vector, rounded; what is rounded to nothing keeps its sign."""
+    short = lambda x: F.when((x < 0) & (F.round(x, 6) == 0), F.lit(-0.0)).otherwise(F.round(x, 6))
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: short(x.cast("double"))).alias("head"))
 
 
 @query(r"""SELECT regexp_replace(p_brand, '[^0-9]', '', 'g') AS code, arg_max(p_size, p_partkey) AS quantity FROM part GROUP BY 1""")
