@@ -50,7 +50,8 @@ class InOrder(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then hands them to ``step`` in order of time and value.
 
     State: what ``step`` carries, as numbers and texts (``state``), and the rows that wait, which the watermark's delay
-    bounds. A timer at each waiting row's time wakes the key. Rows that come after the watermark has passed them
+    bounds. A timer at the first waiting row's time wakes the key, which then hands over all that the watermark has passed and
+    sets the next one: timers are as many as wake-ups, not as rows. Rows that come after the watermark has passed them
     are dropped before they get here. ``idle_ms`` after its last row a key is forgotten, if that is set.
     """
 
@@ -63,12 +64,14 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us bigint, value string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
             wait = list(zip(_micros(part["ts"]), part["value"].tolist()))
             self.waiting.appendList(wait)
-            for ms in {us // 1000 for us, _ in wait}:
-                self.handle.registerTimer(ms)
-        yield self._rows(key, [])
+            first = min(wait)[0] if first is None else min(first, min(wait)[0])
+        if first is not None:  # those that waited before have a timer of their own
+            self.handle.registerTimer(first // 1000)
+        yield from ()  # all rows wait
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -83,14 +86,13 @@ class InOrder(StatefulProcessor):
                 state, result = self.step(state, us // 1000, value)
                 out.append((us, value, *result))
             self.state.update((*state, due[-1][0] // 1000))
-            if self.idle_ms is not None:
+            if rest:
+                self.handle.registerTimer(rest[0][0] // 1000)
+            elif self.idle_ms is not None:
                 self.handle.registerTimer(due[-1][0] // 1000 + self.idle_ms)
             yield self._rows(key, out)
         elif self.idle_ms is not None and self.state.exists() and not held and self.state.get()[-1] + self.idle_ms <= passed:
             self.state.clear()
-            yield self._rows(key, [])
-        else:
-            yield self._rows(key, [])
 
     def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         values = {self.key: [key[0]] * len(rows), "ts": _times(r[0] for r in rows)}
