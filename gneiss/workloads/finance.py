@@ -22,6 +22,10 @@ def r(column, places: int = 4):
     return F.round(column, places)
 
 
+#: So many lines a task sums up and sorts: more lines make more tasks, not larger ones.
+ROWS_A_TASK = 500_000
+
+
 @query(VIEWS + """, spend AS (
   SELECT provider_id, sum(total) AS spend, count(*) AS n_expenses, count(DISTINCT project_id) AS n_projects
   FROM expenses WHERE status = 'validada' GROUP BY 1)
@@ -257,7 +261,8 @@ SELECT project_id, strftime(cal.month, '%Y-%m') AS month, round(coalesce(cost, 0
 def win_running_cost(t) -> DataFrame:
     """Cumulative validated cost by month, over every month between a project's first and last."""
     rows = t.expenses.where(valid()).select("project_id", F.trunc("invoice_date", "month").alias("month"), "total")
-    m = rows.repartition("project_id").groupBy("project_id", "month").agg(F.sum("total").alias("cost"))  # the only shuffle
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.lineitem.count() // ROWS_A_TASK + 1)  # the count is in the files' footers
+    m = rows.repartition(tasks, "project_id").groupBy("project_id", "month").agg(F.sum("total").alias("cost"))  # the only shuffle
     per = m.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "cost"))).alias("costs"), F.min("month").alias("a"), F.max("month").alias("b"))
     full = per.select("project_id", "costs", F.explode(F.expr("sequence(a, b, INTERVAL 1 MONTH)")).alias("month"))
     full = full.select("project_id", "month", F.coalesce(F.col("costs")[F.col("month")], F.lit(0.0)).alias("cost"))
