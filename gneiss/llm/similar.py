@@ -8,7 +8,7 @@ from math import ceil, comb, log, log2
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import as_bytes, components, discard, map_texts, store, unused
@@ -22,7 +22,8 @@ DIFFERING, MISSED = 0.15, 0.056
 EXACT = 40
 #: Ids that hold more than this share of all pairs are spread over so many tasks.
 HOT_SHARE, SALTS = 4096, 64
-
+#: Longs of parities of a set's shingles: two sets differ in no fewer shingles than their parities do.
+PARITIES = [f"p{k}" for k in range(16)]
 
 
 @dataclass(frozen=True)
@@ -112,17 +113,23 @@ def fingerprint(shingles: np.ndarray, layout: Layout) -> list[int]:
     return (bits @ (1 << np.arange(used, dtype=np.int64))).tolist()
 
 
+def parities(shingles: np.ndarray) -> list[int]:
+    """Of each of 1,024 classes of shingles whether the set has an odd number, as longs."""
+    odd = np.bincount((shingles & np.uint64(64 * len(PARITIES) - 1)).view(np.int64), minlength=64 * len(PARITIES)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def texts_as_nodes(docs: DataFrame, id_col: str, text_col: str, layout: Layout) -> DataFrame:
-    """(doc_id, d1, d2, n, short, f0, ...): digest of each text's words, size of its shingle set, the set if it is small, fingerprint."""
+    """(doc_id, d1, d2, n, short, f0, ..., p0, ...): digest of each text's words, size of its shingle set, the set if it is small, fingerprint, parities."""
 
     def row(_: object, doc_id: int, text: bytes) -> tuple:
         digest = xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
         shingles = shingle_set(text)
         short = shingles.view(np.int64).tolist() if len(shingles) <= EXACT / SIMILARITY else None
-        return doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), len(shingles), short, *fingerprint(shingles, layout)
+        return doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), len(shingles), short, *fingerprint(shingles, layout), *parities(shingles)
 
     columns = {"doc_id": F.col(id_col).cast("long"), "text": as_bytes(text_col)}
-    schema = "doc_id long, d1 long, d2 long, n long, short array<bigint>, " + ", ".join(f"{f} long" for f in layout.longs)
+    schema = "doc_id long, d1 long, d2 long, n long, short array<bigint>, " + ", ".join(f"{f} long" for f in [*layout.longs, *PARITIES])
     return map_texts(docs, columns, row, schema)
 
 
@@ -193,17 +200,26 @@ def looked_up(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
+def may_be_alike(a: str, b: str, layout: Layout, similarity: float) -> Column:
+    """Whether sizes, fingerprints (but for small sets, whose bits say less) and parities, in columns with these prefixes, allow it.
+
+    Sets of sizes n and m that are alike differ in no more than (1 - t) / (1 + t) (n + m) shingles.
+    """
+    col = lambda p, c: F.col(f"{p}_{c}")
+    apart = lambda longs: sum((F.bit_count(col(a, f).bitwiseXOR(col(b, f))) for f in longs), F.lit(0))
+    low, high = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (low + high) + F.lit(1e-6)
+    return (low >= F.lit(similarity) * high) & (apart(PARITIES) <= most) & ((low <= EXACT) | (apart(layout.longs) <= layout.most_bits))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have ``similarity`` or more in common.
 
-    Fingerprints (but for small sets, whose bits say less) and the sets' sizes rule most chance pairs out; only the
-    texts of the others are cut into shingles again, and each pair's sets are compared.
+    ``may_be_alike`` rules most chance pairs out; only the texts of the others are cut into shingles again, and each
+    pair's sets are compared.
     """
-    known = nodes.select("rep", "n", *layout.longs)
-    both = looked_up(pairs, known)
-    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in layout.longs), F.lit(0))
-    sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
-    close = store(both.where(sizes & ((F.least("a_n", "b_n") <= EXACT) | (differ <= layout.most_bits))).select("a", "b"), "close")
+    both = looked_up(pairs, nodes.select("rep", "n", *layout.longs, *PARITIES))
+    close = store(both.where(may_be_alike("a", "b", layout, similarity)).select("a", "b"), "close")
     ids = close.select(F.col("a").alias("_id")).union(close.select("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), as_bytes(text_col).alias("text"))
     asked = texts.join(ids, F.col("rep") == F.col("_id"), "left_semi")
@@ -226,7 +242,8 @@ def near_links(nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, t
     First each node meets the first node of each of its keys (variants of pieces, and shingles of small sets): a pair for a row of
     a key, however many nodes it has, and mostly the same pair for all keys of a large group. A key each of whose rows is alike
     to its first is one group and settled. Of the others, those whose nodes are not all in one group by now give the pairs between
-    their largest group and the others, and among these; pairs within a group add nothing.
+    their largest group and the others, and among these; pairs within a group add nothing, and those that ``may_be_alike`` rules out
+    are not made.
     """
     exact = rare_shingles(nodes, similarity)
     balls = store(ball_rows(variants(nodes, layout).unionByName(exact)), "balls")
@@ -239,10 +256,11 @@ def near_links(nodes: DataFrame, layout: Layout, docs: DataFrame, id_col: str, t
     open_ = shared.select("key", "rep").join(loose.select("key").distinct(), "key", "left_semi").join(roots, F.col("rep") == F.col("node"), "left")
     open_ = store(open_.select("key", "rep", F.coalesce("root", "rep").alias("root")), "open")
     parts = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-    split = open_.join(parts.where("parts > 1").select("key", "main"), "key")
-    few = split.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-    more = few.join(split.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), "key").where("x_root <> y_root")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    split = open_.join(parts.where("parts > 1").select("key", "main"), "key").join(nodes.select("rep", "n", *layout.longs, *PARITIES), "rep")
+    side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "root", "n", *layout.longs, *PARITIES)))
+    across = (F.col("x_root") != F.col("y_root")) & may_be_alike("x", "y", layout, similarity)
+    more = side(split.where("root <> main"), "x").join(side(split, "y"), "key").where(across)
+    more = more.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = store(more, "pairs")
     second = confirmed(more, nodes, layout, docs, id_col, text_col, similarity)
     known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
@@ -264,7 +282,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     layout = Layout.for_texts(docs.count())
     nodes = texts_as_nodes(docs, id_col, text_col, layout).groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), *(F.first(f).alias(f) for f in layout.longs)
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), *(F.first(f).alias(f) for f in [*layout.longs, *PARITIES])
     )  # equal words have equal fingerprints, so any row's will do
     nodes = store(nodes.where("rep IS NOT NULL"), "nodes")
     links = near_links(nodes, layout, docs, id_col, text_col, similarity)

@@ -148,3 +148,29 @@ def test_null_ids_repeats_and_empty_tables(spark):
     kept = similar.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 5, 5, 7]
     assert similar.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_pairs_across_groups_are_made_only_where_they_may_be_alike(spark, monkeypatch):
+    """Copies of one text with too many edits of their own share keys with all the others, and are like none."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 4000)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 6])):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    asked, plain = [], similar.confirmed
+    monkeypatch.setattr(similar, "confirmed", lambda pairs, *a: asked.append(pairs.count()) or plain(pairs, *a))
+    groups = similar.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.rep: r.component_id for r in groups.collect()} == plain_groups(rows)
+    assert asked[1] < 160  # of some thousand pairs of a key across groups
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n, own in ((5, 0), (40, 3), (300, 30), (5000, 4000)):
+        a, b = (np.unique(np.concatenate([np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rng.integers(0, 1 << 63, own).astype(np.uint64)])) for _ in range(2))
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(similar.parities(a), similar.parities(b)))
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (own > 0)
+    assert len(similar.parities(np.zeros(0, dtype=np.uint64))) == len(similar.PARITIES)
