@@ -18,8 +18,10 @@ from gneiss.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Cuttings that a worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+#: Cuttings that a worker remembers, and ids in them; beyond, it starts anew.
+REMEMBERED, REMEMBERED_IDS = 250_000, 2_000_000
+#: Characters of the texts that are cut at once, which bounds what a worker holds besides; a longer text is cut alone.
+AT_ONCE = 1 << 19
 #: Longer words have an agenda of their own each time.
 SHORT = 32
 #: More candidates than a short word can have: each merge brings two new ones at most.
@@ -86,7 +88,9 @@ class Grown:
     def extend(self, values: np.ndarray) -> None:
         end = self.n + len(values)
         if end > len(self.data):
-            self.data = np.concatenate([self.data[: self.n], np.zeros(end, dtype=self.data.dtype)])
+            data = np.empty(2 * end, dtype=self.data.dtype)  # its free half takes no memory until it is written
+            data[: self.n] = self.data[: self.n]
+            self.data = data
         self.data[self.n : end] = values
         self.n = end
 
@@ -205,10 +209,10 @@ class PieceCoder:
     def forget(self) -> None:
         #: A cutting is a number: of a word without candidates left out, or of a cutting with one more left out.
         self.whole: dict[str, int] = {}
-        self.cut: dict[int, int] = {}
+        self.cut_codes, self.cut_numbers = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         #: Of each cutting its word's symbols, the cutting before and the candidate left out of it (-1 for none),
         #: how many candidates came up, and its ids; ``letters`` and ``pool`` hold symbols and ids.
-        self.letter_at, self.n_letters, self.parent, self.gap, self.candidates, self.id_at, self.n_ids = (Grown(np.int64) for _ in range(7))
+        self.letter_at, self.n_letters, self.parent, self.gap, self.candidates, self.id_at, self.n_ids = (Grown(np.int32) for _ in range(7))
         self.letters, self.pool = Grown(np.int32), Grown(np.int32)
 
     def add_words(self, words: list[str]) -> range:
@@ -225,6 +229,18 @@ class PieceCoder:
         parent = codes // MOST
         return self.add(self.letter_at[parent], self.n_letters[parent], parent, codes % MOST)
 
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the cuttings of ``codes`` (sorted, as in ``add_cuts``), made where there are none yet."""
+        at = np.searchsorted(self.cut_codes, codes)
+        there = at < len(self.cut_codes)
+        there[there] = self.cut_codes[at[there]] == codes[there]
+        if not there.all():
+            new = self.add_cuts(codes[~there])
+            self.cut_codes = np.insert(self.cut_codes, at[~there], codes[~there])
+            self.cut_numbers = np.insert(self.cut_numbers, at[~there], np.arange(new.start, new.stop))
+            at = np.searchsorted(self.cut_codes, codes)
+        return self.cut_numbers[at]
+
     def add(self, starts: np.ndarray, sizes: np.ndarray, parent: np.ndarray, gap: np.ndarray) -> range:
         first, n = self.letter_at.n, len(starts)
         candidates, id_at, n_ids = (np.zeros(n, dtype=np.int64) for _ in range(3))
@@ -284,7 +300,7 @@ class PieceCoder:
 
     def encode_many(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has); an empty text has none."""
-        if self.letter_at.n >= REMEMBERED:
+        if self.letter_at.n >= REMEMBERED or self.pool.n >= REMEMBERED_IDS:
             self.forget()
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
         words = [w for ws in split for w in ws]
@@ -308,9 +324,7 @@ class PieceCoder:
             draw = 1
             while len(open_):
                 codes, back = np.unique(cutting[open_] * MOST + gap[open_], return_inverse=True)
-                new = [c for c in codes.tolist() if c not in self.cut]
-                self.cut.update(zip(new, self.add_cuts(np.array(new, dtype=np.int64))))
-                cutting[open_] = np.array([self.cut[c] for c in codes.tolist()])[back]
+                cutting[open_] = self.cuts(codes)[back]
                 gap[open_] += 1 + self.gaps(keys_of[open_], places[open_], draw)
                 open_ = open_[gap[open_] < self.candidates[cutting[open_]]]
                 draw += 1
@@ -344,6 +358,32 @@ def key_of(doc_id: int | None, text: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(repr(doc_id), seed & _MASK))
 
 
+def slices(texts: list[str], most: int) -> Iterator[slice]:
+    """Runs of texts of at most ``most`` characters, or of one text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if held + len(text) > most and i > start:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text)
+    if len(texts) > start:
+        yield slice(start, len(texts))
+
+
+def encode_batch(own: PieceCoder, batch: pa.RecordBatch, seed: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``encode_documents`` for a batch of (doc_id, text), in batches of ``AT_ONCE`` characters."""
+    doc_ids, all_texts = (c.to_pylist() for c in batch.columns)
+    for part in slices(all_texts, AT_ONCE):
+        texts = all_texts[part]
+        ids, sizes = own.encode_many(texts, [key_of(d, t, seed) for d, t in zip(doc_ids[part], texts)])
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        read = [own.decode(ids[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0)[part], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes), pa.array(read, type=pa.string())],
+            names=["doc_id", "ids", "n_pieces", "decoded"],
+        )
+
+
 def encode_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -367,15 +407,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model, dropout)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            ids, sizes = own.encode_many(texts, [key_of(d, t, seed) for d, t in zip(doc_ids, texts)])
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            read = [own.decode(ids[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes), pa.array(read, type=pa.string())],
-                names=["doc_id", "ids", "n_pieces", "decoded"],
-            )
+            yield from encode_batch(own, batch, seed)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, decoded string")

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -113,3 +115,36 @@ def test_documents(spark):
     back = pieces.decode_documents(got.select("doc_id", "ids"))
     assert sorted(r.text for r in back.collect()) == sorted(r[1] or "" for r in rows)
     assert pieces.encode_documents(df.where("false")).collect() == []
+
+
+def test_a_batch_is_cut_in_parts(model):
+    """A worker's memory does not follow what a batch holds, and the parts are cut as each text is alone."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(50)]
+    texts = ["", *(" ".join(rng.choices(words, k=400)) for _ in range(1000)), "x y " * 200_000, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    own = pieces.PieceCoder(model, 0.1)
+    own.encode_many(texts[:300], list(range(300)))
+    small = batch.slice(0, 1001)
+    tracemalloc.start()
+    for _ in pieces.encode_batch(own, small, 1):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    got = [row for part in pieces.encode_batch(own, batch, 1) for row in zip(*(c.to_pylist() for c in part.columns))]
+    assert [g[0] for g in got] == list(range(len(texts))) and [g[3] for g in got] == texts
+    alone = pieces.PieceCoder(model, 0.1)
+    for i in (0, 1, 500, 1000, 1001, 1002):
+        assert got[i][1] == alone.encode_many([texts[i]], [pieces.key_of(i, texts[i], 1)])[0].tolist()
+    assert [s.stop - s.start for s in pieces.slices(["a" * 5, "", "b" * 6, "c" * 99, "d"], 10)] == [2, 1, 1, 1]
+
+
+def test_memory_is_bounded_by_ids_as_well(model, monkeypatch):
+    """Long words are never looked up again, but their ids are kept until a worker starts anew."""
+    monkeypatch.setattr(pieces, "REMEMBERED_IDS", 10_000)
+    own = pieces.PieceCoder(model, 0.1)
+    rng = random.Random(9)
+    for key in range(40):
+        own.encode_many([" ".join("".join(rng.choices("qxzjkw", k=100)) for _ in range(20))], [key])
+    assert own.pool.n < 20_000
